@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, neardup, omh, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +30,83 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-SQL: dict[str, str] = {}
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likenesses."""
+    rows = omh.edited_pairs(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        omh.as_string("fp").alias("fingerprint"),
+        omh.as_string("edited_fp").alias("edited_fingerprint"),
+        omh.likeness("fp", "edited_fp").alias("near_edited"),
+        omh.likeness("fp", "next_fp").alias("near_next"),
+    )
+
+
+def op6_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents at a likeness of 0.85."""
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+), c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+  coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    rows = mixing.copies(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
+), l AS (
+  SELECT *, 3.0::DOUBLE * source_size / weight AS level, sum(source_size) OVER ()::BIGINT AS total, sum(weight) OVER ()::BIGINT AS weights FROM s
+), c AS (
+  SELECT a.*, (SELECT (any_value(b.total) - 3 * coalesce(sum(b.source_size) FILTER (b.level < a.level), 0))::BIGINT::DOUBLE
+    / (any_value(b.weights) - coalesce(sum(b.weight) FILTER (b.level < a.level), 0))::BIGINT::DOUBLE FROM l b) AS share FROM l a
+), t AS (
+  SELECT source, source_size, CASE WHEN level < (SELECT min_by(share, level) FROM c WHERE level >= share) THEN 3.0::DOUBLE * source_size
+    ELSE weight * (SELECT min_by(share, level) FROM c WHERE level >= share) END AS target FROM c
+), n AS (
+  SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST) AS n FROM d
+), r AS (
+  SELECT n.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate,
+    ('0x' || substr(md5(coalesce(n.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS offset_
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, ((floor(n::DOUBLE * rate + offset_) - floor((n - 1)::DOUBLE * rate + offset_)) * size)::BIGINT AS taken FROM r
+"""
+
+
+def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document by the model fitted on the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    rows = quality.score(docs, weights)
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {
+    "op8_systematic_mix": op8_systematic_mix,
+    "op10_ftrl_quality": op10_ftrl_quality,
+    "op1_byte_bpe": op1_byte_bpe, "op5_order_minhash": op5_order_minhash, "op6_minhash_odd_sketch": op6_minhash_odd_sketch}
+SQL = {"op8_systematic_mix": OP8_SQL, "op6_minhash_odd_sketch": OP6_SQL}
