@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, omh, quality
+from . import bpe, lbl, mixing, neardup, omh, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,14 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document, and of the terms that disclose it."""
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(pii.listed(*pii.KINDS).cast("binary"), 256).alias("base_sha256")
+    return rows.select("doc_id", *counts, digest, pii.listed(*pii.KINDS, "terms").alias("spans"))
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     rows = mixing.copies(table(spark, sf_dir, "documents"))
@@ -97,6 +105,11 @@ SELECT doc_id, size, source_size, target, ((floor(n::DOUBLE * rate + offset_) -
 """
 
 
+def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under the model learned from the training documents."""
+    return lbl.score(table(spark, sf_dir, "documents"))
+
+
 def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document by the model fitted on the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,7 +119,9 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_disclosure": op7_disclosure,
     "op8_systematic_mix": op8_systematic_mix,
+    "op9_log_bilinear": op9_log_bilinear,
     "op10_ftrl_quality": op10_ftrl_quality,
     "op1_byte_bpe": op1_byte_bpe, "op5_order_minhash": op5_order_minhash, "op6_minhash_odd_sketch": op6_minhash_odd_sketch}
 SQL = {"op8_systematic_mix": OP8_SQL, "op6_minhash_odd_sketch": OP6_SQL}
