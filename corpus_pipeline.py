@@ -1,15 +1,67 @@
-"""From raw documents to token ids: the corpus pipeline's stages."""
+"""From raw documents to token ids: the corpus pipeline.
+
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns a DataFrame; all but the
+last return the columns of documents. Between stages the rows are written to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import bpe, mixing, neardup, pii, quality
+from tidewatch.llm.queries import ranks
+from tidewatch.llm.store import staged
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(docs.withColumn("__had", F.lit(1)), quality.train(docs, labels))
+    return scored.filter(F.col("score") >= quality.CUT).select(*docs.columns)
+
+
+def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, that of the smallest id; rows without an id stay."""
+    gone = staged(neardup.groups(docs).filter("NOT kept").select("doc_id").distinct())
+    few = gone.count() <= neardup.BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data and the terms that disclose it."""
+    return pii.sanitise(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the text's own bytes' digest."""
+    vocabulary = ranks()
+    encoded = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, vocabulary).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", keep_firsts),
+    ("PII", hide_personal),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", to_tokens),
+]
 
-STAGES: list = []
+#: A trained model's decisions and random offsets per stage are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs)
     return docs

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lbl, mixing, neardup, omh, pii, quality
+from . import bpe, lbl, mih, mixing, neardup, omh, pii, quality, tokenscan, warc
+from .words import words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +36,125 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Four captures of every page: a full response and three later revisits, whose validators say the same (1),
+    say it by time alone (2), or contradict it for every fifth page (3)."""
+    md5 = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    rows = pages.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("digest", md5)
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n") * 30).cast("int")), "yyyy-MM-dd")
+    changed = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(900)).cast("int")), "yyyy-MM-dd")
+    tag = F.when((F.col("n") == 3) & (F.col("page_id") % 5 == 0), F.lit("other")).otherwise(F.col("digest"))
+    headers = F.map_filter(F.create_map(F.lit("date"), day, F.lit("etag"), F.when(F.col("n") != 2, F.when(F.col("n") == 1, F.concat(F.lit("W/"), tag)).otherwise(tag)), F.lit("last-modified"), changed, F.lit("server"), F.concat(F.lit("s"), F.col("n").cast("string"))), lambda k, v: v.isNotNull())
+    return rows.select(
+        (F.col("page_id") * 4 + F.col("n")).alias("record_id"),
+        "page_id",
+        (F.col("n") * 1_000_000_000 + F.col("page_id")).alias("at"),
+        "url",
+        F.when(F.col("n") == 0, "response").otherwise("revisit").alias("kind"),
+        F.when(F.col("n") == 0, F.col("digest")).alias("digest"),
+        headers.alias("headers"),
+    )
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture of every page with the response that it stands for."""
+    rows = warc.resolve(captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return rows.select("record_id", "page_id", "url_key", "original_id", "status", "body_digest", headers.alias("headers"))
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS md5, unnest(range(4))::BIGINT AS n FROM pages
+), u AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM p
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)[.]', '')
+    || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '(/index)?([.]html?)?/*$', '') AS place,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM u
+), r AS (
+  SELECT page_id * 4 + n AS record_id, page_id, n * 1000000000 + page_id AS t, n = 0 AS is_full, n, md5,
+    place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key,
+    CASE WHEN n <> 2 THEN CASE WHEN n = 3 AND page_id % 5 = 0 THEN 'other' ELSE md5 END END AS tag,
+    strftime(DATE '2020-01-01' + (page_id % 900)::INTEGER, '%Y-%m-%d') AS changed,
+    strftime(DATE '2024-01-01' + (n * 30)::INTEGER, '%Y-%m-%d') AS day
+  FROM c
+), f AS (
+  SELECT *, last_value(CASE WHEN is_full THEN {'id': record_id, 'md5': md5, 'tag': tag, 'changed': changed, 'n': n} END IGNORE NULLS)
+    OVER (PARTITION BY url_key ORDER BY t, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM r
+), s AS (
+  SELECT *, CASE WHEN is_full THEN 'full' WHEN url_key IS NULL OR o IS NULL THEN 'no original'
+    WHEN coalesce(tag = o.tag, changed = o.changed, true) THEN 'resolved' ELSE 'mismatch' END AS status FROM f
+)
+SELECT record_id, page_id, url_key, CASE status WHEN 'full' THEN record_id WHEN 'resolved' THEN o.id END AS original_id, status,
+  CASE status WHEN 'full' THEN md5 WHEN 'resolved' THEN o.md5 END AS body_digest,
+  'date=' || day || CASE WHEN tag IS NOT NULL THEN ';etag=' || CASE WHEN n = 1 THEN 'W/' ELSE '' END || tag
+    WHEN status = 'resolved' THEN ';etag=' || o.tag ELSE '' END
+    || ';last-modified=' || changed || ';server=s' || CASE WHEN status = 'resolved' THEN o.n ELSE n END AS headers
+FROM s
+"""
+
+#: The query's token files: 16-bit identifiers, the last one ends a document, five digits of an id go before its words.
+EOD, HEAD, DIGIT, FLAT_BLOCK = 65535, 5, 15, 1 << 16
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a task as one run of identifiers (words by hash), in blocks cut wherever they are full."""
+    file, block, rest = f"part-{TaskContext.get().partitionId() if TaskContext.get() else 0}", 0, np.zeros(0, np.uint16)
+
+    def row(tokens: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"file": [file], "block": pa.array([block], pa.int64()), "data": [tokens.astype("<u2").tobytes()]})
+
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        for w in words(batch.column(1)):
+            made, n = [rest], len(w.bounds) - 1
+            tokens = (w.hash % np.uint64(EOD)).astype(np.uint16)
+            for doc_id, a, b in zip(ids[w.first : w.first + n], w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+                digits = [2**DIGIT - 1] * HEAD if doc_id is None else [(doc_id % 2**64) >> (DIGIT * i) & (2**DIGIT - 1) for i in range(HEAD)]
+                made += [np.array(digits, np.uint16), tokens[a:b], np.array([EOD], np.uint16)]
+            rest = np.concatenate(made)
+            while len(rest) >= FLAT_BLOCK:
+                yield row(rest[:FLAT_BLOCK])
+                rest, block = rest[FLAT_BLOCK:], block + 1
+    if len(rest):
+        yield row(rest)
+
+
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, from the documents' words laid end to end in flat blocks."""
+    tokenscan.small_batches(spark)
+    flat = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_flat, "file string, block long, data binary")
+    rows = tokenscan.documents(flat, EOD, head=HEAD)
+    doc_id = F.expr(f"aggregate(head, named_struct('id', 0L, 'at', 0), (s, x) -> named_struct('id', s.id | shiftleft(x, s.at), 'at', s.at + {DIGIT}), s -> s.id)")
+    return rows.select(F.when(F.col("head")[HEAD - 1] < 2**DIGIT - 1, doc_id).alias("doc_id"), (F.col("n_tokens") - HEAD).alias("n_tokens"))
+
+
+OP3_SQL = r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents"
+
+
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every vector whose id is divisible by 20, among all others."""
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), mih.code("embedding").alias("code"))
+    found = mih.search(codes, codes.filter("id % 20 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+OP4_SQL = """
+WITH c AS (
+  SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0 AND NOT isnan(embedding[i]), false)) AS bits
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(range(1, 65), lambda i: (q.bits[i] <> c.bits[i])::INTEGER))::INTEGER AS distance
+  FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance
+FROM d QUALIFY rank <= 10
+"""
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likenesses."""
     rows = omh.edited_pairs(table(spark, sf_dir, "documents"))
@@ -118,10 +243,11 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {
-    "op7_disclosure": op7_disclosure,
-    "op8_systematic_mix": op8_systematic_mix,
-    "op9_log_bilinear": op9_log_bilinear,
-    "op10_ftrl_quality": op10_ftrl_quality,
-    "op1_byte_bpe": op1_byte_bpe, "op5_order_minhash": op5_order_minhash, "op6_minhash_odd_sketch": op6_minhash_odd_sketch}
-SQL = {"op8_systematic_mix": OP8_SQL, "op6_minhash_odd_sketch": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_revisits, op3_separator_scan, op4_multi_index_hashing, op5_order_minhash, op6_minhash_odd_sketch, op7_disclosure, op8_systematic_mix, op9_log_bilinear, op10_ftrl_quality)}
+SQL = {
+    "op2_warc_revisits": OP2_SQL,
+    "op3_separator_scan": OP3_SQL,
+    "op4_multi_index_hashing": OP4_SQL,
+    "op6_minhash_odd_sketch": OP6_SQL,
+    "op8_systematic_mix": OP8_SQL,
+}
