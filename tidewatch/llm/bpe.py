@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Documents are cut into blocks of a few million characters. Within a block every pre-token becomes a position in
-the block's list of distinct pre-tokens, so that what travels with a document is one small number per pre-token,
-in text order. The distinct (block, word) rows are shuffled by word: equal words of all blocks meet in one task,
-sorted, and each is merged once. The ids go back by block, join the documents' positions and are put together in
-text order. A word is there at most once per block, so no word can hold more than one row in each block, however
-frequent it is; blocks are bounded, a longer document being a block of its own.
+Documents are cut into blocks of a few million characters. Within a block every word (white space, then what
+follows up to the next white space: no pre-token crosses such a border) becomes a position in the block's list of
+distinct words, so what travels with a document is one small number per word, in text order. The blocks' distinct
+words are dealt by hash to buckets, where equal words of all blocks meet and each is split into pre-tokens and merged
+once. The ids go back by block, join the documents' positions and are put together in text order. A word is there
+once per block at most, however frequent it is; blocks are bounded, a longer document being a block of its own; the
+number of buckets grows with the table, so a bucket's words fit in memory. Lists travel packed, one row for each
+block and bucket.
 
 Decoding joins ids with the token-byte table, whose size is that of the vocabulary file.
 
@@ -18,6 +20,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .store import small_batches
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
+#: Documents a bucket of words; buckets are a power of two between the two bounds.
+BUCKET_DOCS, BUCKETS = 4000, (32, 4096)
 _HUGE = 1 << 30
 
 
@@ -77,9 +83,26 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of equal rank, compressed."""
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _word_finder(pattern: str):
+    """White space is what \\s means to the pattern's engine, which is not quite what it means to re."""
+    space = "".join(re.escape(chr(c)) for c in range(0x3001) if regex.fullmatch(r"\s", chr(c)))
+    return re.compile(f"[{space}]*[^{space}]+|[{space}]+").findall
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, list[np.ndarray], list[str]]]:
-    """(block, doc ids, each document's positions, distinct pre-tokens). The block's number comes from its task and texts."""
-    find = regex.compile(pattern).findall
+    """(block, doc ids, each document's positions, distinct words). The block's number comes from its task and texts."""
+    find = _word_finder(pattern)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     ids, codes, known, size, made, sign = [], [], {}, 0, 0, hashlib.blake2b(digest_size=8)
 
@@ -88,10 +111,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens = find(text) if text else []
+            found = find(text) if text else []
+            for w in found:
+                if w not in known:
+                    known[w] = len(known)
             ids.append(doc_id)
-            codes.append(np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.uint32, len(tokens)))
-            sign.update(f"{doc_id}/{len(tokens)}/{len(known)};".encode())
+            codes.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
+            sign.update(f"{doc_id}/{len(found)}/{len(known)};".encode())
             size += len(text or "")
             if size >= BLOCK_CHARS:
                 yield block(), ids, codes, list(known)
@@ -100,14 +126,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
         yield block(), ids, codes, list(known)
 
 
-def _words_of(pattern: str):
-    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.string())])
+def _words_of(pattern: str, buckets: int):
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for block, _, _, known in _blocks(batches, pattern):
-            for i in range(0, len(known), 20_000):
-                part = known[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.string())], schema=schema)
+            raw = [w.encode() for w in known]
+            bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
+            for b in np.unique(bucket).tolist():
+                at = np.flatnonzero(bucket == b)
+                own = [raw[i] for i in at.tolist()]
+                row = [[b], [block], [pack(np.diff(at, prepend=0))], [pack(np.array([len(w) for w in own]))], [squeeze(b"".join(own))]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     return run
 
@@ -116,28 +147,34 @@ def _documents_of(pattern: str):
     schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for block, ids, codes, known in _blocks(batches, pattern):
-            flat = np.concatenate(codes)
-            flat = flat.astype(np.uint16) if len(known) <= 65536 else flat
-            row = {"block": [block], "ids": [ids], "sizes": [[len(c) for c in codes]], "codes": [pack.compress(flat.tobytes())]}
+        for block, ids, codes, _ in _blocks(batches, pattern):
+            row = {"block": [block], "ids": [ids], "sizes": [[len(c) for c in codes]], "codes": [pack(np.concatenate(codes))]}
             yield pa.RecordBatch.from_pydict(row, schema=schema)
 
     return run
 
 
-def _encode_words(raw):
-    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("ids", pa.binary())])
+def _encode_words(raw, pattern: str):
+    schema = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, last, ids = parse_ranks(raw.value), None, b""
+        ranks, find, last, known = parse_ranks(raw.value), regex.compile(pattern).findall, None, {}
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():  # sorted: equal words follow each other
-                if word != last:
-                    last, ids = word, np.array(merge(word.encode(), ranks), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=schema)
+            for row in batch.to_pylist():
+                if row["bucket"] != last:  # sorted: a bucket's rows follow each other
+                    last, known = row["bucket"], {}
+                data = zstandard.ZstdDecompressor().decompress(row["words"])
+                ends = np.cumsum(unpack(row["sizes"])).tolist()
+                out = []
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    w = data[a:b]
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = [i for t in find(w.decode()) for i in merge(t.encode(), ranks)]
+                    out.append(ids)
+                flat = np.fromiter((i for ids in out for i in ids), np.uint32)
+                made = [[row["block"]], [row["at"]], [pack(np.array([len(x) for x in out]))], [pack(flat)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, schema, strict=True)], schema=schema)
 
     return run
 
@@ -155,23 +192,23 @@ def _put_together(documents: pa.Table, words: pa.Table) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     if not documents.num_rows:
         raise RuntimeError("blocks of two reads differ: the input changed between them")
-    at = words.column("at").to_numpy() if words.num_rows else np.zeros(0, np.int32)
-    column = words.column("ids").combine_chunks().cast(pa.large_binary()) if words.num_rows else pa.array([], pa.large_binary())
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4 if len(column) else np.zeros(1, np.int64)
-    flat = np.frombuffer(column.buffers()[2], "<u4") if len(column) else np.zeros(0, "<u4")
-    start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    start[at], size[at] = off[:-1], np.diff(off)
+    rows = words.to_pylist()
+    at = [np.cumsum(unpack(r["at"])) for r in rows]
+    sizes = [unpack(r["sizes"]).astype(np.int64) for r in rows]
+    flat = np.concatenate([unpack(r["ids"]) for r in rows]) if rows else np.zeros(0, "<u4")
+    n = sum(len(x) for x in at)
+    start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n:
+        each = np.concatenate(sizes)
+        where = np.concatenate(at)
+        size[where], start[where] = each, np.cumsum(each) - each
     out_ids, out = [], []
-    unpack = zstandard.ZstdDecompressor()
     for row in documents.to_pylist():
-        raw = unpack.decompress(row["codes"]) if row["codes"] else b""
-        codes = np.frombuffer(raw, np.uint16 if len(at) <= 65536 else np.uint32)
-        if len(codes) and int(codes.max()) >= len(at):
+        codes = unpack(row["codes"])
+        if len(codes) and int(codes.max()) >= n:
             raise RuntimeError("blocks of two reads differ: the input changed between them")
-        ends = np.cumsum(row["sizes"])
-        for doc_id, a, b in zip(row["ids"], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        ends = np.cumsum(row["sizes"]).tolist()
+        for doc_id, a, b in zip(row["ids"], [0, *ends[:-1]], ends, strict=True):
             out_ids.append(doc_id)
             out.append(gather(flat, start, size, codes[a:b]).tobytes())
     return pa.table([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], schema=schema)
@@ -182,12 +219,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
+    buckets = min(BUCKETS[1], max(BUCKETS[0], 1 << (docs.count() // BUCKET_DOCS).bit_length()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     words = (
-        texts.mapInArrow(_words_of(pattern), "block long, at int, word string")
-        .repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(_encode_words(shared), "block long, at int, ids binary")
+        texts.mapInArrow(_words_of(pattern, buckets), "bucket int, block long, at binary, sizes binary, words binary")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_encode_words(shared, pattern), "block long, at binary, sizes binary, ids binary")
     )
     blocks = texts.mapInArrow(_documents_of(pattern), "block long, ids array<long>, sizes array<int>, codes binary")
     return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_put_together, "doc_id long, ids binary")
