@@ -1,4 +1,5 @@
-"""Named queries over the operators, each on whole input tables. Floating results are rounded to six places."""
+"""Named queries over the operators, each on whole input tables. Floating results are rounded to nine places, then to six,
+so that noise in the last bits does not turn ties."""
 
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ PARAMS = {"beta0": -0.5, "beta_lag": 2.0, "beta_cos": 0.4, "beta_sin": -0.3, "ka
 def query(f):
     def rounded(spark: SparkSession, d: str) -> DataFrame:
         df = f(spark, d)
-        return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+        return df.select(*[F.round(F.round(c, 9), 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
     rounded.__doc__ = f.__doc__
     QUERIES[f.__name__] = rounded
