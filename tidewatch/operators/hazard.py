@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import season
-from .spells import max_run_tolerant, max_streak_hold
+from .spells import held_runs, longest_held, longest_tolerated, tolerant_runs
 
 # Map codes.
 FLOOD, NO_DATA, OUTSIDE = 200, (30, 50), 1
@@ -78,17 +78,16 @@ def hazard_annual_3(pixels: DataFrame, gap: int = 2) -> DataFrame:
     """Frequency, duration, valid observations and the longest held streak; all null where nothing was observed."""
     rows = pixels.withColumn("year", F.year("map_date"))
     keys = ["year", *PIXEL]
-    counts = rows.groupBy(*keys).agg(F.count("value").cast("int").alias("valid_obs"), F.sum("value").cast("int").alias("flood_duration"))
-    runs = max_streak_hold(rows, keys, gap=gap)
-    both = counts.join(runs, keys)
+    both = held_runs(rows, keys, gap=gap).groupBy(*keys)
+    both = both.agg(F.count("value").cast("int").alias("valid_obs"), F.sum("value").cast("int").alias("flood_duration"), longest_held().alias("max_consecutive"))
     return both.select(*keys, (F.col("flood_duration") / F.nullif("valid_obs", F.lit(0))).alias("flood_frequency"), "flood_duration", F.nullif("valid_obs", F.lit(0)).alias("valid_obs"), "max_consecutive")
 
 
 def hazard_seasonal_2(pixels: DataFrame, gap: int = 5) -> DataFrame:
     rows = with_season(pixels)
     keys = ["season_year", "season", *PIXEL]
-    counts = rows.groupBy(*keys).agg(F.coalesce(F.sum("value"), F.lit(0)).cast("int").alias("flooded"), F.count("value").cast("int").alias("valid"))
-    return counts.join(max_run_tolerant(rows, keys, gap=gap), keys)
+    out = tolerant_runs(rows, keys, gap=gap).groupBy(*keys)
+    return out.agg(F.coalesce(F.sum("value"), F.lit(0)).cast("int").alias("flooded"), F.count("value").cast("int").alias("valid"), longest_tolerated().alias("max_run"))
 
 
 def hazard_annual_2(seasonal: DataFrame) -> DataFrame:

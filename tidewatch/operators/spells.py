@@ -76,21 +76,28 @@ def _held_islands(df: DataFrame, keys: list[str], order: str, value: str, gap: i
     return df.withColumn("__new", F.when(wet, new.cast("int"))).withColumn("__island", F.when(wet, F.sum("__new").over(upto)))
 
 
+def held_runs(df: DataFrame, keys: list[str], order: str = "map_date", value: str = "value", gap: int = 2) -> DataFrame:
+    """Adds __run to flood observations: the floods in their run, which a clear one or more than `gap` missing ones end."""
+    marked = _held_islands(df, keys, order, value, gap)
+    return marked.withColumn("__run", F.when(F.col("__island").isNotNull(), F.count("*").over(Window.partitionBy(*keys, "__island"))))
+
+
 def max_streak_hold(df: DataFrame, keys: list[str], order: str = "map_date", value: str = "value", gap: int = 2) -> DataFrame:
     """The most flood observations in a run that a clear one, or more than `gap` missing ones, ends.
 
     Missing observations are held over but not counted. 0 without floods; null where nothing was observed.
     """
-    marked = _held_islands(df, keys, order, value, gap)
-    size = F.when(F.col("__island").isNotNull(), F.count("*").over(Window.partitionBy(*keys, "__island")))
-    out = marked.withColumn("__size", size).groupBy(*keys)
-    return out.agg(F.when(F.count(value) > 0, F.coalesce(F.max("__size"), F.lit(0))).cast("int").alias("max_consecutive"))
+    return held_runs(df, keys, order, value, gap).groupBy(*keys).agg(longest_held(value).alias("max_consecutive"))
 
 
-def max_run_tolerant(df: DataFrame, keys: list[str], order: str = "map_date", value: str = "value", gap: int = 5) -> DataFrame:
-    """The longest run of floods and tolerated missing observations.
+def longest_held(value: str = "value") -> Column:
+    return F.when(F.count(value) > 0, F.coalesce(F.max("__run"), F.lit(0))).cast("int")
+
 
-    A clear observation ends a run, and so does each (gap+1)-th missing one in a row; neither counts.
+def tolerant_runs(df: DataFrame, keys: list[str], order: str = "map_date", value: str = "value", gap: int = 5) -> DataFrame:
+    """Adds __run: floods and tolerated missing observations since the last breaker and up to the next one.
+
+    Breakers are clear observations and each (gap+1)-th missing one in a row.
     """
     w = _window(keys, order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -100,9 +107,16 @@ def max_run_tolerant(df: DataFrame, keys: list[str], order: str = "map_date", va
     df = df.withColumn("__nth", nth)
     breaker = F.coalesce(F.col(value) == 0, F.lit(False)) | (missing & (F.pmod(F.col("__nth"), F.lit(gap + 1)) == 0))
     df = df.withColumn("__break", breaker.cast("int")).withColumn("__group", F.sum("__break").over(upto))
-    kept = F.sum(1 - F.col("__break")).over(Window.partitionBy(*keys, "__group"))
-    out = df.withColumn("__run", kept).groupBy(*keys)
-    return out.agg(F.when(F.count(value) > 0, F.max("__run")).cast("int").alias("max_run"))
+    return df.withColumn("__run", F.sum(1 - F.col("__break")).over(Window.partitionBy(*keys, "__group")))
+
+
+def max_run_tolerant(df: DataFrame, keys: list[str], order: str = "map_date", value: str = "value", gap: int = 5) -> DataFrame:
+    """The longest run of floods and tolerated missing observations; null where nothing was observed."""
+    return tolerant_runs(df, keys, order, value, gap).groupBy(*keys).agg(longest_tolerated(value).alias("max_run"))
+
+
+def longest_tolerated(value: str = "value") -> Column:
+    return F.when(F.count(value) > 0, F.max("__run")).cast("int")
 
 
 def exceedance(lengths: Column, k: int) -> Column:
