@@ -18,8 +18,8 @@ from tidewatch.llm.store import staged
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs.withColumn("__had", F.lit(1)), quality.train(docs, labels))
-    return scored.filter(F.col("score") >= quality.CUT).select(*docs.columns)
+    scored = quality.score(docs, quality.train(docs, labels), "__quality")
+    return scored.filter(F.col("__quality") >= quality.CUT).select(*docs.columns)
 
 
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

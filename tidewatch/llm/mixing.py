@@ -68,24 +68,29 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row of docs."""
+    """doc_id, row (a hash of the text), source, size, source_size, target, copies of every row of docs."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    text_hash = F.xxhash64(F.col("text").cast("string")).alias("row")
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), text_hash))
     sources = staged(targets(staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")))))
     rows = numbered(rows)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     reach = lambda n: F.floor(n.cast("double") * rate + offset(sources["source"]))
     both = rows.join(sources, rows["source"].eqNullSafe(sources["source"]))
-    return both.select("doc_id", rows["source"], "size", "source_size", "target", (reach(F.col("n")) - reach(F.col("n") - 1)).cast("long").alias("copies"))
+    return both.select("doc_id", "row", rows["source"], "size", "source_size", "target", (reach(F.col("n")) - reach(F.col("n") - 1)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that repeat an id share their copies evenly among them."""
-    taken = copies(docs).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    key = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    taken = staged(taken.select(key.alias("__id"), "copies", "rows"))
-    rows = docs.withColumn("__id", key).join(taken, "__id")
-    nth = F.pmod(F.xxhash64("text"), F.col("rows"))
-    each = F.when(F.col("rows") == 1, F.col("copies")).otherwise(F.floor((nth + 1) * F.col("copies") / F.col("rows")) - F.floor(nth * F.col("copies") / F.col("rows")))
-    rows = rows.withColumn("__each", each).filter("__each > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__each")))
-    return rows.select(*[docs[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it. Rows that repeat an id and text share their copies."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
+    taken = copies(docs).groupBy(key.alias("__id"), F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    taken = staged(taken)
+    rows = docs.withColumn("__id", key).withColumn("__row", F.xxhash64(F.col("text").cast("string"))).join(taken, ["__id", "__row"])
+    once = rows.filter("__rows = 1").withColumn("__each", F.col("__copies"))
+    if not taken.filter("__rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("__id", "__row").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))) - 1
+        some = lambda n: F.floor(n * F.col("__copies") / F.col("__rows"))
+        again = rows.filter("__rows > 1").withColumn("__n", nth)
+        once = once.unionByName(again.withColumn("__each", (some(F.col("__n") + 1) - some(F.col("__n"))).cast("long")).drop("__n"))
+    out = once.filter("__each > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each").cast("long"))))
+    return out.select(*docs.columns)

@@ -126,20 +126,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     return bytes(out["weights"]) if out else np.zeros(SLOTS, np.float32).tobytes()
 
 
-def score(docs: DataFrame, weights: bytes) -> DataFrame:
-    """Adds `score` (0 to 1, higher for better texts) to docs."""
+def score(docs: DataFrame, weights: bytes, name: str = "score") -> DataFrame:
+    """Adds the column `name` (0 to 1, higher for better texts) to docs, in place of one of that name."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     columns = docs.columns
     at = [c.lower() for c in columns].index("text")
-    kept = [c for c in columns if c.lower() != "score"]
+    kept = [c for c in columns if c.lower() != name.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(shared.value, np.float32)
         for batch in batches:
             dots = np.array([float(w[s] @ v) for s, v in features(batch.column(at).cast(pa.string()))])
             out = 1 / (1 + np.exp(-np.clip(dots, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(columns.index(c)) for c in kept], pa.array(out, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(columns.index(c)) for c in kept], pa.array(out, pa.float64())], names=[*kept, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
