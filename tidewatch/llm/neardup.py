@@ -150,8 +150,12 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def _compare(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Left members against right ones of other components; a block alone against itself."""
-        out = []
+        """Left members against right ones of other components; a block alone against itself.
+
+        Two members that share several buckets meet in each; they are given out by the first of these alone.
+        """
+        out, band = [], pdf["band"].iat[0]
+        bands = np.array(pdf["bands"].tolist(), dtype=np.int64)
         sketch = np.array(pdf["sketch"].tolist(), dtype=np.int64).view(np.uint64)
         ids, part, n, left = (pdf[k].to_numpy() for k in ("doc_id", "component", "n_shingles", "left"))
         rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
@@ -163,6 +167,7 @@ def _compare(percent: int):
             if len(js):
                 odd = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1, dtype=np.int64)
                 js = js[likeness(odd, n[js], n[i]) >= percent / 100 - SLACK]
+                js = js[(bands[js] == bands[i]).argmax(1) == band]
                 out.append(np.stack([np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])]))
         both = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"a": both[0], "b": both[1]})
@@ -184,7 +189,7 @@ def _blocks_against_blocks(open_: DataFrame, main: DataFrame, nodes: DataFrame)
         .withColumn("meets", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), rest + mains - 1)).otherwise(F.sequence(F.lit(0), rest - 1))))
         .select("band", "key", F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"), (F.col("own") <= F.col("meets")).alias("left"), "doc_id", "component")
     )
-    return placed.join(nodes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    return placed.join(nodes.select("doc_id", "n_shingles", "bands", "sketch"), "doc_id")
 
 
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
