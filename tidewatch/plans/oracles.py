@@ -138,7 +138,7 @@ def _sql(body: str) -> str:
 
 
 def _r(*names: str, **exprs: str) -> str:
-    return ", ".join([*(f"round(round({n}, 9), 6) AS {n.split('.')[-1]}" for n in names), *(f"round(round({e}, 9), 6) AS {n}" for n, e in exprs.items())])
+    return ", ".join([*(f"round({n} + 1e-9::DOUBLE, 6) AS {n.split('.')[-1]}" for n in names), *(f"round({e} + 1e-9::DOUBLE, 6) AS {n}" for n, e in exprs.items())])
 
 
 _ROWCOL = "row_ AS row, col_ AS col"
@@ -158,11 +158,11 @@ def _suggest() -> str:
     rows = [("spell_days", f"round_even(dur_p{p}, 0)", loss) for p, loss in zip((50, 75, 90, 95, 99), (0.1, 0.25, 0.5, 0.75, 1.0), strict=True)]
     rows += [("intensity", f"round_even(int_p{p}, 2)", loss) for p, loss in zip((75, 90, 95, 99), (0.1, 0.25, 0.5, 0.8), strict=True)]
     rows += [("distance_critical_m", "round_even(dist_p25, 1)", 0.5), ("distance_moderate_m", "round_even(dist_p50, 1)", 0.25)]
-    return " UNION ALL ".join(f"SELECT '{r}' AS rule, round({e}, 6)::DOUBLE AS threshold, {loss}::DOUBLE AS loss FROM pct" for r, e, loss in rows)
+    return " UNION ALL ".join(f"SELECT '{r}' AS rule, round({e} + 1e-9::DOUBLE, 6)::DOUBLE AS threshold, {loss}::DOUBLE AS loss FROM pct" for r, e, loss in rows)
 
 
 _BODIES: dict[str, str] = {
-    "binarize": f"SELECT map_date, {_ROWCOL}, value FROM bin",
+    "binarize": f"SELECT map_date, {_ROWCOL}, value::DOUBLE AS value FROM bin",
     "aoi_bbox": "SELECT min(row_) AS row_min, max(row_) AS row_max, min(col_) AS col_min, max(col_) AS col_max FROM pix WHERE code <> 1 AND map_date = (SELECT min(map_date) FROM pix)",
     "aoi_crop": "SELECT map_date, row_ - r0 AS row, col_ - c0 AS col, code FROM pix, (SELECT min(row_) AS r0, max(row_) AS r1, min(col_) AS c0, max(col_) AS c1 FROM pix WHERE code <> 1 AND map_date = (SELECT min(map_date) FROM pix)) WHERE row_ BETWEEN r0 AND r1 AND col_ BETWEEN c0 AND c1",
     "invalid_code_maps": "SELECT DISTINCT map_date, code FROM pix WHERE code NOT IN (1, 30, 50, 200)",
@@ -179,7 +179,7 @@ _BODIES: dict[str, str] = {
     "raster_stats_flooded": f"SELECT year, band, {_STATS} FROM (SELECT *, CASE WHEN value > 0 THEN value END AS v FROM long) GROUP BY ALL",
     "flood_extent": "SELECT year, count(*) FILTER (flood_frequency > 0) AS flooded_pixels, count(flood_frequency) AS valid_pixels FROM haz GROUP BY 1",
     "pixel_consistency": f"SELECT band, {_ROWCOL}, {_r(mean='avg(value)', std='stddev_pop(value)', cv='stddev_pop(value) / (avg(value) + 1e-10)', range='max(value) - min(value)')}, bool_and(value IS NOT NULL) AS all_valid FROM longall GROUP BY band, row_, col_",
-    "band_correlation": "SELECT year, pair, round(r, 6) AS r, round(avg(r) OVER (PARTITION BY pair), 6) AS mean_r FROM ("
+    "band_correlation": "SELECT year, pair, round(r + 1e-9::DOUBLE, 6) AS r, round(avg(r) OVER (PARTITION BY pair) + 1e-9::DOUBLE, 6) AS mean_r FROM ("
     + " UNION ALL ".join(f"SELECT year, '{a}:{b}' AS pair, CASE WHEN isnan(corr({a}::DOUBLE, {b}::DOUBLE)) THEN NULL ELSE corr({a}::DOUBLE, {b}::DOUBLE) END AS r FROM haz WHERE flood_frequency IS NOT NULL GROUP BY year" for i, a in enumerate(_BANDS) for b in _BANDS[i + 1 :])
     + ")",
     "year_correlation": f"SELECT a.year AS year_1, b.year AS year_2, {_r(r='corr(a.flood_frequency, b.flood_frequency)')}, count(*) AS pixels FROM haz a JOIN haz b ON a.row_ = b.row_ AND a.col_ = b.col_ AND a.year < b.year WHERE a.flood_frequency IS NOT NULL AND b.flood_frequency IS NOT NULL GROUP BY ALL",
@@ -190,7 +190,7 @@ _BODIES: dict[str, str] = {
     "zone_shares": f"SELECT zone, (['SAFE','CHRONIC','UNSTABLE','CRITICAL'])[zone] AS zone_name, count(*) AS pixels, {_r(share='count(*)::DOUBLE / sum(count(*)) OVER ()')} FROM (SELECT CASE WHEN cv < 0.3 AND persistence <= 2 THEN 1 WHEN cv < 0.3 THEN 2 WHEN persistence >= 2 THEN 3 ELSE 4 END AS zone FROM pers) GROUP BY zone",
     "monte_carlo_inputs": f"SELECT band, {_r(mean_of_means='avg(m)', std_of_means='stddev_pop(m)', mean_of_stds='avg(s)', std_of_stds='stddev_pop(s)', zero_probability='avg(z)')}, sum(n)::BIGINT AS \"values\" FROM yearly GROUP BY band",
     "lag1_autocorrelation": f"SELECT band, {_r(autocorrelation='CASE WHEN isnan(corr(m, p)) THEN NULL ELSE corr(m, p) END')}, count(p) AS pairs FROM (SELECT *, lag(m) OVER (PARTITION BY band ORDER BY year) AS p FROM yearly) GROUP BY band",
-    "zero_share_pivot": "SELECT year, " + ", ".join(f"round(max(z) FILTER (band = '{b}') * 100, 6) AS zero_{b}" for b in _BANDS) + " FROM yearly GROUP BY year",
+    "zero_share_pivot": "SELECT year, " + ", ".join(f"round(max(z) FILTER (band = '{b}') * 100 + 1e-9::DOUBLE, 6) AS zero_{b}" for b in _BANDS) + " FROM yearly GROUP BY year",
     "freq_hist": _hist("haz", "flood_frequency", 0.0, 1.0, 20, "year"),
     "stratified_sample": f"SELECT year, {_ROWCOL}, band, {_r('value')}, stratum FROM (SELECT *, CASE WHEN value = 0 THEN 'zero' ELSE 'positive' END AS stratum FROM long) QUALIFY row_number() OVER (PARTITION BY year, band, stratum ORDER BY md5(row_ || '#' || col_ || '#42'), row_, col_) <= CASE WHEN stratum = 'zero' THEN 60 ELSE 140 END",
     "cap_sample": f"SELECT year, {_ROWCOL}, {_r('flood_frequency')}, flood_duration, valid_obs, max_consecutive FROM haz WHERE flood_frequency IS NOT NULL QUALIFY row_number() OVER (ORDER BY md5(year || '#' || row_ || '#' || col_ || '#42')) <= 300",
@@ -229,7 +229,7 @@ _BODIES: dict[str, str] = {
     "monthly_loss": f"SELECT hf_id, year, month, {_r('loss')} FROM obs_mon",
     "facility_ranking": f"SELECT hf_id, hf_category, {_r('loss_p50', 'loss_p05', 'loss_p95', 'days_gt50', 'days_gt75', 'p_total')}, row_number() OVER (ORDER BY round(rk.loss_p50, 9) DESC, hf_id)::INTEGER AS rank FROM rk",
     "top_facilities": "SELECT row_number() OVER (ORDER BY round(rk.loss_p50, 9) DESC, hf_id)::INTEGER AS rank, hf_id FROM rk QUALIFY rank <= 30",
-    "exceedance_table": "SELECT hf_id, hf_category, " + ", ".join(f"round(avg((annual_mean_loss >= {t})::INTEGER), 6) AS p_exceed_{round(t * 100)}pct" for t in (0.1, 0.25, 0.5, 0.75, 1.0)) + " FROM syn_st GROUP BY ALL",
+    "exceedance_table": "SELECT hf_id, hf_category, " + ", ".join(f"round(avg((annual_mean_loss >= {t})::INTEGER) + 1e-9::DOUBLE, 6) AS p_exceed_{round(t * 100)}pct" for t in (0.1, 0.25, 0.5, 0.75, 1.0)) + " FROM syn_st GROUP BY ALL",
     "category_describe": f"SELECT hf_category, count(*) AS n, {_r(median='median(annual_mean_loss)', mean='avg(annual_mean_loss)', p25=_q('annual_mean_loss', 0.25), p75=_q('annual_mean_loss', 0.75), p95=_q('annual_mean_loss', 0.95))} FROM syn_st GROUP BY 1",
     "kruskal_wallis": f"SELECT {_r(h_stat='(12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) ** 3 - max(total)))')}, count(*) - 1 AS df FROM sums",
     "dunn_test": "SELECT a.hf_category AS group_1, b.hf_category AS group_2, round(round((a.rs / a.n - b.rs / b.n) / sqrt((a.total * (a.total + 1) / 12 - a.ties / (12 * (a.total - 1))) * (1 / a.n + 1 / b.n)), 3), 6) AS z_stat FROM sums a JOIN sums b ON a.hf_category < b.hf_category",
@@ -237,16 +237,16 @@ _BODIES: dict[str, str] = {
     "temporal_trend": f"SELECT hf_category, year, {_r('flood_freq_med', 'mean_loss_med', 'days_gt50_med', 'days_gt75_med')} FROM trend WHERE year <= 2000",
     "kendall_trend": f"SELECT hf_category, n, {_r(tau='s / sqrt(p * (p - t))')}, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'flat' END AS direction FROM (SELECT a.hf_category, sum(sign(round(b.flood_freq_med, 9) - round(a.flood_freq_med, 9)))::DOUBLE AS s, count(*)::DOUBLE AS p, count(*) FILTER (round(b.flood_freq_med, 9) = round(a.flood_freq_med, 9)) AS t FROM trend a JOIN trend b ON a.hf_category = b.hf_category AND a.year < b.year GROUP BY 1) JOIN (SELECT hf_category, count(*) AS n FROM trend GROUP BY 1 HAVING count(*) >= 4) USING (hf_category)",
     "trend_regression": f"SELECT hf_category, {_r(slope='regr_slope(days_flooded::DOUBLE, year)', intercept='regr_intercept(days_flooded::DOUBLE, year)', r_squared='regr_r2(days_flooded::DOUBLE, year)')}, count(*) AS n FROM obs_st GROUP BY 1",
-    "r1_sensitivity": " UNION ALL ".join(f"SELECT '{label}' AS label, hf_category, round(median(l), 6) AS median_loss FROM (SELECT hf_id, scenario_id, hf_category, avg(CASE WHEN spell_id >= 0 THEN {_step('spell_duration', limits)} ELSE 0.0 END) AS l FROM syn_l GROUP BY ALL) GROUP BY hf_category" for label, limits in _SETS.items()),
+    "r1_sensitivity": " UNION ALL ".join(f"SELECT '{label}' AS label, hf_category, round(median(l) + 1e-9::DOUBLE, 6) AS median_loss FROM (SELECT hf_id, scenario_id, hf_category, avg(CASE WHEN spell_id >= 0 THEN {_step('spell_duration', limits)} ELSE 0.0 END) AS l FROM syn_l GROUP BY ALL) GROUP BY hf_category" for label, limits in _SETS.items()),
     "category_backfill": "SELECT hf_id, hf_category, count(*) AS days FROM syn GROUP BY ALL",
-    "spell_percentiles": "SELECT round(round(COLUMNS(*), 9), 6) FROM pct",
+    "spell_percentiles": "SELECT round(COLUMNS(*) + 1e-9::DOUBLE, 6) FROM pct",
     "spell_quantiles_by_category": f"SELECT hf_category, {_r(dur_p75=_q('duration', 0.75), dur_p90=_q('duration', 0.9), dur_p95=_q('duration', 0.95))} FROM obs_s GROUP BY 1",
     "annual_severe_spells": "SELECT hf_id, year(start_date)::INTEGER AS year, count(*) AS n_severe FROM obs_s WHERE duration >= 6 GROUP BY ALL",
     "suggest_thresholds": _suggest(),
     "empirical_thresholds": "SELECT "
-    + ", ".join(f"round((SELECT {_q(c, q)} FROM syn_s), 6) AS {n}_p{round(q * 100)}" for n, c, qs in (("dur", "duration", (0.5, 0.75, 0.9, 0.95, 0.99)), ("int", "mean_pct_flooded * duration", (0.75, 0.9, 0.95, 0.99))) for q in qs)
+    + ", ".join(f"round((SELECT {_q(c, q)} FROM syn_s) + 1e-9::DOUBLE, 6) AS {n}_p{round(q * 100)}" for n, c, qs in (("dur", "duration", (0.5, 0.75, 0.9, 0.95, 0.99)), ("int", "mean_pct_flooded * duration", (0.75, 0.9, 0.95, 0.99))) for q in qs)
     + ", "
-    + ", ".join(f"round((SELECT {_q('min_distance', q)} FROM syn WHERE occurrence = 1), 6) AS dist_p{round(q * 100)}" for q in (0.1, 0.25, 0.5)),
+    + ", ".join(f"round((SELECT {_q('min_distance', q)} FROM syn WHERE occurrence = 1) + 1e-9::DOUBLE, 6) AS dist_p{round(q * 100)}" for q in (0.1, 0.25, 0.5)),
     "ks_two_sample": f"SELECT {_r(d_stat='max(abs(fa - fb))')}, max(na)::BIGINT AS n_1, max(nb)::BIGINT AS n_2 FROM (SELECT v, (SELECT avg((duration <= v)::INTEGER) FROM obs_s WHERE hf_category = 'SAFE') AS fa, (SELECT avg((duration <= v)::INTEGER) FROM obs_s WHERE hf_category = 'CRITICAL') AS fb, (SELECT count(*) FROM obs_s WHERE hf_category = 'SAFE') AS na, (SELECT count(*) FROM obs_s WHERE hf_category = 'CRITICAL') AS nb FROM (SELECT DISTINCT duration AS v FROM obs_s))",
     "boxplot_stats": f"SELECT hf_category, {_r('q1', 'median', 'q3')}, min(duration) FILTER (w) AS low, max(duration) FILTER (w) AS high, count(*) FILTER (NOT w) AS outliers FROM (SELECT *, duration BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS w FROM obs_s JOIN (SELECT hf_category, {_q('duration', 0.25)} AS q1, {_q('duration', 0.5)} AS median, {_q('duration', 0.75)} AS q3 FROM obs_s GROUP BY 1) USING (hf_category)) x GROUP BY hf_category, x.q1, x.median, x.q3",
     "lag_features": f"SELECT hf_id, date, o_lag, {_r('p_lag')} FROM lags WHERE o_lag IS NOT NULL",
@@ -264,7 +264,7 @@ _BODIES: dict[str, str] = {
     "pct_hist": _hist("(SELECT pct_flooded * 100 AS x FROM obs WHERE occurrence = 1)", "x", 0.0, 100.0, 25),
     "facility_mean_frequency": f"SELECT hf_id, {_r('observed', 'synthetic')} FROM (SELECT hf_id, avg(occurrence) AS observed FROM obs GROUP BY 1) JOIN (SELECT hf_id, median(m) AS synthetic FROM (SELECT hf_id, scenario_id, avg(occurrence) AS m FROM syn GROUP BY ALL) GROUP BY 1) USING (hf_id)",
     "scenario_metrics": f"SELECT scenario_id, {_r('annual_days', 'flood_freq', 'p_spell_ge5', 'mean_pct_wet')} FROM scm5",
-    "credible_interval": f"SELECT hf_id, {_r('median', 'q05', 'q95', ci_width='q95 - q05')}, obs_days FROM (SELECT hf_id, median(n::DOUBLE) AS median, {_q('n', 0.05)} AS q05, {_q('n', 0.95)} AS q95 FROM (SELECT hf_id, scenario_id, sum(occurrence) AS n FROM syn GROUP BY ALL) GROUP BY 1) x LEFT JOIN (SELECT hf_id, sum(occurrence)::BIGINT AS obs_days FROM obs WHERE year = (SELECT max(year) FROM obs) GROUP BY 1) USING (hf_id)",
+    "credible_interval": f"SELECT hf_id, {_r('median', 'q05', 'q95', ci_width='q95 - q05')}, obs_days FROM (SELECT hf_id, median(n::DOUBLE) AS median, {_q('n', 0.05)} AS q05, {_q('n', 0.95)} AS q95 FROM (SELECT hf_id, scenario_id, sum(occurrence) AS n FROM syn GROUP BY ALL) GROUP BY 1) x LEFT JOIN (SELECT hf_id, sum(occurrence)::DOUBLE AS obs_days FROM obs WHERE year = (SELECT max(year) FROM obs) GROUP BY 1) USING (hf_id)",
     "uncertainty_summary": " UNION ALL ".join(f"SELECT '{m}' AS metric, {_r(mean=f'avg({m})', std=f'stddev_pop({m})', p5=_q(m, 0.05), p50=f'median({m})', p95=_q(m, 0.95), width=f'{_q(m, 0.95)} - {_q(m, 0.05)}', cv_pct=f'stddev_pop({m}) / nullif(avg({m}), 0) * 100')} FROM scm5" for m in ("annual_days", "flood_freq", "p_spell_ge5", "mean_pct_wet")),
     "breakpoint_sensitivity": f"SELECT t_year, {_r(mean='avg(m)', p05=_q('m', 0.05), p95=_q('m', 0.95))} FROM (SELECT b.chain, b.draw, t_year, avg(e.value / (1 + exp(-k.value * (t_year - b.value)))) AS m FROM drw b JOIN drw e ON e.param = 'delta' AND b.param = 't_break' AND b.chain = e.chain AND b.draw = e.draw AND b.idx = e.idx JOIN drw k ON k.param = 'kappa' AND k.chain = b.chain AND k.draw = b.draw CROSS JOIN (SELECT unnest([0.8, 0.85, 0.9, 0.95, 1.0, 1.05, 1.1, 1.15, 1.2, 1.25, 1.3])::DOUBLE AS t_year) GROUP BY ALL) GROUP BY t_year",
     "posterior_summary": f"SELECT param, idx, {_r('mean', 'sd', hdi_low='w.lo', hdi_high='w.hi')} FROM (SELECT param, idx, avg(value) AS mean, stddev_samp(value) AS sd FROM drw GROUP BY ALL) x JOIN (SELECT param, idx, value AS lo, hi, row_number() OVER (PARTITION BY param, idx ORDER BY hi - value, value) AS o FROM (SELECT *, first_value(value) OVER (PARTITION BY param, idx ORDER BY i ROWS BETWEEN 0 FOLLOWING AND 0 FOLLOWING) AS me, (SELECT value FROM srt s2 WHERE s2.param = s1.param AND s2.idx = s1.idx AND s2.i = s1.i + floor(s1.n * 0.9)::BIGINT) AS hi FROM srt s1) WHERE hi IS NOT NULL) w USING (param, idx) WHERE w.o = 1",
@@ -276,4 +276,19 @@ CTE["pts"] = "SELECT row_, col_, cv, i // s AS no FROM (SELECT *, row_number() O
 CTE["prs"] = "SELECT sqrt((a.row_ - b.row_) ** 2 + (a.col_ - b.col_) ** 2)::DOUBLE AS dist, (a.cv - b.cv) ** 2 / 2 AS half FROM pts a JOIN pts b ON a.no < b.no"
 CTE["srt"] = "SELECT *, row_number() OVER (PARTITION BY param, idx ORDER BY value) AS i, count(*) OVER (PARTITION BY param, idx) AS n FROM drw"
 
-ORACLES: dict[str, str] = {name: _sql(body) for name, body in _BODIES.items()}
+#: Results with dates, which are given as text.
+_DATES = {
+    **dict.fromkeys(("binarize", "aoi_crop", "invalid_code_maps", "season_label", "tile_unpack"), ("map_date",)),
+    **dict.fromkeys(("buffer_metrics", "explode_series", "label_spells", "merge_spells", "combined_loss", "combined_loss_inactive", "lag_features", "seasonal_covariates", "flood_probability"), ("date",)),
+    "map_catalog": ("map_date", "strict_date"),
+    "spell_table": ("start_date", "end_date"),
+    "facility_metadata": ("last_date",),
+}
+
+
+def _texts(name: str, body: str) -> str:
+    dates = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" for c in _DATES.get(name, ()))
+    return f"SELECT * REPLACE ({dates}) FROM ({body})" if dates else body
+
+
+ORACLES: dict[str, str] = {name: _sql(_texts(name, body)) for name, body in _BODIES.items()}

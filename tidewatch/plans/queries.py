@@ -1,5 +1,5 @@
-"""Named queries over the operators, each on whole input tables. Floating results are rounded to nine places, then to six,
-so that noise in the last bits does not turn ties."""
+"""Named queries over the operators, each on whole input tables. Floating results are rounded to six places after adding 1e-9,
+so that noise in the last bits does not turn ties; dates are given as text."""
 
 from __future__ import annotations
 
@@ -23,7 +23,8 @@ PARAMS = {"beta0": -0.5, "beta_lag": 2.0, "beta_cos": 0.4, "beta_sin": -0.3, "ka
 def query(f):
     def rounded(spark: SparkSession, d: str) -> DataFrame:
         df = f(spark, d)
-        return df.select(*[F.round(F.round(c, 9), 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+        plain = {"double": lambda c: F.round(F.col(c) + 1e-9, 6), "float": lambda c: F.round(F.col(c) + 1e-9, 6), "date": lambda c: F.col(c).cast("string")}
+        return df.select(*[plain.get(t, F.col)(c).alias(c) for c, t in df.dtypes])
 
     rounded.__doc__ = f.__doc__
     QUERIES[f.__name__] = rounded
@@ -67,7 +68,7 @@ def _obs_spells(spark, d):
 
 @query
 def binarize(spark, d):
-    return _binary(spark, d)
+    return _binary(spark, d).withColumn("value", F.col("value").cast("double"))
 
 
 @query
@@ -675,7 +676,7 @@ def scenario_metrics(spark, d):
 
 @query
 def credible_interval(spark, d):
-    return uncertainty.credible_interval(fx.synthetic_pool(spark, d), fx.observed_pool(spark, d))
+    return uncertainty.credible_interval(fx.synthetic_pool(spark, d), fx.observed_pool(spark, d)).withColumn("obs_days", F.col("obs_days").cast("double"))
 
 
 @query
