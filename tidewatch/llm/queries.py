@@ -57,10 +57,10 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every capture of every page with the response that it stands for."""
+    """Every capture of every page with the response that it stands for, -1 for none."""
     rows = warc.resolve(captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     headers = F.array_join(F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return rows.select("record_id", "page_id", "url_key", "original_id", "status", "body_digest", headers.alias("headers"))
+    return rows.select("record_id", "page_id", "url_key", F.coalesce("original_id", F.lit(-1)).alias("original_id"), "status", "body_digest", headers.alias("headers"))
 
 
 OP2_SQL = r"""
@@ -87,7 +87,7 @@ WITH p AS (
   SELECT *, CASE WHEN is_full THEN 'full' WHEN url_key IS NULL OR o IS NULL THEN 'no original'
     WHEN coalesce(tag = o.tag, changed = o.changed, true) THEN 'resolved' ELSE 'mismatch' END AS status FROM f
 )
-SELECT record_id, page_id, url_key, CASE status WHEN 'full' THEN record_id WHEN 'resolved' THEN o.id END AS original_id, status,
+SELECT record_id, page_id, url_key, CASE status WHEN 'full' THEN record_id WHEN 'resolved' THEN o.id ELSE -1 END AS original_id, status,
   CASE status WHEN 'full' THEN md5 WHEN 'resolved' THEN o.md5 END AS body_digest,
   'date=' || day || CASE WHEN tag IS NOT NULL THEN ';etag=' || CASE WHEN n = 1 THEN 'W/' ELSE '' END || tag
     WHEN status = 'resolved' THEN ';etag=' || o.tag ELSE '' END
