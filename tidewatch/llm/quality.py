@@ -5,7 +5,8 @@ characters and length) and pairs of them, their last two bytes, and how far word
 1 + ln c, and a text's values are scaled to length one. A score is the sparse dot product of values and weights.
 
 The fit takes the labelled rows of the smallest hashed ids, at most `sample` of them, so it needs bounded time and
-memory whatever the input; scoring covers every row of the input.
+memory whatever the input. It deals them to parts of PART rows, trains a model on each and takes the models' mean.
+Scoring covers every row of the input.
 
 Defined cases: null and empty texts have no feature but the constant one, and get its score. Labels that are null
 are not learned from; ids with more than one label count with each. Other columns are never read. With no labelled
@@ -25,8 +26,11 @@ from .store import small_batches, staged
 from .words import LOWER, Words, mix, words
 
 SLOTS = 1 << 20
-#: Most labelled rows that the fit reads.
+#: Most labelled rows that the fit reads, and rows of each part that it trains on by itself.
 SAMPLE = 20_000
+PART = 2500
+#: Bytes of text whose features are made at once.
+SLICE = 1 << 20
 CUT = 0.3
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.05
@@ -55,7 +59,7 @@ def _shapes(w: Words) -> np.ndarray:
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Slots and values of each text, in order; slot 0 is constant."""
-    for w in words(column):
+    for w in words(column, SLICE):
         one = _slots(w.hash, 1)
         two = _slots(w.hash[:-1] * np.uint64(3) + w.hash[1:], 2) if len(w.hash) > 1 else one[:0]
         shape = _shapes(w) if len(w.hash) else w.hash
@@ -104,12 +108,19 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both = list(features(batch.column(0)))
         rows = [pa.array([s.astype(np.int32) for s, _ in both], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in both], pa.list_(pa.float32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *rows], names=["quality", "rank", "slots", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), *rows], names=["quality", "rank", "part", "slots", "values"])
 
 
 def _fit_group(table: pa.Table) -> pa.Table:
-    table = table.sort_by("rank")
-    weights = fit([np.asarray(x) for x in table.column("slots").to_pylist()], [np.asarray(x) for x in table.column("values").to_pylist()], table.column("quality").to_numpy())
+    """The rows in the order of their rank; features stay in the batches they came in."""
+    rows = []
+    for batch in table.to_batches():
+        rank, label = batch.column("rank").to_pylist(), batch.column("quality").to_pylist()
+        slots, values = batch.column("slots"), batch.column("values")
+        flat, weight, at = slots.values.to_numpy(), values.values.to_numpy(), slots.offsets.to_numpy()
+        rows += [(r, y, flat[a:b], weight[a:b]) for r, y, a, b in zip(rank, label, at[:-1], at[1:], strict=True)]
+    rows.sort(key=lambda x: (x[0], x[1], len(x[2])))
+    weights = fit([x[2] for x in rows], [x[3] for x in rows], np.array([x[1] for x in rows]))
     return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
 
 
@@ -120,10 +131,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("rank", F.xxhash64("doc_id", F.lit(7)))
     chosen = staged(known.orderBy("rank", "doc_id", "quality").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "rank")  # at most `sample` rows are broadcast
-    found = rows.mapInArrow(_featurise, "quality int, rank long, slots array<int>, values array<float>")
-    out = found.groupBy(F.lit(0).alias("one")).applyInArrow(_fit_group, "weights binary").first()
-    return bytes(out["weights"]) if out else np.zeros(SLOTS, np.float32).tobytes()
+    parts = max(1, round(chosen.count() / PART))
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows are broadcast
+    rows = rows.select("text", "quality", "rank", F.pmod("rank", F.lit(parts)).cast("int").alias("part"))
+    found = rows.mapInArrow(_featurise, "quality int, rank long, part int, slots array<int>, values array<float>")
+    models = found.groupBy("part").applyInArrow(_fit_group, "weights binary").collect()  # one model a part
+    mean = sum((np.frombuffer(m["weights"], np.float32) for m in models), np.zeros(SLOTS, np.float32)) / max(1, len(models))
+    return mean.astype(np.float32).tobytes()
 
 
 def score(docs: DataFrame, weights: bytes, name: str = "score") -> DataFrame:

@@ -42,8 +42,8 @@ class Words:
     hash: np.ndarray
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, n+1 offsets into them) for runs of whole texts of about SLICE_BYTES."""
+def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, n+1 offsets into them) for runs of whole texts of about `size` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -54,7 +54,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
         to = min(to, len(column))
         yield at, data[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
@@ -66,8 +66,8 @@ def powers(n: int, step: np.uint64 = _STEP) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def words(column: pa.Array) -> Iterator[Words]:
-    for first, data, off in text_slices(column):
+def words(column: pa.Array, slice_bytes: int | None = None) -> Iterator[Words]:
+    for first, data, off in text_slices(column, slice_bytes or SLICE_BYTES):
         solid = ~_SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[off] = True
