@@ -14,6 +14,8 @@ fingerprints have likeness 1, an empty and another 0. Equal texts have equal fin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +63,11 @@ def as_string(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: F.lpad(F.hex(x), 10, "0")), "")
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds next_<column> for the carried columns: those of the next row by descending doc_id, of the first after the last.
 
+    `prepare` may add columns to the rows before they are dealt out; the ranges' edges come from docs as it is.
+
     Rows of the same doc_id follow each other by the hash of their text; null ids come after all others.
     """
     ranges = id_ranges(docs)
@@ -74,7 +78,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     edges = tops.select("__range", F.coalesce(F.lead("top").over(down), F.first("top").over(down)).alias("__key"))
     copies = rows.drop("__range", "__copy").join(F.broadcast(edges), "__key").withColumn("__copy", F.lit(1))
     order = Window.partitionBy("__range").orderBy("__copy", F.desc("__key"), F.xxhash64("text"))
-    both = rows.unionByName(copies)
+    both = prepare(rows.unionByName(copies))
     found = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).filter("__copy = 0")
     return found.drop("__range", "__key", "__copy")
 
@@ -82,8 +86,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited text, and the fingerprints of each text, its edited text and the next document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = fingerprint(texts, "text", "fp")
-    rows = with_next(texts, ["text", "fp"]).withColumn("n_chars", F.length("text").cast("long"))
+    rows = with_next(texts, ["text", "fp"], lambda df: fingerprint(df, "text", "fp")).withColumn("n_chars", F.length("text").cast("long"))
     tail = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - tail), F.substring("next_text", F.lit(1), tail))
     rows = rows.select("doc_id", "n_chars", edited.alias("edited"), "fp", "next_fp")
