@@ -190,6 +190,34 @@ def test_language_model_without_training_rows(spark):
     assert r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0.0
 
 
+def test_training_takes_all_counts_however_tasks_are_split(spark):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, lbl.CLASSES**3, 4000))
+    counts = np.maximum(1, (1e4 / np.arange(1, len(keys) + 1)).astype(np.int64))
+    for least in (1, 50_000):
+        at, weights = lbl.passes(counts, least, rng)
+        assert len(at) >= least and np.allclose(np.bincount(at, weights) / weights.sum(), counts / counts.sum(), rtol=1e-4)
+    shard = keys % 16
+    rows = [(int(k), keys[shard == k].tobytes(), counts[shard == k].tobytes()) for k in range(16)]
+    triples = spark.createDataFrame(rows, "shard int, keys binary, counts binary")
+    share = np.bincount(keys % lbl.CLASSES, counts, lbl.CLASSES).astype(np.int64)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lbl, "DRAWS", 1000)
+        one, many = (lbl.train(triples.repartition(n), share).flat() for n in (1, 7))
+    assert (one == many).all() and not np.allclose(one, lbl.first_model(share).flat())
+
+
+def test_words_with_own_vectors_grow_with_the_corpus(spark, monkeypatch):
+    seen, train = [], lbl.train
+    monkeypatch.setattr(lbl, "DRAWS", 2000)
+    monkeypatch.setattr(lbl, "OWN_COUNT", 20, raising=False)
+    monkeypatch.setattr(lbl, "train", lambda triples, counts: seen.append(counts) or train(triples, counts))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 2, 300))) for i in range(60)], "doc_id long, text string")
+    rows = lbl.score(docs).collect()
+    assert len(rows) == 60 and all(r["score"] < 0 for r in rows)
+    assert len(seen[0]) == 300 + lbl.SUFFIXES + 1 and (seen[0][:300] >= 20).all() and seen[0][300:-1].sum() == 0
+
+
 # quality
 
 

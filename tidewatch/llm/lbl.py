@@ -1,15 +1,17 @@
 """Language-model scores: a log-bilinear neural model over word classes, trained with noise-contrastive estimation.
 
-Tokens are words and one end a document. Each of the most frequent words is a class of its own; other words fall into
-64 classes by their last two bytes; the end is a class. The model gives a class from the two before it by the dot
-product of its vector with the sum of theirs, plus a bias, normalised over all classes by batched matrix products;
-within its class a word has add-one probability with one place kept for unseen words. So probabilities sum to one.
+Tokens are words and one end a document. Each of the 191 most frequent words, and each word seen OWN_COUNT times up to
+MOST_TOPS of them, is a class of its own; other words fall into 64 classes by their last two bytes; the end is a class.
+The model gives a class from the two before it by the dot product of its vector with the sum of theirs, plus a bias,
+normalised over all classes by batched matrix products; within its class a word has add-one probability with one place
+kept for unseen words. So probabilities sum to one.
 
 What is learned from the corpus, from every training document: the count of every word (words are told apart by a
 64-bit hash), and the count of every three adjacent classes. Counts are summed per block of documents, then in the
-bucket of the word or the triple. Training runs on the triple counts: they are dealt by hash to shards, each task draws
-from its shards in proportion to the counts, takes steps against shared noise, and the tasks' parameters, a few
-hundred vectors, are averaged after each round. The model's size does not depend on the input.
+bucket of the word or the triple. Training runs on the triple counts: they are dealt by hash to shards and these to
+units, whose number follows from the number of distinct triples. In each round a unit goes once or more through all of
+its triples with their full counts, in steps against shared noise; then the units' parameters are averaged. Seeds go by
+unit and the mean is a sum of whole numbers, so the model is the same however tasks are split. Its size is bounded.
 
 Scoring puts each block's word counts beside the block's documents, coded by position in the block's word list.
 
@@ -33,13 +35,18 @@ from .bpe import pack, unpack
 from .store import small_batches, staged
 from .words import Words, mix, words
 
-TOPS, SUFFIXES = 191, 64
+TOPS, MOST_TOPS, SUFFIXES = 191, 959, 64
+#: Words beyond the first TOPS have vectors of their own from this count on.
+OWN_COUNT = 1000
+#: Classes of a small corpus; the own words' come first, then the suffixes', then the end.
 CLASSES = TOPS + SUFFIXES + 1
-END = CLASSES - 1
 SIZE = 24
 SHARDS = 256
+#: DRAWS: the least number of steps' rows a unit takes in a round; it sets the number of units, too.
 ROUNDS, DRAWS, BATCH, NOISE = 5, 150_000, 1024, 48
 RATE = 0.25
+#: Parameters are summed as multiples of this.
+GRAIN = 2.0**-40
 BLOCK_BYTES = 4 << 20
 BUCKET_DOCS, FEWEST_BUCKETS = 4000, 32
 
@@ -137,7 +144,8 @@ def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct, first, number = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
         total = np.bincount(number, np.concatenate([unpack(r["count"]) for r in rows]), len(distinct)).astype(np.int64)
         suffix = np.frombuffer(b"".join(r["suffix"] for r in rows), np.uint8)[first]
-        top = np.lexsort((distinct, -total))[:TOPS]
+        top = np.lexsort((distinct, -total))[:MOST_TOPS]
+        top = top[(np.arange(len(top)) < TOPS) | (total[top] >= OWN_COUNT)]
         tokens = np.bincount(suffix, total, SUFFIXES).astype(np.int64).tolist()
         types = np.bincount(suffix, total > 0, SUFFIXES).astype(np.int64).tolist()
         made = [(None, None, None, distinct[top].view(np.int64).tolist(), total[top].tolist(), suffix[top].tolist(), tokens, types)]
@@ -161,31 +169,33 @@ def _suffix(w: Words) -> np.ndarray:
 
 def _classes(hashes: np.ndarray, suffix: np.ndarray, tops: np.ndarray, top_of: np.ndarray) -> np.ndarray:
     """tops: the top words' hashes, sorted; top_of: their classes."""
+    own = max(TOPS, len(tops))
     if not len(tops):
-        return TOPS + suffix
+        return own + suffix
     at = np.minimum(np.searchsorted(tops, hashes), len(tops) - 1)
-    return np.where(tops[at] == hashes, top_of[at], TOPS + suffix)
+    return np.where(tops[at] == hashes, top_of[at], own + suffix)
 
 
-def _with_ends(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _with_ends(classes: np.ndarray, bounds: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All documents' classes with their ends, the two classes before each token, and the token each document starts at."""
-    docs = len(bounds) - 1
+    docs, end = len(bounds) - 1, n_classes - 1
     starts = bounds[:-1] + np.arange(docs)
-    out = np.full(len(classes) + docs, END)
+    out = np.full(len(classes) + docs, end)
     inside = np.ones(len(out), bool)
     inside[bounds[1:] + np.arange(docs)] = False
     out[inside] = classes
-    one = np.concatenate(([END], out[:-1]))
-    one[starts] = END
-    two = np.concatenate(([END, END], out[:-2]))[: len(out)]
-    two[starts] = END
+    one = np.concatenate(([end], out[:-1]))
+    one[starts] = end
+    two = np.concatenate(([end, end], out[:-2]))[: len(out)]
+    two[starts] = end
     long = np.diff(bounds) > 0
-    two[starts[long] + 1] = END
-    return out, two * CLASSES + one, starts
+    two[starts[long] + 1] = end
+    return out, two * n_classes + one, starts
 
 
 def _triples(tops: np.ndarray, top_of: np.ndarray):
     schema = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    n_classes = max(TOPS, len(tops)) + SUFFIXES + 1
 
     def emit(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         shard = (mix(keys.astype(np.uint64)) % np.uint64(SHARDS)).astype(np.int64)
@@ -198,9 +208,9 @@ def _triples(tops: np.ndarray, top_of: np.ndarray):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for block in _blocks(batches):
             w = block.words
-            out, context, _ = _with_ends(_classes(w.hash, _suffix(w), tops, top_of), w.bounds)
+            out, context, _ = _with_ends(_classes(w.hash, _suffix(w), tops, top_of), w.bounds, n_classes)
             learn = np.repeat(~block.held, np.diff(w.bounds) + 1)
-            k, n = np.unique(context[learn] * CLASSES + out[learn], return_counts=True)
+            k, n = np.unique(context[learn] * n_classes + out[learn], return_counts=True)
             keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
             if len(keys) > 2_000_000:
@@ -221,7 +231,7 @@ def _sum_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """First and second context vectors, target vectors (CLASSES x SIZE each) and biases."""
+    """First and second context vectors, target vectors (classes x SIZE each) and biases."""
 
     two: np.ndarray
     one: np.ndarray
@@ -233,73 +243,110 @@ class Model:
 
     @staticmethod
     def of(flat: np.ndarray) -> Model:
-        n = CLASSES * SIZE
-        return Model(*(flat[i * n : (i + 1) * n].reshape(CLASSES, SIZE).copy() for i in range(3)), flat[3 * n :].copy())
+        n = len(flat) // (3 * SIZE + 1) * SIZE
+        return Model(*(flat[i * n : (i + 1) * n].reshape(-1, SIZE).copy() for i in range(3)), flat[3 * n :].copy())
 
     def log10(self, contexts: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of all classes after each context."""
-        s = (self.two[contexts // CLASSES] + self.one[contexts % CLASSES]) @ self.target.T + self.bias
+        n = len(self.bias)
+        s = (self.two[contexts // n] + self.one[contexts % n]) @ self.target.T
+        s += self.bias
         s -= s.max(1, keepdims=True)
-        return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.float32(np.log(10))
+        s -= np.log(np.exp(s).sum(1, keepdims=True))
+        s /= np.float32(np.log(10))
+        return s
 
 
 def first_model(class_counts: np.ndarray) -> Model:
     """Small vectors and the logarithms of the class frequencies: at first, the classes' own distribution."""
     rng = np.random.default_rng(5)
-    vectors = [rng.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32) for _ in range(3)]
+    vectors = [rng.normal(0, 0.1, (len(class_counts), SIZE)).astype(np.float32) for _ in range(3)]
     return Model(*vectors, np.log((class_counts + 1) / (class_counts + 1).sum()).astype(np.float32))
 
 
+def passes(counts: np.ndarray, least: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Places of triples in a random order, and their weights: as many whole passes as give `least` rows, one at least.
+
+    A triple above the mean count stands several times, with its count shared out, so no step hangs on one triple. Over
+    a pass the weights of each triple sum to its count, in units of the mean over rows.
+    """
+    copies = np.ceil(counts * (len(counts) / counts.sum())).astype(np.int64)
+    rows = int(copies.sum())
+    at = np.tile(np.repeat(np.arange(len(counts)), copies), -(-least // rows))
+    rng.shuffle(at)
+    return at, (counts / copies * (rows / counts.sum()))[at].astype(np.float32)
+
+
+def _sums(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+    return own[first], np.add.reduceat(grads[order], first)
+
+
 def steps(model: Model, keys: np.ndarray, counts: np.ndarray, noise: np.ndarray, draws: int, seed: int) -> Model:
-    """Noise-contrastive estimation by AdaGrad on `draws` triples drawn by count; noise: the classes' distribution."""
+    """Noise-contrastive estimation by AdaGrad in whole passes over the counted triples, of at least `draws` rows
+    together; noise: the classes' distribution. Only the rows of parameters that a step uses are touched."""
     rng = np.random.default_rng(seed)
+    n = len(noise)
     params = [model.two, model.one, model.target, model.bias]
     state = [np.full_like(p, 1e-2) for p in params]
-    cum = np.cumsum(counts)
-    picked = keys[np.searchsorted(cum, rng.integers(0, cum[-1], draws), "right")]
+    picked, weights = passes(counts, draws, rng)
     draw = np.cumsum(noise)
-    for i in range(0, draws, BATCH):
-        k = picked[i : i + BATCH]
-        t, one, two = k % CLASSES, k // CLASSES % CLASSES, k // CLASSES**2
-        rows = np.arange(len(k))
-        z, often = np.unique(np.minimum(np.searchsorted(draw, rng.random(NOISE)), CLASSES - 1), return_counts=True)
+    often_log = np.log(NOISE * noise + 1e-12).astype(np.float32)
+
+    def sigmoid(x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    for i in range(0, len(picked), BATCH):
+        k, w = keys[picked[i : i + BATCH]], weights[i : i + BATCH] / np.float32(BATCH)
+        t, one, two = k % n, k // n % n, k // n**2
+        z, often = np.unique(np.minimum(np.searchsorted(draw, rng.random(NOISE)), n - 1), return_counts=True)
         h = model.two[two] + model.one[one]
-        s = h @ model.target.T + model.bias - np.log(NOISE * noise + 1e-12).astype(np.float32)
-        p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        g = np.zeros_like(s)
-        g[:, z] = -p[:, z] * often
-        g[rows, t] += 1 - p[rows, t]
-        g /= len(k)
-        dh = g @ model.target
-        spread = np.zeros((2, len(k), CLASSES), np.float32)
-        spread[0, rows, two] = 1
-        spread[1, rows, one] = 1
-        for p_, q_, grad in zip(params, state, (spread[0].T @ dh, spread[1].T @ dh, g.T @ h, g.sum(0)), strict=True):
-            q_ += grad * grad
-            p_ += RATE * grad / np.sqrt(q_)
+        right, wrong = model.target[t], model.target[z]
+        g = w * (1 - sigmoid((h * right).sum(1) + model.bias[t] - often_log[t]))
+        gz = -w[:, None] * sigmoid(h @ wrong.T + model.bias[z] - often_log[z]) * often.astype(np.float32)
+        dh = g[:, None] * right + gz @ wrong
+        to = np.concatenate([t, z])
+        bias = np.concatenate([g, gz.sum(0)])
+        target = np.concatenate([g[:, None] * h, gz.T @ h])
+        for p_, q_, (at, grad) in zip(params, state, (_sums(two, dh), _sums(one, dh), _sums(to, target), _sums(to, bias)), strict=True):
+            q_[at] += grad * grad
+            p_[at] += RATE * grad / np.sqrt(q_[at])
     return model
 
 
 def train(triples: DataFrame, class_counts: np.ndarray) -> Model:
-    """triples: shard, keys, counts. Tasks step from the same model; a round ends with the mean, weighted by their counts."""
+    """triples: shard, keys, counts. Units step from the same model; a round ends with the mean, weighted by their counts."""
     spark = triples.sparkSession
     model = first_model(class_counts)
     noise = ((class_counts + 1) / (class_counts + 1).sum()).astype(np.float64)
+    distinct = (triples.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
+    total = int(class_counts.sum())  # one triple ends at each token
+    units = 1
+    while units < SHARDS and distinct > units * DRAWS:
+        units *= 2
+    dealt = triples.withColumn("unit", F.pmod("shard", F.lit(units))).repartition(units, "unit").sortWithinPartitions("unit", "shard")
     for i in range(ROUNDS):
         now = spark.sparkContext.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], now=now, i=i) -> Iterator[pa.RecordBatch]:
-            rows = [r for b in batches for r in b.to_pylist()]
-            if rows:
+            summed = None
+            for unit, rows in runs(batches, "unit"):
                 keys = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows])
                 counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
-                done = steps(Model.of(now.value), keys, counts, noise, DRAWS, 1000 * i + min(r["shard"] for r in rows))
-                yield pa.RecordBatch.from_pydict({"weight": pa.array([float(counts.sum())], pa.float64()), "model": pa.array([(done.flat() * counts.sum()).astype(np.float64).tobytes()], pa.binary())})
+                done = steps(Model.of(now.value), keys, counts, noise, DRAWS, 1000 * i + unit)
+                share = counts.sum() / total
+                own = np.rint(done.flat() * (share / GRAIN)).astype(np.int64)
+                summed = own if summed is None else summed + own
+            if summed is not None:
+                yield pa.RecordBatch.from_pydict({"model": pa.array([summed.tobytes()], pa.binary())})
 
         # at most SHARDS tasks, each with one model, whatever the input
-        parts = triples.mapInArrow(run, "weight double, model binary").collect()
+        parts = dealt.mapInArrow(run, "model binary").collect()
         if parts:
-            model = Model.of((sum(np.frombuffer(p["model"], np.float64) for p in parts) / sum(p["weight"] for p in parts)).astype(np.float32))
+            model = Model.of((sum(np.frombuffer(p["model"], np.int64) for p in parts) * GRAIN).astype(np.float32))
     return model
 
 
@@ -310,7 +357,7 @@ def _coded(tops: np.ndarray, top_of: np.ndarray):
         for block in _blocks(batches):
             w = block.words
             distinct, first, number = _local(w)
-            classes = _classes(distinct, _suffix(w)[first], tops, top_of).astype(np.uint8)
+            classes = _classes(distinct, _suffix(w)[first], tops, top_of).astype(np.uint16)
             row = [[block.key], [block.ids.to_pylist()], [block.held.tobytes()], [pack(np.diff(w.bounds))], [pack(number)], [classes.tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
@@ -324,7 +371,7 @@ def _score(flat: bytes, tokens: int, types: int, ends: int, class_tokens: np.nda
         model = Model.of(np.frombuffer(flat, np.float32))
         rows, made = counted.to_pylist(), []
         for d in documents.to_pylist():
-            classes = np.frombuffer(d["classes"], np.uint8).astype(np.int64)
+            classes = np.frombuffer(d["classes"], np.uint16).astype(np.int64)
             c = np.full(len(classes), -1, np.int64)
             for r in rows:
                 c[np.cumsum(unpack(r["at"]), dtype=np.int64)] = unpack(r["count"])
@@ -332,20 +379,22 @@ def _score(flat: bytes, tokens: int, types: int, ends: int, class_tokens: np.nda
                 raise RuntimeError("blocks of two reads differ: the input changed between them")
             bounds = np.concatenate(([0], np.cumsum(unpack(d["sizes"]), dtype=np.int64)))
             number = unpack(d["codes"]).astype(np.int64)
-            out, context, starts = _with_ends(classes[number], bounds)
+            out, context, starts = _with_ends(classes[number], bounds, len(class_tokens))
             words_at = np.ones(len(out), bool)
             words_at[bounds[1:] + np.arange(len(starts))] = False
             seen = np.full(len(out), ends, np.int64)
             seen[words_at] = c[number]
             base = np.log10(seen + 1.0) - np.log10(tokens + types + 1.0)
             inside = np.log10(c + 1.0) - np.log10(class_tokens[classes] + class_types[classes] + 1.0)
-            inside[classes < TOPS] = 0
+            inside[classes < len(class_tokens) - SUFFIXES - 1] = 0
             score = np.zeros(len(out))
             score[words_at] = inside[number]
             used, where = np.unique(context, return_inverse=True)
-            for i in range(0, len(used), 8192):
-                table = model.log10(used[i : i + 8192])
-                mine = (where >= i) & (where < i + 8192)
+            order = np.argsort(where, kind="stable")
+            ends_at = np.searchsorted(where[order], np.arange(0, len(used) + 2048, 2048))
+            for i in range(0, len(used), 2048):
+                table = model.log10(used[i : i + 2048])
+                mine = order[ends_at[i // 2048] : ends_at[i // 2048 + 1]]
                 score[mine] += table[where[mine] - i, out[mine]]
             total = lambda x: np.add.reduceat(x, starts)
             made.append(pa.table([pa.array(d["ids"], pa.int64()), pa.array(np.frombuffer(d["held"], bool)), pa.array(np.diff(bounds) + 1), pa.array(total((seen > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(score))], schema=schema))
@@ -369,16 +418,18 @@ def score(docs: DataFrame) -> DataFrame:
     counted = staged(counted.mapInArrow(_sum_words, "block long, at binary, count binary, top_hash array<long>, top_count array<long>, top_suffix array<int>, tokens array<long>, types array<long>"))
     per_class = counted.filter("block IS NULL").select(F.posexplode(F.arrays_zip("tokens", "types")).alias("class", "n")).groupBy("class").agg(F.sum("n.tokens"), F.sum("n.types")).collect()
     tops = counted.filter("block IS NULL").select(F.explode(F.arrays_zip("top_hash", "top_count", "top_suffix")).alias("t")).select("t.*").filter("top_count > 0")
-    tops = tops.orderBy(F.desc("top_count"), "top_hash").limit(TOPS).collect()  # at most TOPS words
-    class_tokens, class_types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    tops = tops.orderBy(F.desc("top_count"), "top_hash").limit(MOST_TOPS).collect()  # at most MOST_TOPS words
+    tops = [t for i, t in enumerate(tops) if i < TOPS or t["top_count"] >= OWN_COUNT]
+    own = max(TOPS, len(tops))
+    class_tokens, class_types = np.zeros(own + SUFFIXES + 1, np.int64), np.zeros(own + SUFFIXES + 1, np.int64)
     for k, n, v in per_class:
-        class_tokens[TOPS + k], class_types[TOPS + k] = n, v
+        class_tokens[own + k], class_types[own + k] = n, v
     tokens, types = int(class_tokens.sum()) + ends, int(class_types.sum()) + (ends > 0)
     for i, t in enumerate(tops):
         class_tokens[i], class_types[i] = t["top_count"], 1
-        class_tokens[TOPS + t["top_suffix"]] -= t["top_count"]
-        class_types[TOPS + t["top_suffix"]] -= 1
-    class_tokens[END], class_types[END] = ends, 1
+        class_tokens[own + t["top_suffix"]] -= t["top_count"]
+        class_types[own + t["top_suffix"]] -= 1
+    class_tokens[-1], class_types[-1] = ends, 1
     hashes = np.array([t["top_hash"] for t in tops], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     triples = texts.mapInArrow(_triples(hashes[order], order), "shard int, keys binary, counts binary")
