@@ -14,7 +14,6 @@ from tidewatch.llm import bpe, mixing, neardup, pii, quality
 from tidewatch.llm.queries import ranks
 from tidewatch.llm.store import staged
 
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,10 +22,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id; rows without an id stay."""
-    gone = staged(neardup.groups(docs).filter("NOT kept").select("doc_id").distinct())
+    """One row of each near-duplicate group stays, that of the smallest id, and one of each repeated id and text.
+
+    Rows are told apart by a key of their own, so near copies without an id or under one id are judged like others. A
+    row without an id stays only where its group has no id. Empty texts are like nothing but themselves under one id.
+    """
+    keyed = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    parts = neardup.groups(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    parts = parts.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    ids = keyed.select("__row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    empty = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    group = [empty.alias("empty"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("group"), F.when(empty, F.col("hash")).alias("hash")]
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))
+    firsts = parts.join(ids, "__row").select("__row", "id", *group).groupBy("empty", "group", "hash").agg(first.alias("first"))
+    firsts = firsts.select(F.col("first.__row").alias("__row"))
+    gone = staged(keyed.select("__row").join(staged(firsts), "__row", "left_anti"))
     few = gone.count() <= neardup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,14 @@ def test_stages_on_nulls_repeats_and_nothing(spark, tmp_path):
             stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{n}-{i}"))
             docs = spark.read.parquet(str(tmp_path / f"{n}-{i}"))
         assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+
+
+def test_one_row_of_each_near_copy_stays(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join("new" if i == 30 else w for i, w in enumerate(words))  # likeness 91 / 101
+    base, other = " ".join(words), "a text of its own that nothing else in here is like"
+    rows = [(2, near), (1, base), (None, base), (None, other), (None, other), (7, "q"), (7, "q"), (8, ""), (8, ""), (None, ""), (None, ""), (3, "one two three"), (3, "four five six"), (9, base + " end"), (9, near + " end")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.keep_firsts(spark, docs, "")
+    want = [(1, base), (None, other), (7, "q"), (8, ""), (None, ""), (None, ""), (3, "one two three"), (3, "four five six")]
+    assert got.columns == docs.columns and sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in got.collect())
