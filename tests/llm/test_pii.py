@@ -111,3 +111,15 @@ def test_query_digests(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest() and r["spans"].startswith(",".join(spans))
         assert r["n_email"] == sum(s.startswith("email") for s in spans)
     assert "Python" not in op7_disclosure(spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_far_from_their_entity_and_behind_other_numbers(spark):
+    far = " the house is red and the ward is for please" * 4
+    rows = [(i, f"Dear Quarrelsome,{far} born 1984, card 4111111111111111,{far} yours Quarrelsome") for i in range(3)]
+    rows += [(10 + i, "Maria Zimbelmann, born 1984, at 10.0.0.7 then, 1999, with Oddfellow.") for i in range(3)]
+    rows += [(20 + i, "dear maria born with card yours at then the house is red and the ward is for please") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert "Quarrelsome" not in got[0] and got[0].startswith("Dear ,") and "[CARD]" in got[0]
+    assert got[10] == "Maria , born 1984, at [IP] then, 1999, with ."
+    assert got[20] == rows[6][1]

@@ -1,15 +1,15 @@
 """Information-theoretic sanitisation: personal data, and the terms around it that give it away.
 
 Protected entities are e-mail addresses, IPv4 addresses, payment cards and phone numbers, found by patterns. A term
-(a word of letters) in the context of an entity, up to 64 code points on either side, discloses it as far as it
-tells the entity from others: with documents as observations,
+(a word of letters) anywhere in a document with an entity discloses it as far as it tells the entity from others:
+with documents as observations,
 
     PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))),   IC(e) = log2(N / df(e)),   disclosure = PMI / IC,
 
-where df(t) counts the documents with t anywhere in the corpus, df(e) those with e, df(t, e) those with t in e's
-context. A disclosure of 1 means that whoever sees t knows e. From 0.9 on a term is removed, from 0.75 generalised
-to its kind, in the documents where it stands beside that entity; what rests on fewer than two documents is no
-estimate and is left. Documents without protected entities stay as they are.
+where df(t) counts the documents with t, df(e) those with e, df(t, e) those with both. A disclosure of 1 means that
+whoever sees t knows e. From 0.9 on a term is removed, from 0.75 generalised to its kind, wherever it stands in the
+documents that hold that entity; what rests on fewer than two documents is no estimate and is left. Terms are read
+with all accepted spans blanked. Documents without protected entities stay as they are.
 
 All expressions are Spark's own. Positions are code points, end exclusive; they come from the lengths of the pieces
 between matches, so the work is linear in the text. The patterns are possessive, so long runs need no stack.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .store import staged
 
-CONTEXT = 64
 SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
 #: Candidate terms broadcast at most; beyond it they are joined by a shuffle.
@@ -40,7 +39,8 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"(?<![^\s(\[\x22'])\p{L}{3,}+(?=[.,;:!?)\]\x22']*+(?:\s|$))"
-_SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+_SPAN = "array<struct<start:int,end:int,value:string>>"
+_TOLD = "array<struct<start:int,end:int,disclosure:double>>"
 
 
 def _passes(kind: str) -> str:
@@ -58,26 +58,35 @@ def _quoted(pattern: str) -> str:
 
 
 def _spans(text: str, kind: str) -> str:
-    """array of (start, end, value, left context, right context) of the matches of one kind that count."""
+    """array of (start, end, value) of the matches of one kind that count."""
     p = _quoted(KINDS[kind])
     hits, gaps = f"regexp_extract_all({text}, '{p}', 0)", f"split({text}, '{p}', -1)"
-    wide = CONTEXT + 1
-    left = f"if(length(x.gap) > {wide}, regexp_replace(right(x.gap, {wide}), '^\\\\S+', ''), x.gap)"
-    right = f"if(length(x.next) > {wide}, regexp_replace(left(x.next, {wide}), '\\\\S+$', ''), x.next)"
     at = "s.at + length(x.gap)"
-    span = f"named_struct('start', {at}, 'end', {at} + length(x.hit), 'value', x.hit, 'left', {left}, 'right', {right})"
+    span = f"named_struct('start', {at}, 'end', {at} + length(x.hit), 'value', x.hit)"
     step = f"named_struct('at', {at} + length(x.hit), 'found', if({_passes(kind)}, concat(s.found, array({span})), s.found))"
-    pieces = f"transform(h, (hit, i) -> named_struct('hit', hit, 'gap', get(g, i), 'next', get(g, i + 1)))"
+    pieces = f"transform(h, (hit, i) -> named_struct('hit', hit, 'gap', get(g, i)))"
     folded = f"aggregate({pieces}, named_struct('at', 0, 'found', cast(array() AS {_SPAN})), (s, x) -> {step}, s -> s.found)"
     return f"get(transform(array({hits}), h -> if(size(h) = 0, cast(array() AS {_SPAN}), get(transform(array({gaps}), g -> {folded}), 0))), 0)"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text) and one array of spans a kind, for every row of docs."""
+    """doc_id, row (a hash of the text), one array of spans a kind, and words (its distinct terms), for every row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     may = {"email": "instr(text, '@') > 0", "ip": "true", "card": "true", "phone": "instr(text, '+') > 0"}
     spans = [F.expr(f"CASE WHEN {may[k]} THEN {_spans('text', k)} ELSE cast(array() AS {_SPAN}) END").alias(k) for k in KINDS]
-    return texts.select("doc_id", F.xxhash64("text").alias("row"), *spans)
+    found = texts.select("doc_id", F.xxhash64("text").alias("row"), "text", *spans).withColumn("blanked", _blanked())
+    words = F.expr(f"array_distinct(transform(regexp_extract_all(blanked, '{_quoted(TERM)}', 0), x -> lower(x)))")
+    return found.select("doc_id", "row", *KINDS, words.alias("words"))
+
+
+def _blanked() -> Column:
+    """text with the spans of all kinds replaced by as many spaces; spans may overlap."""
+    spans = f"array_sort(concat({', '.join(f'transform({k}, x -> struct(x.start, x.end))' for k in KINDS)}))"
+    step = "if(x.end > s.at, named_struct('at', x.end, 'cut', concat(s.cut, array(named_struct('from', s.at, 'start', greatest(x.start, s.at), 'end', x.end)))), s)"
+    cut = f"aggregate({spans}, named_struct('at', 0, 'cut', cast(array() AS array<struct<from:int,start:int,end:int>>)), (s, x) -> {step})"
+    whole = "concat(array_join(flatten(transform(c.cut, x -> concat(slice(l, x.from + 1, x.start - x.from), array(repeat(' ', x.end - x.start))))), ''), array_join(slice(l, c.at + 1, size(l)), ''))"
+    none = " AND ".join(f"size({k}) = 0" for k in KINDS)
+    return F.expr(f"CASE WHEN {none} THEN text ELSE get(transform(array({cut}), c -> get(transform(array(split(text, '')), l -> {whole}), 0)), 0) END")
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -85,53 +94,69 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain)
 
 
-def _terms(side: str, at: str) -> str:
-    """Terms of a context with their places in the document; at: where the context starts."""
+def _places() -> Column:
+    """(start, end, disclosure) of every occurrence in `blanked` of the terms of the map `told`, in order."""
     p = _quoted(TERM)
-    step = "named_struct('at', s.at + x.gap + length(x.hit), 'found', concat(s.found, array(named_struct('term', lower(x.hit), 'start', s.at + x.gap, 'end', s.at + x.gap + length(x.hit)))))"
-    pieces = f"transform(regexp_extract_all({side}, '{p}', 0), (hit, i) -> named_struct('hit', hit, 'gap', length(get(split({side}, '{p}', -1), i))))"
-    return f"aggregate({pieces}, named_struct('at', {at}, 'found', cast(array() AS array<struct<term:string,start:int,end:int>>)), (s, x) -> {step}, s -> s.found)"
+    here = "s.at + length(x.gap)"
+    hit = f"named_struct('start', {here}, 'end', {here} + length(x.hit), 'disclosure', told[lower(x.hit)])"
+    step = f"named_struct('at', {here} + length(x.hit), 'found', if(map_contains_key(told, lower(x.hit)), concat(s.found, array({hit})), s.found))"
+    pieces = "transform(h, (hit, i) -> named_struct('hit', hit, 'gap', get(g, i)))"
+    folded = f"aggregate({pieces}, named_struct('at', 0, 'found', cast(array() AS {_TOLD})), (s, x) -> {step}, s -> s.found)"
+    return F.expr(f"get(transform(array(regexp_extract_all(blanked, '{p}', 0)), h -> get(transform(array(split(blanked, '{p}', -1)), g -> {folded}), 0)), 0)")
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """doc_id, row, entity, term, start, end of every term beside a protected entity."""
-    def mention(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(_entity(kind, x["value"]).alias("entity"), *[x[c].alias(c) for c in ("start", "end", "left", "right")]))
+def _entities(found: DataFrame) -> DataFrame:
+    """doc_id, row and the distinct entities of each document that has any, once for rows that repeat id and text."""
+    def values(kind: str) -> Column:
+        return F.transform(kind, lambda x: _entity(kind, x["value"]))
+
+    every = F.concat(*[values(k) for k in KINDS])
+    some = found.filter(" OR ".join(f"size({k}) > 0" for k in KINDS))
+    return some.select("doc_id", "row", F.explode(F.array_distinct(every)).alias("entity"), "words").dropDuplicates(["doc_id", "row", "entity"])
 
-    every = [mention(k) for k in KINDS]
-    mentions = found.filter(" OR ".join(f"size({k}) > 0" for k in KINDS)).select("doc_id", "row", F.explode(F.concat(*every)).alias("m")).select("doc_id", "row", "m.*")
-    mentions = mentions.withColumn("before", F.expr("start - length(left)"))
-    terms = F.expr(f"concat({_terms('left', 'before')}, {_terms('right', '`end`')})")
-    return mentions.select("doc_id", "row", "entity", F.explode(terms).alias("t")).select("doc_id", "row", "entity", "t.term", "t.start", "t.end").distinct()
 
+def contexts(found: DataFrame) -> DataFrame:
+    """doc_id, row, entity, term of the terms that share a document with an entity.
 
-def _weighted(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """texts with the weight of each row: one over the number of rows that repeat its id and text."""
+    Entities and terms that stand in fewer than SUPPORT documents are left out, and so are terms in too many of them:
+    as df(t, e) <= df(e), a disclosure of GENERALISE takes df(t) <= N ** (1 - GENERALISE) * df(e) ** GENERALISE.
+    """
+    mentions = staged(_entities(found))
+    n = found.select("doc_id", "row").distinct().count()
+    shared = staged(mentions.groupBy("entity").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") >= SUPPORT))
+    few = shared.count() <= BROADCAST_TERMS
+    mentions = staged(mentions.join(F.broadcast(shared) if few else shared, "entity"))
+    once = mentions.groupBy("doc_id", "row").agg(F.first("words").alias("words"))
+    terms = once.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("at_least")).filter(F.col("at_least") >= SUPPORT)
+    most = F.lit(float(max(n, 1)) ** (1 - GENERALISE) * (1 + 1e-9)) * F.pow("with_entity", F.lit(GENERALISE))
+    widest = mentions.agg(F.max(most)).first()[0] or 0.0
+    terms = staged(terms.filter(F.col("at_least") <= widest))
+    few = terms.count() <= BROADCAST_TERMS
+    pairs = mentions.select("doc_id", "row", "entity", "with_entity", F.explode("words").alias("term")).join(F.broadcast(terms) if few else terms, "term")
+    return pairs.filter(F.col("at_least") <= most).select("doc_id", "row", "entity", "term")
+
+
+def _weighted(found: DataFrame) -> DataFrame:
+    """words with the weight of each row: one over the number of rows that repeat its id and text."""
     again = staged(found.groupBy("doc_id", "row").agg(F.count("*").alias("rows")).filter("rows > 1"))
     n = again.count()
     if not n:
-        return texts.withColumn("weight", F.lit(1.0))
+        return found.select("words", F.lit(1.0).alias("weight"))
     again = again.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "rows")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__row"))
-    both = texts.join(F.broadcast(again) if n <= BROADCAST_TERMS else again, same, "left")
-    return both.select("doc_id", "text", F.coalesce(1 / F.col("rows"), F.lit(1.0)).alias("weight"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row"))
+    both = found.select("doc_id", "row", "words").join(F.broadcast(again) if n <= BROADCAST_TERMS else again, same, "left")
+    return both.select("words", F.coalesce(1 / F.col("rows"), F.lit(1.0)).alias("weight"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
     """entity, term, disclosure of the pairs that rest on SUPPORT documents and reach GENERALISE."""
-    pairs = near.select("doc_id", "row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
     pairs = staged(pairs)
 
-    def values(kind: str) -> Column:
-        return F.transform(kind, lambda x: _entity(kind, x["value"]))
-
-    every = F.concat(*[values(k) for k in KINDS])
-    entities = found.select("doc_id", "row", F.explode(F.array_distinct(every)).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    entities = _entities(found).groupBy("entity").agg(F.count("*").alias("with_entity"))
     candidates = staged(pairs.select("term").distinct())
     few = candidates.count() <= BROADCAST_TERMS
-    words = F.array_distinct(F.expr(f"transform(regexp_extract_all(text, '{_quoted(TERM)}', 0), x -> lower(x))"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    seen = _weighted(texts, found).select("weight", F.explode(words).alias("term"))
+    seen = _weighted(found).select("weight", F.explode("words").alias("term"))
     seen = seen.join(F.broadcast(candidates) if few else candidates, "term", "left_semi")
     terms = seen.groupBy("term").agg(F.round(F.sum("weight")).alias("with_term"))
     n = found.select("doc_id", "row").distinct().count()
@@ -147,11 +172,18 @@ def find(docs: DataFrame) -> DataFrame:
     found = staged(detect(docs))
     near = staged(contexts(found))
     told = near.join(disclosures(docs, found, near), ["entity", "term"])
-    told = told.groupBy("doc_id", "row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    told = told.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    told = told.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "terms")
-    both = found.join(told, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row")), "left").drop("__doc", "__row")
-    return both.withColumn("terms", F.coalesce("terms", F.expr("cast(array() AS array<struct<start:int,end:int,disclosure:double>>)")))
+    told = told.groupBy("doc_id", "row", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = told.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    told = staged(told.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "told"))
+    few = told.count() <= BROADCAST_TERMS // 5
+    told = F.broadcast(told) if few else told
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("row", F.xxhash64("text")).join(told, same).select("__doc", "__row", "text", "told").dropDuplicates(["__doc", "__row"])
+    places = found.join(texts, same).dropDuplicates(["__doc", "__row"]).withColumn("blanked", _blanked())
+    places = staged(places.select("__doc", "__row", _places().alias("terms")))
+    both = found.join(F.broadcast(places) if few else places, same, "left").drop("__doc", "__row", "words")
+    return both.withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() AS {_TOLD})")))
 
 
 def listed(*kinds: str) -> Column:
