@@ -52,6 +52,8 @@ def test_documents_round_trip(spark, monkeypatch, block):
     got = bpe.decode(bpe.encode(docs, RAW, public_tokenizers.PATTERN), RAW).collect()
     want = sorted((str(i), ENC.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows)
     assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in got) == want
+    both = bpe.encode(docs, RAW, public_tokenizers.PATTERN, decoded=True).collect()
+    assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in both) == want
 
 
 def test_empty_table_and_null_ids(spark):

@@ -265,3 +265,69 @@ def test_queries_with_sql(spark):
         cols = sorted(df.columns)
         at = [rel.columns.index(k) for k in cols]
         assert sorted((tuple(r[k] for k in cols) for r in df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=str), name
+
+
+def by_the_book(rows):
+    """Follow-the-regularised-leader one coordinate at a time, with dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= quality.L1 else -(zi - math.copysign(quality.L1, zi)) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for features, y in rows:
+            w = {i: weight(i) for i in features}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in features.items())))
+            for i, x in features.items():
+                g = (p - y) * x
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_weights_equal_single_coordinate_steps_however_rows_are_split(spark):
+    rng = np.random.default_rng(6)
+    texts = {i: " ".join(rng.choice(["mill", "river", "town", "QX&&", "zz9", "old"], rng.integers(0, 12))) for i in range(300)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(7, None), (8, "long " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(300)] + [(9, 0)], "doc_id long, quality int")
+    weights = quality.train(docs.repartition(5), labels)
+    assert quality.train(docs.coalesce(1), labels.repartition(3)) == weights
+    got = np.frombuffer(weights, np.float32)
+    rows = docs.join(labels, "doc_id").filter(~quality.held_out(F.col("doc_id"))).select("quality", "text", F.xxhash64("doc_id", F.lit(7)).alias("rank"), F.xxhash64("text").alias("row")).orderBy("rank", "row", "quality").collect()
+    made = list(quality.features(pa.array([r["text"] for r in rows])))
+    want = by_the_book([(dict(zip(s.tolist(), v.tolist(), strict=True)), r["quality"]) for (s, v), r in zip(made, rows, strict=True)])
+    assert len(want) > 50 and all(abs(got[i] - w) < 1e-3 for i, w in want.items()) and np.count_nonzero(got) == sum(w != 0 for w in want.values())
+
+
+@pytest.mark.parametrize("sample", [150, 300])
+def test_held_out_accuracy_at_several_label_counts(spark, sample):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.score(docs, quality.train(docs, labels, sample)).join(labels, "doc_id").filter(quality.held_out(F.col("doc_id"))).collect()
+    assert np.mean([(r["score"] >= quality.CUT) == (r["quality"] == 1) for r in rows]) > {150: 0.85, 300: 0.93}[sample]
+
+
+def test_shared_folder_of_a_cluster_must_be_named(spark, monkeypatch):
+    from tidewatch.llm import store
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.shared_folder(Session())
+
+
+def test_inputs_behind_a_shuffle_are_staged(spark):
+    from tidewatch.llm.store import settled
+
+    df = spark.createDataFrame([(i, "a") for i in range(9)], "doc_id long, text string")
+    assert settled(df) is df and settled(df.repartition(3))._staged_at and settled(df.repartition(3)).count() == 9

@@ -22,7 +22,7 @@ def test_stages_take_effect(spark, tmp_path):
     raw, good, unique, hidden, mixed, tokens = seen
     kept = {r["doc_id"] for r in good}
     assert len(good) < len(raw) and np.mean([r["doc_id"] in kept for r in raw if labels.get(r["doc_id"]) == 1]) > 0.97
-    groups = brute([(r["doc_id"], r["text"]) for r in good])
+    groups = brute([(r["doc_id"], r["text"]) for r in good], corpus_pipeline.LIKE)
     assert {r["doc_id"] for r in unique} == {i for i, (_, c) in groups.items() if i == c}
     assert {r["doc_id"] for r in hidden} == {r["doc_id"] for r in unique} and not any("@mail" in r["text"] for r in hidden)
     assert all(r["n_chars"] == len(r["text"]) for r in hidden)
@@ -55,3 +55,11 @@ def test_one_row_of_each_near_copy_stays(spark):
     got = corpus_pipeline.keep_firsts(spark, docs, "")
     want = [(1, base), (None, other), (7, "q"), (8, ""), (None, ""), (None, ""), (3, "one two three"), (3, "four five six")]
     assert got.columns == docs.columns and sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in got.collect())
+
+
+def test_copies_of_likeness_between_80_and_85_are_one(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [w + "x" if i in (20, 60, 100) else w for i, w in enumerate(words)] + [f"t{i}" for i in range(7)]  # 181 of 218: 0.83
+    far = [w + "y" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)] + [f"u{i}" for i in range(15)]  # 176 of 231: 0.76
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, near, far))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_firsts(spark, docs, "").collect()) == [0, 2]

@@ -6,8 +6,11 @@ distinct words, so what travels with a document is one small number per word, in
 words are dealt by hash to buckets, where equal words of all blocks meet and each is split into pre-tokens and merged
 once. The ids go back by block, join the documents' positions and are put together in text order. A word is there
 once per block at most, however frequent it is; blocks are bounded, a longer document being a block of its own; the
-number of buckets grows with the table, so a bucket's words fit in memory. Lists travel packed, one row for each
-block and bucket.
+number of buckets grows with the table, so a bucket's distinct words fit in memory; its rows stream by. Lists travel
+packed, one row for each block and bucket that it has words in.
+
+Blocks are made in two scans. An input that comes from a shuffle, whose rows may come in another order when a lost
+executor's work is repeated, is written to the shared folder first.
 
 Decoding joins ids with the token-byte table, whose size is that of the vocabulary file.
 
@@ -32,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import settled, small_batches
 
 BLOCK_CHARS = 8_000_000
-#: Documents a bucket of words; buckets are a power of two between the two bounds.
-BUCKET_DOCS, BUCKETS = 4000, (32, 4096)
+#: Documents a bucket of words; the number of buckets is a power of two that grows with the documents.
+BUCKET_DOCS, FEWEST_BUCKETS = 4000, 32
+#: Ids decoded at once.
+PIECE = 1 << 16
 _HUGE = 1 << 30
 
 
@@ -188,39 +193,63 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
     return flat[np.repeat(start[which] - ends + n, n) + np.arange(ends[-1])]
 
 
-def _put_together(documents: pa.Table, words: pa.Table) -> pa.Table:
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-    if not documents.num_rows:
-        raise RuntimeError("blocks of two reads differ: the input changed between them")
-    rows = words.to_pylist()
-    at = [np.cumsum(unpack(r["at"])) for r in rows]
-    sizes = [unpack(r["sizes"]).astype(np.int64) for r in rows]
-    flat = np.concatenate([unpack(r["ids"]) for r in rows]) if rows else np.zeros(0, "<u4")
-    n = sum(len(x) for x in at)
-    start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if n:
-        each = np.concatenate(sizes)
-        where = np.concatenate(at)
-        size[where], start[where] = each, np.cumsum(each) - each
-    out_ids, out = [], []
-    for row in documents.to_pylist():
-        codes = unpack(row["codes"])
-        if len(codes) and int(codes.max()) >= n:
+def _bytes_of(raw: bytes):
+    """A function from ids to the bytes they stand for: the token-byte table, looked up for all ids at once."""
+    table = sorted((rank, word) for word, rank in parse_ranks(raw).items())
+    flat = np.frombuffer(b"".join(word for _, word in table), np.uint8)
+    size, start = np.zeros(table[-1][0] + 1, np.int64), np.zeros(table[-1][0] + 1, np.int64)
+    size[[rank for rank, _ in table]] = [len(word) for _, word in table]
+    start[1:] = np.cumsum(size)[:-1]
+    return lambda ids: b"".join(gather(flat, start, size, ids[i : i + PIECE]).tobytes() for i in range(0, len(ids), PIECE))
+
+
+def _put_together(raw=None):
+    """Ids of a block's documents; with raw (the broadcast vocabulary) the bytes they decode to as well."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *([("decoded", pa.binary())] if raw else [])])
+    kept = []
+
+    def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+        if raw and not kept:
+            kept.append(_bytes_of(raw.value))
+        if not documents.num_rows:
             raise RuntimeError("blocks of two reads differ: the input changed between them")
-        ends = np.cumsum(row["sizes"]).tolist()
-        for doc_id, a, b in zip(row["ids"], [0, *ends[:-1]], ends, strict=True):
-            out_ids.append(doc_id)
-            out.append(gather(flat, start, size, codes[a:b]).tobytes())
-    return pa.table([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+        rows = words.to_pylist()
+        at = [np.cumsum(unpack(r["at"])) for r in rows]
+        sizes = [unpack(r["sizes"]).astype(np.int64) for r in rows]
+        flat = np.concatenate([unpack(r["ids"]) for r in rows]) if rows else np.zeros(0, "<u4")
+        n = sum(len(x) for x in at)
+        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if n:
+            each = np.concatenate(sizes)
+            where = np.concatenate(at)
+            size[where], start[where] = each, np.cumsum(each) - each
+        out = {name: [] for name in schema.names}
+        for row in documents.to_pylist():
+            codes = unpack(row["codes"])
+            if len(codes) and int(codes.max()) >= n:
+                raise RuntimeError("blocks of two reads differ: the input changed between them")
+            ends = np.cumsum(row["sizes"]).tolist()
+            for doc_id, a, b in zip(row["ids"], [0, *ends[:-1]], ends, strict=True):
+                ids = gather(flat, start, size, codes[a:b])
+                out["doc_id"].append(doc_id)
+                out["ids"].append(ids.tobytes())
+                if raw:
+                    out["decoded"].append(kept[0](ids))
+        return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+    return run
+
 
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit) of every row of docs; ranks: the vocabulary file's bytes.
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit) of every row of docs; ranks: the vocabulary file's bytes."""
+    decoded adds the bytes of the ids, as decode() does, in the tasks that make the ids.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
-    buckets = min(BUCKETS[1], max(BUCKETS[0], 1 << (docs.count() // BUCKET_DOCS).bit_length()))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    buckets = max(FEWEST_BUCKETS, 1 << (texts.count() // BUCKET_DOCS).bit_length())
     words = (
         texts.mapInArrow(_words_of(pattern, buckets), "bucket int, block long, at binary, sizes binary, words binary")
         .repartition("bucket")
@@ -228,24 +257,24 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
         .mapInArrow(_encode_words(shared, pattern), "block long, at binary, sizes binary, ids binary")
     )
     blocks = texts.mapInArrow(_documents_of(pattern), "block long, ids array<long>, sizes array<int>, codes binary")
-    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_put_together, "doc_id long, ids binary")
+    kinds = "doc_id long, ids binary" + ", decoded binary" * decoded
+    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_put_together(shared if decoded else None), kinds)
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
-    """Adds `decoded` (binary): the bytes of `ids`, by a join of ids with the broadcast token-byte table. Null ids stay null."""
+    """Adds `decoded` (binary), in place of a column of that name: the bytes of `ids`, by a join of ids with the
+    broadcast token-byte table. Null ids stay null."""
+    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-    columns = encoded.columns
+    rows = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != "decoded"])
+    columns = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sorted((rank, word) for word, rank in parse_ranks(shared.value).items())
-        flat = np.frombuffer(b"".join(word for _, word in table), np.uint8)
-        size, start = np.zeros(table[-1][0] + 1, np.int64), np.zeros(table[-1][0] + 1, np.int64)
-        size[[rank for rank, _ in table]] = [len(word) for _, word in table]
-        start[1:] = np.cumsum(size)[:-1]
+        bytes_of = _bytes_of(shared.value)
         for batch in batches:
             ids = batch.column(columns.index("ids")).to_pylist()
-            out = [None if x is None else gather(flat, start, size, np.frombuffer(x, "<u4")).tobytes() for x in ids]
+            out = [None if x is None else bytes_of(np.frombuffer(x, "<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*columns, "decoded"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kinds}, decoded binary")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, decoded binary")

@@ -1,11 +1,15 @@
-"""Connected components by alternating large-star and small-star steps, each a grouping and a join."""
+"""Connected components by alternating large-star and small-star steps, each a grouping and a join.
+
+Steps needed grow with the logarithm of a component's size; after ROUNDS of them the result would not be settled, which
+is an error and never a wrong answer.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import freed, staged
 
 ROUNDS = 60
 
@@ -16,21 +20,26 @@ def connected(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         # large star: a node's larger neighbours go to its smallest one
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = staged(both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low")))
+        low_of = staged(both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low")))
         # each edge (u, v), u > v, is in v's star as a larger neighbour of v
-        large = now.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("low").alias("v"))
+        large = now.join(low_of.withColumnRenamed("u", "v"), "v").select("u", F.col("low").alias("v"))
         large = staged(large.distinct())
         # small star: a node and its smaller neighbours go to the smallest of them
         low = staged(large.groupBy("u").agg(F.min("v").alias("low")))
         across = large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         after = staged(across.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
-        if not _differ(now, after):
-            break
+        freed(low_of, large, low)
+        differ = _differ(now, after)
+        freed(now)
         now = after
+        if not differ:
+            break
     else:
         raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     roots = now.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct()
-    return staged(now.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(roots).distinct())
+    out = staged(now.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(roots).distinct())
+    freed(now)
+    return out
 
 
 def _differ(x: DataFrame, y: DataFrame) -> bool:

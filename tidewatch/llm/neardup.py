@@ -3,7 +3,7 @@
 1. Each text becomes a set of 5-word shingles (64-bit hashes). Texts of equal sets form a class; from here on one
    row, the smallest id, stands for each class, so exact copies never meet in a bucket.
 2. 125 MinHash values in 25 bands of 5 give buckets: two sets of likeness 0.85 share none of them with a chance of
-   4e-7. The 1024 smallest hashes of a set (all of a smaller set) are folded into a parity bitmap of 2048 bits; the
+   4e-7, of likeness 0.80 with one of 5e-5. The 1024 smallest hashes of a set (all of a smaller set) are folded into a parity bitmap of 2048 bits; the
    population count of two bitmaps' XOR estimates the sets' difference to within a few elements.
 3. In each bucket every member is paired with the smallest one; pairs whose sketches leave room for the wanted
    likeness are confirmed on the full sets, and confirmed links joined into components.
@@ -20,20 +20,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .store import small_batches, staged
+from .store import freed, small_batches, staged
 from .words import Words, mix, powers, words
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 SAMPLE, BITS = 1024, 2048
-#: Estimated likeness may fall short of the wanted one by this much (five deviations) before a pair is dropped.
-SLACK = 0.08
+#: Estimated likeness may fall short of the wanted one by this much before a pair is dropped; by the second number where
+#: a set of more than SAMPLE shingles is estimated from a sample. Both are five deviations and more.
+SLACK, SAMPLED_SLACK = 0.08, 0.12
 #: Buckets up to the first size are searched by a join, larger ones in blocks of as many members as the second.
 SMALL, BLOCK = 12, 256
 #: Ids broadcast at most; beyond it the tables are joined by a shuffle.
@@ -96,6 +96,10 @@ def likeness(odd_bits, n, m):
     return common / (n + m - common)
 
 
+def slack(n, m):
+    return np.where(np.maximum(n, m) > SAMPLE, SAMPLED_SLACK, SLACK)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(shingle_sets(batch.column(1)))
@@ -145,32 +149,35 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t")).cast("long")
     found = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).cast("long").alias("sum"))
-    return staged(found.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b").distinct())
+    out = staged(found.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b").distinct())
+    freed(pairs, ids, sets)
+    return out
 
 
 def _compare(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         """Left members against right ones of other components; a block alone against itself.
 
         Two members that share several buckets meet in each; they are given out by the first of these alone.
         """
-        out, band = [], pdf["band"].iat[0]
-        bands = np.array(pdf["bands"].tolist(), dtype=np.int64)
-        sketch = np.array(pdf["sketch"].tolist(), dtype=np.int64).view(np.uint64)
-        ids, part, n, left = (pdf[k].to_numpy() for k in ("doc_id", "component", "n_shingles", "left"))
+        table, out = table.combine_chunks(), []
+        lists = lambda k, n: table[k].combine_chunks().flatten().to_numpy().reshape(-1, n)
+        bands, sketch = lists("bands", BANDS), lists("sketch", BITS // 64).view(np.uint64)
+        ids, part, n, left = (table[k].to_numpy() for k in ("doc_id", "component", "n_shingles", "left"))
+        first = {k: table[k][0].as_py() for k in ("band", "i", "j")}
         rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
-        if pdf["i"].iat[0] == pdf["j"].iat[0]:
+        if first["i"] == first["j"]:
             cols = rows
         for i in rows:
             js = cols[part[cols] != part[i]]
             js = js[np.minimum(n[js], n[i]) * 100 >= percent * np.maximum(n[js], n[i])]
             if len(js):
                 odd = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1, dtype=np.int64)
-                js = js[likeness(odd, n[js], n[i]) >= percent / 100 - SLACK]
-                js = js[(bands[js] == bands[i]).argmax(1) == band]
+                js = js[likeness(odd, n[js], n[i]) >= percent / 100 - slack(n[js], n[i])]
+                js = js[(bands[js] == bands[i]).argmax(1) == first["band"]]
                 out.append(np.stack([np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])]))
         both = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": both[0], "b": both[1]})
+        return pa.table({"a": both[0], "b": both[1]})
 
     return run
 
@@ -205,29 +212,34 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     member = staged(member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("stands", "doc_id")).alias("stands")))
     nodes = staged(linked.join(classes, same, "left").filter("doc_id = coalesce(stands, doc_id)").select("doc_id", "n_shingles", "bands", "sketch"))
 
+    freed(sketches, classes)
     rows = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = staged(rows.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count("*").alias("size")).filter("size > 1"))
     members = staged(rows.join(buckets, ["band", "key"]).select("band", "key", "center", "size", "doc_id"))
     star = staged(members.filter("doc_id > center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct())
     edges = _confirmed(texts, _sketched(star, nodes, percent), percent)
+    freed(star, buckets)
     # rows that repeat a doc_id with another text hang together through it
     repeated = member.groupBy("doc_id").agg(F.min("stands").alias("a"), F.max("stands").alias("z")).filter("a < z").select("doc_id", "a")
-    repeated = member.join(staged(repeated), "doc_id").select("a", F.col("stands").alias("b")).distinct()
-    edges = staged(edges.unionByName(repeated))
+    repeated = member.join(repeated, "doc_id").select("a", F.col("stands").alias("b")).distinct()
+    found, edges = edges, staged(edges.unionByName(repeated))
     parts = connected(edges)
 
     placed = staged(members.select("band", "key", "size", "doc_id").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key")
-    open_ = staged(placed.join(staged(split), ["band", "key"]))
+    split = staged(split)
+    open_ = staged(placed.join(split, ["band", "key"]))
+    freed(found, parts, members, split, placed)
     few = open_.filter(F.col("size") <= SMALL)
     other = few.select("band", "key", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
     small = few.join(other, ["band", "key"]).filter("doc_id < b AND component <> of_b").select(F.col("doc_id").alias("a"), "b").distinct()
-    small = _sketched(staged(small), nodes, percent)
+    small = staged(small)
     main = open_.filter(F.col("size") > SMALL).groupBy("band", "key", "component").count().groupBy("band", "key")
     main = staged(main.agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("outside")))
-    large = _blocks_against_blocks(open_, main, nodes).groupBy("band", "key", "i", "j").applyInPandas(_compare(percent), "a long, b long")
-    more = _confirmed(texts, small.unionByName(large).distinct(), percent)
+    large = _blocks_against_blocks(open_, main, nodes).groupBy("band", "key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    more = _confirmed(texts, _sketched(small, nodes, percent).unionByName(large).distinct(), percent)
     parts = connected(edges.unionByName(more))
+    freed(nodes, edges, open_, small, main, more)
     whole = member.join(parts.withColumnRenamed("doc_id", "stands"), "stands", "left").select("doc_id", "n_shingles", F.coalesce("component", "stands").alias("component_id"))
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -237,4 +249,5 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = nodes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     right = nodes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("t"))
     both = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return both.filter(_estimate("s", "t", "n", "m") >= percent / 100 - SLACK).select("a", "b")
+    slack_ = F.when(F.greatest("n", "m") > SAMPLE, SAMPLED_SLACK).otherwise(SLACK)
+    return both.filter(_estimate("s", "t", "n", "m") >= percent / 100 - slack_).select("a", "b")

@@ -5,8 +5,8 @@ characters and length) and pairs of them, their last two bytes, and how far word
 1 + ln c, and a text's values are scaled to length one. A score is the sparse dot product of values and weights.
 
 The fit takes the labelled rows of the smallest hashed ids, at most `sample` of them, so it needs bounded time and
-memory whatever the input. It deals them to parts of PART rows, trains a model on each and takes the models' mean.
-Scoring covers every row of the input.
+memory whatever the input. Their features are made in parallel; one task then updates one model with them in the order
+of their hashed ids, so the weights do not depend on how rows are split. Scoring covers every row of the input.
 
 Defined cases: null and empty texts have no feature but the constant one, and get its score. Labels that are null
 are not learned from; ids with more than one label count with each. Other columns are never read. With no labelled
@@ -22,15 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, staged
+from .store import freed, small_batches, staged
 from .words import LOWER, Words, mix, words
 
 SLOTS = 1 << 20
-#: Most labelled rows that the fit reads, and rows of each part that it trains on by itself.
+#: Most labelled rows that the fit reads.
 SAMPLE = 20_000
-PART = 2500
-#: Bytes of text whose features are made at once.
-SLICE = 1 << 20
 CUT = 0.3
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.05
@@ -58,8 +55,8 @@ def _shapes(w: Words) -> np.ndarray:
 
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slots and values of each text, in order; slot 0 is constant."""
-    for w in words(column, SLICE):
+    """Slots (distinct, rising) and values of each text, in order; slot 0 is constant."""
+    for w in words(column):
         one = _slots(w.hash, 1)
         two = _slots(w.hash[:-1] * np.uint64(3) + w.hash[1:], 2) if len(w.hash) > 1 else one[:0]
         shape = _shapes(w) if len(w.hash) else w.hash
@@ -76,27 +73,30 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             value /= np.sqrt((value**2).sum())
             spread = [np.unique(x).size / (b - a) for x in (one[a:b], look[a:b])]
             bins = _slots(np.array([int(s * 10) for s in spread], np.uint64) + np.array([100, 200], np.uint64), 6)
-            yield np.concatenate([[0], bins, slot]), np.concatenate([[0.3, 0.3, 0.3], value])
+            slots, place = np.unique(np.concatenate([[0], bins, slot]), return_inverse=True)
+            yield slots, np.bincount(place, np.concatenate([[0.3, 0.3, 0.3], value]))
 
 
 def fit(slots: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Weights after EPOCHS passes of per-coordinate follow-the-regularised-leader steps, in the order given."""
+    """Weights after EPOCHS passes of per-coordinate follow-the-regularised-leader steps, in the order given.
+
+    z gathers gradients less what they have moved the weights by, n the squared gradients; a slot of small z weighs 0.
+    """
     z, n = np.zeros(SLOTS), np.zeros(SLOTS)
 
-    def weights(i):
-        zi = z[i]
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
+    def weights(zi, root):
+        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + root) / ALPHA + L2))
 
     for _ in range(EPOCHS):
         for i, x, y in zip(slots, values, labels.tolist(), strict=True):
-            i, at = np.unique(i, return_inverse=True)
-            x = np.bincount(at, x)
-            w = weights(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
-            z[i] += g - sigma * w
-            n[i] += g * g
-    return weights(np.arange(SLOTS)).astype(np.float32)
+            zi, ni = z[i], n[i]
+            root = np.sqrt(ni)
+            w = weights(zi, root)
+            g = (1 / (1 + np.exp(-min(max(w @ x, -35.0), 35.0))) - y) * x
+            ni += g * g
+            z[i] = zi + g - (np.sqrt(ni) - root) / ALPHA * w
+            n[i] = ni
+    return weights(z, np.sqrt(n)).astype(np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -108,20 +108,21 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both = list(features(batch.column(0)))
         rows = [pa.array([s.astype(np.int32) for s, _ in both], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in both], pa.list_(pa.float32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), *rows], names=["quality", "rank", "part", "slots", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), *rows], names=["quality", "rank", "row", "slots", "values"])
 
 
-def _fit_group(table: pa.Table) -> pa.Table:
-    """The rows in the order of their rank; features stay in the batches they came in."""
-    rows = []
-    for batch in table.to_batches():
-        rank, label = batch.column("rank").to_pylist(), batch.column("quality").to_pylist()
-        slots, values = batch.column("slots"), batch.column("values")
-        flat, weight, at = slots.values.to_numpy(), values.values.to_numpy(), slots.offsets.to_numpy()
-        rows += [(r, y, flat[a:b], weight[a:b]) for r, y, a, b in zip(rank, label, at[:-1], at[1:], strict=True)]
-    rows.sort(key=lambda x: (x[0], x[1], len(x[2])))
-    weights = fit([x[2] for x in rows], [x[3] for x in rows], np.array([x[1] for x in rows]))
-    return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One model from all rows, in their order; features stay in the batches they came in."""
+    slots, values, labels = [], [], []
+    for batch in batches:
+        at = batch.column("slots").offsets.to_numpy().tolist()
+        flat, weight = batch.column("slots").values.to_numpy(), batch.column("values").values.to_numpy()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            slots.append(flat[a:b])
+            values.append(weight[a:b])
+        labels += batch.column("quality").to_pylist()
+    if labels:
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([fit(slots, values, np.array(labels)).tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
@@ -131,13 +132,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("rank", F.xxhash64("doc_id", F.lit(7)))
     chosen = staged(known.orderBy("rank", "doc_id", "quality").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(1, round(chosen.count() / PART))
-    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows are broadcast
-    rows = rows.select("text", "quality", "rank", F.pmod("rank", F.lit(parts)).cast("int").alias("part"))
-    found = rows.mapInArrow(_featurise, "quality int, rank long, part int, slots array<int>, values array<float>")
-    models = found.groupBy("part").applyInArrow(_fit_group, "weights binary").collect()  # one model a part
-    mean = sum((np.frombuffer(m["weights"], np.float32) for m in models), np.zeros(SLOTS, np.float32)) / max(1, len(models))
-    return mean.astype(np.float32).tobytes()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "rank", F.xxhash64("text").alias("row"))  # at most `sample` rows are broadcast
+    found = rows.mapInArrow(_featurise, "quality int, rank long, row long, slots array<int>, values array<float>")
+    # one task by the method: each step starts where the one before ended; its rows are bounded by `sample`
+    found = found.repartition(1).sortWithinPartitions("rank", "row", "quality")
+    model = found.mapInArrow(_fit_rows, "weights binary").first()
+    freed(chosen)
+    return model["weights"] if model else np.zeros(SLOTS, np.float32).tobytes()
 
 
 def score(docs: DataFrame, weights: bytes, name: str = "score") -> DataFrame:

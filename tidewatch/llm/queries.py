@@ -26,9 +26,7 @@ def ranks() -> bytes:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the bytes they decode to, as digests."""
-    vocabulary = ranks()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, vocabulary).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

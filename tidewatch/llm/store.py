@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and bytes of one Arrow batch handed to a Python worker.
-BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+#: Rows and bytes of one Arrow batch handed to a Python worker; a longer text is a batch of its own.
+BATCH_ROWS = 256
+BATCH_BYTES = 2 << 20
+#: Bytes of a Parquet row group, which its writer holds in memory.
+GROUP_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of our own only where it is unset, as in local tests."""
+    """The folder of `spark.checkpoint.dir`; one of our own only where it is unset and the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         folder = tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -36,20 +41,38 @@ def staged(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewatch/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as it is where it gives the same rows in the same order each time it is read; staged where a shuffle may change that."""
+    return staged(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes staged tables whose every consumer has been staged itself, or given its rows to the driver."""
+    for df in tables:
+        entry = (df.sparkSession, df._staged_at)
+        _written.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            if jvm is None:
+            if spark.sparkContext._jvm is None:
                 return
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: nothing to clean with
             return

@@ -1,7 +1,7 @@
 """Words of whole Arrow text columns, split and hashed with numpy alone.
 
 A word is a maximal run of bytes other than space and \\t..\\r; A-Z are lower-cased before hashing.
-Null texts count as empty. Work goes through slices of a few MB, so memory stays bounded for any batch.
+Null texts count as empty. Work goes through slices of half a MB (or one longer text), so memory stays bounded for any batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
