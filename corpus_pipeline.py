@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, mixing, neardup, pii, quality
 from tidewatch.llm.queries import ranks
-from tidewatch.llm.store import staged
+from tidewatch.llm.store import freed, staged
+
+#: Shingle sets at least so alike, in per cent, make near-duplicates of two documents.
+LIKE = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
+    """Drops the documents that the quality classifier rejects.
+
+    Null and empty texts are scored by the constant feature alone and stay or go by it; rows that repeat an id are judged
+    each for itself; a null id is scored like any other; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.score(docs, quality.train(docs, labels), "__quality")
     return scored.filter(F.col("__quality") >= quality.CUT).select(*docs.columns)
@@ -25,10 +33,11 @@ def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays, that of the smallest id, and one of each repeated id and text.
 
     Rows are told apart by a key of their own, so near copies without an id or under one id are judged like others. A
-    row without an id stays only where its group has no id. Empty texts are like nothing but themselves under one id.
+    row without an id stays only where its group has no id. Null and empty texts are like nothing but themselves under one
+    id. An empty table stays empty.
     """
     keyed = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
-    parts = neardup.groups(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    parts = neardup.groups(keyed.select(F.col("__row").alias("doc_id"), "text"), LIKE)
     parts = parts.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
     ids = keyed.select("__row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
     empty = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
@@ -36,26 +45,26 @@ def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))
     firsts = parts.join(ids, "__row").select("__row", "id", *group).groupBy("empty", "group", "hash").agg(first.alias("first"))
     firsts = firsts.select(F.col("first.__row").alias("__row"))
-    gone = staged(keyed.select("__row").join(staged(firsts), "__row", "left_anti"))
+    firsts = staged(firsts)
+    gone = staged(keyed.select("__row").join(firsts, "__row", "left_anti"))
+    freed(firsts)
     few = gone.count() <= neardup.BROADCAST_IDS
     return keyed.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data and the terms that disclose it."""
+    """Masks personal data and the terms that disclose it. Null texts stay null, empty ones empty; repeated rows are masked alike; no row goes."""
     return pii.sanitise(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it. Null and empty texts count no words; rows that repeat an id and text share their copies; a null source is a source of its own."""
     return mixing.mix(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the text's own bytes' digest."""
-    vocabulary = ranks()
-    encoded = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, vocabulary).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the bytes they decode to, for each row; null and empty texts have no ids."""
+    return bpe.encode(docs, ranks(), public_tokenizers.PATTERN, decoded=True).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
