@@ -12,6 +12,8 @@ CATEGORY_FACTORS = {"SAFE": 1.0, "CHRONIC": 1.2, "UNSTABLE": 1.4, "CRITICAL": 1.
 WEIGHTS = (0.45, 0.25, 0.20, 0.10)
 EXCEEDANCE = (0.10, 0.25, 0.50, 0.75, 1.00)
 RECOVERY_GAP = 4
+# The threshold sets of the sensitivity runs.
+SENSITIVITY_SETS = {"Conservative": ((130, 1.00), (70, 0.75), (40, 0.50), (16, 0.25), (6, 0.10)), "Base": SPELL_DAYS, "Aggressive": ((70, 1.00), (45, 0.75), (25, 0.50), (10, 0.25), (3, 0.10))}
 
 
 @dataclass(frozen=True)

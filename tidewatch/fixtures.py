@@ -32,6 +32,14 @@ def observed_pool(spark: SparkSession, d: str) -> DataFrame:
     return _pool(rows, F.concat(F.lit("hf_"), F.col("hk")), F.col("hk"), F.least(F.lit(1.0), F.col("q") / 100), F.lit(-1), 0)
 
 
+def pool_facilities(spark: SparkSession, d: str) -> DataFrame:
+    """hf_id of every facility of the observed pool, from the suppliers alone."""
+    supplier = table(spark, d, "supplier")
+    k = supplier.select(F.greatest(F.lit(1), F.floor(F.count("*") / 100)).cast("int").alias("k"))
+    key = (F.col("s_nationkey") + 25 * F.pmod(F.col("s_suppkey"), F.col("k"))).cast("int")
+    return supplier.crossJoin(F.broadcast(k)).select(F.concat(F.lit("hf_"), key).alias("hf_id")).distinct()
+
+
 def synthetic_pool(spark: SparkSession, d: str, with_category: bool = True) -> DataFrame:
     """Thirty dense days for each user and event type: facilities and scenarios."""
     events = table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("date"), "value", "event_id")

@@ -9,9 +9,9 @@ from ..config import LossConfig
 from ..functions.columns import quantile
 from .spells import label_spells, spell_table
 
+# Quantiles of spells, and the losses of the duration and intensity steps from the lowest threshold up.
 DURATION_QUANTILES = (0.50, 0.75, 0.90, 0.95, 0.99)
 DISTANCE_QUANTILES = (0.05, 0.10, 0.25, 0.50)
-#: Losses of the duration and intensity steps, from the lowest threshold up.
 DURATION_LOSSES, INTENSITY_LOSSES = (0.10, 0.25, 0.50, 0.75, 1.00), (0.10, 0.25, 0.50, 0.80)
 
 
@@ -28,6 +28,18 @@ def spell_quantiles_by_category(spells: DataFrame) -> DataFrame:
     return spells.filter("hf_category IS NOT NULL").groupBy("hf_category").agg(*_named("dur", "duration", (0.75, 0.90, 0.95)))
 
 
+def boxplot_stats(spells: DataFrame) -> DataFrame:
+    """Quartiles of durations by category, whiskers within 1.5 times their distance, and outliers: all from the counts of
+    the whole numbers that durations are."""
+    counts = spells.groupBy("hf_category", "duration").agg(F.count("*").alias("c"))
+    names = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    rows = counts.select("*", *[F.expr(f"percentile(duration, {q}, c) OVER (PARTITION BY hf_category)").alias(n) for n, q in names.items()])
+    fence = (F.col("q3") - F.col("q1")) * 1.5
+    within = (F.col("duration") >= F.col("q1") - fence) & (F.col("duration") <= F.col("q3") + fence)
+    ends = [f(F.when(within, F.col("duration"))).alias(n) for n, f in (("low", F.min), ("high", F.max))]
+    return rows.groupBy("hf_category", *names).agg(*ends, F.sum(F.when(within, 0).otherwise(F.col("c"))).alias("outliers"))
+
+
 def annual_severe_spells(spells: DataFrame, days: int = 15) -> DataFrame:
     """Spells of `days` and more for each facility and year of the spell's start."""
     return spells.filter(F.col("duration") >= days).groupBy("hf_id", F.year("start_date").alias("year")).agg(F.count("*").alias("n_severe"))

@@ -155,3 +155,10 @@ def patch_means(placed: DataFrame, by_pixel: DataFrame, values: list[str]) -> Da
     """Means of pixel values over each facility's buffer."""
     rows = facility_pixels(placed, by_pixel, values)
     return rows.groupBy("hf_id").agg(F.count("*").alias("pixels"), *[F.avg(v).alias(v) for v in values])
+
+
+def join_zones(rows: DataFrame, zones: DataFrame) -> DataFrame:
+    """rows with the zone of their facility and its name in capitals; facilities without a zone go. One zone a facility
+    counts, the smallest where there are several."""
+    one = zones.groupBy("hf_id").agg(F.min(F.struct("zone", F.upper("zone_name").alias("zone_name"))).alias("z")).select("hf_id", "z.*")
+    return rows.join(one, "hf_id")

@@ -74,14 +74,26 @@ def union_pool(observed: DataFrame, synthetic: DataFrame) -> DataFrame:
     return observed.unionByName(synthetic, allowMissingColumns=True)
 
 
+def scenario_grid(facilities: DataFrame, scenarios: int, first: str, days: int) -> DataFrame:
+    """hf_id, scenario_id (0, 1, ...), date, day_of_year: every day of every scenario of every facility, exploded in place."""
+    rows = facilities.select("hf_id", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario_id"))
+    start = F.to_date(F.lit(first))
+    rows = rows.withColumn("date", F.explode(F.sequence(start, F.date_add(start, days - 1))))
+    return rows.withColumn("day_of_year", F.dayofyear("date"))
+
+
 def flood_probability(df: DataFrame, common: dict[str, float], by_facility: DataFrame, by_category: DataFrame) -> DataFrame:
     """Adds the transition, the occurrence probability, the expected wet share with its Beta shapes, and the expected log distance.
 
     common: beta0, beta_lag, beta_cos, beta_sin, kappa, beta0_P, beta_lag_P, beta_cos_P, beta_sin_P, phi, beta0_D,
     beta_lag_D. by_facility: hf_id, effect, t_break, delta, delta_P, delta_D. by_category: hf_category, beta_cat, gamma_cat.
+    Every row is scored: an unknown category counts as the first one, an unknown facility has no effects of its own.
     """
     c = {k: F.lit(float(v)) for k, v in common.items()}
-    out = df.join(by_facility, "hf_id").join(F.broadcast(by_category), "hf_category")  # four categories
+    known = lookup(F.col("hf_category"), {k: k for k in CATEGORY_INDEX}, next(iter(CATEGORY_INDEX)))
+    kinds = F.broadcast(by_category.withColumnRenamed("hf_category", "__known"))  # four categories
+    out = df.withColumn("__known", known).join(by_facility, "hf_id", "left").join(kinds, "__known", "left").drop("__known")
+    out = out.fillna(0.0, [*(x for x in by_facility.columns if x != "hf_id"), *(x for x in by_category.columns if x != "hf_category")])
     out = out.withColumn("transition", sigmoid(c["kappa"] * (F.col("t_year") - F.col("t_break"))))
     logit = c["beta0"] + F.col("effect") + F.col("beta_cat") + c["beta_lag"] * F.col("o_lag") + c["beta_cos"] * F.col("cos_t") + c["beta_sin"] * F.col("sin_t") + (F.col("delta") + F.col("gamma_cat")) * F.col("transition")
     share = c["beta0_P"] + F.col("effect") + c["beta_lag_P"] * F.col("p_lag") + c["beta_cos_P"] * F.col("cos_t") + c["beta_sin_P"] * F.col("sin_t") + F.col("delta_P") * F.col("transition")

@@ -50,10 +50,14 @@ def band_correlation(hazard: DataFrame) -> DataFrame:
 
 
 def year_correlation(hazard: DataFrame) -> DataFrame:
-    """Correlation of the frequencies of every two years over the pixels valid in both."""
-    a = hazard.filter("flood_frequency IS NOT NULL").select(F.col("year").alias("year_1"), "row", "col", F.col("flood_frequency").alias("x"))
-    b = hazard.filter("flood_frequency IS NOT NULL").select(F.col("year").alias("year_2"), "row", "col", F.col("flood_frequency").alias("y"))
-    return a.join(b, ["row", "col"]).filter("year_1 < year_2").groupBy("year_1", "year_2").agg(F.corr("x", "y").alias("r"), F.count("*").alias("pixels"))
+    """Correlation of each band between every two years over the pixels valid in both; null where a band does not vary."""
+    valid = hazard.filter("flood_frequency IS NOT NULL")
+    a = valid.select(F.col("year").alias("year_1"), "row", "col", *[F.col(b).cast("double").alias(f"{b}_1") for b in BANDS])
+    b = valid.select(F.col("year").alias("year_2"), "row", "col", *[F.col(b).cast("double").alias(f"{b}_2") for b in BANDS])
+    both = a.join(b, ["row", "col"]).filter("year_1 < year_2").groupBy("year_1", "year_2")
+    out = both.agg(*[F.corr(f"{b}_1", f"{b}_2").alias(b) for b in BANDS], F.count("*").alias("pixels"))
+    out = out.unpivot(["year_1", "year_2", "pixels"], BANDS, "band", "r")
+    return out.withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
 
 
 def raster_quality(hazard: DataFrame, observed: DataFrame) -> DataFrame:

@@ -76,3 +76,9 @@ def movement_counts(reclassified: DataFrame) -> DataFrame:
 def apply_to_pool(pool: DataFrame, reclassified: DataFrame) -> DataFrame:
     """The pool's rows of reclassified facilities, with the new category."""
     return pool.drop("hf_category").join(reclassified.select("hf_id", F.col("cat_new").alias("hf_category")), "hf_id")
+
+
+def with_post_years(facilities: DataFrame, metrics: DataFrame) -> DataFrame:
+    """facilities with n_years_post: their years after the break in metrics, 0 where there are none."""
+    counts = metrics.filter("period = 'post'").groupBy("hf_id").agg(F.count("*").alias("n_years_post"))
+    return facilities.join(counts, "hf_id", "left").withColumn("n_years_post", F.coalesce("n_years_post", F.lit(0)).cast("int"))

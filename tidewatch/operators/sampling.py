@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import quantile
-from .stats import beta_i, gamma_p, normal_two_sided
+from ..sources.scratch import stored
+from .stats import beta_i, gamma_p, normal_two_sided, running
 
 SEED = "42"
 
@@ -76,16 +77,34 @@ def digamma(x: float) -> float:
     return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
 
 
+def _weibull_shape(rows: DataFrame, mean_log: float, guess: float) -> float:
+    """The shape that sets the likelihood's slope to 0, between guess / 16 and 16 * guess: the slope rises with the shape,
+    so each of a few passes over the counts takes it at 17 shapes at once and goes on between two of them."""
+    low, high = guess / 16, guess * 16
+    for _ in range(9):
+        ks = [low * (high / low) ** (i / 16) for i in range(17)]
+        powers = [F.sum(F.pow("x", F.lit(k)) * F.col("c")).alias(f"p{i}") for i, k in enumerate(ks)]
+        logs = [F.sum(F.pow("x", F.lit(k)) * F.log("x") * F.col("c")).alias(f"q{i}") for i, k in enumerate(ks)]
+        a = rows.agg(*powers, *logs).first()
+        up = next((i for i, k in enumerate(ks) if a[f"q{i}"] / a[f"p{i}"] - 1 / k - mean_log > 0), 16)
+        low, high = ks[max(up - 1, 0)], ks[up]
+    return (low + high) / 2
+
+
 def fit_positive_distribution(sample: DataFrame, value: str, bounded: bool = False, least: int = 100) -> DataFrame | None:
     """The candidate (beta where bounded by 1, gamma, log-normal, Weibull, inverse Gaussian, all from 0) of the lowest
     Kolmogorov-Smirnov distance, with its two parameters; None for samples of `least` values or fewer.
 
-    Parameters come from sums over the sample, the distance from ranks of its distinct values. One row a candidate.
+    Parameters come from sums over the counts of distinct values, which are written once, the distance from their
+    prefix sums. One row a candidate.
     """
-    rows = sample.filter(F.col(value) > 0).select(F.col(value).cast("double").alias("x"))
-    s = rows.agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.avg(F.log("x")).alias("l"), F.stddev_pop(F.log("x")).alias("sl"), F.avg(1 / F.col("x")).alias("inv"), F.avg(F.when(F.col("x") < 1, F.log1p(-F.col("x")))).alias("l1"), F.var_pop("x").alias("v")).first()
-    if s["n"] <= least:
+    rows = stored(sample.filter(F.col(value) > 0).select(F.col(value).cast("double").alias("x")).groupBy("x").agg(F.count("*").alias("c")))
+    mean = lambda e, c=F.col("c"): F.sum(e * c) / F.sum(F.when(e.isNotNull(), c))
+    x, log = F.col("x"), F.log("x")
+    s = rows.agg(F.sum("c").alias("n"), mean(x).alias("m"), mean(log).alias("l"), mean(1 / x).alias("inv"), mean(F.when(x < 1, F.log1p(-x))).alias("l1")).first()
+    if (s["n"] or 0) <= least:
         return None
+    s = s.asDict() | rows.agg(F.sqrt(mean((log - s["l"]) ** 2)).alias("sl"), mean((x - s["m"]) ** 2).alias("v")).first().asDict()
     fits: dict[str, tuple[float, float]] = {}
     if s["sl"] > 0:
         gap = math.log(s["m"]) - s["l"]
@@ -94,12 +113,8 @@ def fit_positive_distribution(sample: DataFrame, value: str, bounded: bool = Fal
         fits["lognorm"] = (s["sl"], math.exp(s["l"]))
         fits["invgauss"] = (s["m"], 1 / (s["inv"] - 1 / s["m"]))
 
-        def weibull(k: float) -> float:
-            a = rows.agg(F.sum(F.pow("x", F.lit(k))).alias("p"), F.sum(F.pow("x", F.lit(k)) * F.log("x")).alias("q")).first()
-            return a["q"] / a["p"] - 1 / k - s["l"]
-
-        k = _newton(weibull, 1.2 / s["sl"])
-        fits["weibull_min"] = (k, rows.agg(F.avg(F.pow("x", F.lit(k)))).first()[0] ** (1 / k))
+        k = _weibull_shape(rows, s["l"], 1.2 / s["sl"])
+        fits["weibull_min"] = (k, rows.agg(mean(F.pow("x", F.lit(k)))).first()[0] ** (1 / k))
         if bounded and s["l1"] is not None and s["v"] > 0:
             t = s["m"] * (1 - s["m"]) / s["v"] - 1
             a, b = max(s["m"] * t, 1e-2), max((1 - s["m"]) * t, 1e-2)
@@ -125,7 +140,7 @@ def cdf(name: str, a: float, b: float, x: float) -> float:
 
 
 def ks_one_sample(rows: DataFrame, fits: dict[str, tuple[float, float]]) -> DataFrame:
-    """distribution, a, b, ks of each candidate over the sample's x."""
+    """distribution, a, b, ks of each candidate over the sample's distinct values x with counts c."""
 
     @F.pandas_udf("double")
     def at(name, a, b, x):
@@ -133,9 +148,9 @@ def ks_one_sample(rows: DataFrame, fits: dict[str, tuple[float, float]]) -> Data
 
         return pd.Series([cdf(*row) for row in zip(name, a, b, x, strict=True)])
 
-    counts = rows.groupBy("x").agg(F.count("*").alias("c"))
-    w = Window.orderBy("x")  # distinct values of a bounded sample
-    steps = counts.select("x", (F.sum("c").over(w) / F.sum("c").over(Window.partitionBy())).alias("hi"), ((F.sum("c").over(w) - F.col("c")) / F.sum("c").over(Window.partitionBy())).alias("lo"))
+    total = rows.agg(F.sum("c").alias("n"))
+    steps = running(rows, "x", ["c"]).crossJoin(F.broadcast(total))  # one row
+    steps = steps.select("x", ((F.col("before_c") + F.col("c")) / F.col("n")).alias("hi"), (F.col("before_c") / F.col("n")).alias("lo"))
     spark = rows.sparkSession
     table = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in fits.items()], StructType.fromDDL("distribution string, a double, b double"))
     both = steps.crossJoin(F.broadcast(table)).withColumn("f", at("distribution", "a", "b", "x"))  # five candidates

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import stars
+from ..sources.scratch import stored
+
+#: Ranges of values of a prefix sum.
+PARTS = 256
 
 
 def normal_two_sided(z: float) -> float:
@@ -105,6 +109,20 @@ def _mann_whitney(u: float, n: int, m: int, ties: float) -> float:
     return 1.0 if sd == 0 else min(1.0, math.erfc(max(0.0, abs(u - n * m / 2) - 0.5) / sd / math.sqrt(2)))
 
 
+def _kendall(s: float, n: int, tied: float) -> float:
+    """Exact for up to 33 rows without ties, by the number of permutations of so few or fewer inversions, else normal with
+    the variance corrected for ties; tied: the sum of t (t - 1) (2t + 5) over tied values."""
+    pairs = n * (n - 1) // 2
+    if tied == 0 and n <= 33:
+        ways = [1]
+        for i in range(2, n + 1):
+            ways = [sum(ways[max(0, k - i + 1) : k + 1]) for k in range(len(ways) + i - 1)]
+        against = round((pairs - s) / 2)
+        return 1.0 if 2 * against == pairs else min(1.0, 2 * sum(ways[: min(against, pairs - against) + 1]) / math.factorial(n))
+    var = (n * (n - 1) * (2 * n + 5) - tied) / 18
+    return 1.0 if var <= 0 else normal_two_sided(s / math.sqrt(var))
+
+
 def _udf(f):
     @F.pandas_udf("double")
     def tail(*columns: pd.Series) -> pd.Series:
@@ -129,24 +147,30 @@ def t_p(t: Column, df: Column) -> Column:
     return _udf(t_two_sided)(t, df)
 
 
-def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
-    """group, n, rank_sum, with the table's total and tie term: ranks from counts of distinct values, never of all rows."""
-    counts = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
-    values = counts.groupBy(value).agg(F.sum("k").alias("c"))
-    # prefix sum in two levels: ranges of values, then inside them, so no task sees all distinct values
+def running(values: DataFrame, value: str, counts: list[str]) -> DataFrame:
+    """Adds before_<c>, the sum of c over smaller values, to a table of distinct values. Two levels, ranges of values and
+    then inside them, so that no task sees all values."""
     bounds = values.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 256), F.lit(255))).otherwise(0)
-    values = values.crossJoin(F.broadcast(bounds)).withColumn("part", part)
-    parts = values.groupBy("part").agg(F.sum("c").alias("pc"))
-    parts = parts.withColumn("before_part", F.sum("pc").over(Window.orderBy("part")) - F.col("pc")).select("part", "before_part")  # 256 rows
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    rows = values.crossJoin(F.broadcast(bounds)).withColumn("part", part).drop("lo", "hi")
+    parts = rows.groupBy("part").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
+    down = Window.orderBy("part")  # PARTS rows
+    parts = parts.select("part", *[(F.sum(f"all_{c}").over(down) - F.col(f"all_{c}")).alias(f"start_{c}") for c in counts])
     inside = Window.partitionBy("part").orderBy(value)
-    ranked = values.join(F.broadcast(parts), "part").withColumn("before", F.col("before_part") + F.sum("c").over(inside) - F.col("c"))
-    ranked = ranked.select(value, "c", (F.col("before") + (F.col("c") + 1) / 2).alias("avg_rank"))
+    rows = rows.join(F.broadcast(parts), "part")
+    return rows.select(*values.columns, *[(F.col(f"start_{c}") + F.sum(c).over(inside) - F.col(c)).alias(f"before_{c}") for c in counts])
+
+
+def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group, n, rank_sum, with the table's total and tie term: ranks from counts of distinct values, never of all rows."""
+    counts = stored(df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k")))
+    values = running(counts.groupBy(value).agg(F.sum("k").alias("c")), value, ["c"])
+    ranked = values.select(value, "c", (F.col("before_c") + (F.col("c") + 1) / 2).alias("avg_rank"))
     joined = counts.join(ranked, value)
     cube = F.col("c").cast("double") * F.col("c") - 1  # over the c rows of a value: c^3 - c in all
     out = joined.groupBy(group).agg(F.sum("k").alias("n"), F.sum(F.col("avg_rank") * F.col("k")).alias("rank_sum"), F.sum(cube * F.col("k")).alias("ties"))
-    everything = Window.partitionBy()
-    return out.withColumn("total", F.sum("n").over(everything)).withColumn("tie_sum", F.sum("ties").over(everything)).drop("ties")
+    everything = Window.partitionBy()  # one row a group
+    return stored(out.withColumn("total", F.sum("n").over(everything)).withColumn("tie_sum", F.sum("ties").over(everything)).drop("ties"))
 
 
 def kruskal_wallis(sums: DataFrame) -> DataFrame:
@@ -172,25 +196,26 @@ def dunn_test(sums: DataFrame, group: str) -> DataFrame:
 
 def ks_two_sample(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
     """One row: the largest distance of two groups' distribution functions, and the limit distribution's p."""
-    counts = df.filter(F.col(group).isin(first, second)).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
-    w = Window.orderBy(value)  # distinct values of a spell length: few hundred rows
-    both = Window.partitionBy()
-    d = F.abs(F.sum("a").over(w) / F.sum("a").over(both) - F.sum("b").over(w) / F.sum("b").over(both))
-    out = counts.withColumn("d", d).agg(F.max("d").alias("d_stat"), F.sum("a").alias("n_1"), F.sum("b").alias("n_2")).filter("n_1 > 5 AND n_2 > 5")
+    counts = stored(df.filter(F.col(group).isin(first, second)).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b")))
+    sizes = counts.agg(F.sum("a").alias("n_1"), F.sum("b").alias("n_2")).filter("n_1 > 5 AND n_2 > 5")
+    rows = running(counts, value, ["a", "b"]).crossJoin(F.broadcast(sizes))  # one row
+    d = F.abs((F.col("before_a") + F.col("a")) / F.col("n_1") - (F.col("before_b") + F.col("b")) / F.col("n_2"))
+    out = rows.groupBy("n_1", "n_2").agg(F.max(d).alias("d_stat")).select("d_stat", "n_1", "n_2")
     return out.withColumn("p", _udf(lambda d, n, m: kolmogorov_sf(d, n * m / (n + m)))(F.col("d_stat"), F.col("n_1"), F.col("n_2")))
 
 
 def kendall_trend(df: DataFrame, group: str, order: str, value: str, least: int = 4) -> DataFrame:
-    """Tau-b of value against order in each group of at least `least` rows, its normal p and direction; one row a year."""
+    """Tau-b of value against order in each group of at least `least` rows, its p (exact for few rows) and direction; one row a year."""
     a = df.select(group, F.col(order).alias("x1"), F.col(value).alias("y1"))
     b = df.select(group, F.col(order).alias("x2"), F.col(value).alias("y2"))
     pairs = a.join(b, group).filter("x1 < x2")
     s = F.signum(F.col("y2") - F.col("y1"))
     sums = pairs.groupBy(group).agg(F.sum(s).alias("s"), F.count("*").alias("pairs"), F.count_if(s == 0).alias("tied"))
-    n = df.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    out = sums.join(n, group).withColumn("tau", F.col("s") / F.sqrt(F.col("pairs").cast("double") * (F.col("pairs") - F.col("tied"))))
-    k = F.col("n").cast("double")
-    out = out.withColumn("z", F.col("s") / F.sqrt(k * (k - 1) * (2 * k + 5) / 18)).withColumn("p", normal_p("z"))
+    c = F.col("c").cast("double")
+    n = df.groupBy(group, value).agg(F.count("*").alias("c")).groupBy(group).agg(F.sum("c").alias("n"), F.sum(c * (c - 1) * (2 * c + 5)).alias("tied_sum"))
+    n = n.filter(F.col("n") >= least)
+    out = sums.join(n, group).withColumn("tau", F.try_divide(F.col("s"), F.sqrt(F.col("pairs").cast("double") * (F.col("pairs") - F.col("tied")))))
+    out = out.withColumn("p", _udf(lambda s, n, t: _kendall(s, int(n), t))(F.col("s"), F.col("n"), F.col("tied_sum")))
     return out.select(group, "n", "tau", "p", F.when(F.col("tau") > 0, "increasing").when(F.col("tau") < 0, "decreasing").otherwise("flat").alias("direction"), stars(F.col("p")).alias("sig"))
 
 

@@ -79,12 +79,16 @@ def breakpoint_sensitivity(draws: DataFrame, grid=tuple(round(0.80 + 0.05 * i, 2
 
 
 def posterior_summary(draws: DataFrame, mass: float = 0.90) -> DataFrame:
-    """Mean, deviation and the narrowest interval of the given mass for each parameter."""
-    rows = draws.groupBy("param", "idx").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.array_sort(F.collect_list("value")).alias("v"))
-    rows = rows.withColumn("k", F.floor(F.size("v") * mass).cast("int"))
-    spans = F.transform(F.sequence(F.lit(1), F.size("v") - F.col("k")), lambda i: F.struct((F.element_at("v", i + F.col("k")) - F.element_at("v", i)).alias("w"), F.element_at("v", i).alias("lo"), F.element_at("v", i + F.col("k")).alias("hi")))
-    best = F.array_min(F.when(F.size("v") > F.col("k"), spans))
-    return rows.withColumn("b", best).select("param", "idx", "mean", "sd", F.col("b.lo").alias("hdi_low"), F.col("b.hi").alias("hdi_high"))
+    """Mean, deviation and the narrowest interval of the given mass for each parameter.
+
+    A parameter's draws are numbered by value and each meets the one that ends its interval, so none are gathered.
+    """
+    moments = draws.groupBy("param", "idx").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+    order = Window.partitionBy("param", "idx").orderBy("value")
+    rows = draws.filter("value IS NOT NULL").select("param", "idx", "value").withColumn("i", F.row_number().over(order)).join(F.broadcast(moments.select("param", "idx", "n")), ["param", "idx"])
+    ends = rows.select("param", "idx", F.col("value").alias("high"), (F.col("i") - F.floor(F.col("n") * mass)).alias("i"))
+    spans = rows.join(ends, ["param", "idx", "i"]).groupBy("param", "idx").agg(F.min(F.struct((F.col("high") - F.col("value")).alias("w"), F.col("value").alias("lo"), F.col("high").alias("hi"))).alias("b"))
+    return moments.join(spans, ["param", "idx"], "left").select("param", "idx", "mean", "sd", F.col("b.lo").alias("hdi_low"), F.col("b.hi").alias("hdi_high"))
 
 
 def split_rhat(draws: DataFrame) -> DataFrame:
@@ -111,7 +115,8 @@ def _diagnose(pdf: pd.DataFrame) -> pd.DataFrame:
         var = (n - 1) / n * w + b
         rhat = math.sqrt(var / w)
         centred = z - z.mean(1, keepdims=True)
-        auto = np.array([(centred[:, : n - t] * centred[:, t:]).sum(1).mean() / n for t in range(n)])
+        spectrum = np.abs(np.fft.rfft(centred, 2 * n)) ** 2  # autocovariances of all lags at once
+        auto = np.fft.irfft(spectrum, 2 * n)[:, :n].mean(0) / n
         rho = 1 - (w - auto) / var
         rho[0], total, last = 1, 0.0, math.inf
         for t in range(0, n - 1, 2):

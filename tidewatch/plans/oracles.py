@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from ..config import INTENSITY, SPELL_DAYS, WEIGHTS
+from ..config import INTENSITY, SENSITIVITY_SETS, SPELL_DAYS, WEIGHTS
 
 _CASE = {0: "SAFE", 1: "CHRONIC", 2: "UNSTABLE", 3: "CRITICAL"}
 
@@ -143,7 +143,6 @@ def _r(*names: str, **exprs: str) -> str:
 
 _ROWCOL = "row_ AS row, col_ AS col"
 _TYPE = "CASE WHEN contains(upper(hf_id), 'PHCC') OR contains(upper(hf_id), 'HOSPITAL') THEN"
-_SETS = {"Conservative": ((130, 1.00), (70, 0.75), (40, 0.50), (16, 0.25), (6, 0.10)), "Base": SPELL_DAYS, "Aggressive": ((70, 1.00), (45, 0.75), (25, 0.50), (10, 0.25), (3, 0.10))}
 _STATS = ", ".join(["count(v) AS count", _r(mean="avg(v)", std="stddev_pop(v)", min="min(v)", max="max(v)", median="median(v)", q25=_q("v", 0.25), q75=_q("v", 0.75)), "count(*) FILTER (value = 0) AS zeros", _r(zeros_pct="count(*) FILTER (value = 0) * 100.0 / count(*)")])
 _COUNTS = "days_flooded, days_loss_gt50, days_loss_gt75, days_loss_100, n_spells_15plus, hf_category"
 
@@ -168,8 +167,8 @@ _BODIES: dict[str, str] = {
     "invalid_code_maps": "SELECT DISTINCT map_date, code FROM pix WHERE code NOT IN (1, 30, 50, 200)",
     "season_label": "SELECT map_date, season, season_year, count(*) AS pixels FROM binx GROUP BY ALL",
     "map_catalog": "SELECT *, CASE WHEN month(map_date) >= 11 OR month(map_date) <= 4 THEN 'dry' ELSE 'wet' END AS season, year(map_date)::INTEGER AS year, (year(map_date) + (month(map_date) >= 11)::INTEGER)::INTEGER AS season_year FROM (SELECT DISTINCT map_date, CASE WHEN day(map_date) % 5 = 0 THEN 'scene_' || strftime(map_date, '%Y%m%d') ELSE 'flood_e' || strftime(map_date, '%Y%m%d') || '_v1.tif' END AS file_name, CASE WHEN day(map_date) % 5 <> 0 THEN map_date END AS strict_date FROM pix)",
-    "tile_unpack": f"SELECT map_date, {_ROWCOL}, code FROM pix WHERE col_ < 24",
-    "window_scan": "SELECT row_ AS row, count(*) AS pixels, count(*) FILTER (code = 200) AS flooded FROM pix WHERE row_ BETWEEN 5 AND 9 GROUP BY 1",
+    "tile_unpack": f"SELECT map_date, {_ROWCOL}, code FROM pix",
+    "window_scan": "SELECT row_ // 5 AS \"window\", row_ AS row, count(*) AS pixels, count(*) FILTER (code = 200) AS flooded FROM pix GROUP BY ALL",
     "hazard_annual": f"SELECT year, {_ROWCOL}, {_r(flood_frequency='avg(value)')}, coalesce(sum(value), 0)::INTEGER AS flood_duration FROM binx GROUP BY year, row_, col_",
     "hazard_seasonal": f"SELECT season_year, season, {_ROWCOL}, {_r(flood_frequency='avg(value)')}, coalesce(sum(value), 0)::INTEGER AS flood_duration FROM binx GROUP BY season_year, season, row_, col_",
     "hazard_annual_3": f"SELECT year, {_ROWCOL}, {_r('flood_frequency')}, flood_duration, valid_obs, max_consecutive FROM haz",
@@ -182,7 +181,12 @@ _BODIES: dict[str, str] = {
     "band_correlation": "SELECT year, pair, round(r + 1e-9::DOUBLE, 6) AS r, round(avg(r) OVER (PARTITION BY pair) + 1e-9::DOUBLE, 6) AS mean_r FROM ("
     + " UNION ALL ".join(f"SELECT year, '{a}:{b}' AS pair, CASE WHEN isnan(corr({a}::DOUBLE, {b}::DOUBLE)) THEN NULL ELSE corr({a}::DOUBLE, {b}::DOUBLE) END AS r FROM haz WHERE flood_frequency IS NOT NULL GROUP BY year" for i, a in enumerate(_BANDS) for b in _BANDS[i + 1 :])
     + ")",
-    "year_correlation": f"SELECT a.year AS year_1, b.year AS year_2, {_r(r='corr(a.flood_frequency, b.flood_frequency)')}, count(*) AS pixels FROM haz a JOIN haz b ON a.row_ = b.row_ AND a.col_ = b.col_ AND a.year < b.year WHERE a.flood_frequency IS NOT NULL AND b.flood_frequency IS NOT NULL GROUP BY ALL",
+    "year_correlation": "SELECT year_1, year_2, band, pixels, round(r + 1e-9::DOUBLE, 6) AS r FROM ("
+    + " UNION ALL ".join(
+        f"SELECT a.year AS year_1, b.year AS year_2, '{b}' AS band, count(*) AS pixels, CASE WHEN min(a.{b}) < max(a.{b}) AND min(b.{b}) < max(b.{b}) THEN corr(a.{b}::DOUBLE, b.{b}::DOUBLE) END AS r FROM haz a JOIN haz b ON a.row_ = b.row_ AND a.col_ = b.col_ AND a.year < b.year WHERE a.flood_frequency IS NOT NULL AND b.flood_frequency IS NOT NULL GROUP BY ALL"
+        for b in _BANDS
+    )
+    + ")",
     "raster_quality": f"SELECT year, count(*) AS total, count(flood_frequency) AS valid, {_r(coverage_pct='count(flood_frequency) * 100.0 / count(*)')}, count(*) FILTER (valid_obs > o) AS count_over_observed, count(*) FILTER (flood_duration > flood_frequency * o + 1e-5) AS duration_over_frequency, count(*) FILTER (max_consecutive > flood_duration + 1e-5) AS consecutive_over_duration, count(*) FILTER (flood_frequency = 0 AND (flood_duration > 0 OR max_consecutive > 0)) AS zero_frequency_conflicts, {_r(completeness_pct='avg(valid_obs) * 100.0 / max(o)')} FROM haz JOIN (SELECT year, count(DISTINCT map_date) - 1 AS o FROM binx GROUP BY 1) USING (year) GROUP BY year",
     "trend_by_band": f"SELECT band, {_r(slope='regr_slope(m, year)', intercept='regr_intercept(m, year)', r_squared='regr_r2(m, year)')}, CASE WHEN regr_slope(m, year) > 0 THEN 'increasing' WHEN regr_slope(m, year) < 0 THEN 'decreasing' ELSE 'flat' END AS trend, count(*) AS years FROM yearly GROUP BY band",
     "persistence": f"SELECT {_ROWCOL}, persistence, {_r('persistence_pct', 'cv')}, valid_years FROM pers",
@@ -192,9 +196,9 @@ _BODIES: dict[str, str] = {
     "lag1_autocorrelation": f"SELECT band, {_r(autocorrelation='CASE WHEN isnan(corr(m, p)) THEN NULL ELSE corr(m, p) END')}, count(p) AS pairs FROM (SELECT *, lag(m) OVER (PARTITION BY band ORDER BY year) AS p FROM yearly) GROUP BY band",
     "zero_share_pivot": "SELECT year, " + ", ".join(f"round(max(z) FILTER (band = '{b}') * 100 + 1e-9::DOUBLE, 6) AS zero_{b}" for b in _BANDS) + " FROM yearly GROUP BY year",
     "freq_hist": _hist("haz", "flood_frequency", 0.0, 1.0, 20, "year"),
-    "stratified_sample": f"SELECT year, {_ROWCOL}, band, {_r('value')}, stratum FROM (SELECT *, CASE WHEN value = 0 THEN 'zero' ELSE 'positive' END AS stratum FROM long) QUALIFY row_number() OVER (PARTITION BY year, band, stratum ORDER BY md5(row_ || '#' || col_ || '#42'), row_, col_) <= CASE WHEN stratum = 'zero' THEN 60 ELSE 140 END",
-    "cap_sample": f"SELECT year, {_ROWCOL}, {_r('flood_frequency')}, flood_duration, valid_obs, max_consecutive FROM haz WHERE flood_frequency IS NOT NULL QUALIFY row_number() OVER (ORDER BY md5(year || '#' || row_ || '#' || col_ || '#42')) <= 300",
-    "systematic_sample": f"SELECT {_ROWCOL}, persistence, i // s AS sample_no FROM (SELECT *, row_number() OVER (ORDER BY row_, col_) - 1 AS i, greatest(count(*) OVER () // 150, 1) AS s FROM pers) WHERE i % s = 0 AND i // s < 150",
+    "stratified_sample": f"SELECT year, {_ROWCOL}, band, {_r('value')}, stratum FROM (SELECT *, CASE WHEN value = 0 THEN 'zero' ELSE 'positive' END AS stratum FROM long) QUALIFY row_number() OVER (PARTITION BY year, band, stratum ORDER BY md5(row_ || '#' || col_ || '#42'), row_, col_) <= CASE WHEN stratum = 'zero' THEN 1500 ELSE 3500 END",
+    "cap_sample": f"SELECT year, {_ROWCOL}, {_r('flood_frequency')}, flood_duration, valid_obs, max_consecutive FROM haz WHERE flood_frequency IS NOT NULL QUALIFY row_number() OVER (ORDER BY md5(year || '#' || row_ || '#' || col_ || '#42')) <= 3000",
+    "systematic_sample": f"SELECT {_ROWCOL}, persistence, i // s AS sample_no FROM (SELECT *, row_number() OVER (ORDER BY row_, col_) - 1 AS i, greatest(count(*) OVER () // 1500, 1) AS s FROM pers) WHERE i % s = 0 AND i // s < 1500",
     "variogram": f"SELECT bin, {_r(semivariance='avg(half)')}, count(*) AS pairs, {_r(center='(bin + 0.5) * any_value(far) / 12')} FROM (SELECT *, floor(dist / (far / 12))::INTEGER AS bin FROM (SELECT *, (SELECT quantile_cont(dist, 0.6) FROM prs) AS far FROM prs)) WHERE bin < 12 GROUP BY bin HAVING count(*) > 5",
     "valid_facilities": f"SELECT county_code, payam_code, hf_id, {_r('longitude', 'latitude')}, functional_status FROM facv",
     "facility_type_buffer": f"SELECT hf_id, {_TYPE} 'PHCC' ELSE 'PHCU' END AS hf_type, {_TYPE} 60 ELSE 40 END AS buffer_pixels, {_TYPE} 5400.0::DOUBLE ELSE 3600.0::DOUBLE END AS buffer_meters FROM fac",
@@ -234,10 +238,10 @@ _BODIES: dict[str, str] = {
     "kruskal_wallis": f"SELECT {_r(h_stat='(12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) ** 3 - max(total)))')}, count(*) - 1 AS df FROM sums",
     "dunn_test": "SELECT a.hf_category AS group_1, b.hf_category AS group_2, round(round((a.rs / a.n - b.rs / b.n) / sqrt((a.total * (a.total + 1) / 12 - a.ties / (12 * (a.total - 1))) * (1 / a.n + 1 / b.n)), 3), 6) AS z_stat FROM sums a JOIN sums b ON a.hf_category < b.hf_category",
     "seasonal_risk": f"SELECT hf_category, month, {_r('median', 'p05', 'p95')}, first_value(month) OVER (PARTITION BY hf_category ORDER BY round(x.median, 9) DESC, month)::INTEGER AS peak_month FROM (SELECT hf_category, month, median(loss) AS median, {_q('loss', 0.05)} AS p05, {_q('loss', 0.95)} AS p95 FROM obs_mon JOIN obs_st USING (hf_id, year) GROUP BY ALL) x",
-    "temporal_trend": f"SELECT hf_category, year, {_r('flood_freq_med', 'mean_loss_med', 'days_gt50_med', 'days_gt75_med')} FROM trend WHERE year <= 2000",
+    "temporal_trend": f"SELECT hf_category, year, {_r('flood_freq_med', 'mean_loss_med', 'days_gt50_med', 'days_gt75_med')} FROM trend",
     "kendall_trend": f"SELECT hf_category, n, {_r(tau='s / sqrt(p * (p - t))')}, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'flat' END AS direction FROM (SELECT a.hf_category, sum(sign(round(b.flood_freq_med, 9) - round(a.flood_freq_med, 9)))::DOUBLE AS s, count(*)::DOUBLE AS p, count(*) FILTER (round(b.flood_freq_med, 9) = round(a.flood_freq_med, 9)) AS t FROM trend a JOIN trend b ON a.hf_category = b.hf_category AND a.year < b.year GROUP BY 1) JOIN (SELECT hf_category, count(*) AS n FROM trend GROUP BY 1 HAVING count(*) >= 4) USING (hf_category)",
     "trend_regression": f"SELECT hf_category, {_r(slope='regr_slope(days_flooded::DOUBLE, year)', intercept='regr_intercept(days_flooded::DOUBLE, year)', r_squared='regr_r2(days_flooded::DOUBLE, year)')}, count(*) AS n FROM obs_st GROUP BY 1",
-    "r1_sensitivity": " UNION ALL ".join(f"SELECT '{label}' AS label, hf_category, round(median(l) + 1e-9::DOUBLE, 6) AS median_loss FROM (SELECT hf_id, scenario_id, hf_category, avg(CASE WHEN spell_id >= 0 THEN {_step('spell_duration', limits)} ELSE 0.0 END) AS l FROM syn_l GROUP BY ALL) GROUP BY hf_category" for label, limits in _SETS.items()),
+    "r1_sensitivity": " UNION ALL ".join(f"SELECT '{label}' AS label, hf_category, round(median(l) + 1e-9::DOUBLE, 6) AS median_loss FROM (SELECT hf_id, scenario_id, hf_category, avg(CASE WHEN spell_id >= 0 THEN {_step('spell_duration', limits)} ELSE 0.0 END) AS l FROM syn_l GROUP BY ALL) GROUP BY hf_category" for label, limits in SENSITIVITY_SETS.items()),
     "category_backfill": "SELECT hf_id, hf_category, count(*) AS days FROM syn GROUP BY ALL",
     "spell_percentiles": "SELECT round(COLUMNS(*) + 1e-9::DOUBLE, 6) FROM pct",
     "spell_quantiles_by_category": f"SELECT hf_category, {_r(dur_p75=_q('duration', 0.75), dur_p90=_q('duration', 0.9), dur_p95=_q('duration', 0.95))} FROM obs_s GROUP BY 1",
@@ -269,13 +273,123 @@ _BODIES: dict[str, str] = {
     "breakpoint_sensitivity": f"SELECT t_year, {_r(mean='avg(m)', p05=_q('m', 0.05), p95=_q('m', 0.95))} FROM (SELECT b.chain, b.draw, t_year, avg(e.value / (1 + exp(-k.value * (t_year - b.value)))) AS m FROM drw b JOIN drw e ON e.param = 'delta' AND b.param = 't_break' AND b.chain = e.chain AND b.draw = e.draw AND b.idx = e.idx JOIN drw k ON k.param = 'kappa' AND k.chain = b.chain AND k.draw = b.draw CROSS JOIN (SELECT unnest([0.8, 0.85, 0.9, 0.95, 1.0, 1.05, 1.1, 1.15, 1.2, 1.25, 1.3])::DOUBLE AS t_year) GROUP BY ALL) GROUP BY t_year",
     "posterior_summary": f"SELECT param, idx, {_r('mean', 'sd', hdi_low='w.lo', hdi_high='w.hi')} FROM (SELECT param, idx, avg(value) AS mean, stddev_samp(value) AS sd FROM drw GROUP BY ALL) x JOIN (SELECT param, idx, value AS lo, hi, row_number() OVER (PARTITION BY param, idx ORDER BY hi - value, value) AS o FROM (SELECT *, first_value(value) OVER (PARTITION BY param, idx ORDER BY i ROWS BETWEEN 0 FOLLOWING AND 0 FOLLOWING) AS me, (SELECT value FROM srt s2 WHERE s2.param = s1.param AND s2.idx = s1.idx AND s2.i = s1.i + floor(s1.n * 0.9)::BIGINT) AS hi FROM srt s1) WHERE hi IS NOT NULL) w USING (param, idx) WHERE w.o = 1",
     "split_rhat": f"SELECT param, idx, {_r(rhat='sqrt(((k - 1)::DOUBLE / k * w + b) / w)')} FROM (SELECT param, idx, var_samp(m) AS b, avg(v) AS w, max(k) AS k FROM (SELECT param, idx, chain, i <= n // 2 AS part, avg(value) AS m, var_samp(value) AS v, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY param, idx, chain ORDER BY draw) AS i, count(*) OVER (PARTITION BY param, idx, chain) AS n FROM drw) WHERE i <= n // 2 OR i > n - n // 2 GROUP BY ALL) GROUP BY ALL)",
-    "subsample_stability": f"SELECT size, {_r(width_annual_days='avg(a)', width_mean_pct='avg(p)')} FROM (SELECT size, rep, {_q('days', 0.95)} - {_q('days', 0.05)} AS a, {_q('pct', 0.95)} - {_q('pct', 0.05)} AS p FROM (SELECT *, row_number() OVER (PARTITION BY size, rep ORDER BY md5(hf_id || '#' || rep || '#' || size || '#42')) AS n FROM (SELECT hf_id, sum(occurrence)::DOUBLE AS days, round(avg(pct_flooded), 9) AS pct FROM syn GROUP BY 1), (SELECT unnest(range(1, 21)) AS rep), (SELECT unnest(range(5, 51, 5))::INTEGER AS size)) WHERE n <= size GROUP BY ALL) GROUP BY size",
+    "subsample_stability": f"SELECT size, {_r(width_annual_days='avg(a)', width_mean_pct='avg(p)')} FROM (SELECT size, rep, {_q('days', 0.95)} - {_q('days', 0.05)} AS a, {_q('pct', 0.95)} - {_q('pct', 0.05)} AS p FROM (SELECT *, row_number() OVER (PARTITION BY size, rep ORDER BY md5(hf_id || '#' || rep || '#' || size || '#42')) AS n FROM (SELECT hf_id, sum(occurrence)::DOUBLE AS days, round(avg(pct_flooded), 9) AS pct FROM syn GROUP BY 1), (SELECT unnest(range(1, 201)) AS rep), (SELECT unnest(range(5, 51, 5))::INTEGER AS size)) WHERE n <= size GROUP BY ALL) GROUP BY size",
 }
 CTE["rk"] = f"SELECT hf_id, hf_category, median(annual_mean_loss) AS loss_p50, {_q('annual_mean_loss', 0.05)} AS loss_p05, {_q('annual_mean_loss', 0.95)} AS loss_p95, median(days_loss_gt50::DOUBLE) AS days_gt50, median(days_loss_gt75::DOUBLE) AS days_gt75, avg((days_loss_100 > 0)::INTEGER) AS p_total FROM syn_st GROUP BY ALL"
 CTE["pts"] = "SELECT row_, col_, cv, i // s AS no FROM (SELECT *, row_number() OVER (ORDER BY row_, col_) - 1 AS i, greatest(count(*) OVER () // 1500, 1) AS s FROM pers) WHERE i % s = 0 AND i // s < 1500"
 CTE["prs"] = "SELECT sqrt((a.row_ - b.row_) ** 2 + (a.col_ - b.col_) ** 2)::DOUBLE AS dist, (a.cv - b.cv) ** 2 / 2 AS half FROM pts a JOIN pts b ON a.no < b.no"
 CTE["srt"] = "SELECT *, row_number() OVER (PARTITION BY param, idx ORDER BY value) AS i, count(*) OVER (PARTITION BY param, idx) AS n FROM drw"
 
+
+def _simpson(f: str, low: str, high: str, n: int = 2000) -> str:
+    """The integral of f (of x) from low to high."""
+    x = f"({low}) + (({high}) - ({low})) * i / {n}"
+    return f"((({high}) - ({low})) / {3 * n} * list_sum(list_transform(range(0, {n + 1}), lambda i: CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({f.replace('@', x)}))))"
+
+
+def _normal_p(z: str) -> str:
+    """Two-sided tail of the normal distribution, 0 beyond nine deviations."""
+    inside = _simpson("exp(-(@) * (@) / 2)", "0.0::DOUBLE", f"least(abs({z}), 9.0::DOUBLE)")
+    return f"greatest(0.0::DOUBLE, 1 - 2 / sqrt(2 * pi()) * {inside})"
+
+
+def _t_p(t: str, df: str) -> str:
+    inside = _simpson(f"pow(cos(@), ({df}) - 1)", "0.0::DOUBLE", f"atan(abs({t}) / sqrt({df}))")
+    return f"greatest(0.0::DOUBLE, 1 - 2 / sqrt(pi()) * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) * {inside})"
+
+
+def _stars(p: str) -> str:
+    return f"CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE 'ns' END"
+
+
+def _regression_p(source: str, group: str, x: str, y: str) -> str:
+    inner = f"SELECT {group}, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, regr_r2({y}, {x}) AS r_squared, count(*) AS n FROM {source} GROUP BY {group}"
+    return f"SELECT *, CASE WHEN n > 2 AND r_squared < 1 THEN {_t_p('sqrt(r_squared * (n - 2) / (1 - r_squared))', 'n - 2')} END AS p FROM ({inner})"
+
+
+def _calibrated() -> str:
+    """The loss under thresholds taken from the spells' own percentiles, one row of them in cal."""
+    step = lambda v, names: "CASE " + " ".join(f"WHEN {v} >= {n} THEN {x}::DOUBLE" for n, x in names) + " ELSE 0.0::DOUBLE END"
+    spell = [(f"d{p}", x) for p, x in ((99, 1.0), (95, 0.75), (90, 0.5), (75, 0.25), (50, 0.1))]
+    rules = [step("spell_duration", spell), step("mean_pct_flooded * spell_duration", [(f"i{p}", x) for p, x in ((99, 0.8), (95, 0.5), (90, 0.25), (75, 0.1))]), "CASE WHEN min_distance < near1 THEN 0.5::DOUBLE WHEN min_distance < near2 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END", step("merged_duration", spell)]
+    score = " + ".join(f"{w}::DOUBLE * CASE WHEN spell_id >= 0 THEN {r} ELSE 0.0::DOUBLE END" for w, r in zip(WEIGHTS, rules, strict=True))
+    mult = "CASE hf_category WHEN 'CHRONIC' THEN 1.2::DOUBLE WHEN 'UNSTABLE' THEN 1.4::DOUBLE WHEN 'CRITICAL' THEN 1.6::DOUBLE ELSE 1.0::DOUBLE END"
+    return f"SELECT hf_id, year, least(greatest(({score}) / {sum(WEIGHTS)}::DOUBLE * {mult}, 0.0::DOUBLE), 1.0::DOUBLE) AS combined_loss FROM obs_l, cal"
+
+
+_NEW = "CASE reason WHEN 'safe_emerged_high' THEN 'UNSTABLE' WHEN 'critical_now_persistent' THEN 'UNSTABLE' WHEN 'safe_emerged_mid' THEN 'CHRONIC' WHEN 'safe_emerged_low' THEN 'CHRONIC' ELSE hf_category END"
+_KS = "SELECT max(abs(fa - fb)) AS d_stat, max(na)::BIGINT AS n_1, max(nb)::BIGINT AS n_2 FROM (SELECT v, (SELECT avg((duration <= v)::INTEGER) FROM obs_s WHERE hf_category = 'SAFE') AS fa, (SELECT avg((duration <= v)::INTEGER) FROM obs_s WHERE hf_category = 'CRITICAL') AS fb, (SELECT count(*) FROM obs_s WHERE hf_category = 'SAFE') AS na, (SELECT count(*) FROM obs_s WHERE hf_category = 'CRITICAL') AS nb FROM (SELECT DISTINCT duration AS v FROM obs_s))"
+
+# rank tests: the exact distribution of U by all ways to choose the ranks of the first group, else the normal one
+CTE["mw_sizes"] = "SELECT DISTINCT n_pre AS n, n_post AS m FROM tests"
+CTE["mw_u"] = "SELECT n, m, list_sum(list_transform(range(0, n + m), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) - n * (n + 1) / 2 AS u FROM (SELECT n, m, unnest(range(0, (1::BIGINT << (n + m)::INTEGER))) AS mask FROM mw_sizes) WHERE bit_count(mask) = n"
+CTE["mw_ties"] = "SELECT hf_id, sum(c * (c * c - 1))::DOUBLE AS ties FROM (SELECT hf_id, flood_freq, count(*) AS c FROM ann GROUP BY ALL) GROUP BY hf_id"
+CTE["mw_z"] = "SELECT tests.*, mean_post - mean_pre AS delta, u_stat, ties, n_pre * n_post / 12.0 * ((n_pre + n_post + 1) - ties / ((n_pre + n_post) * (n_pre + n_post - 1))) AS var FROM tests JOIN wins USING (hf_id) JOIN mw_ties USING (hf_id)"
+CTE["mw_p"] = f"SELECT *, CASE WHEN ties = 0 AND least(n_pre, n_post) <= 8 THEN least(1.0::DOUBLE, 2.0 * (SELECT count(*) FROM mw_u WHERE n = n_pre AND m = n_post AND u >= ceil(greatest(u_stat, n_pre * n_post - u_stat))) / (SELECT count(*) FROM mw_u WHERE n = n_pre AND m = n_post)) WHEN var <= 0 THEN 1.0::DOUBLE ELSE {_normal_p('greatest(0.0::DOUBLE, abs(u_stat - n_pre * n_post / 2.0) - 0.5) / sqrt(var)')} END AS pval FROM mw_z"
+CTE["recl_c"] = "SELECT *, CASE WHEN hf_category = 'SAFE' THEN CASE WHEN sig THEN 'SAFE_CHANGED' WHEN mean_post >= 0.1 THEN 'SAFE_EMERGED' ELSE 'SAFE_CONFIRMED' END WHEN sig AND delta > 0.1 THEN 'INCREASED' WHEN sig AND delta < -0.1 THEN 'DECREASED' WHEN NOT sig AND mean_post < 0.1 THEN 'STABLE_LOW' WHEN NOT sig THEN 'STABLE' ELSE 'MARGINAL' END AS change_type FROM (SELECT *, pval < 0.05 AS sig FROM mw_p)"
+CTE["recl_r"] = "SELECT *, CASE WHEN n_post < 3 THEN 'uncertain_few_years' WHEN hf_category = 'SAFE' AND change_type = 'SAFE_CHANGED' AND mean_post > 0.4 THEN 'safe_emerged_high' WHEN hf_category = 'SAFE' AND change_type = 'SAFE_CHANGED' AND mean_post > 0.1 THEN 'safe_emerged_mid' WHEN hf_category = 'SAFE' AND change_type = 'SAFE_EMERGED' THEN 'safe_emerged_low' WHEN hf_category = 'CRITICAL' AND change_type = 'INCREASED' AND mean_post > 0.5 THEN 'critical_now_persistent' ELSE 'no_change' END AS reason FROM recl_c"
+CTE["recl"] = f"SELECT hf_id, hf_category AS cat_original, {_NEW} AS cat_new, mean_pre, mean_post, delta, change_type, n_post AS n_years_post, {_NEW} <> hf_category AS reclassified, reason FROM recl_r"
+CTE["dunn"] = f"SELECT *, {_normal_p('z')} AS p_raw FROM (SELECT a.hf_category AS group_1, b.hf_category AS group_2, (a.rs / a.n - b.rs / b.n) / sqrt((a.total * (a.total + 1) / 12 - a.ties / (12 * (a.total - 1))) * (1 / a.n + 1 / b.n)) AS z FROM sums a JOIN sums b ON a.hf_category < b.hf_category)"
+CTE["kru"] = "SELECT (12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) ** 3 - max(total))) AS h_stat, count(*) - 1 AS df FROM sums"
+CTE["cal"] = "SELECT round_even(dur_p50, 0) AS d50, round_even(dur_p75, 0) AS d75, round_even(dur_p90, 0) AS d90, round_even(dur_p95, 0) AS d95, round_even(dur_p99, 0) AS d99, round_even(int_p75, 2) AS i75, round_even(int_p90, 2) AS i90, round_even(int_p95, 2) AS i95, round_even(int_p99, 2) AS i99, round_even(dist_p25, 1) AS near1, round_even(dist_p50, 1) AS near2 FROM pct"
+CTE["kdt"] = "SELECT hf_category, year, round(mean_loss_med, 9) AS v FROM trend"
+CTE["kds"] = "SELECT a.hf_category, sum(sign(b.v - a.v))::DOUBLE AS s, count(*)::DOUBLE AS pairs, count(*) FILTER (b.v = a.v) AS t FROM kdt a JOIN kdt b ON a.hf_category = b.hf_category AND a.year < b.year GROUP BY 1"
+CTE["kdn"] = "SELECT hf_category, sum(c)::BIGINT AS n, sum(c * (c - 1) * (2 * c + 5))::DOUBLE AS tied FROM (SELECT hf_category, v, count(*) AS c FROM kdt GROUP BY ALL) GROUP BY 1 HAVING sum(c) >= 4"
+# a permutation is a number in the factorial system, and the sum of its digits its inversions
+CTE["perm"] = "SELECT n, inversions, count(*) AS ways FROM (SELECT n, list_sum(list_transform(range(1, n), lambda i: (code // factorial(i::INTEGER)::BIGINT) % (i + 1))) AS inversions FROM (SELECT n, unnest(range(0, factorial(n::INTEGER)::BIGINT)) AS code FROM (SELECT DISTINCT n FROM kdn WHERE tied = 0))) GROUP BY ALL"
+CTE["kend"] = f"SELECT hf_category, n, s / sqrt(pairs * (pairs - t)) AS tau, CASE WHEN tied > 0 THEN {_normal_p('s / sqrt((n * (n - 1) * (2 * n + 5) - tied) / 18)')} WHEN s = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * (SELECT sum(ways) FROM perm WHERE perm.n = kdn.n AND inversions <= (pairs - abs(s)) / 2) / factorial(kdn.n::INTEGER)::DOUBLE) END AS p FROM kds JOIN kdn USING (hf_category)"
+CTE["ks2"] = _KS
+CTE["bandlines"] = _regression_p("yearly", "band", "year", "m")
+CTE["floodlines"] = _regression_p("(SELECT hf_category, year, days_flooded::DOUBLE AS y FROM obs_st)", "hf_category", "year", "y")
+CTE["hfy"] = "SELECT hf_id, hf_type, buffer_pixels, year(date)::INTEGER AS year, count(*)::INTEGER AS n_days, sum(\"binary\")::INTEGER AS total_flooded_days, '[' || string_agg(\"binary\", ',' ORDER BY date) || ']' AS series_binary, '[' || string_agg(n_no_data, ',' ORDER BY date) || ']' AS series_no_data_count FROM bufm JOIN placed USING (hf_id) GROUP BY ALL"
+CTE["patch"] = "SELECT hf_id, round_even(avg(zone), 0)::INTEGER AS zone FROM placed JOIN zones ON row_ >= r - half AND row_ < r + half AND col_ >= c - half AND col_ < c + half WHERE r >= 0 AND r < h AND c >= 0 AND c < 25 GROUP BY 1"
+CTE["evw"] = "SELECT DISTINCT 'hf_' || user_id AS hf_id, ts::DATE AS day FROM events"
+CTE["evs"] = "SELECT *, sum(CASE WHEN before IS NULL OR day - before > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY hf_id ORDER BY day) AS grp FROM (SELECT *, lag(day) OVER (PARTITION BY hf_id ORDER BY day) AS before FROM evw)"
+# held streaks over the whole series of a pixel
+CTE["hold_w"] = "SELECT row_, col_, isle, count(*) AS k FROM (SELECT *, sum(CASE WHEN pc IS NULL OR clear > pc OR missing - pm > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY row_, col_ ORDER BY map_date) AS isle FROM (SELECT *, lag(clear) OVER v AS pc, lag(missing) OVER v AS pm FROM (SELECT *, count(*) FILTER (value = 0) OVER w AS clear, count(*) FILTER (value IS NULL) OVER w AS missing FROM bin WINDOW w AS (PARTITION BY row_, col_ ORDER BY map_date)) WHERE value = 1 WINDOW v AS (PARTITION BY row_, col_ ORDER BY map_date))) GROUP BY ALL"
+
+
+def _sum_of(pool: str, part: str) -> str:
+    return f"SELECT hf_id, count(*) AS days, sum(occurrence)::BIGINT AS wet, {_r(pct='sum(pct_flooded)', nearest='min(min_distance)')}, '{part}' AS part FROM {pool} GROUP BY hf_id"
+
+
+_META = "SELECT '{\"records\":' || (SELECT count(*) FROM hfy) || ',\"facilities\":' || (SELECT count(DISTINCT hf_id) FROM hfy) || ',\"years\":[' || (SELECT string_agg(year, ',' ORDER BY year) FROM (SELECT DISTINCT year FROM hfy)) || '],\"buffers\":[' || (SELECT string_agg(buffer_pixels, ',' ORDER BY buffer_pixels) FROM (SELECT DISTINCT buffer_pixels FROM hfy)) || '],\"types\":{' || (SELECT string_agg('\"' || hf_type || '\":' || n, ',' ORDER BY hf_type) FROM (SELECT hf_type, count(DISTINCT hf_id) AS n FROM hfy GROUP BY 1)) || '}}' AS metadata"
+
+_BODIES.update({
+    "pixel_window_scan": "SELECT row_ AS row, count(*) AS pixels, count(*) FILTER (code = 200) AS flooded FROM pix WHERE row_ < 10 GROUP BY 1",
+    "facility_csv_scan": f"SELECT county_code, payam_code, hf_id, {_r('longitude', 'latitude')}, trim(functional_status) AS functional_status FROM fac",
+    "pool_arrays_scan": "SELECT hf_id, year, n_days, series_binary, total_flooded_days FROM hfy",
+    "pool_csv_scan": f"SELECT hf_id, date, occurrence, {_r('pct_flooded', 'min_distance')}, year FROM obs",
+    "pool_by_facility_scan": "SELECT 'PHCC_a_b_' || hf_id AS hf_key, 'PHCC a/b ' || hf_id AS hf_id, count(*) AS days, sum(occurrence)::BIGINT AS wet FROM obs GROUP BY ALL",
+    "draws_scan": f"SELECT param, idx, chain, count(*) AS n, {_r(low='min(value)', high='max(value)')} FROM drw GROUP BY ALL",
+    "observed_synthetic_split": f"{_sum_of('obs', 'observed')} UNION ALL {_sum_of('syn', 'synthetic')}",
+    "new_maps_written": "SELECT map_date, count(*) AS pixels, sum(code)::BIGINT AS codes, CASE WHEN year(map_date) = 2012 THEN 1 ELSE 2 END AS call FROM pix GROUP BY map_date",
+    "hazard_written": f"SELECT year, {_ROWCOL}, {_r(flood_frequency='coalesce(flood_frequency, -9999)')}, {', '.join(f'coalesce({b}, -9999)::INTEGER AS {b}' for b in _BANDS[1:])}, {_r(flood_frequency_masked='flood_frequency')}, {', '.join(f'{b} AS {b}_masked' for b in _BANDS[1:])} FROM haz",
+    "review_list": "SELECT strftime(map_date, '%Y-%m-%d') || ' [' || string_agg(code, ',' ORDER BY code) || ']' AS line FROM (SELECT DISTINCT map_date, code FROM pix WHERE code NOT IN (1, 200)) GROUP BY map_date",
+    "year_summary_csv": "SELECT hf_id, hf_type, year, n_days, total_flooded_days FROM hfy",
+    "pool_metadata": _META,
+    "pool_metadata_document": _META,
+    "pool_arrays_export": "SELECT hf_id, year, series_no_data_count FROM hfy",
+    "results_written": "SELECT 'scenario_stats' AS name, count(*) AS rows FROM syn_st UNION ALL SELECT 'observed_stats', count(*) FROM obs_st UNION ALL SELECT 'ranking', count(DISTINCT hf_id) FROM syn_st UNION ALL SELECT 'exceedance', count(DISTINCT hf_id) FROM syn_st UNION ALL SELECT 'categories', count(DISTINCT hf_category) FROM syn_st UNION ALL SELECT 'seasons', count(*) FROM (SELECT DISTINCT hf_category, month FROM obs_mon JOIN obs_st USING (hf_id, year))",
+    "calibration_report": _suggest(),
+    "facility_zone_join": "SELECT hf_id, year, total_flooded_days, zone, (['SAFE','CHRONIC','UNSTABLE','CRITICAL'])[zone] AS zone_name FROM hfy JOIN patch USING (hf_id)",
+    "post_year_counts": "SELECT hf_id, hf_category, CASE WHEN hf_category = 'SAFE' THEN 0 ELSE count(*) FILTER (period = 'post') END::INTEGER AS n_years_post FROM ann GROUP BY hf_id, hf_category",
+    "scenario_grid": "SELECT hf_id, s::INTEGER AS scenario_id, 365::BIGINT AS days, DATE '2026-01-01' AS first_date, DATE '2026-12-31' AS last_date, (365 * 366 / 2)::BIGINT AS day_sum FROM (SELECT DISTINCT hf_id FROM obs), (SELECT unnest(range(0, 3)) AS s)",
+    "kruskal_wallis_p": f"SELECT {_r('h_stat')}, df, {_r(p='CASE df WHEN 1 THEN ' + _normal_p('sqrt(h_stat)') + ' WHEN 2 THEN exp(-h_stat / 2) WHEN 3 THEN ' + _normal_p('sqrt(h_stat)') + ' + sqrt(2 * h_stat / pi()) * exp(-h_stat / 2) END')} FROM kru",
+    "dunn_test_p": f"SELECT group_1, group_2, {_r(z_stat='round(z, 3)', p_raw='p_raw', p_bonf='b')}, {_stars('b')} AS sig FROM (SELECT *, least(p_raw * count(*) OVER (), 1.0::DOUBLE) AS b FROM dunn)",
+    "mann_whitney_pre_post": f"SELECT hf_id, hf_category, n_pre, n_post, {_r('mean_pre', 'mean_post', 'delta', 'u_stat', 'pval')}, pval < 0.05 AS significant FROM mw_p",
+    "reclassify": f"SELECT hf_id, cat_original, cat_new, {_r('mean_pre', 'mean_post', 'delta')}, change_type, n_years_post, reclassified, reason FROM recl",
+    "movement_counts": f"SELECT cat_original, cat_new, n, {_r(share='n / sum(n) OVER (PARTITION BY cat_original)')} FROM (SELECT cat_original, cat_new, count(*) AS n FROM recl GROUP BY ALL)",
+    "reclassified_pool": "SELECT cat_new AS hf_category, count(*) AS days, sum(occurrence)::BIGINT AS wet FROM obs JOIN recl USING (hf_id) GROUP BY cat_new",
+    "calibrated_loss": f"SELECT hf_id, year, {_r(annual_mean_loss='avg(combined_loss)', annual_max_loss='max(combined_loss)')} FROM ({_calibrated()}) GROUP BY ALL",
+    "trend_regression_p": f"SELECT hf_category, {_r('slope', 'intercept', 'r_squared')}, n, {_r('p')}, p < 0.05 AS significant FROM floodlines",
+    "band_trend_p": f"SELECT band, {_r('slope', 'r_squared', 'p')}, n FROM bandlines",
+    "ks_two_sample_p": f"SELECT {_r('d_stat')}, n_1, n_2, {_r(p='CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x))))) END')} FROM (SELECT *, (sqrt(en) + 0.12 + 0.11 / sqrt(en)) * d_stat AS x FROM (SELECT *, n_1 * n_2 / (n_1 + n_2)::DOUBLE AS en FROM ks2)) WHERE n_1 > 5 AND n_2 > 5",
+    "kendall_trend_loss": f"SELECT hf_category, n, {_r('tau', 'p')}, CASE WHEN tau > 0 THEN 'increasing' WHEN tau < 0 THEN 'decreasing' ELSE 'flat' END AS direction, {_stars('p')} AS sig FROM kend",
+    "session_spells_stream": "SELECT hf_id, min(day) AS start_date, max(day) AS end_date, (max(day) - min(day) + 1)::INTEGER AS length, count(*) AS wet_days FROM evs GROUP BY hf_id, grp",
+    "incremental_streak_stream": "SELECT row_ AS row, col_ AS col, valid_obs, flood_duration, coalesce(k, 0)::BIGINT AS max_consecutive FROM (SELECT row_, col_, count(value) AS valid_obs, coalesce(sum(value), 0)::BIGINT AS flood_duration FROM bin GROUP BY ALL) LEFT JOIN (SELECT row_, col_, max(k) AS k FROM hold_w GROUP BY ALL) USING (row_, col_)",
+})
+
 #: Results with dates, which are given as text.
 _DATES = {
     **dict.fromkeys(("binarize", "aoi_crop", "invalid_code_maps", "season_label", "tile_unpack"), ("map_date",)),
@@ -283,6 +397,10 @@ _DATES = {
     "map_catalog": ("map_date", "strict_date"),
     "spell_table": ("start_date", "end_date"),
     "facility_metadata": ("last_date",),
+    "pool_csv_scan": ("date",),
+    "new_maps_written": ("map_date",),
+    "scenario_grid": ("first_date", "last_date"),
+    "session_spells_stream": ("start_date", "end_date"),
 }
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..config import SENSITIVITY_SETS as SETS
 from ..config import SPELL_DAYS, LossConfig
-from ..functions.columns import buffer_pixels, facility_type, quantile, step_loss
+from ..functions.columns import buffer_pixels, facility_type, step_loss
 from ..operators import calibration, facilities, hazard, impact, model, raster_eda, reclass, sampling, spells, stats, uncertainty
 from ..sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 OBS, SYN = ["hf_id", "year"], ["hf_id", "scenario_id"]
-SETS = {"Conservative": ((130, 1.00), (70, 0.75), (40, 0.50), (16, 0.25), (6, 0.10)), "Base": SPELL_DAYS, "Aggressive": ((70, 1.00), (45, 0.75), (25, 0.50), (10, 0.25), (3, 0.10))}
 PARAMS = {"beta0": -0.5, "beta_lag": 2.0, "beta_cos": 0.4, "beta_sin": -0.3, "kappa": 3.0, "beta0_P": -1.0, "beta_lag_P": 0.8, "beta_cos_P": 0.2, "beta_sin_P": -0.1, "phi": 6.0, "beta0_D": 2.0, "beta_lag_D": -0.5}
 
 
@@ -104,15 +104,17 @@ def map_catalog(spark, d):
 
 @query
 def tile_unpack(spark, d):
-    """Tiles of eight columns built from the pixels, and unpacked again."""
-    width = 8
-    tiles = fx.pixel_obs(spark, d).filter("col < 24").groupBy("map_date", F.col("row").alias("tile_row"), (F.floor(F.col("col") / width) * width).cast("int").alias("tile_col")).agg(F.array_sort(F.collect_list(F.struct("col", "code"))).alias("v"))
-    return hazard.unpack_tiles(tiles.select("map_date", "tile_row", "tile_col", F.lit(width).alias("width"), F.col("v.code").alias("values")))
+    """Tiles of eight columns, the last narrower, built from the pixels, and unpacked again."""
+    size = 8
+    tiles = fx.pixel_obs(spark, d).groupBy("map_date", F.col("row").alias("tile_row"), (F.floor(F.col("col") / size) * size).cast("int").alias("tile_col")).agg(F.array_sort(F.collect_list(F.struct("col", "code"))).alias("v"))
+    return hazard.unpack_tiles(tiles.select("map_date", "tile_row", "tile_col", F.least(F.lit(size), F.lit(25) - F.col("tile_col")).alias("width"), F.col("v.code").alias("values")))
 
 
 @query
 def window_scan(spark, d):
-    return fx.pixel_obs(spark, d).filter(F.col("row").between(5, 9)).groupBy("row").agg(F.count("*").alias("pixels"), F.count_if(F.col("code") == 200).alias("flooded"))
+    """Every window of five rows in turn."""
+    windows = F.floor(F.col("row") / 5).cast("int").alias("window")
+    return fx.pixel_obs(spark, d).groupBy(windows, "row").agg(F.count("*").alias("pixels"), F.count_if(F.col("code") == 200).alias("flooded"))
 
 
 @query
@@ -220,17 +222,17 @@ def freq_hist(spark, d):
 
 @query
 def stratified_sample(spark, d):
-    return sampling.stratified_sample(raster_eda.long_bands(_annual(spark, d)), per_year=200)
+    return sampling.stratified_sample(raster_eda.long_bands(_annual(spark, d)), per_year=5000)
 
 
 @query
 def cap_sample(spark, d):
-    return sampling.cap_sample(_annual(spark, d).filter("flood_frequency IS NOT NULL"), ["year", "row", "col"], 300)
+    return sampling.cap_sample(_annual(spark, d).filter("flood_frequency IS NOT NULL"), ["year", "row", "col"], 3000)
 
 
 @query
 def systematic_sample(spark, d):
-    return sampling.systematic_sample(raster_eda.persistence(_annual(spark, d)).select("row", "col", "persistence"), ["row", "col"], 150)
+    return sampling.systematic_sample(raster_eda.persistence(_annual(spark, d)).select("row", "col", "persistence"), ["row", "col"], 1500)
 
 
 @query
@@ -506,7 +508,7 @@ def seasonal_risk(spark, d):
 
 @query
 def temporal_trend(spark, d):
-    return impact.temporal_trend(_obs_stats(spark, d).filter("year <= 2000"))
+    return impact.temporal_trend(_obs_stats(spark, d))
 
 
 @query
@@ -575,12 +577,7 @@ def ks_two_sample(spark, d):
 
 @query
 def boxplot_stats(spark, d):
-    q = [quantile("duration", p) for p in (0.25, 0.5, 0.75)]
-    rows = _obs_spells(spark, d).groupBy("hf_category").agg(*[x.alias(n) for x, n in zip(q, ("q1", "median", "q3"), strict=True)])
-    both = _obs_spells(spark, d).join(F.broadcast(rows), "hf_category")  # four categories
-    fence = (F.col("q3") - F.col("q1")) * 1.5
-    within = (F.col("duration") >= F.col("q1") - fence) & (F.col("duration") <= F.col("q3") + fence)
-    return both.groupBy("hf_category", "q1", "median", "q3").agg(F.min(F.when(within, F.col("duration"))).alias("low"), F.max(F.when(within, F.col("duration"))).alias("high"), F.count_if(~within).alias("outliers"))
+    return calibration.boxplot_stats(_obs_spells(spark, d))
 
 
 # model data
@@ -628,7 +625,7 @@ def flood_probability(spark, d):
     pool = model.complete(model.lag_features(fx.observed_pool(spark, d)))
     rows = model.seasonal_covariates(pool)
     n = F.length("hf_id") * 7 + F.ascii(F.substring("hf_id", -1, 1))
-    by_facility = pool.select("hf_id").distinct().select("hf_id", (n % 5 / 10.0).alias("effect"), (n % 3 / 4.0).alias("t_break"), (n % 7 / 8.0 - 0.4).alias("delta"), (n % 4 / 6.0).alias("delta_P"), (n % 6 / 9.0).alias("delta_D"))
+    by_facility = fx.pool_facilities(spark, d).select("hf_id", (n % 5 / 10.0).alias("effect"), (n % 3 / 4.0).alias("t_break"), (n % 7 / 8.0 - 0.4).alias("delta"), (n % 4 / 6.0).alias("delta_P"), (n % 6 / 9.0).alias("delta_D"))
     by_category = spark.createDataFrame([(c, i * 0.2, i * 0.1 - 0.1) for i, c in enumerate(fx.CATEGORIES)], "hf_category string, beta_cat double, gamma_cat double")
     out = model.flood_probability(rows, PARAMS, by_facility, by_category)
     return out.select("hf_id", "date", "transition", "p_flood", "expected_pct", "shape_a", "shape_b", "expected_log_distance")
@@ -709,4 +706,7 @@ def subsample_stability(spark, d):
     """Stability of the scenarios' metrics, with facilities standing for scenarios to have enough of them."""
     pool = fx.synthetic_pool(spark, d)
     rows = pool.groupBy(F.col("hf_id").alias("scenario_id")).agg(F.sum("occurrence").cast("double").alias("annual_days"), F.round(F.avg("pct_flooded"), 9).alias("mean_pct"))
-    return uncertainty.subsample_stability(rows, reps=20)
+    return uncertainty.subsample_stability(rows)
+
+
+from . import stored as _stored  # noqa: E402, F401  registers its queries

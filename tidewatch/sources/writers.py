@@ -13,13 +13,11 @@ def write_new_maps(maps: DataFrame, path: str, spark: SparkSession | None = None
     spark = spark or maps.sparkSession
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-    if there:
-        done = spark.read.parquet(path).select("map_date").distinct()
-        maps = maps.join(done, "map_date", "left_anti")
-    dates = maps.select("map_date").distinct().collect()  # one row a map
-    if dates:
-        maps.filter(F.col("map_date").isin(*[r["map_date"] for r in dates])).withColumn("year", F.year("map_date")).write.mode("append").partitionBy("year").parquet(path)
-    return spark.createDataFrame(dates, "map_date date")
+    done = [r["map_date"] for r in spark.read.parquet(path).select("map_date").distinct().collect()] if there else []  # one row a map
+    new = maps.filter(~F.col("map_date").isin(done)) if done else maps
+    new.withColumn("year", F.year("map_date")).write.mode("append").partitionBy("year").parquet(path)
+    dates = spark.read.schema(maps.schema).parquet(path).select("map_date").distinct()
+    return spark.createDataFrame(dates.filter(~F.col("map_date").isin(done)).collect() if done else dates.collect(), "map_date date")
 
 
 def write_hazard(hazard: DataFrame, path: str, sentinel: bool = False) -> None:

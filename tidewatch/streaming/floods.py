@@ -58,3 +58,18 @@ def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataF
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def written(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Everything there is now, written batch by batch as Parquet and read again; `seen` is the batch's number.
+
+    A batch that is repeated after a failure replaces its own folder.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("seen", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = df.sparkSession.read.parquet(f"{path}/out").drop("batch")
+    return rows if mode == "update" else rows.drop("seen")
