@@ -331,3 +331,98 @@ def test_inputs_behind_a_shuffle_are_staged(spark):
 
     df = spark.createDataFrame([(i, "a") for i in range(9)], "doc_id long, text string")
     assert settled(df) is df and settled(df.repartition(3))._staged_at and settled(df.repartition(3)).count() == 9
+
+
+def test_scores_equal_probabilities_of_the_trained_model_on_any_layout(spark, monkeypatch):
+    models, train = [], lbl.train
+    monkeypatch.setattr(lbl, "DRAWS", 3000)
+    monkeypatch.setattr(lbl, "train", lambda triples, counts: models.append((train(triples, counts), counts)) or models[-1][0])
+    rows = [(i, " ".join(["the cat sat", "le chat dort"][i % 2] + f" n{i * j % 211} r{i * 7 + j}" for j in range(i % 6))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r["doc_id"]: r["score"] for r in lbl.score(docs.repartition(n)).collect()} for n in (1, 8)]
+    assert all(abs(got[0][i] - s) < 1e-4 for i, s in got[1].items())
+    model, counts = models[0]
+    c = Counter(w for i, t in rows if not held(i) for w in t.split())
+    assert len(c) > lbl.TOPS + 50 and np.allclose((10.0 ** model.log10(np.arange(0, len(counts) ** 2, 97))).sum(1), 1, atol=1e-4)
+    tops = sorted(c, key=lambda w: (-c[w], int(word_hash(w).view(np.int64))))[: lbl.TOPS]
+    suffix = lambda w: int(lbl._suffix(next(words.words(pa.array([w]))))[0])
+    kind = lambda w: tops.index(w) if w in tops else lbl.TOPS + suffix(w)
+    end, n = len(counts) - 1, len(counts)
+    inside = {}
+    for w in {w for w in c if w not in tops}:
+        inside.setdefault(suffix(w), []).append(c[w])
+    for i, t in rows:
+        before, total = [end, end], 0.0
+        for w in [*t.split(), None]:
+            k = end if w is None else kind(w)
+            total += float(model.log10(np.array([before[-2] * n + before[-1]]))[0, k])
+            if k >= lbl.TOPS and k != end:
+                own = inside.get(suffix(w), [])
+                total += math.log10((c[w] + 1) / (sum(own) + len(own) + 1))
+            before.append(k)
+        assert abs(total - got[0][i]) < 1e-3, (i, total, got[0][i])
+
+
+def word_hash(w):
+    return next(words.words(pa.array([w]))).hash[0]
+
+
+def test_clashing_columns_and_null_headers_of_revisits(spark):
+    rows = [(1, 10, "http://a.com/", "response", "d1", {"etag": "v", "server": "s"}), (2, 20, "http://a.com/", "revisit", None, None), (3, 30, "http://a.com/", "response", "d3", None), (4, 40, "http://a.com/", "revisit", None, {"date": "4"}), (5, 50, None, "revisit", None, None), (6, None, "http://a.com/", "revisit", None, None)]
+    df = spark.createDataFrame(rows, "record_id long, at long, url string, kind string, digest string, headers map<string,string>")
+    others = ["status", "url_key", "original_id", "carried", "__range", "near", "full", "range", "row", "id"]
+    for c in others:
+        df = df.withColumn(c, F.lit("own"))
+    out = warc.resolve(df)
+    assert out.columns == ["record_id", "at", "url", "kind", "digest", "headers", *others[3:], "url_key", "original_id", "status", "body_digest", "merged_headers"]
+    got = {r["record_id"]: r for r in out.collect()}
+    assert all(r[c] == "own" for r in got.values() for c in others[3:])
+    assert {i: (r["status"], r["original_id"]) for i, r in got.items()} == {1: ("full", 1), 2: ("resolved", 1), 3: ("full", 3), 4: ("resolved", 3), 5: ("no original", None), 6: ("no original", None)}
+    assert got[2]["merged_headers"] == {"etag": "v", "server": "s"} and got[4]["merged_headers"] == {"date": "4"} and got[5]["merged_headers"] is None
+
+
+def test_ranges_hold_about_equal_numbers_of_rows(spark):
+    from tidewatch.llm import ordered
+
+    far = spark.range(20_000).select(F.col("id").alias("doc_id")).union(spark.createDataFrame([(2**60,), (-(2**62),), (None,)], "doc_id long"))
+    half = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 77_777).otherwise(F.col("id")).alias("doc_id"), F.xxhash64("id").alias("h"))
+    for df, hashed in ((far, None), (half, "h")):
+        ranges = ordered.id_ranges(df, rows=512)
+        rows = df.select("doc_id", ranges.of("doc_id", hashed).alias("r"))
+        sizes = rows.groupBy("r").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).orderBy("r").collect()
+        assert max(s["n"] for s in sizes) < 3 * 512 and len(sizes) > 20
+        known = [s for s in sizes if s["r"] >= 0]
+        assert all(s["z"] <= t["a"] for s, t in zip(known, known[1:], strict=False))
+    assert ordered.id_ranges(far.limit(0)).of("doc_id") is not None
+
+
+def test_seeking_reads_of_longer_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    want = []
+    for k in range(3):
+        tokens = rng.integers(0, 30, 5000 * k).astype("<u2")
+        tokens.tofile(tmp_path / f"a b{k}.bin")
+        ends = np.flatnonzero(tokens == 9)
+        sizes = np.diff(np.concatenate(([-1], ends, [len(tokens)]))) - 1
+        want += [(k, i, int(n)) for i, n in enumerate(sizes) if i < len(ends) or n]
+    got = tokenscan.documents(tokenscan.read_files(spark, str(tmp_path), block_tokens=700), 9).collect()
+    assert sorted((int(r["file"][-5]), r["document"], r["n_tokens"]) for r in got) == want
+
+
+def test_search_over_groups_chunks_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(mih, "SHARD", 40)
+    monkeypatch.setattr(mih, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**63), 2**63 - 1, 3)
+    flips = [sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 7), replace=False)) for _ in range(300)]
+    codes = [int(base[i % 3]) ^ f for i, f in enumerate(flips)]
+    codes = [c ^ (c & 0xFFFF) if i % 2 else c for i, c in enumerate(codes)]  # one segment's value in half of the codes
+    df = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+    got = {}
+    for r in mih.search(df, df.filter("id % 20 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["id"]))
+    for q in range(0, 300, 20):
+        far = sorted(((codes[q] ^ c) & (2**64 - 1)).bit_count() * 10**6 + i for i, c in enumerate(codes) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, f // 10**6, f % 10**6) for n, f in enumerate(far)]
+    assert mih.search(df.limit(0), df.limit(0), 3).count() == 0 and mih.search(df.limit(0), df, 3).count() == 0
+    assert tokenscan.documents(spark.createDataFrame([], "file string, block long, data binary"), 9).count() == 0

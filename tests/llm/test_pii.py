@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from hypothesis import given, settings
@@ -123,3 +124,55 @@ def test_terms_far_from_their_entity_and_behind_other_numbers(spark):
     assert "Quarrelsome" not in got[0] and got[0].startswith("Dear ,") and "[CARD]" in got[0]
     assert got[10] == "Maria , born 1984, at [IP] then, 1999, with ."
     assert got[20] == rows[6][1]
+
+
+def by_hand(rows):
+    """Disclosures and broader terms of all pairs, by sets of documents."""
+    term = re.compile(r"(?:(?<=[\s(\['\"])|^)([^\W\d_]{3,})(?=[.,;:!?)\]'\"]*(?:\s|$))")
+    words, entities = {}, {}
+    for i, t in rows:
+        clean = t
+        for k, p in PATTERNS.items():
+            for m in re.finditer(p, t):
+                if good(k, m[0]):
+                    value = m[0].lower() if k == "email" else m[0] if k == "ip" else re.sub("[^0-9]", "", m[0])
+                    entities.setdefault(f"{k}:{value}", set()).add(i)
+                    clean = clean[: m.start()] + " " * (m.end() - m.start()) + clean[m.end() :]
+        for w in {x.lower() for x in term.findall(clean)}:
+            words.setdefault(w, set()).add(i)
+    n, told, broad = len(rows), {}, {}
+    rate = lambda w, e: math.log2(n * len(words[w] & entities[e]) / (len(words[w]) * len(entities[e]))) / math.log2(n / len(entities[e])) if words[w] & entities[e] else -math.inf
+    for e, held in entities.items():
+        for w, docs in words.items():
+            if len(held) >= 2 and len(docs & held) >= 2 and rate(w, e) >= pii.GENERALISE:
+                told[e, w] = rate(w, e)
+                wide = [(len(words[b]), b) for b in words if len(words[b] & docs & held) >= pii.SUBSUMED * len(docs & held) and len(words[b]) > len(docs) and rate(b, e) < pii.GENERALISE]
+                if rate(w, e) < pii.REMOVE and wide:
+                    broad[e, w] = min(wide)[1]
+    return told, broad
+
+
+def generalised():
+    rows = [(i, f"The nurse Amara of the ward in Juba calls +12025550143 on day {i}.") for i in range(4)]
+    rows += [(10 + i, "Doctor Amara writes of the ward.") for i in range(2)] + [(20 + i, "A nurse in Juba rests.") for i in range(9)]
+    return rows + [(40 + i, "the house is red and doctor calls the day of a ward") for i in range(180)]
+
+
+def test_disclosures_and_broader_terms_equal_brute_force(spark):
+    for rows in (generalised(), corpus()):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = pii.detect(docs)
+        near = pii.contexts(found)
+        rated = pii.disclosures(docs, found, near)
+        told, broad = by_hand(rows)
+        got = {(r["entity"], r["term"]): r["disclosure"] for r in rated.collect()}
+        assert got.keys() == told.keys() and all(abs(got[k] - v) < 1e-9 for k, v in told.items())
+        assert {(r["entity"], r["term"]): r["broader"] for r in pii.broader_terms(found, near, rated).collect()} == broad
+    told, broad = by_hand(generalised())
+    assert pii.GENERALISE <= told["phone:12025550143", "amara"] < pii.REMOVE and broad["phone:12025550143", "amara"] in ("nurse", "juba")
+
+
+def test_generalised_term_takes_the_broader_one(spark):
+    docs = spark.createDataFrame(generalised(), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert got[0] == "The nurse juba of the ward in Juba calls [PHONE] on day 0." and got[10] == "Doctor Amara writes of the ward."

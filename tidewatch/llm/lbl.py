@@ -13,7 +13,8 @@ units, whose number follows from the number of distinct triples. In each round a
 its triples with their full counts, in steps against shared noise; then the units' parameters are averaged. Seeds go by
 unit and the mean is a sum of whole numbers, so the model is the same however tasks are split. Its size is bounded.
 
-Scoring puts each block's word counts beside the block's documents, coded by position in the block's word list.
+Scoring puts each block's word counts beside the block's documents, coded by position in the block's word list. What
+normalises the model is summed once for every pair of classes that can stand before a token.
 
 Defined cases: null and empty texts are one end token. Null ids are training documents. Rows that repeat an id count
 each for themselves. Without training documents the model is uniform over classes and N, V and c are 0.
@@ -27,12 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .store import small_batches, staged
+from .store import freed, settled, small_batches, staged
 from .words import Words, mix, words
 
 TOPS, MOST_TOPS, SUFFIXES = 191, 959, 64
@@ -71,7 +72,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         nonlocal made
         table = pa.Table.from_batches(rows).combine_chunks()
         held = table.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for w in words(table.column(2)):
+        for w in words(table.column(2), BLOCK_BYTES):
             n = len(w.bounds) - 1
             sign = hashlib.blake2b(f"{part}/{made}/{n}".encode() + w.hash.tobytes(), digest_size=8).digest()
             made += 1
@@ -246,15 +247,45 @@ class Model:
         n = len(flat) // (3 * SIZE + 1) * SIZE
         return Model(*(flat[i * n : (i + 1) * n].reshape(-1, SIZE).copy() for i in range(3)), flat[3 * n :].copy())
 
+    def before(self, contexts: np.ndarray) -> np.ndarray:
+        n = len(self.bias)
+        return self.two[contexts // n] + self.one[contexts % n]
+
     def log10(self, contexts: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of all classes after each context."""
-        n = len(self.bias)
-        s = (self.two[contexts // n] + self.one[contexts % n]) @ self.target.T
+        s = self.before(contexts) @ self.target.T + self.bias
+        return (s - self.log_sums(contexts)[:, None]) / np.float32(np.log(10))
+
+    def log_sums(self, contexts: np.ndarray) -> np.ndarray:
+        """The logarithms of what normalises each context, over all classes."""
+        s = self.before(contexts) @ self.target.T
         s += self.bias
-        s -= s.max(1, keepdims=True)
-        s -= np.log(np.exp(s).sum(1, keepdims=True))
-        s /= np.float32(np.log(10))
-        return s
+        top = s.max(1, keepdims=True)
+        s -= top
+        return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
+
+    def log10_of(self, contexts: np.ndarray, out: np.ndarray, log_sums: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of one class after each context; log_sums: of all contexts."""
+        s = np.empty(len(out), np.float32)
+        for i in range(0, len(out), 1 << 15):
+            c, t = contexts[i : i + (1 << 15)], out[i : i + (1 << 15)]
+            s[i : i + (1 << 15)] = np.einsum("ij,ij->i", self.before(c), self.target[t]) + self.bias[t] - log_sums[c]
+        return s / np.float32(np.log(10))
+
+
+def log_sums(spark: SparkSession, model: Model) -> np.ndarray:
+    """Of every pair of classes as context: a matrix product and sum a row of pairs, in tasks; at most (MOST_TOPS + 65)**2 numbers."""
+    n, shared = len(model.bias), spark.sparkContext.broadcast(model.flat())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.of(shared.value)
+        for batch in batches:
+            two = batch.column(0).to_pylist()
+            rows = [own.log_sums(i * n + np.arange(n)).astype(np.float32).tobytes() for i in two]
+            yield pa.RecordBatch.from_pydict({"two": pa.array(two, pa.int64()), "sums": pa.array(rows, pa.binary())})
+
+    rows = spark.range(0, n, 1, max(1, n // 32)).mapInArrow(run, "two long, sums binary").collect()
+    return np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(rows, key=lambda r: r["two"])])
 
 
 def first_model(class_counts: np.ndarray) -> Model:
@@ -277,44 +308,52 @@ def passes(counts: np.ndarray, least: int, rng: np.random.Generator) -> tuple[np
     return at, (counts / copies * (rows / counts.sum()))[at].astype(np.float32)
 
 
-def _sums(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the sums of their gradients."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    first = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
-    return own[first], np.add.reduceat(grads[order], first)
+def _sums(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
+    """n x columns: the sums of the gradients of each row of parameters."""
+    width = grads.shape[1]
+    cells = (rows[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, grads.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
 def steps(model: Model, keys: np.ndarray, counts: np.ndarray, noise: np.ndarray, draws: int, seed: int) -> Model:
     """Noise-contrastive estimation by AdaGrad in whole passes over the counted triples, of at least `draws` rows
-    together; noise: the classes' distribution. Only the rows of parameters that a step uses are touched."""
+    together; noise: the classes' distribution. Biases go with the target vectors as their last column."""
     rng = np.random.default_rng(seed)
     n = len(noise)
-    params = [model.two, model.one, model.target, model.bias]
+    params = [model.two, model.one, np.concatenate([model.target, model.bias[:, None]], 1)]
     state = [np.full_like(p, 1e-2) for p in params]
+    two_of, one_of, target = params
     picked, weights = passes(counts, draws, rng)
     draw = np.cumsum(noise)
     often_log = np.log(NOISE * noise + 1e-12).astype(np.float32)
-
-    def sigmoid(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    half = np.float32(0.5)
+    h = np.ones((BATCH, SIZE + 1), np.float32)
 
     for i in range(0, len(picked), BATCH):
         k, w = keys[picked[i : i + BATCH]], weights[i : i + BATCH] / np.float32(BATCH)
-        t, one, two = k % n, k // n % n, k // n**2
+        context, t = np.divmod(k, n)
+        two, one = np.divmod(context, n)
         z, often = np.unique(np.minimum(np.searchsorted(draw, rng.random(NOISE)), n - 1), return_counts=True)
-        h = model.two[two] + model.one[one]
-        right, wrong = model.target[t], model.target[z]
-        g = w * (1 - sigmoid((h * right).sum(1) + model.bias[t] - often_log[t]))
-        gz = -w[:, None] * sigmoid(h @ wrong.T + model.bias[z] - often_log[z]) * often.astype(np.float32)
-        dh = g[:, None] * right + gz @ wrong
-        to = np.concatenate([t, z])
-        bias = np.concatenate([g, gz.sum(0)])
-        target = np.concatenate([g[:, None] * h, gz.T @ h])
-        for p_, q_, (at, grad) in zip(params, state, (_sums(two, dh), _sums(one, dh), _sums(to, target), _sums(to, bias)), strict=True):
-            q_[at] += grad * grad
-            p_[at] += RATE * grad / np.sqrt(q_[at])
-    return model
+        h = h[: len(k)]
+        np.add(two_of[two], one_of[one], out=h[:, :SIZE])
+        right, wrong = target[t], target[z]
+        # 1 - sigmoid(x) and sigmoid(x) by tanh, which cannot overflow
+        g = w * (half - half * np.tanh(half * (np.einsum("ij,ij->i", h, right) - often_log[t])))
+        gz = h @ wrong.T
+        gz -= often_log[z]
+        gz *= half
+        np.tanh(gz, out=gz)
+        gz += 1
+        gz *= w[:, None] * (-half * often.astype(np.float32))
+        right *= g[:, None]
+        dh = gz @ wrong
+        dh += right
+        moved = (_sums(two, dh[:, :SIZE], n), _sums(one, dh[:, :SIZE], n), _sums(t, g[:, None] * h, n))
+        moved[2][z] += gz.T @ h
+        for p_, q_, grad in zip(params, state, moved, strict=True):
+            q_ += grad * grad
+            p_ += np.float32(RATE) * grad / np.sqrt(q_)
+    return Model(two_of, one_of, target[:, :SIZE].copy(), target[:, SIZE].copy())
 
 
 def train(triples: DataFrame, class_counts: np.ndarray) -> Model:
@@ -364,11 +403,12 @@ def _coded(tops: np.ndarray, top_of: np.ndarray):
     return run
 
 
-def _score(flat: bytes, tokens: int, types: int, ends: int, class_tokens: np.ndarray, class_types: np.ndarray):
+def _score(shared: Broadcast, tokens: int, types: int, ends: int, class_tokens: np.ndarray, class_types: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(documents: pa.Table, counted: pa.Table) -> pa.Table:
-        model = Model.of(np.frombuffer(flat, np.float32))
+        flat, sums = shared.value
+        model = Model.of(flat)
         rows, made = counted.to_pylist(), []
         for d in documents.to_pylist():
             classes = np.frombuffer(d["classes"], np.uint16).astype(np.int64)
@@ -389,13 +429,7 @@ def _score(flat: bytes, tokens: int, types: int, ends: int, class_tokens: np.nda
             inside[classes < len(class_tokens) - SUFFIXES - 1] = 0
             score = np.zeros(len(out))
             score[words_at] = inside[number]
-            used, where = np.unique(context, return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            ends_at = np.searchsorted(where[order], np.arange(0, len(used) + 2048, 2048))
-            for i in range(0, len(used), 2048):
-                table = model.log10(used[i : i + 2048])
-                mine = order[ends_at[i // 2048] : ends_at[i // 2048 + 1]]
-                score[mine] += table[where[mine] - i, out[mine]]
+            score += model.log10_of(context, out, sums)
             total = lambda x: np.add.reduceat(x, starts)
             made.append(pa.table([pa.array(d["ids"], pa.int64()), pa.array(np.frombuffer(d["held"], bool)), pa.array(np.diff(bounds) + 1), pa.array(total((seen > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(score))], schema=schema))
         if not made:
@@ -410,7 +444,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     doc_id = F.col("doc_id").cast("long")
-    texts = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held"), F.col("text").cast("string").alias("text"))
+    texts = settled(docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held"), F.col("text").cast("string").alias("text")))
     all_, ends = texts.select("held").agg(F.count("*"), F.count_if(~F.col("held"))).first()
     buckets = max(FEWEST_BUCKETS, 1 << (all_ // BUCKET_DOCS).bit_length())
     counted = texts.mapInArrow(_word_counts(buckets), "bucket int, block long, at binary, hash binary, suffix binary, count binary")
@@ -435,8 +469,10 @@ def score(docs: DataFrame) -> DataFrame:
     triples = texts.mapInArrow(_triples(hashes[order], order), "shard int, keys binary, counts binary")
     triples = staged(triples.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sum_triples, "shard int, keys binary, counts binary"))
     model = train(triples, class_tokens)
+    freed(triples)
     coded = texts.mapInArrow(_coded(hashes[order], order), "block long, ids array<long>, held binary, sizes binary, codes binary, classes binary")
     lists = counted.filter("block IS NOT NULL").select("block", "at", "count")
-    run = _score(model.flat().tobytes(), tokens, types, ends, class_tokens, class_types)
+    shared = spark.sparkContext.broadcast((model.flat(), log_sums(spark, model)))
+    run = _score(shared, tokens, types, ends, class_tokens, class_types)
     scored = coded.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -55,14 +55,14 @@ def targets(sizes: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds n: 1, 2, ... within source, by size, then id."""
     ranges = id_ranges(rows)
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(2**62)).otherwise(ranges.of("doc_id")))
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(2**62)).otherwise(ranges.of("doc_id", "row" if "row" in rows.columns else None)))
     cells = staged(rows.groupBy("source", "size", "part").count())
     by_size = cells.groupBy("source", "size").agg(F.sum("count").alias("rows"))
     before = lambda w, c: F.sum(c).over(w) - F.col(c)
     sizes = staged(by_size.select("source", "size", before(Window.partitionBy("source").orderBy("size"), "rows").alias("smaller")))
     parts = cells.select("source", "size", "part", before(Window.partitionBy("source", "size").orderBy("part"), "count").alias("earlier"))
     offsets = staged(parts.join(sizes, parts["source"].eqNullSafe(sizes["source"]) & (parts["size"] == sizes["size"])).select(parts["source"], parts["size"], "part", (F.col("smaller") + F.col("earlier")).alias("before")))
-    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id")))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id", *[F.col("row")] * ("row" in rows.columns))))
     same = own["source"].eqNullSafe(offsets["source"]) & (own["size"] == offsets["size"]) & (own["part"] == offsets["part"])
     return own.join(offsets, same).select(*[own[c] for c in rows.columns if c != "part"], (F.col("before") + F.col("own")).alias("n"))
 

@@ -71,16 +71,18 @@ def with_next(docs: DataFrame, carried: list[str], prepare: Callable[[DataFrame]
     Rows of the same doc_id follow each other by the hash of their text; null ids come after all others.
     """
     ranges = id_ranges(docs)
-    rows = docs.withColumn("__range", ranges.of("doc_id")).withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).withColumn("__copy", F.lit(0))
-    # one row a range, at most MAX_RANGES: its largest id and, below it, that of the next range in use
-    tops = docs.select(ranges.of("doc_id").alias("__range"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("__key")).groupBy("__range").agg(F.max("__key").alias("top"))
+    least = F.lit(-(2**63)).cast("long")
+    rows = docs.withColumn("__key", F.coalesce("doc_id", least)).withColumn("__hash", F.xxhash64("text"))
+    rows = rows.withColumn("__range", ranges.of("doc_id", "__hash")).withColumn("__copy", F.lit(0))
+    # one row a range, at most MAX_RANGES: its first row's key and, for the range above, where to send a copy of it
+    tops = rows.groupBy("__range").agg(F.max(F.struct("__key", "__hash")).alias("top"))
     down = Window.orderBy(F.desc("__range"))
-    edges = tops.select("__range", F.coalesce(F.lead("top").over(down), F.first("top").over(down)).alias("__key"))
-    copies = rows.drop("__range", "__copy").join(F.broadcast(edges), "__key").withColumn("__copy", F.lit(1))
-    order = Window.partitionBy("__range").orderBy("__copy", F.desc("__key"), F.xxhash64("text"))
+    edges = tops.select("__range", F.coalesce(F.lead("top").over(down), F.first("top").over(down)).alias("top")).select("__range", "top.*")
+    copies = rows.drop("__range", "__copy").join(F.broadcast(edges), ["__key", "__hash"]).withColumn("__copy", F.lit(1))
+    order = Window.partitionBy("__range").orderBy("__copy", F.desc("__key"), F.desc("__hash"))
     both = prepare(rows.unionByName(copies))
     found = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).filter("__copy = 0")
-    return found.drop("__range", "__key", "__copy")
+    return found.drop("__range", "__key", "__copy", "__hash")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:

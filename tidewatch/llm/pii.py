@@ -7,9 +7,13 @@ with documents as observations,
     PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))),   IC(e) = log2(N / df(e)),   disclosure = PMI / IC,
 
 where df(t) counts the documents with t, df(e) those with e, df(t, e) those with both. A disclosure of 1 means that
-whoever sees t knows e. From 0.9 on a term is removed, from 0.75 generalised to its kind, wherever it stands in the
-documents that hold that entity; what rests on fewer than two documents is no estimate and is left. Terms are read
-with all accepted spans blanked. Documents without protected entities stay as they are.
+whoever sees t knows e. From 0.9 on a term is removed, from 0.75 generalised, wherever it stands in the documents that
+hold that entity; what rests on fewer than two documents is no estimate and is left. Terms are read with all accepted
+spans blanked. Documents without protected entities stay as they are.
+
+A term is generalised to a broader one that the corpus knows: b is broader than t if at least 0.8 of the documents
+with e and t hold b, more documents hold b than t, and b discloses e less than 0.75. Of these the most informative one,
+that of the fewest documents, takes the term's place, and [TERM] where there is none.
 
 All expressions are Spark's own. Positions are code points, end exclusive; they come from the lengths of the pieces
 between matches, so the work is linear in the text. The patterns are possessive, so long runs need no stack.
@@ -27,8 +31,10 @@ from .store import staged
 
 SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
-#: Candidate terms broadcast at most; beyond it they are joined by a shuffle.
-BROADCAST_TERMS = 500_000
+#: Share of a term's documents that hold a broader one.
+SUBSUMED = 0.8
+#: Candidate terms, and bytes of spans or terms of documents, broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 16 << 20
 
 #: Kinds in order, each with its pattern. A match starts where the run of its first class starts, or where the
 #: previous match ended: any other start in the run would fail as the first one does.
@@ -40,7 +46,7 @@ KINDS = {
 }
 TERM = r"(?<![^\s(\[\x22'])\p{L}{3,}+(?=[.,;:!?)\]\x22']*+(?:\s|$))"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
-_TOLD = "array<struct<start:int,end:int,disclosure:double>>"
+_TOLD = "array<struct<start:int,end:int,disclosure:double,broader:string>>"
 
 
 def _passes(kind: str) -> str:
@@ -95,10 +101,10 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def _places() -> Column:
-    """(start, end, disclosure) of every occurrence in `blanked` of the terms of the map `told`, in order."""
+    """(start, end, disclosure, broader) of every occurrence in `blanked` of the terms of the map `told`, in order."""
     p = _quoted(TERM)
     here = "s.at + length(x.gap)"
-    hit = f"named_struct('start', {here}, 'end', {here} + length(x.hit), 'disclosure', told[lower(x.hit)])"
+    hit = f"named_struct('start', {here}, 'end', {here} + length(x.hit), 'disclosure', told[lower(x.hit)].disclosure, 'broader', told[lower(x.hit)].broader)"
     step = f"named_struct('at', {here} + length(x.hit), 'found', if(map_contains_key(told, lower(x.hit)), concat(s.found, array({hit})), s.found))"
     pieces = "transform(h, (hit, i) -> named_struct('hit', hit, 'gap', get(g, i)))"
     folded = f"aggregate({pieces}, named_struct('at', 0, 'found', cast(array() AS {_TOLD})), (s, x) -> {step}, s -> s.found)"
@@ -148,41 +154,77 @@ def _weighted(found: DataFrame) -> DataFrame:
     return both.select("words", F.coalesce(1 / F.col("rows"), F.lit(1.0)).alias("weight"))
 
 
+def _disclosure(n: int) -> Column:
+    """PMI over IC from the columns both, with_term and with_entity."""
+    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
+    ic = F.log2(F.lit(float(n)) / F.col("with_entity"))
+    return F.when(ic > 0, pmi / ic)
+
+
+def _with_term(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, with_term: the documents that hold each of the given terms, rows that repeat counted once."""
+    few = terms.count() <= BROADCAST_TERMS
+    seen = _weighted(found).select("weight", F.explode("words").alias("term"))
+    seen = seen.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return seen.groupBy("term").agg(F.round(F.sum("weight")).alias("with_term"))
+
+
 def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, disclosure of the pairs that rest on SUPPORT documents and reach GENERALISE."""
+    """entity, term, disclosure of the pairs that rest on SUPPORT documents and reach GENERALISE, with their counts."""
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
     pairs = staged(pairs)
 
     entities = _entities(found).groupBy("entity").agg(F.count("*").alias("with_entity"))
     candidates = staged(pairs.select("term").distinct())
-    few = candidates.count() <= BROADCAST_TERMS
-    seen = _weighted(found).select("weight", F.explode("words").alias("term"))
-    seen = seen.join(F.broadcast(candidates) if few else candidates, "term", "left_semi")
-    terms = seen.groupBy("term").agg(F.round(F.sum("weight")).alias("with_term"))
     n = found.select("doc_id", "row").distinct().count()
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
-    ic = F.log2(F.lit(float(n)) / F.col("with_entity"))
-    rated = pairs.join(staged(terms), "term").join(staged(entities), "entity")
-    rated = rated.select("entity", "term", F.when(ic > 0, pmi / ic).alias("disclosure"))
+    rated = pairs.join(staged(_with_term(found, candidates)), "term").join(staged(entities), "entity")
+    rated = rated.select("entity", "term", _disclosure(n).alias("disclosure"), "both", "with_term", "with_entity")
     return staged(rated.filter(F.col("disclosure") >= GENERALISE))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, row, the spans of each kind, and terms: array of (start, end, disclosure) in order, for every row."""
+def broader_terms(found: DataFrame, near: DataFrame, rated: DataFrame) -> DataFrame:
+    """entity, term, broader of the rated pairs below REMOVE that have a broader term."""
+    some = staged(rated.filter(F.col("disclosure") < REMOVE).select("entity", "term", F.col("both").alias("together"), F.col("with_term").alias("with_narrow"), "with_entity"))
+    mentions = _entities(found).join(staged(some.select("entity").distinct()), "entity")
+    held = near.join(some.select("entity", "term"), ["entity", "term"]).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("entity").alias("__entity"), "term")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row")) & (F.col("entity") == F.col("__entity"))
+    beside = held.join(mentions, same).select("entity", "term", F.explode("words").alias("broader")).filter("broader <> term")
+    beside = beside.groupBy("entity", "term", "broader").agg(F.count("*").alias("n")).join(some, ["entity", "term"])
+    beside = staged(beside.filter(F.col("n") >= SUBSUMED * F.col("together")))
+    wanted = staged(beside.select("entity", F.col("broader").alias("term")).distinct())
+    both = mentions.select("entity", F.explode("words").alias("term")).join(wanted, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("both"))
+    counts = both.join(_with_term(found, staged(wanted.select("term").distinct())), "term").withColumnRenamed("term", "broader")
+    n = found.select("doc_id", "row").distinct().count()
+    rows = beside.join(counts, ["entity", "broader"]).filter((F.col("with_term") > F.col("with_narrow")) & (F.coalesce(_disclosure(n), F.lit(0.0)) < GENERALISE))
+    return staged(rows.groupBy("entity", "term").agg(F.min(F.struct("with_term", "broader"))["broader"].alias("broader")))
+
+
+def _small(df: DataFrame, column: str) -> bool:
+    return (df.agg(F.sum(F.length(F.to_json(column)))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def find(docs: DataFrame, generalise: bool = False) -> DataFrame:
+    """doc_id, row, the spans of each kind, and terms: array of (start, end, disclosure, broader) in order, for every row.
+
+    Broader terms are looked for on demand; they are null otherwise, and where there is none.
+    """
     found = staged(detect(docs))
     near = staged(contexts(found))
-    told = near.join(disclosures(docs, found, near), ["entity", "term"])
-    told = told.groupBy("doc_id", "row", "term").agg(F.max("disclosure").alias("disclosure"))
-    told = told.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    rated = disclosures(docs, found, near)
+    known = rated.select("entity", "term", "disclosure")
+    known = known.join(broader_terms(found, near, rated), ["entity", "term"], "left") if generalise else known.withColumn("broader", F.lit(None).cast("string"))
+    told = near.join(known, ["entity", "term"])
+    told = told.groupBy("doc_id", "row", "term").agg(F.max(F.struct("disclosure", "broader")).alias("worst"))
+    told = told.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "worst"))).alias("told"))
     told = staged(told.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "told"))
-    few = told.count() <= BROADCAST_TERMS // 5
+    few = _small(told, "told")
     told = F.broadcast(told) if few else told
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("row", F.xxhash64("text")).join(told, same).select("__doc", "__row", "text", "told").dropDuplicates(["__doc", "__row"])
     places = found.join(texts, same).dropDuplicates(["__doc", "__row"]).withColumn("blanked", _blanked())
     places = staged(places.select("__doc", "__row", _places().alias("terms")))
-    both = found.join(F.broadcast(places) if few else places, same, "left").drop("__doc", "__row", "words")
+    both = found.join(F.broadcast(places) if few and _small(places, "terms") else places, same, "left").drop("__doc", "__row", "words")
     return both.withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() AS {_TOLD})")))
 
 
@@ -198,10 +240,10 @@ def listed(*kinds: str) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with protected entities masked and disclosing terms removed or generalised; n_chars follows where it is there."""
     mask = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("put")))
-    told = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["disclosure"] >= REMOVE, "").otherwise("[TERM]").alias("put")))
-    spans = find(docs).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.array_sort(F.concat(*[mask(k) for k in KINDS], told)).alias("__spans"))
+    told = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["disclosure"] >= REMOVE, "").otherwise(F.coalesce(x["broader"], F.lit("[TERM]"))).alias("put")))
+    spans = find(docs, generalise=True).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.array_sort(F.concat(*[mask(k) for k in KINDS], told)).alias("__spans"))
     spans = staged(spans.filter("size(__spans) > 0").dropDuplicates(["__id", "__row"]))
-    few = spans.count() <= BROADCAST_TERMS // 5
+    few = _small(spans, "__spans")
     keyed = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__row"))
     rows = keyed.join(F.broadcast(spans) if few else spans, same, "left")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, lbl, mih, mixing, neardup, omh, pii, quality, tokenscan, warc
+from .store import scratch, small_batches, staged
 from .words import words
 
 
@@ -97,34 +98,39 @@ FROM s
 EOD, HEAD, DIGIT, FLAT_BLOCK = 65535, 5, 15, 1 << 16
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of a task as one run of identifiers (words by hash), in blocks cut wherever they are full."""
-    file, block, rest = f"part-{TaskContext.get().partitionId() if TaskContext.get() else 0}", 0, np.zeros(0, np.uint16)
+def token_files(docs: DataFrame) -> DataFrame:
+    """file, length of one flat token file for each task that holds documents, in a new folder of the shared one.
 
-    def row(tokens: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"file": [file], "block": pa.array([block], pa.int64()), "data": [tokens.astype("<u2").tobytes()]})
+    A document is the digits of its id, its words by hash, and the end. A task that runs again writes another file; only
+    the files whose task has ended well are told.
+    """
+    folder = scratch(docs.sparkSession)
+    # Spark makes the folder, as it makes those of its own tables
+    docs.sparkSession.createDataFrame([], "file string").write.mode("append").parquet(folder)
 
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for w in words(batch.column(1)):
-            made, n = [rest], len(w.bounds) - 1
-            tokens = (w.hash % np.uint64(EOD)).astype(np.uint16)
-            for doc_id, a, b in zip(ids[w.first : w.first + n], w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
-                digits = [2**DIGIT - 1] * HEAD if doc_id is None else [(doc_id % 2**64) >> (DIGIT * i) & (2**DIGIT - 1) for i in range(HEAD)]
-                made += [np.array(digits, np.uint16), tokens[a:b], np.array([EOD], np.uint16)]
-            rest = np.concatenate(made)
-            while len(rest) >= FLAT_BLOCK:
-                yield row(rest[:FLAT_BLOCK])
-                rest, block = rest[FLAT_BLOCK:], block + 1
-    if len(rest):
-        yield row(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, length, out = f"{folder}/{uuid.uuid4().hex}.bin", 0, None
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for w in words(batch.column(1)):
+                tokens, n = (w.hash % np.uint64(EOD)).astype("<u2"), len(w.bounds) - 1
+                out = out or tokenscan.open_file(path, write=True)
+                for doc_id, a, b in zip(ids[w.first : w.first + n], w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+                    digits = [2**DIGIT - 1] * HEAD if doc_id is None else [(doc_id % 2**64) >> (DIGIT * i) & (2**DIGIT - 1) for i in range(HEAD)]
+                    data = np.concatenate([np.array(digits, "<u2"), tokens[a:b], np.array([EOD], "<u2")]).tobytes()
+                    length += out.write(data)
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": [path], "length": pa.array([length], pa.int64())})
+
+    return staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file string, length long"))
 
 
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document, from the documents' words laid end to end in flat blocks."""
-    tokenscan.small_batches(spark)
-    flat = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_flat, "file string, block long, data binary")
-    rows = tokenscan.documents(flat, EOD, head=HEAD)
+    """Token counts of every document, from flat token files of the documents' words laid end to end."""
+    small_batches(spark)
+    files = token_files(table(spark, sf_dir, "documents"))
+    rows = tokenscan.documents(tokenscan.blocks_of(files, block_tokens=FLAT_BLOCK), EOD, head=HEAD)
     doc_id = F.expr(f"aggregate(head, named_struct('id', 0L, 'at', 0), (s, x) -> named_struct('id', s.id | shiftleft(x, s.at), 'at', s.at + {DIGIT}), s -> s.id)")
     return rows.select(F.when(F.col("head")[HEAD - 1] < 2**DIGIT - 1, doc_id).alias("doc_id"), (F.col("n_tokens") - HEAD).alias("n_tokens"))
 

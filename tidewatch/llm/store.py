@@ -37,14 +37,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted with the session."""
     path = f"{shared_folder(spark)}/tidewatch/{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

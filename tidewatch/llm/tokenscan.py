@@ -3,7 +3,9 @@
 A token file is a run of little-endian identifiers of two or four bytes and nothing else. It is read in blocks that
 know nothing of documents. One vectorised search finds the separators of a block; the block then tells how many it
 has and how many tokens each piece between them holds. A prefix scan of the separator counts over a file's blocks
-gives every piece its document's number, and the pieces of one number, at most one a block, are added up.
+gives every piece its document's number, and the pieces of one number, at most one a block, are added up. Spark's own
+binary reader takes a file whole; here a task opens the file through pyarrow and seeks to its block, so files may be of
+any size. Stores that pyarrow cannot open are an error.
 
 Defined cases: a file's tokens after its last separator are a document of their own if there are any. Empty
 documents (two separators in a row) count. Null or empty blocks hold nothing. A file whose bytes are no multiple of
@@ -12,25 +14,58 @@ the token size is an error.
 
 from __future__ import annotations
 
+import re
+import urllib.parse
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import small_batches, staged
 
 BLOCK_TOKENS = 1 << 19
+#: Blocks that a task reads, one at a time.
+TASK_BLOCKS = 16
 
 
-def read_files(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block, data of all token files under path, by Spark's own reader; one file must fit in a task."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.col("length").cast("long").alias("length"))
+def open_file(path: str, write: bool = False):
+    """A file of any store that pyarrow reaches, to be read from any place in it or to be written."""
+    if path.startswith("file:") or "://" not in path:
+        store, at = fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    else:
+        store, at = fs.FileSystem.from_uri(urllib.parse.quote(path, safe="/:@"))
+    return store.open_output_stream(at) if write else store.open_input_file(at)
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """file, length of all files under path; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").cast("long").alias("length"))
+
+
+def blocks_of(files: DataFrame, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """file, block, data of token files (file, length). Each block is read by itself, so a file's tasks grow with its length."""
     step = block_tokens * token_bytes
     checked = F.when(F.col("length") % token_bytes == 0, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("no whole tokens: "), "file")).cast("long"))
     blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((checked - 1) / step), F.lit(0)))))
-    return blocks.select("file", "block", F.substring("content", (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("data"))
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / step))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open_file(file) as f:
+                    data = f.read_at(step, block * step)
+                yield pa.RecordBatch.from_pydict({"file": [file], "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    dealt = blocks.select("file", "block").repartition(max(1, -(-int(tasks) // TASK_BLOCKS)), "file", "block")
+    return dealt.mapInArrow(run, "file string, block long, data binary")
+
+
+def read_files(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """file, block, data of all token files under path: listed by Spark, and read by the tasks with a seek to each block."""
+    return blocks_of(listed(spark, path), token_bytes, block_tokens)
 
 
 def _pieces(eod: int, dtype: str, head: int):

@@ -11,7 +11,8 @@ the first capture. A URL with a third of all captures is spread over as many tas
 
 Defined cases: a null URL is never resolved ("no original"); a null or unknown record type counts as a full response
 when it has a body digest and as "no original" otherwise; captures of the same URL and time are ordered by id, so a
-response resolves revisits of its own second only if its id is smaller. Rows that repeat an id resolve alike.
+response resolves revisits of its own second only if its id is smaller. Rows that repeat an id resolve alike. Null
+headers count as none; where nothing is resolved they stay null. A null time comes before all others.
 """
 
 from __future__ import annotations
@@ -41,36 +42,43 @@ def _strong(tag: Column) -> Column:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """records: record_id, at (long: time), url, kind, digest, headers (map of lower-case names).
+    """records: record_id, at (long: time), url, kind, digest, headers (map of lower-case names), and any other columns.
 
-    Adds url_key, original_id, status (full, resolved, mismatch, no original), body digest and merged headers.
+    Adds url_key, original_id, status (full, resolved, mismatch, no original), body_digest and merged_headers, in place
+    of columns of these names; all other columns come out as they are.
     """
     ranges = id_ranges(records.select(F.col("at").cast("long").alias("at")), "at")
-    rows = records.withColumn("url_key", canonical(F.col("url"))).withColumn("__range", ranges.of("at"))
+    added = {"url_key", "original_id", "status", "body_digest", "merged_headers"}
+    kept = [c for c in records.columns if c.lower() not in added]
+    # the input's columns travel as one, so none of them can be taken for one of ours
+    own = {"id": "record_id", "at": "at", "kind": "kind", "digest": "digest", "headers": "headers"}
+    rows = records.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), canonical(F.col("url")).alias("url_key"), *[F.col(c).alias(k) for k, c in own.items()])
+    rows = rows.withColumn("range", ranges.of("at"))
     full = (F.col("kind") == "response") | (F.coalesce(F.col("kind"), F.lit("")).isin("revisit", "response") == F.lit(False)) & F.col("digest").isNotNull()
-    rows = rows.withColumn("__full", F.coalesce(full, F.lit(False)) & F.col("url_key").isNotNull())
-    own = F.struct(F.col("at").alias("at"), F.col("record_id").alias("id"), F.col("digest").alias("digest"), F.element_at("headers", "etag").alias("etag"), F.element_at("headers", "last-modified").alias("changed"), F.col("headers").alias("headers"))
-    # the last full response of each (URL, range), then of all ranges before it
-    last = rows.filter("__full").groupBy("url_key", "__range").agg(F.max_by(own, F.struct("at", "record_id")).alias("last"))
-    ordered = Window.partitionBy("url_key").orderBy("__range")
-    keys = rows.filter("url_key IS NOT NULL AND NOT __full").select("url_key", "__range").distinct()
-    carried = keys.join(last, ["url_key", "__range"], "full").withColumn("carried", F.last("last", True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
-    carried = carried.filter("carried IS NOT NULL").select("url_key", "__range", "carried")
-    inside = Window.partitionBy("url_key", "__range").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("__near", F.last(F.when(F.col("__full"), own), True).over(inside)).join(carried, ["url_key", "__range"], "left")
-    found = found.withColumn("__from", F.when(~F.col("__full") & F.col("url_key").isNotNull(), F.coalesce("__near", "carried")))
+    rows = rows.withColumn("full", F.coalesce(full, F.lit(False)) & F.col("url_key").isNotNull())
     etag, changed = F.element_at("headers", "etag"), F.element_at("headers", "last-modified")
-    agrees = F.coalesce(_strong(etag) == _strong(F.col("__from.etag")), changed == F.col("__from.changed"), F.lit(True))
-    status = F.when(F.col("__full"), "full").when(F.col("__from").isNull(), "no original").when(agrees, "resolved").otherwise("mismatch")
-    allowed = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
-    kept = F.map_filter(F.col("__from.headers"), lambda k, v: ~F.map_contains_key(allowed, k))
+    capture = F.struct("at", "id", "digest", etag.alias("etag"), changed.alias("changed"), "headers")
+    # the last full response of each (URL, range), then of all ranges before it
+    last = rows.filter("full").groupBy("url_key", "range").agg(F.max_by(capture, F.struct("at", "id")).alias("last"))
+    ordered = Window.partitionBy("url_key").orderBy("range")
+    keys = rows.filter("url_key IS NOT NULL AND NOT full").select("url_key", "range").distinct()
+    carried = keys.join(last, ["url_key", "range"], "full").withColumn("carried", F.last("last", True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = carried.filter("carried IS NOT NULL").select("url_key", "range", "carried")
+    inside = Window.partitionBy("url_key", "range").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("near", F.last(F.when(F.col("full"), capture), True).over(inside)).join(carried, ["url_key", "range"], "left")
+    found = found.withColumn("from", F.when(~F.col("full") & F.col("url_key").isNotNull(), F.coalesce("near", "carried")))
+    agrees = F.coalesce(_strong(etag) == _strong(F.col("from.etag")), changed == F.col("from.changed"), F.lit(True))
+    status = F.when(F.col("full"), "full").when(F.col("from").isNull(), "no original").when(agrees, "resolved").otherwise("mismatch")
+    none = F.expr("cast(map() AS map<string, string>)")
+    allowed = F.map_filter(F.coalesce("headers", none), lambda k, v: k.isin(*PERMITTED))
+    before = F.map_filter(F.coalesce(F.col("from.headers"), none), lambda k, v: ~F.map_contains_key(allowed, k))
     found = found.withColumn("status", status)
     resolved = F.col("status") == "resolved"
     return found.select(
-        *records.columns,
+        *[F.col("row")[c].alias(c) for c in kept],
         "url_key",
-        F.when(F.col("__full"), F.col("record_id")).when(resolved, F.col("__from.id")).alias("original_id"),
+        F.when(F.col("full"), F.col("id")).when(resolved, F.col("from.id")).alias("original_id"),
         "status",
-        F.when(F.col("__full"), F.col("digest")).when(resolved, F.col("__from.digest")).alias("body_digest"),
-        F.when(resolved, F.map_concat(kept, allowed)).otherwise(F.col("headers")).alias("merged_headers"),
+        F.when(F.col("full"), F.col("digest")).when(resolved, F.col("from.digest")).alias("body_digest"),
+        F.when(resolved, F.map_concat(before, allowed)).otherwise(F.col("headers")).alias("merged_headers"),
     )

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 512 << 10
+HASHED_BYTES = 256 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -79,16 +80,21 @@ def words(column: pa.Array, slice_bytes: int | None = None) -> Iterator[Words]:
         after[-1:] = False
         after[:-1] = solid[1:]
         end = np.flatnonzero(solid & (~after | edge[1:])) + 1
-        size = end - start
-        if len(start):
-            at = np.zeros(len(start), np.int64)
-            np.cumsum(size[:-1], out=at[1:])
-            inside = np.arange(int(size.sum())) - np.repeat(at, size)
-            value = _BYTE[data[solid]] * powers(int(size.max()))[inside]
-            h = mix(np.add.reduceat(value, at) + size.astype(np.uint64) * _STEP)
-        else:
-            h = np.zeros(0, np.uint64)
-        yield Words(first, data, start, end, np.searchsorted(start, off), h)
+        yield Words(first, data, start, end, np.searchsorted(start, off), _hashes(data, solid, start, end))
+
+
+def _hashes(data: np.ndarray, solid: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, made for runs of words of about HASHED_BYTES at a time."""
+    out = np.zeros(len(start), np.uint64)
+    cuts = np.unique(np.concatenate((np.searchsorted(start, np.arange(0, len(data), HASHED_BYTES)), [0, len(start)])))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        piece = slice(start[i], end[j - 1])
+        size = end[i:j] - start[i:j]
+        at = np.cumsum(size) - size
+        inside = np.arange(int(size.sum())) - np.repeat(at, size)
+        value = _BYTE[data[piece][solid[piece]]] * powers(int(size.max()))[inside]
+        out[i:j] = mix(np.add.reduceat(value, at) + size.astype(np.uint64) * _STEP)
+    return out
 
 
 def word_strings(w: Words, which: np.ndarray) -> list[str]:
