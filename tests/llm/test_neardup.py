@@ -81,7 +81,7 @@ def test_sketches_estimate_closely():
             b = np.unique(np.concatenate([rng.permutation(a)[:keep], rng.integers(0, 2**64, len(a) - keep, dtype=np.uint64)]))
             odd = int(np.bitwise_count(neardup.odd_sketch(a).view(np.uint64) ^ neardup.odd_sketch(b).view(np.uint64)).sum())
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            assert abs(neardup.likeness(odd, len(a), len(b)) - true) < neardup.SLACK
+            assert abs(neardup.likeness(odd, len(a), len(b)) - true) < 0.08
 
 
 def test_shingles_ignore_batches_and_slices():
@@ -96,3 +96,32 @@ def test_chains_become_one_component(spark):
     got = {r["doc_id"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_never_rule_out_a_link_of_whole_sets():
+    rng = np.random.default_rng(1)
+    for n in (5, 60, 900):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for common in range(max(0, n - 40), n + 1):
+            b = np.unique(np.concatenate([a[:common], rng.integers(0, 2**64, n - common, dtype=np.uint64)]))
+            odd = int(np.bitwise_count(neardup.odd_sketch(a).view(np.uint64) ^ neardup.odd_sketch(b).view(np.uint64)).sum())
+            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            for percent in (80, 85, 95):
+                assert neardup.possible(odd, len(a), len(b), percent) or 100 * both < percent * either
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(2)
+    x, y, like = rng.integers(0, 40, 300), rng.integers(40, 90, 300), rng.random(300)
+    kept = neardup._forest(x, y, like)
+    assert len(kept) < 90 and kept[0] == like.argmax()
+    labels = lambda at: {frozenset(g) for g in groups_of(zip(x[at].tolist(), y[at].tolist(), strict=True))}
+    assert labels(kept) == labels(np.arange(300))
+
+
+def groups_of(pairs):
+    groups = []
+    for i, j in pairs:
+        touched = [g for g in groups if i in g or j in g]
+        groups = [g for g in groups if g not in touched] + [set().union({i, j}, *touched)]
+    return groups

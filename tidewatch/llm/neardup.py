@@ -4,12 +4,13 @@
    row, the smallest id, stands for each class, so exact copies never meet in a bucket.
 2. 125 MinHash values in 25 bands of 5 give buckets: two sets of likeness 0.85 share none of them with a chance of
    4e-7, of likeness 0.80 with one of 5e-5. The 1024 smallest hashes of a set (all of a smaller set) are folded into a parity bitmap of 2048 bits; the
-   population count of two bitmaps' XOR estimates the sets' difference to within a few elements.
+   population count of two bitmaps' XOR estimates the sets' difference to within a few elements, and never exceeds it.
 3. In each bucket every member is paired with the smallest one; pairs whose sketches leave room for the wanted
    likeness are confirmed on the full sets, and confirmed links joined into components.
 4. Buckets that still hold more than one component are searched in full, but only between components: small ones by
-   a join, larger ones in blocks of members against blocks, compared with numpy, so no task holds a whole bucket.
-   What the sketches let through is confirmed in the same way. Nothing is capped.
+   a join, larger ones in blocks of members against blocks, compared with numpy, so no task holds a whole bucket. Of the
+   pairs in a block that the sketches let through, the likeliest that join the components are confirmed first; whatever
+   pairs are left between components that are still apart are confirmed after that. Nothing is capped.
 
 Defined cases: a null or empty text has an empty set and no links; 1 to 4 words are one shingle. Rows of the same
 doc_id share a component; a null doc_id has a null component and is kept. Other columns are ignored.
@@ -31,9 +32,10 @@ from .words import Words, mix, powers, words
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 SAMPLE, BITS = 1024, 2048
-#: Estimated likeness may fall short of the wanted one by this much before a pair is dropped; by the second number where
-#: a set of more than SAMPLE shingles is estimated from a sample. Both are five deviations and more.
-SLACK, SAMPLED_SLACK = 0.08, 0.12
+#: Where a set of more than SAMPLE shingles is estimated from a sample, its likeness may fall short of the wanted one by
+#: this much (five deviations) before a pair is dropped. Smaller sets need no slack: parities never show more elements
+#: in one set alone than there are.
+SLACK = 0.12
 #: Buckets up to the first size are searched by a join, larger ones in blocks of as many members as the second.
 SMALL, BLOCK = 12, 256
 #: Ids broadcast at most; beyond it the tables are joined by a shuffle.
@@ -96,8 +98,10 @@ def likeness(odd_bits, n, m):
     return common / (n + m - common)
 
 
-def slack(n, m):
-    return np.where(np.maximum(n, m) > SAMPLE, SAMPLED_SLACK, SLACK)
+def possible(odd_bits, n, m, percent: int):
+    """Whether two sets may be as alike as wanted."""
+    whole = 100 * (n + m - odd_bits) >= percent * (n + m + odd_bits)
+    return np.where(np.maximum(n, m) > SAMPLE, likeness(odd_bits, n, m) >= percent / 100 - SLACK, whole)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +132,15 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
 
-def _estimate(a: str, b: str, n: str, m: str):
-    """The column form of likeness()."""
+def _possible(a: str, b: str, n: str, m: str, percent: int):
+    """The column form of possible()."""
     odd = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)").cast("double")
     d = -BITS / 2 * F.log1p(-2 * F.least(odd, F.lit(BITS / 2 - 1)) / BITS)
     sampled = F.least(F.col(n), F.lit(SAMPLE)) + F.least(F.col(m), F.lit(SAMPLE))
     common = (sampled - F.least(d, sampled)) / 2 * F.greatest(F.lit(1.0), F.greatest(n, m) / SAMPLE)
     common = F.least(common, F.least(n, m))
-    return common / (F.col(n) + F.col(m) - common)
+    whole = 100 * (F.col(n) + F.col(m) - odd) >= percent * (F.col(n) + F.col(m) + odd)
+    return F.when(F.greatest(n, m) > SAMPLE, common / (F.col(n) + F.col(m) - common) >= percent / 100 - SLACK).otherwise(whole)
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -154,49 +159,81 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _compare(percent: int):
+def _compare(percent: int, forest: bool):
     def run(table: pa.Table) -> pa.Table:
         """Left members against right ones of other components; a block alone against itself.
 
-        Two members that share several buckets meet in each; they are given out by the first of these alone.
+        Two members that share several buckets meet in each; they are given out by the first of these alone. With
+        `forest`, of the pairs that join the same components only the likeliest are given out, and a row without ids
+        tells that others were left.
         """
-        table, out = table.combine_chunks(), []
+        table = table.combine_chunks()
         lists = lambda k, n: table[k].combine_chunks().flatten().to_numpy().reshape(-1, n)
         bands, sketch = lists("bands", BANDS), lists("sketch", BITS // 64).view(np.uint64)
         ids, part, n, left = (table[k].to_numpy() for k in ("doc_id", "component", "n_shingles", "left"))
-        first = {k: table[k][0].as_py() for k in ("band", "i", "j")}
+        first = {k: table[k][0].as_py() for k in ("band", "key", "i", "j")}
         rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
-        if first["i"] == first["j"]:
-            cols = rows
+        alone = first["i"] == first["j"]
+        one, two, like = [], [], []
         for i in rows:
-            js = cols[part[cols] != part[i]]
+            js = rows[rows > i] if alone else cols
+            js = js[part[js] != part[i]]
             js = js[np.minimum(n[js], n[i]) * 100 >= percent * np.maximum(n[js], n[i])]
             if len(js):
                 odd = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1, dtype=np.int64)
-                js = js[likeness(odd, n[js], n[i]) >= percent / 100 - slack(n[js], n[i])]
-                js = js[(bands[js] == bands[i]).argmax(1) == first["band"]]
-                out.append(np.stack([np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])]))
-        both = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": both[0], "b": both[1]})
+                good = possible(odd, n[js], n[i], percent) & ((bands[js] == bands[i]).argmax(1) == first["band"])
+                js = js[good]
+                one.append(np.full(len(js), i))
+                two.append(js)
+                like.append(likeness(odd[good], n[js], n[i]))
+        one, two, like = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two, like))
+        kept = _forest(part[one], part[two], like) if forest else np.arange(len(one))
+        a, b = ids[one[kept]], ids[two[kept]]
+        a, b = np.minimum(a, b).tolist(), np.maximum(a, b).tolist()
+        if len(kept) < len(one):
+            a, b = [*a, None], [*b, None]
+        return pa.table({"band": pa.array([first["band"]] * len(a), pa.int32()), "key": pa.array([first["key"]] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _blocks_against_blocks(open_: DataFrame, main: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of large buckets, dealt to pairs of blocks (i, j). Blocks 0..k-1 hold what is outside the bucket's
-    main component and meet all blocks; blocks from k on hold the main component and meet only those."""
+def _forest(x: np.ndarray, y: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Places of the pairs, likeliest first, that join what no pair before them has joined."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.get(i, i) != i:
+            root[i] = root.get(root[i], root[i])
+            i = root[i]
+        return i
+
+    kept = []
+    for k, i, j in zip((order := np.argsort(-like, kind="stable")).tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+        i, j = find(i), find(j)
+        if i != j:
+            root[i] = j
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def _blocks_against_blocks(open_: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Members of large buckets, dealt to pairs of blocks (i, j) and compared. Blocks 0..k-1 hold what is outside the
+    bucket's main component and meet all blocks; blocks from k on hold the main component and meet only those."""
+    large = open_.filter(F.col("size") > SMALL)
+    main = large.groupBy("band", "key", "component").count().groupBy("band", "key")
+    main = main.agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("outside")).filter("outside > 0")
     rest = F.ceil(F.col("outside") / BLOCK).cast("int")
     mains = F.ceil((F.col("size") - F.col("outside")) / BLOCK).cast("int")
     dealt = F.xxhash64("doc_id", "key")
     placed = (
-        open_.filter(F.col("size") > SMALL)
-        .join(main, ["band", "key"])
+        large.join(main, ["band", "key"])
         .withColumn("out", F.col("component") != F.col("main"))
         .withColumn("own", F.when(F.col("out"), F.pmod(dealt, rest)).otherwise(rest + F.pmod(dealt, mains)).cast("int"))
         .withColumn("meets", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), rest + mains - 1)).otherwise(F.sequence(F.lit(0), rest - 1))))
         .select("band", "key", F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"), (F.col("own") <= F.col("meets")).alias("left"), "doc_id", "component")
     )
-    return placed.join(nodes.select("doc_id", "n_shingles", "bands", "sketch"), "doc_id")
+    placed = placed.join(nodes.select("doc_id", "n_shingles", "bands", "sketch"), "doc_id")
+    return placed.groupBy("band", "key", "i", "j").applyInArrow(_compare(percent, forest), "band int, key long, a long, b long")
 
 
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -234,12 +271,23 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     other = few.select("band", "key", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
     small = few.join(other, ["band", "key"]).filter("doc_id < b AND component <> of_b").select(F.col("doc_id").alias("a"), "b").distinct()
     small = staged(small)
-    main = open_.filter(F.col("size") > SMALL).groupBy("band", "key", "component").count().groupBy("band", "key")
-    main = staged(main.agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("outside")))
-    large = _blocks_against_blocks(open_, main, nodes).groupBy("band", "key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    more = _confirmed(texts, _sketched(small, nodes, percent).unionByName(large).distinct(), percent)
-    parts = connected(edges.unionByName(more))
-    freed(nodes, edges, open_, small, main, more)
+    compared = staged(_blocks_against_blocks(open_, nodes, percent, True))
+    tried = staged(_sketched(small, nodes, percent).unionByName(compared.filter("a IS NOT NULL").select("a", "b")).distinct())
+    more = _confirmed(texts, tried, percent)
+    edges, old = staged(edges.unionByName(more)), edges
+    parts = connected(edges)
+    # buckets in which other pairs were left, between what is not joined even now
+    left = compared.filter("a IS NULL").select("band", "key").distinct()
+    left = open_.drop("component").join(left, ["band", "key"]).join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    left = staged(left)
+    if not left.isEmpty():
+        rest = _blocks_against_blocks(left, nodes, percent, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        last = _confirmed(texts, rest, percent)
+        if not last.isEmpty():
+            freed(parts)
+            parts = connected(edges.unionByName(last))
+        freed(last)
+    freed(nodes, old, edges, open_, small, compared, tried, more, left)
     whole = member.join(parts.withColumnRenamed("doc_id", "stands"), "stands", "left").select("doc_id", "n_shingles", F.coalesce("component", "stands").alias("component_id"))
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -249,5 +297,4 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = nodes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     right = nodes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("t"))
     both = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    slack_ = F.when(F.greatest("n", "m") > SAMPLE, SAMPLED_SLACK).otherwise(SLACK)
-    return both.filter(_estimate("s", "t", "n", "m") >= percent / 100 - slack_).select("a", "b")
+    return both.filter(_possible("s", "t", "n", "m", percent)).select("a", "b")
