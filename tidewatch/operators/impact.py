@@ -92,8 +92,10 @@ def facility_ranking(stats: DataFrame) -> DataFrame:
 
 
 def exceedance_table(stats: DataFrame, thresholds=EXCEEDANCE) -> DataFrame:
+    """Share of series at or above each loss, facilities with the largest first share first."""
     shares = [F.avg((F.col("annual_mean_loss") >= t).cast("double")).alias(f"p_exceed_{round(t * 100)}pct") for t in thresholds]
-    return stats.filter("hf_id IS NOT NULL AND hf_category IS NOT NULL").groupBy("hf_id", "hf_category").agg(*shares)
+    out = stats.filter("hf_id IS NOT NULL AND hf_category IS NOT NULL").groupBy("hf_id", "hf_category").agg(*shares)
+    return out.orderBy(F.desc(out.columns[2]), "hf_id", "hf_category")
 
 
 def category_describe(stats: DataFrame) -> DataFrame:

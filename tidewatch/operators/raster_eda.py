@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quantile
+from .stats import linregress
 
 BANDS = ["flood_frequency", "flood_duration", "valid_obs", "max_consecutive"]
 #: Zone cuts: years with floods, and variation of the duration.
@@ -72,10 +73,11 @@ def raster_quality(hazard: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def trend_by_band(hazard: DataFrame) -> DataFrame:
-    """Least-squares line through the yearly means of each band."""
+    """Least-squares line through the yearly means of each band, with the slope's p."""
     means = long_bands(hazard).groupBy("band", "year").agg(F.avg("value").alias("mean"))
-    slope = F.regr_slope("mean", "year")
-    return means.groupBy("band").agg(slope.alias("slope"), F.regr_intercept("mean", "year").alias("intercept"), F.regr_r2("mean", "year").alias("r_squared"), F.when(slope > 0, "increasing").when(slope < 0, "decreasing").otherwise("flat").alias("trend"), F.count("*").alias("years"))
+    out = linregress(means, ["band"], "year", "mean")
+    trend = F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("flat")
+    return out.select("band", "slope", "intercept", "r_squared", F.col("p").alias("p_value"), trend.alias("trend"), F.col("n").alias("years"))
 
 
 def persistence(hazard: DataFrame) -> DataFrame:

@@ -188,7 +188,6 @@ _BODIES: dict[str, str] = {
     )
     + ")",
     "raster_quality": f"SELECT year, count(*) AS total, count(flood_frequency) AS valid, {_r(coverage_pct='count(flood_frequency) * 100.0 / count(*)')}, count(*) FILTER (valid_obs > o) AS count_over_observed, count(*) FILTER (flood_duration > flood_frequency * o + 1e-5) AS duration_over_frequency, count(*) FILTER (max_consecutive > flood_duration + 1e-5) AS consecutive_over_duration, count(*) FILTER (flood_frequency = 0 AND (flood_duration > 0 OR max_consecutive > 0)) AS zero_frequency_conflicts, {_r(completeness_pct='avg(valid_obs) * 100.0 / max(o)')} FROM haz JOIN (SELECT year, count(DISTINCT map_date) - 1 AS o FROM binx GROUP BY 1) USING (year) GROUP BY year",
-    "trend_by_band": f"SELECT band, {_r(slope='regr_slope(m, year)', intercept='regr_intercept(m, year)', r_squared='regr_r2(m, year)')}, CASE WHEN regr_slope(m, year) > 0 THEN 'increasing' WHEN regr_slope(m, year) < 0 THEN 'decreasing' ELSE 'flat' END AS trend, count(*) AS years FROM yearly GROUP BY band",
     "persistence": f"SELECT {_ROWCOL}, persistence, {_r('persistence_pct', 'cv')}, valid_years FROM pers",
     "zone_class": f"SELECT {_ROWCOL}, zone, (['SAFE','CHRONIC','UNSTABLE','CRITICAL'])[zone] AS zone_name FROM zones",
     "zone_shares": f"SELECT zone, (['SAFE','CHRONIC','UNSTABLE','CRITICAL'])[zone] AS zone_name, count(*) AS pixels, {_r(share='count(*)::DOUBLE / sum(count(*)) OVER ()')} FROM (SELECT CASE WHEN cv < 0.3 AND persistence <= 2 THEN 1 WHEN cv < 0.3 THEN 2 WHEN persistence >= 2 THEN 3 ELSE 4 END AS zone FROM pers) GROUP BY zone",
@@ -341,6 +340,9 @@ CTE["kend"] = f"SELECT hf_category, n, s / sqrt(pairs * (pairs - t)) AS tau, CAS
 CTE["ks2"] = _KS
 CTE["bandlines"] = _regression_p("yearly", "band", "year", "m")
 CTE["floodlines"] = _regression_p("(SELECT hf_category, year, days_flooded::DOUBLE AS y FROM obs_st)", "hf_category", "year", "y")
+CTE["frq"] = "SELECT flood_frequency AS x, count(*) AS c FROM haz WHERE flood_frequency > 0 GROUP BY 1"
+CTE["lgn"] = "SELECT stddev_pop(ln(flood_frequency)) AS a, exp(avg(ln(flood_frequency))) AS b, count(*) AS n FROM haz WHERE flood_frequency > 0"
+CTE["lgd"] = f"SELECT *, CASE WHEN z > 0 THEN 1 - p / 2 ELSE p / 2 END AS f FROM (SELECT *, {_normal_p('z')} AS p FROM (SELECT x, c, a, b, n, ln(x / b) / a AS z, sum(c) OVER (ORDER BY x) AS upto FROM frq, lgn))"
 CTE["hfy"] = "SELECT hf_id, hf_type, buffer_pixels, year(date)::INTEGER AS year, count(*)::INTEGER AS n_days, sum(\"binary\")::INTEGER AS total_flooded_days, '[' || string_agg(\"binary\", ',' ORDER BY date) || ']' AS series_binary, '[' || string_agg(n_no_data, ',' ORDER BY date) || ']' AS series_no_data_count FROM bufm JOIN placed USING (hf_id) GROUP BY ALL"
 CTE["patch"] = "SELECT hf_id, round_even(avg(zone), 0)::INTEGER AS zone FROM placed JOIN zones ON row_ >= r - half AND row_ < r + half AND col_ >= c - half AND col_ < c + half WHERE r >= 0 AND r < h AND c >= 0 AND c < 25 GROUP BY 1"
 CTE["evw"] = "SELECT DISTINCT 'hf_' || user_id AS hf_id, ts::DATE AS day FROM events"
@@ -383,7 +385,9 @@ _BODIES.update({
     "reclassified_pool": "SELECT cat_new AS hf_category, count(*) AS days, sum(occurrence)::BIGINT AS wet FROM obs JOIN recl USING (hf_id) GROUP BY cat_new",
     "calibrated_loss": f"SELECT hf_id, year, {_r(annual_mean_loss='avg(combined_loss)', annual_max_loss='max(combined_loss)')} FROM ({_calibrated()}) GROUP BY ALL",
     "trend_regression_p": f"SELECT hf_category, {_r('slope', 'intercept', 'r_squared')}, n, {_r('p')}, p < 0.05 AS significant FROM floodlines",
+    "trend_by_band": f"SELECT band, {_r('slope', 'intercept', 'r_squared', p_value='p')}, CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'flat' END AS trend, n AS years FROM bandlines",
     "band_trend_p": f"SELECT band, {_r('slope', 'r_squared', 'p')}, n FROM bandlines",
+    "fit_lognormal": f"SELECT 'lognorm' AS distribution, {_r('a', 'b', ks='max(greatest(upto / n - f, f - (upto - c) / n))')} FROM lgd GROUP BY lgd.a, lgd.b",
     "ks_two_sample_p": f"SELECT {_r('d_stat')}, n_1, n_2, {_r(p='CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x))))) END')} FROM (SELECT *, (sqrt(en) + 0.12 + 0.11 / sqrt(en)) * d_stat AS x FROM (SELECT *, n_1 * n_2 / (n_1 + n_2)::DOUBLE AS en FROM ks2)) WHERE n_1 > 5 AND n_2 > 5",
     "kendall_trend_loss": f"SELECT hf_category, n, {_r('tau', 'p')}, CASE WHEN tau > 0 THEN 'increasing' WHEN tau < 0 THEN 'decreasing' ELSE 'flat' END AS direction, {_stars('p')} AS sig FROM kend",
     "session_spells_stream": "SELECT hf_id, min(day) AS start_date, max(day) AS end_date, (max(day) - min(day) + 1)::INTEGER AS length, count(*) AS wet_days FROM evs GROUP BY hf_id, grp",

@@ -247,6 +247,12 @@ def fit_positive_distribution(spark, d):
     return sampling.fit_positive_distribution(_annual(spark, d), "flood_frequency", bounded=True)
 
 
+@query
+def fit_lognormal(spark, d):
+    """The log-normal candidate, whose parameters have a closed form, with its distance from the frequencies."""
+    return sampling.fit_positive_distribution(_annual(spark, d), "flood_frequency").filter("distribution = 'lognorm'")
+
+
 # facilities
 
 
