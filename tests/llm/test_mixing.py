@@ -72,3 +72,12 @@ def test_mix_emits_each_copy(spark):
 
 def test_empty_table(spark):
     assert mixing.copies(docs(spark, []).limit(0)).count() == 0 and mixing.mix(docs(spark, []).limit(0)).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rows = [(1, "a", "w " * 400_000), (2, "a", "w " * 10), (3, "b", "\u00e9" * 300_000)]
+    df = docs(spark, rows).withColumn("copies", F.lit("own")).withColumn("target", F.lit("own")).withColumn("row", F.lit("own"))
+    got = {r["doc_id"]: r for r in mixing.copies(df).collect()}
+    assert {i: r["size"] for i, r in got.items()} == {1: 400_000, 2: 10, 3: 1} and all(r["copies"] <= 3 for r in got.values())
+    out = mixing.mix(df).collect()
+    assert all(r["copies"] == r["target"] == r["row"] == "own" for r in out) and len(out) == sum(r["copies"] for r in got.values())

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidewatch.llm import neardup
 from tidewatch.llm.components import connected
@@ -125,3 +126,19 @@ def groups_of(pairs):
         touched = [g for g in groups if i in g or j in g]
         groups = [g for g in groups if g not in touched] + [set().union({i, j}, *touched)]
     return groups
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(9000)}" for _ in range(60_000)]
+    near, far = list(long), list(long)
+    for i in range(0, 60_000, 100):
+        near[i] = "new"
+    for i in range(0, 60_000, 12):
+        far[i] = "new"
+    rows = [(4, " ".join(long)), (6, " ".join(near)), (8, " ".join(far)), (9, "x" * 500_000), (10, "x" * 500_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("bands", "component_id", "kept", "a", "key"):
+        docs = docs.withColumn(c, F.lit("own"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.groups(docs).collect()}
+    assert got == brute(rows) and got[6][1] == 4 and got[8][1] == 8 and got[10][1] == 9

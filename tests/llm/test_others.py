@@ -426,3 +426,13 @@ def test_search_over_groups_chunks_and_empty_tables(spark, monkeypatch):
         assert sorted(got[q]) == [(n + 1, f // 10**6, f % 10**6) for n, f in enumerate(far)]
     assert mih.search(df.limit(0), df.limit(0), 3).count() == 0 and mih.search(df.limit(0), df, 3).count() == 0
     assert tokenscan.documents(spark.createDataFrame([], "file string, block long, data binary"), 9).count() == 0
+
+
+def test_very_long_texts_are_scored_by_all_their_words(spark):
+    good = [f"the quiet river number {i} runs past a small town and its {i % 13} old mills." for i in range(60)]
+    junk = [" ".join(f"{w}&&&" for w in t.upper().split()) for t in good]
+    rows = [(2 * i, t) for i, t in enumerate(good)] + [(2 * i + 1, t) for i, t in enumerate(junk)] + [(500, " ".join(good * 100)), (501, " ".join(junk * 100)), (502, "z" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("weights", F.lit("own")).withColumn("quality", F.lit(-1))
+    weights = quality.train(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, weights).collect()}
+    assert got[500] > 0.5 > got[501] and 0 <= got[502] <= 1

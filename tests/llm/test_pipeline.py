@@ -63,3 +63,20 @@ def test_copies_of_likeness_between_80_and_85_are_one(spark):
     far = [w + "y" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)] + [f"u{i}" for i in range(15)]  # 176 of 231: 0.76
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, near, far))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_firsts(spark, docs, "").collect()) == [0, 2]
+
+
+def test_run_applies_the_stages_and_clears_up(spark, tmp_path):
+    from tidewatch.llm import store
+
+    rows = [(i, f"a small text {i} of its own that says mail me@x{i}.org", "en", f"s{i % 2}", 50) for i in range(6)]
+    rows += [(10, rows[0][1], "en", "s0", 50), (11, None, "en", "s1", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    start = store.mark()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    left = store._written[start:]
+    ids = {r["doc_id"] for r in got.collect()}
+    want = {hashlib.sha256(f"a small text {i} of its own that says mail [EMAIL]".encode()).hexdigest() for i in range(6)}
+    assert 10 not in ids and ids <= {0, 1, 2, 3, 4, 5, 11}
+    assert {r["decoded_sha256"] for r in got.collect() if r["doc_id"] != 11} <= want
+    assert len(left) <= 2  # the last stage's input, and what it reads twice

@@ -34,7 +34,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target from one row a source: weights 1, 2, 3 by name, limited to MOST times the size.
 
     Sources are full up to some level of target a weight. Sorted by the level at which each is full, the first k are
-    full where the level that the others then get is above the k-th's own, so one running sum finds the level.
+    full where the level that the others then get is above the k-th's own, so one running sum finds the level. This sorts
+    the sources, one row each, in one task.
     """
     by_name, by_level = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("level", "weight", F.col("source").asc_nulls_last())
     everything = Window.partitionBy()

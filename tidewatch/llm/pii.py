@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import freed, staged
 
 SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
@@ -217,6 +217,7 @@ def find(docs: DataFrame, generalise: bool = False) -> DataFrame:
     told = told.groupBy("doc_id", "row", "term").agg(F.max(F.struct("disclosure", "broader")).alias("worst"))
     told = told.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "worst"))).alias("told"))
     told = staged(told.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "told"))
+    freed(near, rated)
     few = _small(told, "told")
     told = F.broadcast(told) if few else told
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row"))

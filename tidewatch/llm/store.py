@@ -69,6 +69,19 @@ def freed(*tables: DataFrame) -> None:
         _delete(*entry)
 
 
+def mark() -> int:
+    """To be given to freed_since()."""
+    return len(_written)
+
+
+def freed_since(start: int, kept: DataFrame) -> None:
+    """Deletes what has been staged since the mark but for one table, in which all of it has been used up."""
+    for entry in _written[start:]:
+        if entry[1] != kept._staged_at:
+            _written.remove(entry)
+            _delete(*entry)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
