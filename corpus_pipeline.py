@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, mixing, neardup, pii, quality
 from tidewatch.llm.queries import ranks
-from tidewatch.llm.store import freed, staged
+from tidewatch.llm.store import freed, freed_since, mark, staged
 
 #: Shingle sets at least so alike, in per cent, make near-duplicates of two documents.
 LIKE = 80
@@ -80,9 +80,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of what all stages keep. Each stage's tables go when the next one's input is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        start, before = mark(), docs
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = staged(docs)
+            freed_since(start, docs)
+            if i:
+                freed(before)
     return docs
