@@ -11,9 +11,9 @@ whoever sees t knows e. From 0.9 on a term is removed, from 0.75 generalised, wh
 hold that entity; what rests on fewer than two documents is no estimate and is left. Terms are read with all accepted
 spans blanked. Documents without protected entities stay as they are.
 
-A term is generalised to a broader one that the corpus knows: b is broader than t if at least 0.8 of the documents
-with e and t hold b, more documents hold b than t, and b discloses e less than 0.75. Of these the most informative one,
-that of the fewest documents, takes the term's place, and [TERM] where there is none.
+A term is generalised to a broader one that the corpus knows: beside e, b is broader than t if at least 0.8 of the
+documents with e hold b, more documents hold b than t, and b discloses e less than 0.75. Of these the most informative
+one, that of the fewest documents, takes the term's place, and [TERM] where there is none.
 
 All expressions are Spark's own. Positions are code points, end exclusive; they come from the lengths of the pieces
 between matches, so the work is linear in the text. The patterns are possessive, so long runs need no stack.
@@ -31,7 +31,7 @@ from .store import freed, staged
 
 SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
-#: Share of a term's documents that hold a broader one.
+#: Share of an entity's documents that hold a broader term.
 SUBSUMED = 0.8
 #: Candidate terms, and bytes of spans or terms of documents, broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 16 << 20
@@ -182,21 +182,20 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame
     return staged(rated.filter(F.col("disclosure") >= GENERALISE))
 
 
-def broader_terms(found: DataFrame, near: DataFrame, rated: DataFrame) -> DataFrame:
+def broader_terms(found: DataFrame, rated: DataFrame) -> DataFrame:
     """entity, term, broader of the rated pairs below REMOVE that have a broader term."""
-    some = staged(rated.filter(F.col("disclosure") < REMOVE).select("entity", "term", F.col("both").alias("together"), F.col("with_term").alias("with_narrow"), "with_entity"))
-    mentions = _entities(found).join(staged(some.select("entity").distinct()), "entity")
-    held = near.join(some.select("entity", "term"), ["entity", "term"]).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("entity").alias("__entity"), "term")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row")) & (F.col("entity") == F.col("__entity"))
-    beside = held.join(mentions, same).select("entity", "term", F.explode("words").alias("broader")).filter("broader <> term")
-    beside = beside.groupBy("entity", "term", "broader").agg(F.count("*").alias("n")).join(some, ["entity", "term"])
-    beside = staged(beside.filter(F.col("n") >= SUBSUMED * F.col("together")))
-    wanted = staged(beside.select("entity", F.col("broader").alias("term")).distinct())
-    both = mentions.select("entity", F.explode("words").alias("term")).join(wanted, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("both"))
-    counts = both.join(_with_term(found, staged(wanted.select("term").distinct())), "term").withColumnRenamed("term", "broader")
+    some = rated.filter(F.col("disclosure") < REMOVE).select("entity", "term", F.col("with_term").alias("with_narrow"), "with_entity")
+    entities = staged(some.select("entity", "with_entity").distinct())
+    beside = _entities(found).join(entities, "entity").select("entity", "with_entity", F.explode("words").alias("term"))
+    beside = beside.groupBy("entity", "with_entity", "term").agg(F.count("*").alias("both"))
+    beside = staged(beside.filter(F.col("both") >= SUBSUMED * F.col("with_entity")))
     n = found.select("doc_id", "row").distinct().count()
-    rows = beside.join(counts, ["entity", "broader"]).filter((F.col("with_term") > F.col("with_narrow")) & (F.coalesce(_disclosure(n), F.lit(0.0)) < GENERALISE))
-    return staged(rows.groupBy("entity", "term").agg(F.min(F.struct("with_term", "broader"))["broader"].alias("broader")))
+    wide = beside.join(_with_term(found, staged(beside.select("term").distinct())), "term")
+    wide = wide.filter(F.coalesce(_disclosure(n), F.lit(0.0)) < GENERALISE).select("entity", F.col("term").alias("broader"), "with_term")
+    rows = some.join(wide, "entity").filter((F.col("with_term") > F.col("with_narrow")) & (F.col("broader") != F.col("term")))
+    out = staged(rows.groupBy("entity", "term").agg(F.min(F.struct("with_term", "broader"))["broader"].alias("broader")))
+    freed(entities, beside)
+    return out
 
 
 def _small(df: DataFrame, column: str) -> bool:
@@ -212,7 +211,7 @@ def find(docs: DataFrame, generalise: bool = False) -> DataFrame:
     near = staged(contexts(found))
     rated = disclosures(docs, found, near)
     known = rated.select("entity", "term", "disclosure")
-    known = known.join(broader_terms(found, near, rated), ["entity", "term"], "left") if generalise else known.withColumn("broader", F.lit(None).cast("string"))
+    known = known.join(broader_terms(found, rated), ["entity", "term"], "left") if generalise else known.withColumn("broader", F.lit(None).cast("string"))
     told = near.join(known, ["entity", "term"])
     told = told.groupBy("doc_id", "row", "term").agg(F.max(F.struct("disclosure", "broader")).alias("worst"))
     told = told.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "worst"))).alias("told"))
