@@ -102,11 +102,11 @@ def facilities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def draws(spark: SparkSession, d: str, facilities_: int = 5) -> DataFrame:
-    """Posterior draws in two chains: kappa, and a break and an effect for each of a few facilities."""
+def draws(spark: SparkSession, d: str, facilities_: int = 31) -> DataFrame:
+    """Posterior draws in two chains, one of each element: kappa, phi, and a break and an effect for each of the facilities."""
     rows = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(2)).cast("int").alias("chain"), F.floor(F.col("vec_id") / 2).cast("int").alias("draw"), "embedding")
     e = lambda i: F.col("embedding")[i].cast("double")
-    one = [F.struct(F.lit("kappa").alias("param"), F.lit("0").alias("idx"), F.abs(e(0)).alias("value"))]
+    one = [F.struct(F.lit("kappa").alias("param"), F.lit("0").alias("idx"), F.abs(e(0)).alias("value")), F.struct(F.lit("phi").alias("param"), F.lit("0").alias("idx"), F.abs(e(1 + 2 * facilities_)).alias("value"))]
     for i in range(facilities_):
         one.append(F.struct(F.lit("t_break").alias("param"), F.lit(f"hf_{i}").alias("idx"), e(1 + i).alias("value")))
         one.append(F.struct(F.lit("delta").alias("param"), F.lit(f"hf_{i}").alias("idx"), e(1 + facilities_ + i).alias("value")))

@@ -117,7 +117,7 @@ CTE: dict[str, str] = {
     "sums": "SELECT hf_category, count(*)::DOUBLE AS n, sum(rk)::DOUBLE AS rs, (SELECT count(*)::DOUBLE FROM ranked) AS total, (SELECT sum(c * c - 1)::DOUBLE FROM ranked) AS ties FROM ranked GROUP BY hf_category",
     "scm": "SELECT scenario_id, avg(w)::DOUBLE AS annual_days, sum(w)::DOUBLE / sum(n) AS flood_freq, coalesce(sum(p) / nullif(sum(w), 0) * 100, 0.0) AS mean_pct_wet FROM (SELECT scenario_id, hf_id, sum(occurrence) AS w, count(*) AS n, sum(pct_flooded) FILTER (occurrence = 1) AS p FROM syn GROUP BY ALL) GROUP BY 1",
     "scm5": "SELECT scm.*, coalesce((SELECT avg((duration >= 5)::INTEGER) FROM syn_s s WHERE s.scenario_id = scm.scenario_id), 0.0)::DOUBLE AS p_spell_ge5 FROM scm",
-    "drw": "SELECT * FROM (SELECT 'kappa' AS param, (vec_id % 2)::INTEGER AS chain, (vec_id // 2)::INTEGER AS draw, '0' AS idx, abs(embedding[1]::DOUBLE) AS value FROM embeddings)" + "".join(f" UNION ALL SELECT '{p}', (vec_id % 2)::INTEGER, (vec_id // 2)::INTEGER, 'hf_{i}', embedding[{o + i}]::DOUBLE FROM embeddings" for p, o in (("t_break", 2), ("delta", 7)) for i in range(5)),
+    "drw": "SELECT * FROM (SELECT 'kappa' AS param, (vec_id % 2)::INTEGER AS chain, (vec_id // 2)::INTEGER AS draw, '0' AS idx, abs(embedding[1]::DOUBLE) AS value FROM embeddings)" + "".join(f" UNION ALL SELECT '{p}', (vec_id % 2)::INTEGER, (vec_id // 2)::INTEGER, 'hf_{i}', embedding[{o + i}]::DOUBLE FROM embeddings" for p, o in (("t_break", 2), ("delta", 33)) for i in range(31)) + " UNION ALL SELECT 'phi', (vec_id % 2)::INTEGER, (vec_id // 2)::INTEGER, '0', abs(embedding[64]::DOUBLE) FROM embeddings",
     "lags": "SELECT *, lag(occurrence) OVER (PARTITION BY hf_id ORDER BY date) AS o_lag, lag(pct_flooded) OVER (PARTITION BY hf_id ORDER BY date) AS p_lag FROM obs",
     "cov": "SELECT *, cos(2 * pi() * day_of_year / 365) AS cos_t, sin(2 * pi() * day_of_year / 365) AS sin_t, (year - 1995)::DOUBLE / 6 AS t_year, least(greatest(pct_flooded, 1e-6), 1 - 1e-6) AS p_clipped, greatest(min_distance, 1e-3) / CASE WHEN buffer_pixels = 40 THEN 2545.5 ELSE 3818.0 END AS d_scaled FROM lags",
     "trend": "SELECT hf_category, year, median(days_flooded / 365.0::DOUBLE) AS flood_freq_med, median(annual_mean_loss) AS mean_loss_med, median(days_loss_gt50::DOUBLE) AS days_gt50_med, median(days_loss_gt75::DOUBLE) AS days_gt75_med FROM obs_st GROUP BY ALL",
