@@ -20,15 +20,14 @@ def connected(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         # large star: a node's larger neighbours go to its smallest one
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low_of = staged(both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low")))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("v"), F.least("u", "low").alias("low"))
         # each edge (u, v), u > v, is in v's star as a larger neighbour of v
-        large = now.join(low_of.withColumnRenamed("u", "v"), "v").select("u", F.col("low").alias("v"))
-        large = staged(large.distinct())
+        large = staged(now.join(low, "v").select("u", F.col("low").alias("v")).distinct())
         # small star: a node and its smaller neighbours go to the smallest of them
-        low = staged(large.groupBy("u").agg(F.min("v").alias("low")))
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
         across = large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         after = staged(across.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
-        freed(low_of, large, low)
+        freed(large)
         differ = _differ(now, after)
         freed(now)
         now = after
