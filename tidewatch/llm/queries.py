@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lbl, mih, mixing, neardup, omh, pii, quality, tokenscan, warc
+from . import bpe, fim, langid, lbl, lexical, mih, mixing, neardup, omh, pii, quality, tokenscan, warc
 from .store import scratch, small_batches, staged
 from .words import words
 
@@ -247,11 +247,68 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_revisits, op3_separator_scan, op4_multi_index_hashing, op5_order_minhash, op6_minhash_odd_sketch, op7_disclosure, op8_systematic_mix, op9_log_bilinear, op10_ftrl_quality)}
+def op11_fenwick_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-middle form, and what it is put back to, as digests."""
+    rows = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT *, CASE WHEN t = '' THEN [] ELSE regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') END AS u,
+    ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by the dictionaries of the training texts; accepted tells wide margins."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = langid.classify(docs.select("doc_id", "text"), langid.learn(docs))
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op13_rmq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item, among all documents."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), q AS (
+  SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), g AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0
+), o AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(w) AS term FROM d) SEMI JOIN (SELECT DISTINCT term FROM q) USING (term) GROUP BY ALL
+), t AS (SELECT term, floor(1000 * ln((2 * any_value(g.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM o, g GROUP BY term
+), i AS (
+  SELECT o.k, o.term, t.weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(d.w)::BIGINT * g.n) // g.l))) AS impact FROM o JOIN t USING (term) JOIN d USING (k), g
+), s AS (SELECT item_id, k, sum(c * impact)::BIGINT AS score FROM i JOIN q USING (term) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM s JOIN d USING (k) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc_revisits, op3_separator_scan, op4_multi_index_hashing, op5_order_minhash, op6_minhash_odd_sketch, op7_disclosure, op8_systematic_mix, op9_log_bilinear, op10_ftrl_quality, op11_fenwick_fim, op12_zstd_language, op13_rmq_search)}
 SQL = {
     "op2_warc_revisits": OP2_SQL,
     "op3_separator_scan": OP3_SQL,
     "op4_multi_index_hashing": OP4_SQL,
     "op6_minhash_odd_sketch": OP6_SQL,
     "op8_systematic_mix": OP8_SQL,
+    "op11_fenwick_fim": OP11_SQL,
+    "op13_rmq_search": OP13_SQL,
 }

@@ -1,6 +1,7 @@
 """Words of whole Arrow text columns, split and hashed with numpy alone.
 
-A word is a maximal run of bytes other than space and \\t..\\r; A-Z are lower-cased before hashing.
+A word is a maximal run of bytes other than space and \\t..\\r, or than those a caller names; A-Z are lower-cased before
+hashing.
 Null texts count as empty. Work goes through slices of half a MB (or one longer text), so memory stays bounded for any batch.
 """
 
@@ -67,9 +68,10 @@ def powers(n: int, step: np.uint64 = _STEP) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def words(column: pa.Array, slice_bytes: int | None = None) -> Iterator[Words]:
+def words(column: pa.Array, slice_bytes: int | None = None, between: np.ndarray = _SPACE) -> Iterator[Words]:
+    """between: for each byte, whether it stands between words."""
     for first, data, off in text_slices(column, slice_bytes or SLICE_BYTES):
-        solid = ~_SPACE[data]
+        solid = ~between[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[off] = True
         before = np.empty(len(data), bool)
