@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LossConfig
-from ..functions.columns import quantile
+from .order import quantiles
 from .spells import label_spells, spell_table
 
 # Quantiles of spells, and the losses of the duration and intensity steps from the lowest threshold up.
@@ -15,17 +15,17 @@ DISTANCE_QUANTILES = (0.05, 0.10, 0.25, 0.50)
 DURATION_LOSSES, INTENSITY_LOSSES = (0.10, 0.25, 0.50, 0.75, 1.00), (0.10, 0.25, 0.50, 0.80)
 
 
-def _named(prefix: str, c: str, qs) -> list[Column]:
-    return [quantile(c, q).alias(f"{prefix}_p{round(q * 100):02d}") for q in qs]
+def _named(prefix: str, c: str, qs) -> dict[str, tuple[str, float]]:
+    return {f"{prefix}_p{round(q * 100):02d}": (c, q) for q in qs}
 
 
 def spell_percentiles(spells: DataFrame) -> DataFrame:
     """One row: percentiles of spell durations, intensities and least distances."""
-    return spells.agg(*_named("dur", "duration", DURATION_QUANTILES), *_named("int", "intensity_idx", DURATION_QUANTILES), *_named("dist", "min_distance", DISTANCE_QUANTILES))
+    return quantiles(spells, [], _named("dur", "duration", DURATION_QUANTILES) | _named("int", "intensity_idx", DURATION_QUANTILES) | _named("dist", "min_distance", DISTANCE_QUANTILES))
 
 
 def spell_quantiles_by_category(spells: DataFrame) -> DataFrame:
-    return spells.filter("hf_category IS NOT NULL").groupBy("hf_category").agg(*_named("dur", "duration", (0.75, 0.90, 0.95)))
+    return quantiles(spells.filter("hf_category IS NOT NULL"), ["hf_category"], _named("dur", "duration", (0.75, 0.90, 0.95)))
 
 
 def boxplot_stats(spells: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def suggest_thresholds(percentiles: DataFrame) -> DataFrame:
 def empirical_thresholds(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row of percentiles over the spells of all series; distances are those of every wet day."""
     days = label_spells(df, keys)
-    spells = spell_table(days, keys, labelled=True).agg(*_named("dur", "duration", DURATION_QUANTILES), *_named("int", "intensity_idx", DURATION_QUANTILES[1:]))
-    wet = days.filter("spell_id >= 0").agg(*_named("dist", "min_distance", DISTANCE_QUANTILES[1:]))
+    spells = quantiles(spell_table(days, keys, labelled=True), [], _named("dur", "duration", DURATION_QUANTILES) | _named("int", "intensity_idx", DURATION_QUANTILES[1:]))
+    wet = quantiles(days.filter("spell_id >= 0"), [], _named("dist", "min_distance", DISTANCE_QUANTILES[1:]))
     return spells.crossJoin(F.broadcast(wet))  # one row each
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EXCEEDANCE, LossConfig
 from ..functions.columns import lookup, quantile, step_loss
+from .order import beside, quantiles
 from .spells import label_spells, merge_spells
 
 SYNTHETIC = ["hf_id", "scenario_id"]
@@ -99,24 +100,24 @@ def exceedance_table(stats: DataFrame, thresholds=EXCEEDANCE) -> DataFrame:
 
 
 def category_describe(stats: DataFrame) -> DataFrame:
-    loss = "annual_mean_loss"
-    return stats.filter("hf_category IS NOT NULL").groupBy("hf_category").agg(
-        F.count("*").alias("n"), F.median(loss).alias("median"), F.avg(loss).alias("mean"), *[quantile(loss, q).alias(f"p{round(q * 100)}") for q in (0.25, 0.75, 0.95)]
-    )
+    loss, rows = "annual_mean_loss", stats.filter("hf_category IS NOT NULL")
+    base = rows.groupBy("hf_category").agg(F.count("*").alias("n"), F.avg(loss).alias("mean"))
+    shares = quantiles(rows, ["hf_category"], {"median": (loss, 0.5), "p25": (loss, 0.25), "p75": (loss, 0.75), "p95": (loss, 0.95)})
+    return beside(base, shares, ["hf_category"]).select("hf_category", "n", "median", "mean", "p25", "p75", "p95")
 
 
 def seasonal_risk(stats: DataFrame) -> DataFrame:
     """Median, p05, p95 of monthly losses by category, with the month of the highest median (the first of equals)."""
     months = stats.select("hf_category", F.posexplode("monthly_loss").alias("m", "loss")).withColumn("month", F.col("m") + 1)
-    out = months.groupBy("hf_category", "month").agg(F.median("loss").alias("median"), quantile("loss", 0.05).alias("p05"), quantile("loss", 0.95).alias("p95"))
-    peak = F.max_by("month", F.struct(F.round("median", 9), -F.col("month"))).over(Window.partitionBy("hf_category"))
+    out = quantiles(months, ["hf_category", "month"], {"median": ("loss", 0.5), "p05": ("loss", 0.05), "p95": ("loss", 0.95)})
+    peak = F.max_by("month", F.struct(F.round("median", 9), -F.col("month"))).over(Window.partitionBy("hf_category"))  # twelve rows
     return out.withColumn("peak_month", peak)
 
 
 def temporal_trend(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("hf_category", "year").agg(
-        F.median(F.col("days_flooded") / 365.0).alias("flood_freq_med"), F.median("annual_mean_loss").alias("mean_loss_med"), F.median("days_loss_gt50").alias("days_gt50_med"), F.median("days_loss_gt75").alias("days_gt75_med")
-    )
+    """Medians by category and year."""
+    medians = {"flood_freq_med": F.col("days_flooded") / 365.0, "mean_loss_med": "annual_mean_loss", "days_gt50_med": "days_loss_gt50", "days_gt75_med": "days_loss_gt75"}
+    return quantiles(stats, ["hf_category", "year"], {k: (v, 0.5) for k, v in medians.items()})
 
 
 def category_backfill(df: DataFrame) -> DataFrame:
@@ -131,4 +132,4 @@ def r1_sensitivity(df: DataFrame, keys: list[str], sets: dict[str, tuple]) -> Da
     losses = {label: F.avg(F.when(F.col("spell_id") >= 0, step_loss("spell_duration", limits)).otherwise(0.0)) for label, limits in sets.items()}
     means = days.groupBy(*keys).agg(F.min_by("hf_category", "date").alias("hf_category"), *[v.alias(k) for k, v in losses.items()])
     long = means.unpivot(["hf_category"], list(losses), "label", "loss")
-    return long.groupBy("label", "hf_category").agg(F.median("loss").alias("median_loss"))
+    return quantiles(long, ["label", "hf_category"], {"median_loss": ("loss", 0.5)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import quantile
+from .order import beside, quantiles
 from .stats import linregress
 
 BANDS = ["flood_frequency", "flood_duration", "valid_obs", "max_consecutive"]
@@ -24,10 +24,12 @@ def raster_stats(hazard: DataFrame, flooded_only: bool = False) -> DataFrame:
     """Statistics of the valid values by year and band; of the positive ones only, with zeros from all, on demand."""
     rows = long_bands(hazard)
     v = F.when(F.col("value") > 0, F.col("value")) if flooded_only else F.col("value")
-    return rows.groupBy("year", "band").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), quantile(v, 0.25).alias("q25"), quantile(v, 0.75).alias("q75"),
+    keys = ["year", "band"]
+    base = rows.groupBy(*keys).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.count_if(F.col("value") == 0).alias("zeros"), (F.count_if(F.col("value") == 0) * 100.0 / F.count("value")).alias("zeros_pct"),
     )
+    return beside(base, quantiles(rows, keys, {"median": (v, 0.5), "q25": (v, 0.25), "q75": (v, 0.75)}), keys)
 
 
 def flood_extent(hazard: DataFrame, threshold: float = 0.0) -> DataFrame:

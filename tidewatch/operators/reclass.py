@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import quantile
+from .order import beside, quantiles
 from .spells import label_spells
 from .stats import mann_whitney_p
 
@@ -24,7 +24,8 @@ def annual_metrics(days: DataFrame, breakpoint: int = 2021) -> DataFrame:
 
 def annual_summary(metrics: DataFrame) -> DataFrame:
     v = "flood_freq"
-    return metrics.groupBy("year").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), quantile(v, 0.05).alias("q05"), quantile(v, 0.95).alias("q95"), F.count("*").alias("facilities"))
+    base = metrics.groupBy("year").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count("*").alias("facilities"))
+    return beside(base, quantiles(metrics, ["year"], {"q05": (v, 0.05), "q95": (v, 0.95)}), ["year"])
 
 
 def pre_post_test(metrics: DataFrame, alpha: float = 0.05) -> DataFrame:

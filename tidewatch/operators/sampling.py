@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.columns import quantile
+from ..functions.special import beta_i, digamma, erfcx, gamma_p, normal_cdf, trigamma
 from ..sources.scratch import stored
-from .stats import beta_i, gamma_p, normal_two_sided, running
+from .order import known, running
 
 SEED = "42"
 
@@ -25,12 +23,21 @@ def cap_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def stratified_sample(long: DataFrame, per_year: int = 5000, zeros: float = 0.3) -> DataFrame:
-    """Of each year and band at most the given share of zeros and the rest of positive values."""
+    """Of each year and band at most the given share of zeros and the rest of positive values: those of the least hashes.
+
+    How many rows begin with which four digits of the hash tells where the last row of a sample stands; only the rows up
+    to there are ordered, some few more than the sample holds, so no task sorts a stratum.
+    """
     stratum = F.when(F.col("value") == 0, "zero").when(F.col("value") > 0, "positive")
-    rows = long.withColumn("stratum", stratum).filter("stratum IS NOT NULL")
-    n = F.row_number().over(Window.partitionBy("year", "band", "stratum").orderBy(hashed("row", "col"), "row", "col"))
+    keys = ["year", "band", "stratum"]
+    rows = long.withColumn("stratum", stratum).filter("stratum IS NOT NULL").withColumn("__h", hashed("row", "col")).withColumn("__d", F.substring("__h", 1, 4))
     cap = F.when(F.col("stratum") == "zero", int(per_year * zeros)).otherwise(per_year - int(per_year * zeros))
-    return rows.withColumn("__n", n).filter(F.col("__n") <= cap).drop("__n")
+    digits = rows.groupBy(*keys, "__d").agg(F.count("*").alias("__k"))  # 65,536 rows a stratum at most
+    before = F.sum("__k").over(Window.partitionBy(*keys).orderBy("__d")) - F.col("__k")
+    last = digits.withColumn("__before", before).filter(F.col("__before") < cap).groupBy(*keys).agg(F.max("__d").alias("__last"))
+    near = rows.join(last, keys).filter("__d <= __last")
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("__h", "row", "col"))
+    return near.withColumn("__n", n).filter(F.col("__n") <= cap).select(*long.columns, "stratum")
 
 
 def systematic_sample(df: DataFrame, order: list[str], most: int) -> DataFrame:
@@ -55,103 +62,119 @@ def variogram(points: DataFrame, value: str, bins: int = 12, least: int = 5, sha
     return out.filter(F.col("pairs") > least)
 
 
-def _newton(f, x: float, low: float = 1e-8) -> float:
-    """A root of f near x by secant steps that stay positive."""
-    a, b = x, x * 1.01 + 1e-6
-    fa, fb = f(a), f(b)
-    for _ in range(200):
-        if fb == fa or abs(b - a) < 1e-12 * abs(b):
-            break
-        c = max(low, min(b - fb * (b - a) / (fb - fa), b * 4))
-        a, fa, b = b, fb, c
-        fb = f(b)
-    return b
-
-
-def digamma(x: float) -> float:
-    out = 0.0
-    while x < 8:
-        out -= 1 / x
-        x += 1
-    y = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
-
-
-def _weibull_shape(rows: DataFrame, mean_log: float, guess: float) -> float:
-    """The shape that sets the likelihood's slope to 0, between guess / 16 and 16 * guess: the slope rises with the shape,
-    so each of a few passes over the counts takes it at 17 shapes at once and goes on between two of them."""
-    low, high = guess / 16, guess * 16
-    for _ in range(9):
-        ks = [low * (high / low) ** (i / 16) for i in range(17)]
-        powers = [F.sum(F.pow("x", F.lit(k)) * F.col("c")).alias(f"p{i}") for i, k in enumerate(ks)]
-        logs = [F.sum(F.pow("x", F.lit(k)) * F.log("x") * F.col("c")).alias(f"q{i}") for i, k in enumerate(ks)]
-        a = rows.agg(*powers, *logs).first()
-        up = next((i for i, k in enumerate(ks) if a[f"q{i}"] / a[f"p{i}"] - 1 / k - mean_log > 0), 16)
-        low, high = ks[max(up - 1, 0)], ks[up]
-    return (low + high) / 2
+#: Candidates, and the shapes at which one pass takes the slope of the Weibull likelihood.
+FAMILIES = ("beta", "gamma", "invgauss", "lognorm", "weibull_min")
+SHAPES, PASSES, SPREAD = 16, 5, 16.0
 
 
-def fit_positive_distribution(sample: DataFrame, value: str, bounded: bool = False, least: int = 100) -> DataFrame | None:
-    """The candidate (beta where bounded by 1, gamma, log-normal, Weibull, inverse Gaussian, all from 0) of the lowest
-    Kolmogorov-Smirnov distance, with its two parameters; None for samples of `least` values or fewer.
+def _fold(steps: int, start: Column, step) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda acc, _: step(acc))
+
+
+def _gamma_shape(gap: Column) -> Column:
+    """k with log k - digamma(k) = gap, the log of the mean less the mean of logs, by Newton's method on 1 / k."""
+    start = (3 - gap + F.sqrt((gap - 3) * (gap - 3) + 24 * gap)) / (12 * gap)
+    return _fold(25, start, lambda k: 1 / (1 / k + (F.log(k) - digamma(k) - gap) / (k * k * (1 / k - trigamma(k)))))
+
+
+def _beta_shapes(m: Column, v: Column, l: Column, l1: Column) -> Column:  # noqa: E741
+    """(a, b) whose means of log x and log (1 - x) are l and l1, by Newton's method in both from the moments on."""
+    t = m * (1 - m) / v - 1
+    start = F.struct(F.greatest(m * t, F.lit(0.01)).alias("a"), F.greatest((1 - m) * t, F.lit(0.01)).alias("b"))
+
+    def step(at: Column) -> Column:
+        a, b = at["a"], at["b"]
+        both, slope = digamma(a + b), trigamma(a + b)
+        g, h = digamma(a) - both - l, digamma(b) - both - l1
+        p, q = trigamma(a), trigamma(b)
+        det = p * q - slope * (p + q)
+        a2, b2 = a - (g * (q - slope) + slope * h) / det, b - (h * (p - slope) + slope * g) / det
+        return F.struct(F.when(a2 > 0, a2).otherwise(a / 2).alias("a"), F.when(b2 > 0, b2).otherwise(b / 2).alias("b"))
+
+    return _fold(60, start, step)
 
-    Parameters come from sums over the counts of distinct values, which are written once, the distance from their
-    prefix sums. One row a candidate.
+
+def _weibull(counts: DataFrame, moments: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, k, scale. The likelihood's slope rises with the shape k: each of a few aggregations over the counts takes it
+    at SHAPES + 1 shapes at once and the next goes on between the two where it crosses 0; a line crosses the last gap."""
+    known = moments.select(*groups, "n", "m", (F.col("l") - F.log("m")).alias("level"), (1.2 / F.col("sl") / SPREAD).alias("low"), (1.2 / F.col("sl") * SPREAD).alias("high"))
+    u = F.log(F.col("x") / F.col("m"))
+    for _ in range(PASSES):
+        shape = [F.col("low") * F.pow(F.col("high") / F.col("low"), F.lit(i / SHAPES)) for i in range(SHAPES + 1)]
+        keys = [*groups, "n", "m", "level", "low", "high"]
+        sums = [F.sum(F.exp(k * u) * F.col("c")).alias(f"p{i}") for i, k in enumerate(shape)] + [F.sum(F.exp(k * u) * u * F.col("c")).alias(f"q{i}") for i, k in enumerate(shape)]
+        rows = joined(counts, known, groups).groupBy(*keys).agg(*sums)
+        points = F.array(*[F.struct(k.alias("k"), (F.col(f"q{i}") / F.col(f"p{i}") - 1 / k - F.col("level")).alias("s")) for i, k in enumerate(shape)])
+        rows = rows.select(*groups, "n", "m", "level", points.alias("at"))
+        up = F.filter("at", lambda e: e["s"] > 0)
+        down = F.filter("at", lambda e: e["s"] <= 0)
+        # without a crossing inside, the end nearer to 0 counts
+        rows = rows.select(*groups, "n", "m", "level", F.coalesce(F.get(down, F.size(down) - 1), F.get("at", F.lit(0))).alias("lo"), F.coalesce(F.get(up, F.lit(0)), F.get("at", F.lit(SHAPES))).alias("hi"))
+        known = rows.select(*groups, "n", "m", "level", F.col("lo.k").alias("low"), F.col("hi.k").alias("high"), F.col("lo.s").alias("s_low"), F.col("hi.s").alias("s_high"))
+    gap = F.log(F.col("high") / F.col("low"))
+    k = F.when(F.col("s_high") > F.col("s_low"), F.col("low") * F.exp(gap * F.col("s_low") / (F.col("s_low") - F.col("s_high")))).otherwise(F.col("low"))
+    known = known.select(*groups, "n", "m", k.alias("k"))
+    rows = joined(counts, known, groups).groupBy(*groups, "n", "m", "k").agg(F.sum(F.exp(F.col("k") * u) * F.col("c")).alias("p"))
+    return rows.select(*groups, "k", (F.col("m") * F.pow(F.col("p") / F.col("n"), 1 / F.col("k"))).alias("scale"))
+
+
+def joined(rows: DataFrame, table: DataFrame, groups: list[str]) -> DataFrame:
+    """rows beside the one row that table has for their group; groups are not null."""
+    return rows.join(table, groups) if groups else rows.crossJoin(F.broadcast(table))  # one row
+
+
+def fit_groups(sample: DataFrame, value: str, groups: list[str], bounded: Column | bool = False, least: int = 100) -> DataFrame:
+    """For each group of more than `least` positive values and each candidate: its two parameters by maximum likelihood
+    (all distributions start at 0), the Kolmogorov-Smirnov distance, and whether it is the chosen one, that of the least.
+
+    Candidates are gamma, log-normal, Weibull, inverse Gaussian and, where `bounded` says so, beta. All of it is one
+    declarative plan over the counts of distinct values, which are written once: no value goes to Python, nothing to the
+    driver. Values that are null, NaN or not positive, and null groups, are left out; a group of one value has no fit.
     """
-    rows = stored(sample.filter(F.col(value) > 0).select(F.col(value).cast("double").alias("x")).groupBy("x").agg(F.count("*").alias("c")))
-    mean = lambda e, c=F.col("c"): F.sum(e * c) / F.sum(F.when(e.isNotNull(), c))
-    x, log = F.col("x"), F.log("x")
-    s = rows.agg(F.sum("c").alias("n"), mean(x).alias("m"), mean(log).alias("l"), mean(1 / x).alias("inv"), mean(F.when(x < 1, F.log1p(-x))).alias("l1")).first()
-    if (s["n"] or 0) <= least:
-        return None
-    s = s.asDict() | rows.agg(F.sqrt(mean((log - s["l"]) ** 2)).alias("sl"), mean((x - s["m"]) ** 2).alias("v")).first().asDict()
-    fits: dict[str, tuple[float, float]] = {}
-    if s["sl"] > 0:
-        gap = math.log(s["m"]) - s["l"]
-        k = _newton(lambda k: math.log(k) - digamma(k) - gap, max(0.5 / gap, 1e-3))
-        fits["gamma"] = (k, s["m"] / k)
-        fits["lognorm"] = (s["sl"], math.exp(s["l"]))
-        fits["invgauss"] = (s["m"], 1 / (s["inv"] - 1 / s["m"]))
-
-        k = _weibull_shape(rows, s["l"], 1.2 / s["sl"])
-        fits["weibull_min"] = (k, rows.agg(mean(F.pow("x", F.lit(k)))).first()[0] ** (1 / k))
-        if bounded and s["l1"] is not None and s["v"] > 0:
-            t = s["m"] * (1 - s["m"]) / s["v"] - 1
-            a, b = max(s["m"] * t, 1e-2), max((1 - s["m"]) * t, 1e-2)
-            for _ in range(100):
-                a, b = _newton(lambda a, b=b: digamma(a) - digamma(a + b) - s["l"], a), _newton(lambda b, a=a: digamma(b) - digamma(a + b) - s["l1"], b)
-            fits["beta"] = (a, b)
-    return ks_one_sample(rows, fits)
-
-
-def cdf(name: str, a: float, b: float, x: float) -> float:
-    phi = lambda z: 1 - normal_two_sided(z) / 2 if z > 0 else normal_two_sided(z) / 2
-    if name == "gamma":
-        return gamma_p(a, x / b)
-    if name == "lognorm":
-        return phi(math.log(x / b) / a)
-    if name == "weibull_min":
-        return 1 - math.exp(-((x / b) ** a))
-    if name == "beta":
-        return beta_i(a, b, x)
-    root = math.sqrt(b / x)
-    tail = math.exp(2 * b / a) * phi(-root * (x / a + 1)) if 2 * b / a < 700 else 0.0
-    return phi(root * (x / a - 1)) + tail
-
-
-def ks_one_sample(rows: DataFrame, fits: dict[str, tuple[float, float]]) -> DataFrame:
-    """distribution, a, b, ks of each candidate over the sample's distinct values x with counts c."""
-
-    @F.pandas_udf("double")
-    def at(name, a, b, x):
-        import pandas as pd
-
-        return pd.Series([cdf(*row) for row in zip(name, a, b, x, strict=True)])
-
-    total = rows.agg(F.sum("c").alias("n"))
-    steps = running(rows, "x", ["c"]).crossJoin(F.broadcast(total))  # one row
-    steps = steps.select("x", ((F.col("before_c") + F.col("c")) / F.col("n")).alias("hi"), (F.col("before_c") / F.col("n")).alias("lo"))
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in fits.items()], StructType.fromDDL("distribution string, a double, b double"))
-    both = steps.crossJoin(F.broadcast(table)).withColumn("f", at("distribution", "a", "b", "x"))  # five candidates
-    return both.groupBy("distribution", "a", "b").agg(F.max(F.greatest(F.col("hi") - F.col("f"), F.col("f") - F.col("lo"))).alias("ks"))
+    some = sample.filter((F.col(value) > 0) & known(value))
+    for g in groups:
+        some = some.filter(F.col(g).isNotNull())
+    counts = stored(some.select(*groups, F.col(value).cast("double").alias("x"), F.lit(bounded).alias("bounded") if isinstance(bounded, bool) else bounded.alias("bounded")).groupBy(*groups, "x").agg(F.count("*").alias("c"), F.max("bounded").alias("bounded")))
+    x, log, c = F.col("x"), F.log("x"), F.col("c")
+    mean = lambda e: F.sum(e * c) / F.sum(F.when(e.isNotNull(), c))
+    sums = counts.groupBy(*groups).agg(F.sum(c).alias("n"), F.max("bounded").alias("bounded"), F.max(x).alias("most"), mean(x).alias("m"), mean(log).alias("l"), mean(1 / x).alias("inv"), mean(F.when(x < 1, F.log1p(-x))).alias("l1")).filter(F.col("n") > least)
+    around = joined(counts.drop("bounded"), sums, groups).groupBy(*groups, "n", "bounded", "most", "m", "l", "inv", "l1")
+    moments = around.agg(F.sqrt(mean((log - F.col("l")) ** 2)).alias("sl"), mean((x - F.col("m")) ** 2).alias("v")).filter("sl > 0")
+    shapes = joined(moments, _weibull(counts, moments, groups).withColumnsRenamed({"k": "wk", "scale": "ws"}), groups)
+    k, ab = _gamma_shape(F.log("m") - F.col("l")), _beta_shapes(F.col("m"), F.col("v"), F.col("l"), F.col("l1"))
+    can = F.col("bounded") & F.col("l1").isNotNull() & (F.col("v") > 0) & (F.col("m") < 1)
+    shapes = shapes.withColumn("k", k).withColumn("ab", F.when(can, ab))
+    each = [("gamma", F.col("k"), F.col("m") / F.col("k")), ("lognorm", F.col("sl"), F.exp("l")), ("invgauss", F.col("m"), 1 / (F.col("inv") - 1 / F.col("m"))), ("weibull_min", F.col("wk"), F.col("ws")), ("beta", F.col("ab.a"), F.col("ab.b"))]
+    table = shapes.select(*groups, F.inline(F.array(*[F.struct(F.lit(n).alias("distribution"), a.alias("a"), b.alias("b")) for n, a, b in each]))).filter("a IS NOT NULL")
+    fits = ks_one_sample(counts.drop("bounded"), table, groups)
+    best = F.row_number().over(Window.partitionBy(*groups).orderBy("ks", "distribution")) == 1  # five rows
+    return fits.withColumn("chosen", best)
+
+
+def fit_positive_distribution(sample: DataFrame, value: str, bounded: bool = False, least: int = 100) -> DataFrame | None:
+    """fit_groups() of a whole table; None for samples of `least` positive values or fewer."""
+    some = stored(sample.filter((F.col(value) > 0) & known(value)).select(F.col(value).cast("double").alias(value)))
+    return fit_groups(some, value, [], bounded, least) if some.count() > least else None
+
+
+def cdf(name: Column, a: Column, b: Column, x: Column) -> Column:
+    """Distribution functions of the candidates."""
+    root = F.sqrt(b / x)
+    near = root * (x / a - 1)
+    wald = normal_cdf(near) + F.exp(-near * near / 2) * erfcx(root * (x / a + 1) / F.sqrt(F.lit(2.0))) / 2
+    return (
+        F.when(name == "gamma", gamma_p(a, x / b))
+        .when(name == "lognorm", normal_cdf(F.log(x / b) / a))
+        .when(name == "weibull_min", -F.expm1(-F.pow(x / b, a)))
+        .when(name == "beta", beta_i(a, b, F.least(x, F.lit(1.0))))
+        .when(name == "invgauss", wald)
+    )
+
+
+def ks_one_sample(counts: DataFrame, fits: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, distribution, a, b, ks of each candidate over the sample's distinct values x with counts c."""
+    total = counts.groupBy(*groups).agg(F.sum("c").alias("n"))
+    steps = joined(running(counts, "x", ["c"], groups), total, groups)
+    steps = steps.select(*groups, "x", ((F.col("before_c") + F.col("c")) / F.col("n")).alias("hi"), (F.col("before_c") / F.col("n")).alias("lo"))
+    both = joined(steps, fits, groups).withColumn("f", cdf(F.col("distribution"), F.col("a"), F.col("b"), F.col("x")))  # five candidates a group
+    return both.groupBy(*groups, "distribution", "a", "b").agg(F.max(F.greatest(F.col("hi") - F.col("f"), F.col("f") - F.col("lo"))).alias("ks"))

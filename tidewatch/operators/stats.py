@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import stars
 from ..sources.scratch import stored
-
-#: Ranges of values of a prefix sum.
-PARTS = 256
-
+from .order import known, running
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
@@ -147,23 +144,10 @@ def t_p(t: Column, df: Column) -> Column:
     return _udf(t_two_sided)(t, df)
 
 
-def running(values: DataFrame, value: str, counts: list[str]) -> DataFrame:
-    """Adds before_<c>, the sum of c over smaller values, to a table of distinct values. Two levels, ranges of values and
-    then inside them, so that no task sees all values."""
-    bounds = values.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0)
-    rows = values.crossJoin(F.broadcast(bounds)).withColumn("part", part).drop("lo", "hi")
-    parts = rows.groupBy("part").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
-    down = Window.orderBy("part")  # PARTS rows
-    parts = parts.select("part", *[(F.sum(f"all_{c}").over(down) - F.col(f"all_{c}")).alias(f"start_{c}") for c in counts])
-    inside = Window.partitionBy("part").orderBy(value)
-    rows = rows.join(F.broadcast(parts), "part")
-    return rows.select(*values.columns, *[(F.col(f"start_{c}") + F.sum(c).over(inside) - F.col(c)).alias(f"before_{c}") for c in counts])
-
-
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
-    """group, n, rank_sum, with the table's total and tie term: ranks from counts of distinct values, never of all rows."""
-    counts = stored(df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k")))
+    """group, n, rank_sum, with the table's total and tie term: ranks from counts of distinct values, never of all rows.
+    Nulls and NaN are missing."""
+    counts = stored(df.filter(F.col(group).isNotNull() & known(value)).groupBy(group, value).agg(F.count("*").alias("k")))
     values = running(counts.groupBy(value).agg(F.sum("k").alias("c")), value, ["c"])
     ranked = values.select(value, "c", (F.col("before_c") + (F.col("c") + 1) / 2).alias("avg_rank"))
     joined = counts.join(ranked, value)
@@ -196,7 +180,7 @@ def dunn_test(sums: DataFrame, group: str) -> DataFrame:
 
 def ks_two_sample(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
     """One row: the largest distance of two groups' distribution functions, and the limit distribution's p."""
-    counts = stored(df.filter(F.col(group).isin(first, second)).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b")))
+    counts = stored(df.filter(F.col(group).isin(first, second) & known(value)).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b")))
     sizes = counts.agg(F.sum("a").alias("n_1"), F.sum("b").alias("n_2")).filter("n_1 > 5 AND n_2 > 5")
     rows = running(counts, value, ["a", "b"]).crossJoin(F.broadcast(sizes))  # one row
     d = F.abs((F.col("before_a") + F.col("a")) / F.col("n_1") - (F.col("before_b") + F.col("b")) / F.col("n_2"))
