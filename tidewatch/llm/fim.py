@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import small_batches
+from .store import quoted, small_batches
 from .words import SLICE_BYTES, text_slices
 
 BLOCK = 1024
@@ -119,7 +119,7 @@ def transform(docs: DataFrame, seed: int = 1, percent: int = 90, spm: int = 20,
     for x in marks:
         plain = plain | F.contains(text, F.lit(x))
     form = F.when(plain | (_number(F.col("hashed"), 2) % 100 >= percent), "plain").when(_number(F.col("hashed"), 3) % 100 < spm, "spm").otherwise("psm")
-    rows = docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row"), text.alias("text"), hashed.alias("hashed"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), text.alias("text"), hashed.alias("hashed"))
     rows = rows.select("row", "text", _number(F.col("hashed"), 0).alias("h1"), _number(F.col("hashed"), 1).alias("h2"), form.alias("form"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,3 @@ def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS)
     two = F.split_part(rest, F.lit(m), F.lit(1))
     middle = F.substr(rest, F.length(two) + len(m) + 1)
     return F.when(form == "plain", output).when(form == "psm", F.concat(one, middle, two)).otherwise(F.concat(two, middle, one))
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

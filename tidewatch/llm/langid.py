@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import held_out
-from .store import freed, small_batches, staged
+from .store import freed, quoted, small_batches, staged
 
 DICTIONARY, PIECE, BLOCK = 128 << 10, 256, 2048
 #: Of all dictionaries together, whatever the number of languages.
@@ -136,16 +136,16 @@ def classify(docs: DataFrame, learned: list[tuple[str, bytes]]) -> DataFrame:
     """docs with lang_pred, score and accepted; columns of these names, in any case, are replaced, all others kept."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learned)
-    columns = docs.columns
-    at = [c.lower() for c in columns].index("text")
-    kept = [i for i, c in enumerate(columns) if c.lower() not in ADDED]
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    # the kept columns travel as one, so they may have any names
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = [lang for lang, _ in shared.value]
         encoders = [Encoders(d) for _, d in shared.value]
         for batch in batches:
             said: list[tuple] = []
-            for text in batch.column(at).cast(pa.string()):
+            for text in batch.column(1):
                 text = text.as_py()
                 if not langs or not text or not any(map(str.isalpha, text)):
                     said.append(("und", 0.0, False))
@@ -154,7 +154,8 @@ def classify(docs: DataFrame, learned: list[tuple[str, bytes]]) -> DataFrame:
                 best, score, accepted = judged(np.array([e.size(low) for e in encoders], float))
                 said.append((langs[best], score, accepted))
             added = [pa.array([x[i] for x in said], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *added], names=[*[columns[i] for i in kept], *ADDED])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *added], names=["row", *ADDED])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[i] for i in kept], *added]))
+    found = rows.mapInArrow(run, T.StructType([rows.schema["row"], *added]))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in kept], *ADDED)

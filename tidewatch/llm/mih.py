@@ -119,14 +119,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     tables = tables.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("code", "first"))).alias("all"))
     tables = staged(tables.select(*place, F.col("all.code").alias("codes"), F.col("all.first").alias("firsts")))
 
-    codes = asked.select("code").distinct()
-    blocks = max(1, -(-codes.count() // BLOCK))
-    pending, best = staged(codes), None
+    pending, best = staged(asked.select("code").distinct()), None
     best_of = Window.partitionBy("query").orderBy("distance", "first")
     for radii in ROUNDS:
         flips = [x for x in range(1 << bits) if any(0 <= r - x.bit_count() <= BITS - bits for r in radii)]
         sent = _leading(pending, bits, flips).join(F.broadcast(sizes), ["segment", "group"])
-        sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", F.pmod(F.xxhash64("code", F.lit(3)), F.lit(blocks)))
+        # a group's queries go in as many blocks as they fill, so its table is copied once for each of those alone
+        blocks = staged(_leading(pending, bits, flips).groupBy("segment", "group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+        sent = sent.join(F.broadcast(blocks), ["segment", "group"]).withColumn("block", F.pmod(F.xxhash64("code", F.lit(3)), "blocks").cast("int"))  # one row a group
+        sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         sent = sent.groupBy(*place, "block").agg(F.collect_list("code").alias("queries"))
         near = sent.join(tables, place).select(*place, "codes", "firsts", "queries").mapInArrow(_search(wanted, radii), "query long, code long, distance int, first long")
         near = near if best is None else near.unionByName(best)
@@ -136,7 +137,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         near_enough = (F.col("farthest") < SEGMENTS * (radii[-1] + 1)) | F.lit(least == n)  # with all codes found, none is unseen
         covered = covered.filter((F.col("found") >= least) & near_enough)
         left = staged(pending.join(covered.select(F.col("query").alias("code")), "code", "left_anti"))
-        freed(pending, *([before] if before is not None else []))
+        freed(pending, blocks, *([before] if before is not None else []))
         pending = left
         if pending.isEmpty():
             break

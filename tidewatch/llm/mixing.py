@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import id_ranges
-from .store import staged
+from .store import quoted, staged
 
 #: No target is larger than so many times its source's size.
 MOST = 3
@@ -82,16 +82,18 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that repeat an id and text share their copies."""
+    """The rows of docs, each as often as the mix takes it. Rows that repeat an id and text share their copies. Columns may
+    have any names: they travel as one."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
-    taken = copies(docs).groupBy(key.alias("__id"), F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    taken = copies(docs).groupBy(key.alias("id"), F.col("row").alias("hash")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     taken = staged(taken)
-    rows = docs.withColumn("__id", key).withColumn("__row", F.xxhash64(F.col("text").cast("string"))).join(taken, ["__id", "__row"])
-    once = rows.filter("__rows = 1").withColumn("__each", F.col("__copies"))
-    if not taken.filter("__rows > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("__id", "__row").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))) - 1
-        some = lambda n: F.floor(n * F.col("__copies") / F.col("__rows"))
-        again = rows.filter("__rows > 1").withColumn("__n", nth)
-        once = once.unionByName(again.withColumn("__each", (some(F.col("__n") + 1) - some(F.col("__n"))).cast("long")).drop("__n"))
-    out = once.filter("__each > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each").cast("long"))))
-    return out.select(*docs.columns)
+    given = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("given"), key.alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    rows = given.join(taken, ["id", "hash"])
+    once = rows.filter("rows = 1").withColumn("each", F.col("copies"))
+    if not taken.filter("rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.xxhash64("given"))) - 1
+        some = lambda n: F.floor(n * F.col("copies") / F.col("rows"))
+        again = rows.filter("rows > 1").withColumn("n", nth)
+        once = once.unionByName(again.withColumn("each", (some(F.col("n") + 1) - some(F.col("n"))).cast("long")).drop("n"))
+    out = once.filter("each > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("each").cast("long"))))
+    return out.select(*[F.col("given").getField(c).alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import freed, staged
+from .store import freed, quoted, staged
 
 SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
@@ -138,8 +138,15 @@ def contexts(found: DataFrame) -> DataFrame:
     widest = mentions.agg(F.max(most)).first()[0] or 0.0
     terms = staged(terms.filter(F.col("at_least") <= widest))
     few = terms.count() <= BROADCAST_TERMS
-    pairs = mentions.select("doc_id", "row", "entity", "with_entity", F.explode("words").alias("term")).join(F.broadcast(terms) if few else terms, "term")
-    return pairs.filter(F.col("at_least") <= most).select("doc_id", "row", "entity", "term")
+    # the bounded terms of a document meet its entities once, as two lists
+    kept = once.select("doc_id", "row", F.explode("words").alias("term")).join(F.broadcast(terms) if few else terms, "term")
+    kept = kept.groupBy("doc_id", "row").agg(F.collect_list(F.struct("term", "at_least")).alias("terms"))
+    kept = kept.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "terms")
+    own = mentions.groupBy("doc_id", "row").agg(F.collect_list(F.struct("entity", most.alias("most"))).alias("entities"))
+    both = own.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row")))
+    pairs = both.select("doc_id", "row", F.inline("entities"), "terms")
+    pairs = pairs.select("doc_id", "row", "entity", F.explode(F.expr("filter(terms, t -> t.at_least <= most)")).alias("t"))
+    return pairs.select("doc_id", "row", "entity", "t.term")
 
 
 def _weighted(found: DataFrame) -> DataFrame:
@@ -238,21 +245,30 @@ def listed(*kinds: str) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with protected entities masked and disclosing terms removed or generalised; n_chars follows where it is there."""
+    """docs with protected entities masked and disclosing terms removed or generalised; n_chars follows where it is there.
+
+    All other columns come out as they are, whatever their names: the input's columns travel as one. A text with spans is
+    cut into one string a code point while it is put together, so a task holds some fifty times its longest such text.
+    """
     mask = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("put")))
     told = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["disclosure"] >= REMOVE, "").otherwise(F.coalesce(x["broader"], F.lit("[TERM]"))).alias("put")))
-    spans = find(docs, generalise=True).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.array_sort(F.concat(*[mask(k) for k in KINDS], told)).alias("__spans"))
-    spans = staged(spans.filter("size(__spans) > 0").dropDuplicates(["__id", "__row"]))
-    few = _small(spans, "__spans")
-    keyed = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__row"))
-    rows = keyed.join(F.broadcast(spans) if few else spans, same, "left")
+    spans = find(docs, generalise=True).select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), F.array_sort(F.concat(*[mask(k) for k in KINDS], told)).alias("spans"))
+    spans = staged(spans.filter("size(spans) > 0").dropDuplicates(["of_id", "of_row"]))
+    few = _small(spans, "spans")
+    whole_row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    keyed = docs.select(whole_row.alias("given"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("plain"))
+    rows = keyed.join(F.broadcast(spans) if few else spans, F.col("id").eqNullSafe(F.col("of_id")) & (F.xxhash64("plain") == F.col("of_row")), "left")
     # spans may overlap: each takes what those before it left
     step = "if(x.end > s.at, named_struct('at', x.end, 'cut', concat(s.cut, array(named_struct('from', s.at, 'start', greatest(x.start, s.at), 'put', if(x.start >= s.at, x.put, ''))))), s)"
-    cut = f"aggregate(__spans, named_struct('at', 0, 'cut', cast(array() AS array<struct<from:int,start:int,put:string>>)), (s, x) -> {step})"
+    cut = f"aggregate(spans, named_struct('at', 0, 'cut', cast(array() AS array<struct<from:int,start:int,put:string>>)), (s, x) -> {step})"
     whole = "concat(array_join(flatten(transform(c.cut, x -> concat(slice(l, x.from + 1, x.start - x.from), array(x.put)))), ''), array_join(slice(l, c.at + 1, size(l)), ''))"
-    text = F.expr(f"CASE WHEN __spans IS NULL THEN text ELSE get(transform(array({cut}), c -> get(transform(array(split(__text, '')), l -> {whole}), 0)), 0) END")
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return rows.select(*docs.columns)
+    text = F.expr(f"CASE WHEN spans IS NOT NULL THEN get(transform(array({cut}), c -> get(transform(array(split(plain, '')), l -> {whole}), 0)), 0) END")
+    rows = rows.withColumn("clean", text)
+    none = F.col("spans").isNull()
+    out = {c: F.col("given").getField(c) for c in docs.columns}
+    for c in docs.columns:
+        if c.lower() == "text":
+            out[c] = F.when(none, out[c]).otherwise(F.col("clean"))
+        elif c.lower() == "n_chars":
+            out[c] = F.when(none, out[c]).otherwise(F.length("clean"))
+    return rows.select(*[v.alias(c) for c, v in out.items()])

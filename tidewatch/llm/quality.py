@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import freed, small_batches, staged
+from .store import freed, quoted, small_batches, staged
 from .words import LOWER, Words, mix, words
 
 SLOTS = 1 << 20
@@ -145,16 +146,16 @@ def score(docs: DataFrame, weights: bytes, name: str = "score") -> DataFrame:
     """Adds the column `name` (0 to 1, higher for better texts) to docs, in place of one of that name."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    columns = docs.columns
-    at = [c.lower() for c in columns].index("text")
-    kept = [c for c in columns if c.lower() != name.lower()]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    # the kept columns travel as one, so they may have any names
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(shared.value, np.float32)
         for batch in batches:
-            dots = np.array([float(w[s] @ v) for s, v in features(batch.column(at).cast(pa.string()))])
+            dots = np.array([float(w[s] @ v) for s, v in features(batch.column(1))])
             out = 1 / (1 + np.exp(-np.clip(dots, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(columns.index(c)) for c in kept], pa.array(out, pa.float64())], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["row", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
+    found = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("score").alias(name))

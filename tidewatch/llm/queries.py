@@ -197,11 +197,16 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of personal data in every document, and of the terms that disclose it."""
-    rows = pii.find(table(spark, sf_dir, "documents"))
+    """Spans of personal data in every document, and of the terms that disclose it: which of them are removed, and which
+    give way to which broader term ([TERM] where there is none)."""
+    rows = pii.find(table(spark, sf_dir, "documents"), generalise=True)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     digest = F.sha2(pii.listed(*pii.KINDS).cast("binary"), 256).alias("base_sha256")
-    return rows.select("doc_id", *counts, digest, pii.listed(*pii.KINDS, "terms").alias("spans"))
+    gone = F.filter("terms", lambda x: x["disclosure"] >= pii.REMOVE)
+    wide = F.filter("terms", lambda x: x["disclosure"] < pii.REMOVE)
+    removed = F.array_join(F.transform(gone, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    generalised = F.array_join(F.transform(wide, lambda x: F.concat_ws(":", x["start"], x["end"], F.coalesce(x["broader"], F.lit("[TERM]")))), ",")
+    return rows.select("doc_id", *counts, digest, pii.listed(*pii.KINDS, "terms").alias("spans"), removed.alias("removed"), generalised.alias("generalised"))
 
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

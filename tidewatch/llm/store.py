@@ -37,6 +37,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def quoted(name: str) -> str:
+    """A column name as it stands in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for an own column that none of df's has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared one, deleted with the session."""
     path = f"{shared_folder(spark)}/tidewatch/{uuid.uuid4().hex}"
