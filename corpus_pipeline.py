@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, mixing, neardup, pii, quality
 from tidewatch.llm.queries import ranks
-from tidewatch.llm.store import freed, freed_since, mark, staged
+from tidewatch.llm.store import freed, freed_since, fresh, mark, quoted, staged
 
 #: Shingle sets at least so alike, in per cent, make near-duplicates of two documents.
 LIKE = 80
@@ -25,8 +25,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     each for itself; a null id is scored like any other; an empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, quality.train(docs, labels), "__quality")
-    return scored.filter(F.col("__quality") >= quality.CUT).select(*docs.columns)
+    name = fresh(docs, "quality_score")
+    scored = quality.score(docs, quality.train(docs, labels), name)
+    return scored.filter(F.col(name) >= quality.CUT).select(*[quoted(c) for c in docs.columns])
 
 
 def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,20 +37,21 @@ def keep_firsts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row without an id stays only where its group has no id. Null and empty texts are like nothing but themselves under one
     id. An empty table stays empty.
     """
-    keyed = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
-    parts = neardup.groups(keyed.select(F.col("__row").alias("doc_id"), "text"), LIKE)
-    parts = parts.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
-    ids = keyed.select("__row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    key = fresh(docs, "row_key")
+    keyed = staged(docs.withColumn(key, F.monotonically_increasing_id()))
+    parts = neardup.groups(keyed.select(F.col(key).alias("doc_id"), "text"), LIKE)
+    parts = parts.select(F.col("doc_id").alias("key"), "n_shingles", "component_id")
+    ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
     empty = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
     group = [empty.alias("empty"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("group"), F.when(empty, F.col("hash")).alias("hash")]
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))
-    firsts = parts.join(ids, "__row").select("__row", "id", *group).groupBy("empty", "group", "hash").agg(first.alias("first"))
-    firsts = firsts.select(F.col("first.__row").alias("__row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    firsts = parts.join(ids, "key").select("key", "id", *group).groupBy("empty", "group", "hash").agg(first.alias("first"))
+    firsts = firsts.select(F.col("first.key").alias(key))
     firsts = staged(firsts)
-    gone = staged(keyed.select("__row").join(firsts, "__row", "left_anti"))
+    gone = staged(keyed.select(key).join(firsts, key, "left_anti"))
     freed(firsts)
     few = gone.count() <= neardup.BROADCAST_IDS
-    return keyed.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*[quoted(c) for c in docs.columns])
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
