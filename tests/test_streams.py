@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.operators import spells
@@ -34,3 +35,60 @@ def test_incremental_streak_equals_batch(spark, tmp_path):
     assert {k: v[1] for k, v in last.items()} == batch
     assert {k: v[0] for k, v in last.items()} == {0: 5, 1: 3}
     assert out.agg(F.max("flood_duration")).first()[0] == 4
+
+
+def held(values, gap=2):
+    """The loop over days, as defined."""
+    valid = wet = now = most = missing = 0
+    for v in values:
+        if v is None:
+            missing += 1
+            now = 0 if missing > gap else now
+        else:
+            valid, missing, wet = valid + 1, 0, wet + v
+            now = now + 1 if v else 0
+            most = max(most, now)
+    return valid, wet, now, most, missing
+
+
+def test_advance_equals_the_loop_over_days():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(400):
+        days = [rng.choice([None, None, 0, 1, 1, 1]) for _ in range(rng.randint(0, 40))]
+        gap, state, at = rng.randint(0, 4), (0, 0, 0, 0, 0), 0
+        while at < len(days):
+            to = at + rng.randint(1, 9)
+            state = floods.advance(state, np.array([-1 if v is None else v for v in days[at:to]]), gap)
+            at = to
+        assert state == held(days, gap)
+
+
+def test_late_days_count_and_idle_pixels_go(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    batches = [
+        [(1, 10, 1), (1, 13, 1), (2, 10, 1)],
+        [(1, 11, 1), (1, 12, 1), (1, 11, 0), (3, 12, 0)],  # late, within the watermark; a day told twice
+        [(3, 60, 1)],
+        [(1, 61, 1), (1, 20, 1), (3, 62, 1)],  # day 20 is behind the watermark
+        [(3, 400, 1)],
+        [(3, 402, 1)],
+        [(1, 403, 1), (3, 404, 0)],  # pixel 1 had been idle for longer than 300 days
+    ]
+    path = str(tmp_path / "days")
+    for b in batches:
+        spark.createDataFrame([(day(n), r, 0, v) for r, n, v in b], "ts timestamp, row int, col int, value int").coalesce(1).write.mode("append").parquet(path)
+        import time
+
+        time.sleep(0.05)
+    stream = spark.readStream.schema("ts timestamp, row int, col int, value int").option("maxFilesPerTrigger", 1).parquet(path)
+    out = floods.written(floods.incremental_streak(stream, delay="20 days", idle_days=300), str(tmp_path / "out"), "update")
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["seen"]):
+        got.setdefault(r["row"], []).append((r["valid_obs"], r["flood_duration"], r["streak"], r["max_consecutive"]))
+    assert got[1][:3] == [(2, 2, 2, 2), (4, 4, 4, 4), (5, 5, 5, 5)]
+    assert got[1][-1] == (1, 1, 1, 1) and got[2] == [(1, 1, 1, 1)]
+    assert got[3][-1] == (6, 4, 0, 4)

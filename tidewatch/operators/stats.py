@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,6 +89,34 @@ def kolmogorov_sf(d: float, n: float) -> float:
     return 1.0 if x < 0.2 else max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
+#: Up to so many pairs of values, one of each sample, the chance of a two-sample distance is counted, not taken from the limit.
+EXACT_PAIRS = 250_000
+
+
+def kolmogorov_paths(d: float, n: int, m: int) -> float:
+    """Chance that samples of n and m values without ties are at least d apart.
+
+    An order of both samples is a lattice path from (0, 0) to (n, m); it is less than d apart where |i / n - j / m| < d all
+    along. The paths that stay inside are counted row by row: a row's places inside are one run, and a place gets all of
+    the row before from the start of the run on. Good to some twelve digits.
+    """
+    least, j, scale = round(d * n * m), np.arange(m + 1, dtype=np.int64), 0.0
+    row = (j * n < least).astype(float)
+    for i in range(1, n + 1):
+        inside = np.abs(i * m - j * n) < least
+        row = np.cumsum(row * inside) * inside
+        if (most := row.max()) > 1e200:
+            row, scale = row / most, scale + math.log(most)
+    if row[m] <= 0:
+        return 1.0
+    every = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
+    return min(1.0, max(0.0, -math.expm1(math.log(row[m]) + scale - every)))
+
+
+def two_sample_p(d: float, n: int, m: int) -> float:
+    return kolmogorov_paths(d, int(n), int(m)) if n * m <= EXACT_PAIRS else kolmogorov_sf(d, n * m / (n + m))
+
+
 def _mann_whitney(u: float, n: int, m: int, ties: float) -> float:
     """Exact for groups of at most eight without ties, else the corrected normal approximation."""
     if ties == 0 and min(n, m) <= 8:
@@ -179,13 +208,14 @@ def dunn_test(sums: DataFrame, group: str) -> DataFrame:
 
 
 def ks_two_sample(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
-    """One row: the largest distance of two groups' distribution functions, and the limit distribution's p."""
+    """One row: the largest distance of two groups' distribution functions, and its p: counted for up to EXACT_PAIRS pairs of
+    values, of the limit distribution beyond. No row where a group has five known values or fewer."""
     counts = stored(df.filter(F.col(group).isin(first, second) & known(value)).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b")))
     sizes = counts.agg(F.sum("a").alias("n_1"), F.sum("b").alias("n_2")).filter("n_1 > 5 AND n_2 > 5")
     rows = running(counts, value, ["a", "b"]).crossJoin(F.broadcast(sizes))  # one row
     d = F.abs((F.col("before_a") + F.col("a")) / F.col("n_1") - (F.col("before_b") + F.col("b")) / F.col("n_2"))
     out = rows.groupBy("n_1", "n_2").agg(F.max(d).alias("d_stat")).select("d_stat", "n_1", "n_2")
-    return out.withColumn("p", _udf(lambda d, n, m: kolmogorov_sf(d, n * m / (n + m)))(F.col("d_stat"), F.col("n_1"), F.col("n_2")))
+    return out.withColumn("p", _udf(two_sample_p)(F.col("d_stat"), F.col("n_1"), F.col("n_2")))
 
 
 def kendall_trend(df: DataFrame, group: str, order: str, value: str, least: int = 4) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quantile, sigmoid
+from ..functions.special import normal_quantile
+from ..sources.scratch import stored
+from .order import known, quantiles, running
 from .spells import exceedance, spell_lengths
 
 SCENARIO = ["hf_id", "scenario_id"]
@@ -75,17 +74,22 @@ def breakpoint_sensitivity(draws: DataFrame, grid=tuple(round(0.80 + 0.05 * i, 2
     rows = part("t_break", "idx").join(part("delta", "idx"), [*key, "idx"]).join(part("kappa"), key)
     rows = rows.withColumn("t_year", F.explode(F.array(*[F.lit(t) for t in grid])))
     means = rows.groupBy(*key, "t_year").agg(F.avg(F.col("delta") * sigmoid(F.col("kappa") * (F.col("t_year") - F.col("t_break")))).alias("m"))
-    return means.groupBy("t_year").agg(F.avg("m").alias("mean"), quantile("m", 0.05).alias("p05"), quantile("m", 0.95).alias("p95"))
+    base = means.groupBy("t_year").agg(F.avg("m").alias("mean"))
+    return base.join(quantiles(means, ["t_year"], {"p05": ("m", 0.05), "p95": ("m", 0.95)}), "t_year")
 
 
 def posterior_summary(draws: DataFrame, mass: float = 0.90) -> DataFrame:
     """Mean, deviation and the narrowest interval of the given mass for each parameter.
 
-    A parameter's draws are numbered by value and each meets the one that ends its interval, so none are gathered.
+    A parameter's draws are numbered by value, by ranges of values, and each meets the one that ends its interval, so
+    none are gathered and no task orders a parameter.
     """
+    draws = draws.withColumn("value", F.when(known("value"), F.col("value")))
     moments = draws.groupBy("param", "idx").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
-    order = Window.partitionBy("param", "idx").orderBy("value")
-    rows = draws.filter("value IS NOT NULL").select("param", "idx", "value").withColumn("i", F.row_number().over(order)).join(F.broadcast(moments.select("param", "idx", "n")), ["param", "idx"])
+    counts = stored(draws.filter("value IS NOT NULL").groupBy("param", "idx", "value").agg(F.count("*").alias("c")))
+    rows = running(counts, "value", ["c"], ["param", "idx"])
+    rows = rows.select("param", "idx", "value", F.explode(F.sequence(F.col("before_c") + 1, F.col("before_c") + F.col("c"))).alias("i"))
+    rows = stored(rows.join(moments.select("param", "idx", "n"), ["param", "idx"]))
     ends = rows.select("param", "idx", F.col("value").alias("high"), (F.col("i") - F.floor(F.col("n") * mass)).alias("i"))
     spans = rows.join(ends, ["param", "idx", "i"]).groupBy("param", "idx").agg(F.min(F.struct((F.col("high") - F.col("value")).alias("w"), F.col("value").alias("lo"), F.col("high").alias("hi"))).alias("b"))
     return moments.join(spans, ["param", "idx"], "left").select("param", "idx", "mean", "sd", F.col("b.lo").alias("hdi_low"), F.col("b.hi").alias("hdi_high"))
@@ -100,37 +104,84 @@ def split_rhat(draws: DataFrame) -> DataFrame:
     return out.select("param", "idx", F.sqrt(((F.col("k") - 1) / F.col("k") * F.col("w") + F.col("b")) / F.col("w")).alias("rhat"))
 
 
-def _diagnose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rank-normalised split R-hat and bulk effective size of one parameter's draws."""
-    from statistics import NormalDist
-
-    chains = [g.sort_values("draw")["value"].to_numpy() for _, g in pdf.groupby("chain")]
-    n = min(len(c) for c in chains) // 2
-    x = np.array([part for c in chains for part in (c[:n], c[-n:])]) if n > 1 else np.zeros((0, 0))
-    rhat = ess = None
-    if x.size and x.std() > 0:
-        ranks = pd.Series(x.ravel()).rank().to_numpy()
-        z = np.vectorize(NormalDist().inv_cdf)((ranks - 0.375) / (x.size + 0.25)).reshape(x.shape)
-        w, b = z.var(1, ddof=1).mean(), z.mean(1).var(ddof=1)
-        var = (n - 1) / n * w + b
-        rhat = math.sqrt(var / w)
-        centred = z - z.mean(1, keepdims=True)
-        spectrum = np.abs(np.fft.rfft(centred, 2 * n)) ** 2  # autocovariances of all lags at once
-        auto = np.fft.irfft(spectrum, 2 * n)[:, :n].mean(0) / n
-        rho = 1 - (w - auto) / var
-        rho[0], total, last = 1, 0.0, math.inf
-        for t in range(0, n - 1, 2):
-            pair = min(rho[t] + rho[t + 1], last)
-            if pair < 0:
-                break
-            total, last = total + pair, pair
-        ess = x.size / max(-1 + 2 * total, 1 / math.log10(x.size))
-    return pd.DataFrame({"param": [pdf["param"].iat[0]], "idx": [pdf["idx"].iat[0]], "rhat": [rhat], "ess": [ess], "flagged": [bool(rhat and (rhat > 1.05 or ess < 400))]})
+#: Draws of one array in the sums of products over lags, and so lags of one step.
+BLOCK = 128
+
+
+def _scores(draws: DataFrame) -> DataFrame:
+    """param, idx, part (half of a chain), i, n (draws of each half), s (of all halves), z: normal scores of the draws' ranks."""
+    rows = stored(draws.filter(known("value")).select("param", "idx", "chain", "draw", F.col("value").cast("double").alias("value"), F.lit(1).cast("long").alias("c")))
+    lengths = rows.groupBy("param", "idx", "chain").agg(F.count("*").alias("len"))
+    halves = lengths.groupBy("param", "idx").agg(F.floor(F.min("len") / 2).alias("n"))
+    lengths = lengths.join(halves, ["param", "idx"]).filter("n > 1")
+    first, i = F.col("i") <= F.col("n"), F.col("before_c") + 1
+    rows = running(rows, "draw", ["c"], ["param", "idx", "chain"]).withColumn("i", i).join(lengths, ["param", "idx", "chain"]).filter(first | (F.col("i") > F.col("len") - F.col("n")))
+    rows = rows.select("param", "idx", (F.col("chain") * 2 + (~first).cast("int")).alias("part"), F.when(first, F.col("i")).otherwise(F.col("i") - F.col("len") + F.col("n")).alias("i"), "n", "value")
+    rows = stored(rows)
+    counts = rows.groupBy("param", "idx", "value").agg(F.count("*").alias("c"))
+    ranks = running(counts, "value", ["c"], ["param", "idx"]).select("param", "idx", "value", (F.col("before_c") + (F.col("c") + 1) / 2).alias("r"))
+    sizes = rows.groupBy("param", "idx").agg(F.count("*").alias("s"))
+    scored = rows.join(ranks, ["param", "idx", "value"]).join(sizes, ["param", "idx"])
+    return scored.select("param", "idx", "part", "i", "n", "s", normal_quantile((F.col("r") - 0.375) / (F.col("s") + 0.25)).alias("z"))
+
+
+def _products(blocks: DataFrame, params: DataFrame, steps: range) -> DataFrame:
+    """param, idx, t, ac: sums over all halves of the products of draws t apart, for the lags of the given steps of BLOCK.
+
+    Lags of step r take the draws of a block to those of the r-th block after it and the one behind that.
+    """
+    some = blocks.join(params, ["param", "idx"], "left_semi")
+    a = some.select("param", "idx", "part", F.col("b").alias("own"), F.col("xs").alias("x"), F.explode(F.array(*[F.lit(r) for r in steps])).alias("r")).withColumn("b", F.col("own") + F.col("r"))
+    near = some.select("param", "idx", "part", "b", F.col("xs").alias("y"))
+    after = some.select("param", "idx", "part", (F.col("b") - 1).alias("b"), F.col("xs").alias("y2"))
+    keys = ["param", "idx", "part", "b"]
+    both = a.join(near, keys).join(after, keys, "left").withColumn("ys", F.concat("y", F.coalesce("y2", F.array().cast("array<double>"))))
+    sums = F.expr(f"transform(sequence(0, {BLOCK - 1}), o -> aggregate(zip_with(x, slice(ys, o + 1, size(x)), (p, q) -> p * q), 0D, (s, v) -> s + coalesce(v, 0D)))")
+    rows = both.select("param", "idx", "r", F.posexplode(sums).alias("o", "ac"))
+    return rows.groupBy("param", "idx", (F.col("r") * BLOCK + F.col("o")).alias("t")).agg(F.sum("ac").alias("ac"))
 
 
 def rhat_ess(draws: DataFrame) -> DataFrame:
-    """Convergence of each parameter (a few thousand draws each), flagged above 1.05 or below 400."""
-    return draws.groupBy("param", "idx").applyInPandas(_diagnose, "param string, idx string, rhat double, ess double, flagged boolean")
+    """Rank-normalised split R-hat and bulk effective size of each parameter, flagged above 1.05 or below 400.
+
+    Draws of a chain are told apart by their numbers. Ranks and places come from ranges of values; autocovariances are
+    summed from blocks of BLOCK draws, for so many lags as are needed until the sum of a pair of autocorrelations is
+    negative: twice as many more in each round, and only for the parameters that are not there yet. So no task holds a
+    parameter or a chain. Null and NaN draws are left out; parameters of fewer than four draws a chain, and those whose
+    draws are all alike, have no figures and no flag.
+    """
+    z = stored(_scores(draws))
+    keys = ["param", "idx"]
+    parts = stored(z.groupBy(*keys, "part", "n", "s").agg(F.avg("z").alias("m"), F.var_samp("z").alias("v")))
+    within = parts.groupBy(*keys, "n", "s").agg(F.count("*").alias("parts"), F.avg("v").alias("w"), F.var_samp("m").alias("b"))
+    within = stored(within.filter("w > 0 OR b > 0").withColumn("var", (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")).drop("b"))
+    place = F.floor((F.col("i") - 1) / BLOCK).cast("int")
+    centred = z.join(parts.select(*keys, "part", "m"), [*keys, "part"]).select(*keys, "part", place.alias("b"), "i", (F.col("z") - F.col("m")).alias("x"))
+    blocks = stored(centred.groupBy(*keys, "part", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("xs")))  # BLOCK draws
+
+    def least(lags: DataFrame) -> DataFrame:
+        """k, the pair's number, and the least sum of pairs up to there."""
+        rho = F.when(F.col("t") == 0, 1.0).otherwise(1 - F.try_divide(F.col("w") - F.col("ac") / F.col("n") / F.col("parts"), F.col("var")))
+        pairs = lags.join(within, keys).filter(F.col("t") < F.col("n") - F.col("n") % 2).withColumn("rho", rho).groupBy(*keys, "n", F.floor(F.col("t") / 2).alias("k")).agg(F.sum("rho").alias("pair"))
+        return pairs.withColumn("least", F.min("pair").over(Window.partitionBy(*keys).orderBy("k")))
+
+    lags, done, span = None, 0, 1
+    pending = within.select(*keys)
+    while not pending.isEmpty():
+        found = stored(_products(blocks, pending, range(done, done + span)))
+        lags = found if lags is None else lags.unionByName(found)
+        done, span = done + span, 2 * span
+        open_ = least(lags).groupBy(*keys, "n").agg(F.min("least").alias("low")).filter((F.col("low") >= 0) & (F.col("n") > done * BLOCK))
+        pending = stored(open_.select(*keys))
+    everything = draws.select(*keys).distinct()
+    if lags is None:
+        none = F.lit(None).cast("double")
+        return everything.select(*keys, none.alias("rhat"), none.alias("ess"), F.lit(False).alias("flagged"))
+    total = least(lags).groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("least") >= 0, F.col("least"))), F.lit(0.0)).alias("total"))
+    size = F.col("s") / F.greatest(-1 + 2 * F.col("total"), 1 / F.log10("s"))
+    out = within.join(total, keys).select(*keys, F.sqrt(F.try_divide(F.col("var"), F.col("w"))).alias("rhat"), size.alias("ess"))
+    flagged = F.coalesce((F.col("rhat") > 1.05) | (F.col("ess") < 400), F.lit(False))
+    return everything.join(out, keys, "left").select(*keys, "rhat", "ess", flagged.alias("flagged"))
 
 
 def subsample_stability(metrics: DataFrame, sizes=tuple(range(5, 51, 5)), reps: int = 200) -> DataFrame:

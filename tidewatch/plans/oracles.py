@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 
 from ..config import INTENSITY, SENSITIVITY_SETS, SPELL_DAYS, WEIGHTS
+from . import stats_sql
 
 _CASE = {0: "SAFE", 1: "CHRONIC", 2: "UNSTABLE", 3: "CRITICAL"}
 
@@ -343,6 +344,14 @@ CTE["floodlines"] = _regression_p("(SELECT hf_category, year, days_flooded::DOUB
 CTE["frq"] = "SELECT flood_frequency AS x, count(*) AS c FROM haz WHERE flood_frequency > 0 GROUP BY 1"
 CTE["lgn"] = "SELECT stddev_pop(ln(flood_frequency)) AS a, exp(avg(ln(flood_frequency))) AS b, count(*) AS n FROM haz WHERE flood_frequency > 0"
 CTE["lgd"] = f"SELECT *, CASE WHEN z > 0 THEN 1 - p / 2 ELSE p / 2 END AS f FROM (SELECT *, {_normal_p('z')} AS p FROM (SELECT x, c, a, b, n, ln(x / b) / a AS z, sum(c) OVER (ORDER BY x) AS upto FROM frq, lgn))"
+CTE["frq_b"] = "SELECT '' AS g, x, c, true AS bounded FROM frq"
+CTE |= stats_sql.fits("all", "frq_b")
+CTE["samp"] = f"SELECT * FROM (SELECT *, CASE WHEN value = 0 THEN 'zero' ELSE 'positive' END AS stratum FROM long) QUALIFY row_number() OVER (PARTITION BY year, band, stratum ORDER BY md5(row_ || '#' || col_ || '#42'), row_, col_) <= CASE WHEN stratum = 'zero' THEN 1500 ELSE 3500 END"
+CTE["samp_b"] = "SELECT band AS g, value AS x, count(*) AS c, band = 'flood_frequency' AS bounded FROM samp WHERE value > 0 GROUP BY ALL"
+CTE |= stats_sql.fits("own", "samp_b")
+CTE["ks_at"] = "SELECT v, sum(a) OVER (ORDER BY v) AS a, sum(b) OVER (ORDER BY v) AS b FROM (SELECT round(mean_pct, 9) AS v, count(*) FILTER (period = 'pre') AS a, count(*) FILTER (period = 'post') AS b FROM ann WHERE hf_category = 'SAFE' GROUP BY 1)"
+CTE["ks_pre"] = "SELECT max(abs(a / n_1 - b / n_2)) AS d_stat, n_1, n_2 FROM (SELECT a, b, max(a) OVER ()::BIGINT AS n_1, max(b) OVER ()::BIGINT AS n_2 FROM ks_at) WHERE n_1 > 5 AND n_2 > 5 GROUP BY ALL"
+CTE |= stats_sql.diagnosis("drw")
 CTE["hfy"] = "SELECT hf_id, hf_type, buffer_pixels, year(date)::INTEGER AS year, count(*)::INTEGER AS n_days, sum(\"binary\")::INTEGER AS total_flooded_days, '[' || string_agg(\"binary\", ',' ORDER BY date) || ']' AS series_binary, '[' || string_agg(n_no_data, ',' ORDER BY date) || ']' AS series_no_data_count FROM bufm JOIN placed USING (hf_id) GROUP BY ALL"
 CTE["patch"] = "SELECT hf_id, round_even(avg(zone), 0)::INTEGER AS zone FROM placed JOIN zones ON row_ >= r - half AND row_ < r + half AND col_ >= c - half AND col_ < c + half WHERE r >= 0 AND r < h AND c >= 0 AND c < 25 GROUP BY 1"
 CTE["evw"] = "SELECT DISTINCT 'hf_' || user_id AS hf_id, ts::DATE AS day FROM events"
@@ -350,6 +359,10 @@ CTE["evs"] = "SELECT *, sum(CASE WHEN before IS NULL OR day - before > 5 THEN 1
 # held streaks over the whole series of a pixel
 CTE["hold_w"] = "SELECT row_, col_, isle, count(*) AS k FROM (SELECT *, sum(CASE WHEN pc IS NULL OR clear > pc OR missing - pm > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY row_, col_ ORDER BY map_date) AS isle FROM (SELECT *, lag(clear) OVER v AS pc, lag(missing) OVER v AS pm FROM (SELECT *, count(*) FILTER (value = 0) OVER w AS clear, count(*) FILTER (value IS NULL) OVER w AS missing FROM bin WINDOW w AS (PARTITION BY row_, col_ ORDER BY map_date)) WHERE value = 1 WINDOW v AS (PARTITION BY row_, col_ ORDER BY map_date))) GROUP BY ALL"
 
+CTE["hold_all"] = "SELECT row_, col_, count(value) AS valid_obs, coalesce(sum(value), 0)::BIGINT AS flood_duration, max(map_date) FILTER (value = 1) AS last_flood FROM bin GROUP BY ALL"
+CTE["hold_after"] = "SELECT a.row_, a.col_, count(*) FILTER (value = 0) AS clear, count(*) FILTER (value IS NULL AND map_date IS NOT NULL) AS missing FROM hold_all a LEFT JOIN bin b ON a.row_ = b.row_ AND a.col_ = b.col_ AND b.map_date > a.last_flood GROUP BY ALL"
+CTE["hold_now"] = "SELECT a.*, clear, missing, coalesce(k, 0) AS k, coalesce(most, 0)::BIGINT AS max_consecutive FROM hold_all a JOIN hold_after USING (row_, col_) LEFT JOIN (SELECT row_, col_, arg_max(k, isle) AS k, max(k) AS most FROM hold_w GROUP BY ALL) USING (row_, col_)"
+
 
 def _sum_of(pool: str, part: str) -> str:
     return f"SELECT hf_id, count(*) AS days, sum(occurrence)::BIGINT AS wet, {_r(pct='sum(pct_flooded)', nearest='min(min_distance)')}, '{part}' AS part FROM {pool} GROUP BY hf_id"
@@ -388,10 +401,16 @@ _BODIES.update({
     "trend_by_band": f"SELECT band, {_r('slope', 'intercept', 'r_squared', p_value='p')}, CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'flat' END AS trend, n AS years FROM bandlines",
     "band_trend_p": f"SELECT band, {_r('slope', 'r_squared', 'p')}, n FROM bandlines",
     "fit_lognormal": f"SELECT 'lognorm' AS distribution, {_r('a', 'b', ks='max(greatest(upto / n - f, f - (upto - c) / n))')} FROM lgd GROUP BY lgd.a, lgd.b",
+    "fit_positive_distribution": f"SELECT distribution, {_r('a', 'b', 'ks')}, row_number() OVER (ORDER BY all_ks.ks, distribution) = 1 AS chosen FROM all_ks",
+    "fit_by_band": f"SELECT g AS band, distribution, {_r('a', 'b', 'ks')}, row_number() OVER (PARTITION BY g ORDER BY own_ks.ks, distribution) = 1 AS chosen FROM own_ks",
+    "ks_two_sample_exact": f"SELECT {_r('d_stat')}, n_1, n_2, {_r(p=stats_sql.path_p('d_stat'))} FROM ks_pre",
+    "rhat_ess": f"SELECT param, idx, {_r('rhat', 'ess')}, flagged FROM dia_out",
     "ks_two_sample_p": f"SELECT {_r('d_stat')}, n_1, n_2, {_r(p='CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x))))) END')} FROM (SELECT *, (sqrt(en) + 0.12 + 0.11 / sqrt(en)) * d_stat AS x FROM (SELECT *, n_1 * n_2 / (n_1 + n_2)::DOUBLE AS en FROM ks2)) WHERE n_1 > 5 AND n_2 > 5",
     "kendall_trend_loss": f"SELECT hf_category, n, {_r('tau', 'p')}, CASE WHEN tau > 0 THEN 'increasing' WHEN tau < 0 THEN 'decreasing' ELSE 'flat' END AS direction, {_stars('p')} AS sig FROM kend",
     "session_spells_stream": "SELECT hf_id, min(day) AS start_date, max(day) AS end_date, (max(day) - min(day) + 1)::INTEGER AS length, count(*) AS wet_days FROM evs GROUP BY hf_id, grp",
-    "incremental_streak_stream": "SELECT row_ AS row, col_ AS col, valid_obs, flood_duration, coalesce(k, 0)::BIGINT AS max_consecutive FROM (SELECT row_, col_, count(value) AS valid_obs, coalesce(sum(value), 0)::BIGINT AS flood_duration FROM bin GROUP BY ALL) LEFT JOIN (SELECT row_, col_, max(k) AS k FROM hold_w GROUP BY ALL) USING (row_, col_)",
+    "incremental_streak_stream": "SELECT row_ AS row, col_ AS col, valid_obs, flood_duration, CASE WHEN clear = 0 AND missing <= 2 THEN k ELSE 0 END::BIGINT AS streak, max_consecutive FROM hold_now",
+    "pool_pruned_scan": f"SELECT 'hf_' || hk AS hf_id, hf_category AS category, count(*) AS days, sum(occurrence)::BIGINT AS wet, {_r(pct='sum(pct_flooded)')} FROM (SELECT replace(hf_id, 'hf_', '') AS hk, * FROM obs) WHERE hf_category = 'CRITICAL' GROUP BY ALL",
+    "hazard_years_scan": f"SELECT year, {_ROWCOL}, {_r('flood_frequency')}, valid_obs, observed_days, {_r(valid_share='valid_obs / observed_days')} FROM haz JOIN (SELECT year(map_date)::INTEGER AS year, count(DISTINCT map_date) AS observed_days FROM pix GROUP BY 1) USING (year) WHERE year >= 2013",
 })
 
 #: Results with dates, which are given as text.

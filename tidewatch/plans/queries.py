@@ -250,7 +250,14 @@ def fit_positive_distribution(spark, d):
 @query
 def fit_lognormal(spark, d):
     """The log-normal candidate, whose parameters have a closed form, with its distance from the frequencies."""
-    return sampling.fit_positive_distribution(_annual(spark, d), "flood_frequency").filter("distribution = 'lognorm'")
+    return sampling.fit_positive_distribution(_annual(spark, d), "flood_frequency").filter("distribution = 'lognorm'").drop("chosen")
+
+
+@query
+def fit_by_band(spark, d):
+    """The candidates for the positive values of each band's sample; the beta for frequencies alone; the nearest is chosen."""
+    sample = sampling.stratified_sample(raster_eda.long_bands(_annual(spark, d)), per_year=5000)
+    return sampling.fit_groups(sample, "value", ["band"], F.col("band") == "flood_frequency")
 
 
 # facilities

@@ -63,6 +63,25 @@ def pool_by_facility_scan(spark, d):
     return rows.groupBy("hf_key", "hf_id").agg(F.count("*").alias("days"), F.sum("occurrence").alias("wet"))
 
 
+@query
+def pool_pruned_scan(spark, d):
+    """The pool of the critical facilities: the filter on the facility table prunes the pool's partitions as the query runs."""
+    pool = fx.observed_pool(spark, d)
+    writers.write_by_facility(pool, path := new_folder(spark))
+    pool.select("hf_id", F.col("hf_category").alias("category")).distinct().write.parquet(table := new_folder(spark))
+    rows = readers.read_by_facility(spark, path, spark.read.parquet(table).filter("category = 'CRITICAL'"))
+    return rows.groupBy("hf_id", "category").agg(F.count("*").alias("days"), F.sum("occurrence").alias("wet"), F.sum("pct_flooded").alias("pct"))
+
+
+@query
+def hazard_years_scan(spark, d):
+    """Two bands of the years from 2013 on, with the days observed in each year from the table beside them."""
+    observed = fx.pixel_obs(spark, d).select(F.year("map_date").alias("year"), "map_date").distinct().groupBy("year").agg(F.count("*").alias("observed_days"))
+    writers.write_hazard(_annual(spark, d), path := new_folder(spark), observed=observed)
+    rows = readers.read_hazard(spark, path, years=[2013, 2014], bands=["flood_frequency", "valid_obs"])
+    return rows.withColumn("valid_share", F.col("valid_obs") / F.col("observed_days"))
+
+
 @query
 def draws_scan(spark, d):
     fx.draws(spark, d).write.parquet(path := new_folder(spark))
@@ -196,6 +215,13 @@ def ks_two_sample_p(spark, d):
     return stats.ks_two_sample(_obs_spells(spark, d), "hf_category", "duration", "SAFE", "CRITICAL")
 
 
+@query
+def ks_two_sample_exact(spark, d):
+    """Yearly mean shares of the safe facilities before and after the break: few enough for the p to be counted."""
+    rows = _metrics(spark, d).filter("hf_category = 'SAFE'").select("period", F.round("mean_pct", 9).alias("share"))
+    return stats.ks_two_sample(rows, "period", "share", "pre", "post")
+
+
 @query
 def kendall_trend_loss(spark, d):
     """Trend of the yearly median losses, exact for few years without ties."""
@@ -232,13 +258,16 @@ def session_spells_stream(spark, d):
 
 @query
 def incremental_streak_stream(spark, d):
-    """The last state of every pixel after all maps have come in, a file at a time: those up to 2013, then the later ones."""
+    """The last state of every pixel after all maps have come in, a file at a time: those up to 2013, then the later ones,
+    of each every second map first and the others behind them, late but within the watermark."""
     pixels = _binary(spark, d).select(F.col("map_date").cast("timestamp").alias("ts"), "row", "col", F.col("value").cast("int").alias("value"))
     path = new_folder(spark)
-    for part in ("year(ts) <= 2013", "year(ts) > 2013"):  # a pixel's days of a part are in one file
-        pixels.filter(part).repartition(2, "row", "col").write.mode("append").parquet(path)
+    for year in ("year(ts) <= 2013", "year(ts) > 2013"):  # a pixel's days of a part are in one file
+        for half in (0, 1):
+            pixels.filter(f"{year} AND datediff(ts, DATE '2012-11-01') DIV 10 % 2 = {half}").repartition(2, "row", "col").write.mode("append").parquet(path)
     stream = spark.readStream.schema("ts timestamp, row int, col int, value int").option("maxFilesPerTrigger", 1).parquet(path)
-    out = floods.incremental_streak(stream, delay="3650 days")
+    out = floods.incremental_streak(stream, delay="450 days")
     states = floods.written(out, new_folder(spark), "update")
-    last = F.struct(F.col("seen"), F.col("valid_obs"), F.col("flood_duration"), F.col("max_consecutive"))
-    return states.groupBy("row", "col").agg(F.max(last).alias("s")).select("row", "col", "s.valid_obs", "s.flood_duration", "s.max_consecutive")
+    names = ["valid_obs", "flood_duration", "streak", "max_consecutive"]
+    last = F.max_by(F.struct(*names), "seen")
+    return states.groupBy("row", "col").agg(last.alias("s")).select("row", "col", *[f"s.{n}" for n in names])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.columns import require_columns, season
 from ..operators.facilities import REQUIRED
@@ -51,10 +52,44 @@ def read_hf_years(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(spark.read.parquet(path), ["hf_id", "year", "dates", "series_binary", "series_pct_flood_pixels", "series_distance_m"], "facility years")
 
 
-def read_by_facility(spark: SparkSession, path: str, hf_ids: list[str] | None = None) -> DataFrame:
-    """A pool partitioned by facility; only the partitions of the given facilities are read."""
-    df = spark.read.parquet(path)
-    return df if hf_ids is None else df.filter(F.col("hf_key").isin(*[safe_name(x) for x in hf_ids]))
+#: Facilities whose keys are broadcast at most, a few MB; more are joined as Spark sees fit.
+BROADCAST_FACILITIES = 100_000
+
+
+def read_by_facility(spark: SparkSession, path: str, facilities: list[str] | DataFrame | None = None) -> DataFrame:
+    """A pool partitioned by facility; only the partitions of the given facilities are read.
+
+    A list of names is a filter on the partitions. A table (hf_id and any other columns but the pool's) is joined: with a
+    filter on that table the scan prunes its partitions while the query runs. Keys are text, whatever they look like.
+    """
+    schema = spark.read.parquet(path).schema
+    schema["hf_key"].dataType = StringType()
+    df = spark.read.schema(schema).parquet(path)
+    if facilities is None:
+        return df
+    if isinstance(facilities, list):
+        return df.filter(F.col("hf_key").isin(*[safe_name(x) for x in facilities]))
+    keys = facilities.withColumn("hf_key", F.regexp_replace("hf_id", "[/ ]", "_")).drop("hf_id")
+    few = keys.limit(BROADCAST_FACILITIES + 1).count() <= BROADCAST_FACILITIES
+    return df.join(F.broadcast(keys) if few else keys, "hf_key")
+
+
+def read_hazard(spark: SparkSession, path: str, years: list[int] | None = None, bands: list[str] | None = None) -> DataFrame:
+    """Stored hazard of the given years with the wanted bands, and the observed days of each year where they are stored
+    beside it (writers.write_hazard). Years reach the scan as partition filters, bands as its read schema."""
+    df = require_columns(spark.read.parquet(path), ["year", "row", "col", *(bands or [])], "hazard")
+    df = df if years is None else df.filter(F.col("year").isin(*years))
+    df = df if bands is None else df.select("year", "row", "col", *bands)
+    side = observed_path(path)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(side)
+    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        return df
+    days = spark.read.schema("year int, observed_days long").parquet(side)
+    return df.join(F.broadcast(days), "year", "left")  # one row a year
+
+
+def observed_path(path: str) -> str:
+    return f"{path.rstrip('/')}-observed-days"
 
 
 def safe_name(name: str) -> str:

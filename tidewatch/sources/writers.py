@@ -6,26 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.hazard import to_sentinel
+from .readers import observed_path
+from .scratch import stored
 
 
 def write_new_maps(maps: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
-    """Appends the maps whose dates are not there yet, partitioned by year; returns the dates written."""
+    """Writes the maps whose dates are not there yet, a partition each (year, map_date); returns the dates written.
+
+    The dates that are there come from the partitions alone and meet the maps in an anti-join. Each new date replaces its own
+    partition, which appears whole or not at all, so a call that broke half-way is simply made again.
+    """
     spark = spark or maps.sparkSession
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-    done = [r["map_date"] for r in spark.read.parquet(path).select("map_date").distinct().collect()] if there else []  # one row a map
-    new = maps.filter(~F.col("map_date").isin(done)) if done else maps
-    new.withColumn("year", F.year("map_date")).write.mode("append").partitionBy("year").parquet(path)
-    dates = spark.read.schema(maps.schema).parquet(path).select("map_date").distinct()
-    return spark.createDataFrame(dates.filter(~F.col("map_date").isin(done)).collect() if done else dates.collect(), "map_date date")
+    dates = lambda: spark.read.schema("map_date date").option("basePath", path).parquet(path).select("map_date").distinct()
+    nothing = spark.createDataFrame([], "map_date date")
+    done = stored(dates()) if _any(spark, f"{path}/year=*/map_date=*") else nothing  # one row a map
+    new = maps.join(done, "map_date", "left_anti").withColumn("year", F.year("map_date"))
+    new.select(*maps.columns, "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "map_date").parquet(path)
+    return stored(dates().join(done, "map_date", "left_anti")) if _any(spark, f"{path}/year=*/map_date=*") else nothing
+
+
+def _any(spark: SparkSession, pattern: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
 
 
-def write_hazard(hazard: DataFrame, path: str, sentinel: bool = False) -> None:
-    """Hazard bands by year; on demand with the no-data number in place of null."""
+def write_hazard(hazard: DataFrame, path: str, sentinel: bool = False, observed: DataFrame | None = None) -> None:
+    """Hazard bands by year; on demand with the no-data number in place of null, and the days observed in each year
+    (year, observed_days) in a table beside them."""
     bands = [c for c in hazard.columns if c not in ("year", "row", "col", "season", "season_year")]
     rows = hazard.withColumns({b: to_sentinel(F.col(b)) for b in bands}) if sentinel else hazard
     key = "year" if "year" in hazard.columns else "season_year"
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy(key).parquet(path)
+    if observed is not None:
+        observed.select(F.col("year").cast("int").alias("year"), F.col("observed_days").cast("long").alias("observed_days")).write.mode("overwrite").parquet(observed_path(path))
 
 
 def write_pool(hf_years: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,35 +22,63 @@ def session_spells(wet_days: DataFrame, gap: int = 4, delay: str = "10 days") ->
     return out.select("hf_id", F.to_date(start).alias("start_date"), F.to_date("last").alias("end_date"), (F.datediff("last", start) + 1).alias("length"), "wet_days")
 
 
-def incremental_streak(days: DataFrame, gap: int = 2, delay: str = "30 days") -> DataFrame:
+def advance(state: tuple[int, int, int, int, int], values: np.ndarray, gap: int) -> tuple[int, int, int, int, int]:
+    """(valid, wet, streak, longest, missing days in a row) after further days: 1 flood, 0 clear, -1 no data.
+
+    A clear day ends a streak, and so does the day that makes more than `gap` without data in a row.
+    """
+    valid, wet, now, most, missing = state
+    if not len(values):
+        return state
+    at = np.arange(len(values))
+    known = np.maximum.accumulate(np.where(values >= 0, at, -1 - missing))
+    ends = (values == 0) | (at - known > gap)
+    floods = np.cumsum(values == 1)
+    streak = floods - np.maximum.accumulate(np.where(ends, floods, -now))
+    return valid + int((values >= 0).sum()), wet + int(floods[-1]), int(streak[-1]), max(most, int(streak.max())), int(at[-1] - known[-1])
+
+
+DAY_MS = 86_400_000
+
+
+def incremental_streak(days: DataFrame, gap: int = 2, delay: str = "30 days", idle_days: int = 3650) -> DataFrame:
     """By pixel: valid and flooded counts, current and longest held streak, updated by each batch of days.
 
-    days: ts, row, col, value (null: no data). State is five numbers a pixel. Days not after a pixel's last one are
-    dropped, as are those behind the watermark.
+    days: ts, row, col, value (null: no data). Days may come in any order as long as the watermark, `delay` behind the
+    latest day of all pixels, has not passed them; those behind it are dropped. The state is five numbers for the days that
+    the watermark has passed, and a list of those that it has not; what comes out counts both. Of a day that comes twice
+    the first counts. A pixel without a day for `idle_days` goes when the watermark has passed that time, and starts anew
+    should it come again.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, valid, wet, now, most, missing = state.get if state.exists else (-1, 0, 0, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for ts, value in zip(rows["ts"].astype("int64").tolist(), rows["value"].tolist(), strict=True):
-            if ts <= last:
-                continue
-            last = ts
-            if value is None or pd.isna(value):
-                missing += 1
-                now = 0 if missing > gap else now
-            else:
-                valid += 1
-                missing = 0
-                wet += int(value == 1)
-                now = now + 1 if value == 1 else 0
-                most = max(most, now)
-        state.update((last, valid, wet, now, most, missing))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, *sums, held, values = state.get if state.exists else (-(2**62), 0, 0, 0, 0, 0, [], [])
+        mark = state.getCurrentWatermarkMs() or -(2**62)  # 0: none yet
+        rows = pd.concat(list(batches))
+        new = rows["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+        ts = np.concatenate([np.array(held, np.int64), new[new > mark]])
+        value = np.concatenate([np.array(values, np.int64), rows["value"].fillna(-1).to_numpy().astype(np.int64)[new > mark]])
+        ts, first = np.unique(ts, return_index=True)
+        value = value[first][ts > last]
+        ts = ts[ts > last]
+        passed = int(np.searchsorted(ts, mark, "right"))
+        settled = advance(tuple(sums), value[:passed], gap)
+        last = int(ts[passed - 1]) if passed else last
+        state.update((last, *settled, ts[passed:].tolist(), value[passed:].tolist()))
+        latest = int(ts[-1]) if len(ts) else max(last, mark)
+        state.setTimeoutTimestamp(max(latest + idle_days * DAY_MS, mark + 1, 1))
+        valid, wet, now, most, _ = advance(settled, value[passed:], gap)
         yield pd.DataFrame({"row": [key[0]], "col": [key[1]], "valid_obs": [valid], "flood_duration": [wet], "streak": [now], "max_consecutive": [most]})
 
-    rows = days.withWatermark("ts", delay) if days.isStreaming else days
-    return rows.groupBy("row", "col").applyInPandasWithState(
-        step, "row int, col int, valid_obs long, flood_duration long, streak long, max_consecutive long", "last long, valid long, wet long, now long, most long, missing long", "update", GroupStateTimeout.NoTimeout
+    return days.withWatermark("ts", delay).groupBy("row", "col").applyInPandasWithState(
+        step,
+        "row int, col int, valid_obs long, flood_duration long, streak long, max_consecutive long",
+        "last long, valid long, wet long, now long, most long, missing long, held array<long>, values array<long>",
+        "update",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
