@@ -66,11 +66,12 @@ def reclassify(tests: DataFrame, high: float = 0.40, mid: float = 0.10, min_year
     out = tests.withColumn("reason", reason)
     new = F.when(F.col("reason").isin("safe_emerged_high", "critical_now_persistent"), "UNSTABLE").when(F.col("reason").isin("safe_emerged_mid", "safe_emerged_low"), "CHRONIC").otherwise(F.col("hf_category"))
     out = out.withColumn("cat_new", new)
-    return out.select("hf_id", F.col("hf_category").alias("cat_original"), "cat_new", "mean_pre", "mean_post", "delta", "change_type", F.col("n_post").alias("n_years_post"), (F.col("cat_new") != F.col("hf_category")).alias("reclassified"), "reason")
+    return out.select("hf_id", F.col("hf_category").alias("cat_original"), "cat_new", "mean_pre", "mean_post", "delta", "pval", "change_type", F.col("n_post").alias("n_years_post"), (F.col("cat_new") != F.col("hf_category")).alias("reclassified"), "reason")
 
 
 def movement_counts(reclassified: DataFrame) -> DataFrame:
-    out = reclassified.groupBy("cat_original", "cat_new").agg(F.count("*").alias("n"))
+    """The moves of facilities that have another category now, with their share of all moves out of the old one."""
+    out = reclassified.filter("reclassified").groupBy("cat_original", "cat_new").agg(F.count("*").alias("n"))
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cat_original")))
 
 

@@ -139,7 +139,7 @@ def _sql(body: str) -> str:
 
 
 def _r(*names: str, **exprs: str) -> str:
-    return ", ".join([*(f"round({n} + 1e-9::DOUBLE, 6) AS {n.split('.')[-1]}" for n in names), *(f"round({e} + 1e-9::DOUBLE, 6) AS {n}" for n, e in exprs.items())])
+    return ", ".join([*(f"six(({n})) AS {n.split('.')[-1]}" for n in names), *(f"six(({e})) AS {n}" for n, e in exprs.items())])
 
 
 _ROWCOL = "row_ AS row, col_ AS col"
@@ -158,7 +158,7 @@ def _suggest() -> str:
     rows = [("spell_days", f"round_even(dur_p{p}, 0)", loss) for p, loss in zip((50, 75, 90, 95, 99), (0.1, 0.25, 0.5, 0.75, 1.0), strict=True)]
     rows += [("intensity", f"round_even(int_p{p}, 2)", loss) for p, loss in zip((75, 90, 95, 99), (0.1, 0.25, 0.5, 0.8), strict=True)]
     rows += [("distance_critical_m", "round_even(dist_p25, 1)", 0.5), ("distance_moderate_m", "round_even(dist_p50, 1)", 0.25)]
-    return " UNION ALL ".join(f"SELECT '{r}' AS rule, round({e} + 1e-9::DOUBLE, 6)::DOUBLE AS threshold, {loss}::DOUBLE AS loss FROM pct" for r, e, loss in rows)
+    return " UNION ALL ".join(f"SELECT '{r}' AS rule, six(({e}))::DOUBLE AS threshold, {loss}::DOUBLE AS loss FROM pct" for r, e, loss in rows)
 
 
 _BODIES: dict[str, str] = {
@@ -179,10 +179,10 @@ _BODIES: dict[str, str] = {
     "raster_stats_flooded": f"SELECT year, band, {_STATS} FROM (SELECT *, CASE WHEN value > 0 THEN value END AS v FROM long) GROUP BY ALL",
     "flood_extent": "SELECT year, count(*) FILTER (flood_frequency > 0) AS flooded_pixels, count(flood_frequency) AS valid_pixels FROM haz GROUP BY 1",
     "pixel_consistency": f"SELECT band, {_ROWCOL}, {_r(mean='avg(value)', std='stddev_pop(value)', cv='stddev_pop(value) / (avg(value) + 1e-10)', range='max(value) - min(value)')}, bool_and(value IS NOT NULL) AS all_valid FROM longall GROUP BY band, row_, col_",
-    "band_correlation": "SELECT year, pair, round(r + 1e-9::DOUBLE, 6) AS r, round(avg(r) OVER (PARTITION BY pair) + 1e-9::DOUBLE, 6) AS mean_r FROM ("
+    "band_correlation": "SELECT year, pair, six((r)) AS r, six((avg(r) OVER (PARTITION BY pair))) AS mean_r FROM ("
     + " UNION ALL ".join(f"SELECT year, '{a}:{b}' AS pair, CASE WHEN isnan(corr({a}::DOUBLE, {b}::DOUBLE)) THEN NULL ELSE corr({a}::DOUBLE, {b}::DOUBLE) END AS r FROM haz WHERE flood_frequency IS NOT NULL GROUP BY year" for i, a in enumerate(_BANDS) for b in _BANDS[i + 1 :])
     + ")",
-    "year_correlation": "SELECT year_1, year_2, band, pixels, round(r + 1e-9::DOUBLE, 6) AS r FROM ("
+    "year_correlation": "SELECT year_1, year_2, band, pixels, six((r)) AS r FROM ("
     + " UNION ALL ".join(
         f"SELECT a.year AS year_1, b.year AS year_2, '{b}' AS band, count(*) AS pixels, CASE WHEN min(a.{b}) < max(a.{b}) AND min(b.{b}) < max(b.{b}) THEN corr(a.{b}::DOUBLE, b.{b}::DOUBLE) END AS r FROM haz a JOIN haz b ON a.row_ = b.row_ AND a.col_ = b.col_ AND a.year < b.year WHERE a.flood_frequency IS NOT NULL AND b.flood_frequency IS NOT NULL GROUP BY ALL"
         for b in _BANDS
@@ -194,7 +194,7 @@ _BODIES: dict[str, str] = {
     "zone_shares": f"SELECT zone, (['SAFE','CHRONIC','UNSTABLE','CRITICAL'])[zone] AS zone_name, count(*) AS pixels, {_r(share='count(*)::DOUBLE / sum(count(*)) OVER ()')} FROM (SELECT CASE WHEN cv < 0.3 AND persistence <= 2 THEN 1 WHEN cv < 0.3 THEN 2 WHEN persistence >= 2 THEN 3 ELSE 4 END AS zone FROM pers) GROUP BY zone",
     "monte_carlo_inputs": f"SELECT band, {_r(mean_of_means='avg(m)', std_of_means='stddev_pop(m)', mean_of_stds='avg(s)', std_of_stds='stddev_pop(s)', zero_probability='avg(z)')}, sum(n)::BIGINT AS \"values\" FROM yearly GROUP BY band",
     "lag1_autocorrelation": f"SELECT band, {_r(autocorrelation='CASE WHEN isnan(corr(m, p)) THEN NULL ELSE corr(m, p) END')}, count(p) AS pairs FROM (SELECT *, lag(m) OVER (PARTITION BY band ORDER BY year) AS p FROM yearly) GROUP BY band",
-    "zero_share_pivot": "SELECT year, " + ", ".join(f"round(max(z) FILTER (band = '{b}') * 100 + 1e-9::DOUBLE, 6) AS zero_{b}" for b in _BANDS) + " FROM yearly GROUP BY year",
+    "zero_share_pivot": "SELECT year, " + ", ".join(f"six((max(z) FILTER (band = '{b}') * 100)) AS zero_{b}" for b in _BANDS) + " FROM yearly GROUP BY year",
     "freq_hist": _hist("haz", "flood_frequency", 0.0, 1.0, 20, "year"),
     "stratified_sample": f"SELECT year, {_ROWCOL}, band, {_r('value')}, stratum FROM (SELECT *, CASE WHEN value = 0 THEN 'zero' ELSE 'positive' END AS stratum FROM long) QUALIFY row_number() OVER (PARTITION BY year, band, stratum ORDER BY md5(row_ || '#' || col_ || '#42'), row_, col_) <= CASE WHEN stratum = 'zero' THEN 1500 ELSE 3500 END",
     "cap_sample": f"SELECT year, {_ROWCOL}, {_r('flood_frequency')}, flood_duration, valid_obs, max_consecutive FROM haz WHERE flood_frequency IS NOT NULL QUALIFY row_number() OVER (ORDER BY md5(year || '#' || row_ || '#' || col_ || '#42')) <= 3000",
@@ -233,24 +233,24 @@ _BODIES: dict[str, str] = {
     "monthly_loss": f"SELECT hf_id, year, month, {_r('loss')} FROM obs_mon",
     "facility_ranking": f"SELECT hf_id, hf_category, {_r('loss_p50', 'loss_p05', 'loss_p95', 'days_gt50', 'days_gt75', 'p_total')}, row_number() OVER (ORDER BY round(rk.loss_p50, 9) DESC, hf_id)::INTEGER AS rank FROM rk",
     "top_facilities": "SELECT row_number() OVER (ORDER BY round(rk.loss_p50, 9) DESC, hf_id)::INTEGER AS rank, hf_id FROM rk QUALIFY rank <= 30",
-    "exceedance_table": "SELECT hf_id, hf_category, " + ", ".join(f"round(avg((annual_mean_loss >= {t})::INTEGER) + 1e-9::DOUBLE, 6) AS p_exceed_{round(t * 100)}pct" for t in (0.1, 0.25, 0.5, 0.75, 1.0)) + " FROM syn_st GROUP BY ALL",
+    "exceedance_table": "SELECT hf_id, hf_category, " + ", ".join(f"six((avg((annual_mean_loss >= {t})::INTEGER))) AS p_exceed_{round(t * 100)}pct" for t in (0.1, 0.25, 0.5, 0.75, 1.0)) + " FROM syn_st GROUP BY ALL",
     "category_describe": f"SELECT hf_category, count(*) AS n, {_r(median='median(annual_mean_loss)', mean='avg(annual_mean_loss)', p25=_q('annual_mean_loss', 0.25), p75=_q('annual_mean_loss', 0.75), p95=_q('annual_mean_loss', 0.95))} FROM syn_st GROUP BY 1",
     "kruskal_wallis": f"SELECT {_r(h_stat='(12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) ** 3 - max(total)))')}, count(*) - 1 AS df FROM sums",
-    "dunn_test": "SELECT a.hf_category AS group_1, b.hf_category AS group_2, round(round((a.rs / a.n - b.rs / b.n) / sqrt((a.total * (a.total + 1) / 12 - a.ties / (12 * (a.total - 1))) * (1 / a.n + 1 / b.n)), 3), 6) AS z_stat FROM sums a JOIN sums b ON a.hf_category < b.hf_category",
+    "dunn_test": "SELECT a.hf_category AS group_1, b.hf_category AS group_2, six((round((a.rs / a.n - b.rs / b.n) / sqrt((a.total * (a.total + 1) / 12 - a.ties / (12 * (a.total - 1))) * (1 / a.n + 1 / b.n)), 3))) AS z_stat FROM sums a JOIN sums b ON a.hf_category < b.hf_category",
     "seasonal_risk": f"SELECT hf_category, month, {_r('median', 'p05', 'p95')}, first_value(month) OVER (PARTITION BY hf_category ORDER BY round(x.median, 9) DESC, month)::INTEGER AS peak_month FROM (SELECT hf_category, month, median(loss) AS median, {_q('loss', 0.05)} AS p05, {_q('loss', 0.95)} AS p95 FROM obs_mon JOIN obs_st USING (hf_id, year) GROUP BY ALL) x",
     "temporal_trend": f"SELECT hf_category, year, {_r('flood_freq_med', 'mean_loss_med', 'days_gt50_med', 'days_gt75_med')} FROM trend",
     "kendall_trend": f"SELECT hf_category, n, {_r(tau='s / sqrt(p * (p - t))')}, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'flat' END AS direction FROM (SELECT a.hf_category, sum(sign(round(b.flood_freq_med, 9) - round(a.flood_freq_med, 9)))::DOUBLE AS s, count(*)::DOUBLE AS p, count(*) FILTER (round(b.flood_freq_med, 9) = round(a.flood_freq_med, 9)) AS t FROM trend a JOIN trend b ON a.hf_category = b.hf_category AND a.year < b.year GROUP BY 1) JOIN (SELECT hf_category, count(*) AS n FROM trend GROUP BY 1 HAVING count(*) >= 4) USING (hf_category)",
     "trend_regression": f"SELECT hf_category, {_r(slope='regr_slope(days_flooded::DOUBLE, year)', intercept='regr_intercept(days_flooded::DOUBLE, year)', r_squared='regr_r2(days_flooded::DOUBLE, year)')}, count(*) AS n FROM obs_st GROUP BY 1",
-    "r1_sensitivity": " UNION ALL ".join(f"SELECT '{label}' AS label, hf_category, round(median(l) + 1e-9::DOUBLE, 6) AS median_loss FROM (SELECT hf_id, scenario_id, hf_category, avg(CASE WHEN spell_id >= 0 THEN {_step('spell_duration', limits)} ELSE 0.0 END) AS l FROM syn_l GROUP BY ALL) GROUP BY hf_category" for label, limits in SENSITIVITY_SETS.items()),
+    "r1_sensitivity": " UNION ALL ".join(f"SELECT '{label}' AS label, hf_category, six((median(l))) AS median_loss FROM (SELECT hf_id, scenario_id, hf_category, avg(CASE WHEN spell_id >= 0 THEN {_step('spell_duration', limits)} ELSE 0.0 END) AS l FROM syn_l GROUP BY ALL) GROUP BY hf_category" for label, limits in SENSITIVITY_SETS.items()),
     "category_backfill": "SELECT hf_id, hf_category, count(*) AS days FROM syn GROUP BY ALL",
-    "spell_percentiles": "SELECT round(COLUMNS(*) + 1e-9::DOUBLE, 6) FROM pct",
+    "spell_percentiles": "SELECT six((COLUMNS(*))) FROM pct",
     "spell_quantiles_by_category": f"SELECT hf_category, {_r(dur_p75=_q('duration', 0.75), dur_p90=_q('duration', 0.9), dur_p95=_q('duration', 0.95))} FROM obs_s GROUP BY 1",
     "annual_severe_spells": "SELECT hf_id, year(start_date)::INTEGER AS year, count(*) AS n_severe FROM obs_s WHERE duration >= 6 GROUP BY ALL",
     "suggest_thresholds": _suggest(),
     "empirical_thresholds": "SELECT "
-    + ", ".join(f"round((SELECT {_q(c, q)} FROM syn_s) + 1e-9::DOUBLE, 6) AS {n}_p{round(q * 100)}" for n, c, qs in (("dur", "duration", (0.5, 0.75, 0.9, 0.95, 0.99)), ("int", "mean_pct_flooded * duration", (0.75, 0.9, 0.95, 0.99))) for q in qs)
+    + ", ".join(f"six(((SELECT {_q(c, q)} FROM syn_s))) AS {n}_p{round(q * 100)}" for n, c, qs in (("dur", "duration", (0.5, 0.75, 0.9, 0.95, 0.99)), ("int", "mean_pct_flooded * duration", (0.75, 0.9, 0.95, 0.99))) for q in qs)
     + ", "
-    + ", ".join(f"round((SELECT {_q('min_distance', q)} FROM syn WHERE occurrence = 1) + 1e-9::DOUBLE, 6) AS dist_p{round(q * 100)}" for q in (0.1, 0.25, 0.5)),
+    + ", ".join(f"six(((SELECT {_q('min_distance', q)} FROM syn WHERE occurrence = 1))) AS dist_p{round(q * 100)}" for q in (0.1, 0.25, 0.5)),
     "ks_two_sample": f"SELECT {_r(d_stat='max(abs(fa - fb))')}, max(na)::BIGINT AS n_1, max(nb)::BIGINT AS n_2 FROM (SELECT v, (SELECT avg((duration <= v)::INTEGER) FROM obs_s WHERE hf_category = 'SAFE') AS fa, (SELECT avg((duration <= v)::INTEGER) FROM obs_s WHERE hf_category = 'CRITICAL') AS fb, (SELECT count(*) FROM obs_s WHERE hf_category = 'SAFE') AS na, (SELECT count(*) FROM obs_s WHERE hf_category = 'CRITICAL') AS nb FROM (SELECT DISTINCT duration AS v FROM obs_s))",
     "boxplot_stats": f"SELECT hf_category, {_r('q1', 'median', 'q3')}, min(duration) FILTER (w) AS low, max(duration) FILTER (w) AS high, count(*) FILTER (NOT w) AS outliers FROM (SELECT *, duration BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS w FROM obs_s JOIN (SELECT hf_category, {_q('duration', 0.25)} AS q1, {_q('duration', 0.5)} AS median, {_q('duration', 0.75)} AS q3 FROM obs_s GROUP BY 1) USING (hf_category)) x GROUP BY hf_category, x.q1, x.median, x.q3",
     "lag_features": f"SELECT hf_id, date, o_lag, {_r('p_lag')} FROM lags WHERE o_lag IS NOT NULL",
@@ -328,7 +328,7 @@ CTE["mw_z"] = "SELECT tests.*, mean_post - mean_pre AS delta, u_stat, ties, n_pr
 CTE["mw_p"] = f"SELECT *, CASE WHEN ties = 0 AND least(n_pre, n_post) <= 8 THEN least(1.0::DOUBLE, 2.0 * (SELECT count(*) FROM mw_u WHERE n = n_pre AND m = n_post AND u >= ceil(greatest(u_stat, n_pre * n_post - u_stat))) / (SELECT count(*) FROM mw_u WHERE n = n_pre AND m = n_post)) WHEN var <= 0 THEN 1.0::DOUBLE ELSE {_normal_p('greatest(0.0::DOUBLE, abs(u_stat - n_pre * n_post / 2.0) - 0.5) / sqrt(var)')} END AS pval FROM mw_z"
 CTE["recl_c"] = "SELECT *, CASE WHEN hf_category = 'SAFE' THEN CASE WHEN sig THEN 'SAFE_CHANGED' WHEN mean_post >= 0.1 THEN 'SAFE_EMERGED' ELSE 'SAFE_CONFIRMED' END WHEN sig AND delta > 0.1 THEN 'INCREASED' WHEN sig AND delta < -0.1 THEN 'DECREASED' WHEN NOT sig AND mean_post < 0.1 THEN 'STABLE_LOW' WHEN NOT sig THEN 'STABLE' ELSE 'MARGINAL' END AS change_type FROM (SELECT *, pval < 0.05 AS sig FROM mw_p)"
 CTE["recl_r"] = "SELECT *, CASE WHEN n_post < 3 THEN 'uncertain_few_years' WHEN hf_category = 'SAFE' AND change_type = 'SAFE_CHANGED' AND mean_post > 0.4 THEN 'safe_emerged_high' WHEN hf_category = 'SAFE' AND change_type = 'SAFE_CHANGED' AND mean_post > 0.1 THEN 'safe_emerged_mid' WHEN hf_category = 'SAFE' AND change_type = 'SAFE_EMERGED' THEN 'safe_emerged_low' WHEN hf_category = 'CRITICAL' AND change_type = 'INCREASED' AND mean_post > 0.5 THEN 'critical_now_persistent' ELSE 'no_change' END AS reason FROM recl_c"
-CTE["recl"] = f"SELECT hf_id, hf_category AS cat_original, {_NEW} AS cat_new, mean_pre, mean_post, delta, change_type, n_post AS n_years_post, {_NEW} <> hf_category AS reclassified, reason FROM recl_r"
+CTE["recl"] = f"SELECT hf_id, hf_category AS cat_original, {_NEW} AS cat_new, mean_pre, mean_post, delta, pval, change_type, n_post AS n_years_post, {_NEW} <> hf_category AS reclassified, reason FROM recl_r"
 CTE["dunn"] = f"SELECT *, {_normal_p('z')} AS p_raw FROM (SELECT a.hf_category AS group_1, b.hf_category AS group_2, (a.rs / a.n - b.rs / b.n) / sqrt((a.total * (a.total + 1) / 12 - a.ties / (12 * (a.total - 1))) * (1 / a.n + 1 / b.n)) AS z FROM sums a JOIN sums b ON a.hf_category < b.hf_category)"
 CTE["kru"] = "SELECT (12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) ** 3 - max(total))) AS h_stat, count(*) - 1 AS df FROM sums"
 CTE["cal"] = "SELECT round_even(dur_p50, 0) AS d50, round_even(dur_p75, 0) AS d75, round_even(dur_p90, 0) AS d90, round_even(dur_p95, 0) AS d95, round_even(dur_p99, 0) AS d99, round_even(int_p75, 2) AS i75, round_even(int_p90, 2) AS i90, round_even(int_p95, 2) AS i95, round_even(int_p99, 2) AS i99, round_even(dist_p25, 1) AS near1, round_even(dist_p50, 1) AS near2 FROM pct"
@@ -364,6 +364,25 @@ CTE["hold_after"] = "SELECT a.row_, a.col_, count(*) FILTER (value = 0) AS clear
 CTE["hold_now"] = "SELECT a.*, clear, missing, coalesce(k, 0) AS k, coalesce(most, 0)::BIGINT AS max_consecutive FROM hold_all a JOIN hold_after USING (row_, col_) LEFT JOIN (SELECT row_, col_, arg_max(k, isle) AS k, max(k) AS most FROM hold_w GROUP BY ALL) USING (row_, col_)"
 
 
+_PCT = [f"{n}_p{round(q * 100):02d}" for n, qs in (("dur", (0.5, 0.75, 0.9, 0.95, 0.99)), ("int", (0.5, 0.75, 0.9, 0.95, 0.99)), ("dist", (0.05, 0.1, 0.25, 0.5))) for q in qs]
+_PCT_NAMES, _PCT_VALUES = ", ".join(f"'{n}'" for n in _PCT), ", ".join(f"six(({n}))" for n in _PCT)
+
+
+def _results() -> str:
+    """Every value of the result tables: their names, the rows' keys, the columns."""
+    stats = ["days_flooded", "annual_mean_loss", "annual_max_loss", "days_loss_gt50", "days_loss_gt75", "days_loss_100", "n_spells_15plus"]
+    tables = {
+        "scenario_stats": (_BODIES["scenario_annual_stats"], "hf_id || '|' || scenario_id", stats),
+        "observed_stats": (_BODIES["observed_year_stats"], "hf_id || '|' || year", stats),
+        "ranking": (_BODIES["facility_ranking"], "hf_id || '|' || hf_category", ["loss_p50", "loss_p05", "loss_p95", "days_gt50", "days_gt75", "p_total", "rank"]),
+        "exceedance": (_BODIES["exceedance_table"], "hf_id || '|' || hf_category", [f"p_exceed_{t}pct" for t in (10, 25, 50, 75, 100)]),
+        "categories": (_BODIES["category_describe"], "hf_category", ["n", "median", "mean", "p25", "p75", "p95"]),
+        "seasons": (_BODIES["seasonal_risk"], "hf_category || '|' || month", ["median", "p05", "p95", "peak_month"]),
+    }
+    one = lambda name, body, key, columns: f"SELECT '{name}' AS name, {key} AS key, unnest([{', '.join(repr(c) for c in columns)}]) AS metric, unnest([{', '.join(f'x.{c}::DOUBLE' for c in columns)}]) AS value FROM ({body}) x"
+    return " UNION ALL ".join(one(n, *t) for n, t in tables.items())
+
+
 def _sum_of(pool: str, part: str) -> str:
     return f"SELECT hf_id, count(*) AS days, sum(occurrence)::BIGINT AS wet, {_r(pct='sum(pct_flooded)', nearest='min(min_distance)')}, '{part}' AS part FROM {pool} GROUP BY hf_id"
 
@@ -385,16 +404,16 @@ _BODIES.update({
     "pool_metadata": _META,
     "pool_metadata_document": _META,
     "pool_arrays_export": "SELECT hf_id, year, series_no_data_count FROM hfy",
-    "results_written": "SELECT 'scenario_stats' AS name, count(*) AS rows FROM syn_st UNION ALL SELECT 'observed_stats', count(*) FROM obs_st UNION ALL SELECT 'ranking', count(DISTINCT hf_id) FROM syn_st UNION ALL SELECT 'exceedance', count(DISTINCT hf_id) FROM syn_st UNION ALL SELECT 'categories', count(DISTINCT hf_category) FROM syn_st UNION ALL SELECT 'seasons', count(*) FROM (SELECT DISTINCT hf_category, month FROM obs_mon JOIN obs_st USING (hf_id, year))",
-    "calibration_report": _suggest(),
+    "results_written": _results(),
+    "calibration_report": f"{_suggest()} UNION ALL SELECT unnest([{_PCT_NAMES}]), unnest([{_PCT_VALUES}]), NULL::DOUBLE FROM pct",
     "facility_zone_join": "SELECT hf_id, year, total_flooded_days, zone, (['SAFE','CHRONIC','UNSTABLE','CRITICAL'])[zone] AS zone_name FROM hfy JOIN patch USING (hf_id)",
     "post_year_counts": "SELECT hf_id, hf_category, CASE WHEN hf_category = 'SAFE' THEN 0 ELSE count(*) FILTER (period = 'post') END::INTEGER AS n_years_post FROM ann GROUP BY hf_id, hf_category",
-    "scenario_grid": "SELECT hf_id, s::INTEGER AS scenario_id, 365::BIGINT AS days, DATE '2026-01-01' AS first_date, DATE '2026-12-31' AS last_date, (365 * 366 / 2)::BIGINT AS day_sum FROM (SELECT DISTINCT hf_id FROM obs), (SELECT unnest(range(0, 3)) AS s)",
+    "scenario_grid": "SELECT hf_id, s::INTEGER AS scenario_id, 365::BIGINT AS days, DATE '2026-01-01' AS first_date, DATE '2026-12-31' AS last_date, (365 * 366 / 2)::BIGINT AS day_sum FROM (SELECT DISTINCT hf_id FROM obs), (SELECT unnest(range(0, 50)) AS s)",
     "kruskal_wallis_p": f"SELECT {_r('h_stat')}, df, {_r(p='CASE df WHEN 1 THEN ' + _normal_p('sqrt(h_stat)') + ' WHEN 2 THEN exp(-h_stat / 2) WHEN 3 THEN ' + _normal_p('sqrt(h_stat)') + ' + sqrt(2 * h_stat / pi()) * exp(-h_stat / 2) END')} FROM kru",
     "dunn_test_p": f"SELECT group_1, group_2, {_r(z_stat='round(z, 3)', p_raw='p_raw', p_bonf='b')}, {_stars('b')} AS sig FROM (SELECT *, least(p_raw * count(*) OVER (), 1.0::DOUBLE) AS b FROM dunn)",
     "mann_whitney_pre_post": f"SELECT hf_id, hf_category, n_pre, n_post, {_r('mean_pre', 'mean_post', 'delta', 'u_stat', 'pval')}, pval < 0.05 AS significant FROM mw_p",
-    "reclassify": f"SELECT hf_id, cat_original, cat_new, {_r('mean_pre', 'mean_post', 'delta')}, change_type, n_years_post, reclassified, reason FROM recl",
-    "movement_counts": f"SELECT cat_original, cat_new, n, {_r(share='n / sum(n) OVER (PARTITION BY cat_original)')} FROM (SELECT cat_original, cat_new, count(*) AS n FROM recl GROUP BY ALL)",
+    "reclassify": f"SELECT hf_id, cat_original, cat_new, {_r('mean_pre', 'mean_post', 'delta', 'pval')}, change_type, n_years_post, reclassified, reason FROM recl",
+    "movement_counts": f"SELECT cat_original, cat_new, n, {_r(share='n / sum(n) OVER (PARTITION BY cat_original)')} FROM (SELECT cat_original, cat_new, count(*) AS n FROM recl WHERE reclassified GROUP BY ALL)",
     "reclassified_pool": "SELECT cat_new AS hf_category, count(*) AS days, sum(occurrence)::BIGINT AS wet FROM obs JOIN recl USING (hf_id) GROUP BY cat_new",
     "calibrated_loss": f"SELECT hf_id, year, {_r(annual_mean_loss='avg(combined_loss)', annual_max_loss='max(combined_loss)')} FROM ({_calibrated()}) GROUP BY ALL",
     "trend_regression_p": f"SELECT hf_category, {_r('slope', 'intercept', 'r_squared')}, n, {_r('p')}, p < 0.05 AS significant FROM floodlines",
@@ -427,9 +446,21 @@ _DATES = {
 }
 
 
+def _six(sql: str) -> str:
+    """six((x)) spelled out: x at six places after ten, both half to even, which is the same arithmetic in any engine."""
+    while (at := sql.find("six((")) >= 0:
+        depth, end = 2, at + 5
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x = f"({sql[at + 5 : end - 2]})::DOUBLE"
+        sql = f"{sql[:at]}CASE WHEN abs({x}) < 5e-7 THEN 0.0::DOUBLE ELSE round_even(round_even({x} * 1e10, 0) / 1e10 * 1e6, 0) / 1e6 END{sql[end:]}"
+    return sql
+
+
 def _texts(name: str, body: str) -> str:
     dates = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" for c in _DATES.get(name, ()))
     return f"SELECT * REPLACE ({dates}) FROM ({body})" if dates else body
 
 
-ORACLES: dict[str, str] = {name: _sql(_texts(name, body)) for name, body in _BODIES.items()}
+ORACLES: dict[str, str] = {name: _six(_sql(_texts(name, body))) for name, body in _BODIES.items()}

@@ -1,5 +1,5 @@
-"""Named queries over the operators, each on whole input tables. Floating results are rounded to six places after adding 1e-9,
-so that noise in the last bits does not turn ties; dates are given as text."""
+"""Named queries over the operators, each on whole input tables. Floating results are given at six places after ten, half to
+even, so that noise in the last bits, from sums in another order, does not turn ties; dates are given as text."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from ..config import SPELL_DAYS, LossConfig
 from ..functions.columns import buffer_pixels, facility_type, step_loss
 from ..operators import calibration, facilities, hazard, impact, model, raster_eda, reclass, sampling, spells, stats, uncertainty
 from ..sources import readers, writers
+from ..sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 OBS, SYN = ["hf_id", "year"], ["hf_id", "scenario_id"]
@@ -23,7 +24,8 @@ PARAMS = {"beta0": -0.5, "beta_lag": 2.0, "beta_cos": 0.4, "beta_sin": -0.3, "ka
 def query(f):
     def rounded(spark: SparkSession, d: str) -> DataFrame:
         df = f(spark, d)
-        plain = {"double": lambda c: F.round(F.col(c) + 1e-9, 6), "float": lambda c: F.round(F.col(c) + 1e-9, 6), "date": lambda c: F.col(c).cast("string")}
+        short = lambda c: F.when(F.abs(F.col(c).cast("double")) < 5e-7, 0.0).otherwise(F.rint(F.rint(F.col(c).cast("double") * 1e10) / 1e10 * 1e6) / 1e6)
+        plain = {"double": short, "float": short, "date": lambda c: F.col(c).cast("string")}
         return df.select(*[plain.get(t, F.col)(c).alias(c) for c, t in df.dtypes])
 
     rounded.__doc__ = f.__doc__
@@ -401,7 +403,7 @@ def classify_by_delta(spark, d):
     """The classes with significance taken as a difference of 0.02 or more, so that SQL can follow."""
     tests = reclass.pre_post_test(_metrics(spark, d)).withColumn("significant", F.abs(F.round("delta", 9)) >= 0.02)
     out = reclass.reclassify(reclass.classify(tests, 0.55), high=0.60, mid=0.50)
-    return out.drop("mean_pre", "mean_post", "delta")
+    return out.drop("mean_pre", "mean_post", "delta", "pval")
 
 
 # spells
@@ -635,7 +637,7 @@ def union_pool(spark, d):
 @query
 def flood_probability(spark, d):
     """The daily observed pool scored with a table of parameters."""
-    pool = model.complete(model.lag_features(fx.observed_pool(spark, d)))
+    pool = stored(model.complete(model.lag_features(fx.observed_pool(spark, d))))  # read twice: the range of years, and every row
     rows = model.seasonal_covariates(pool)
     n = F.length("hf_id") * 7 + F.ascii(F.substring("hf_id", -1, 1))
     by_facility = fx.pool_facilities(spark, d).select("hf_id", (n % 5 / 10.0).alias("effect"), (n % 3 / 4.0).alias("t_break"), (n % 7 / 8.0 - 0.4).alias("delta"), (n % 4 / 6.0).alias("delta_P"), (n % 6 / 9.0).alias("delta_D"))

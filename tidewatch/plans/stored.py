@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import calibration, facilities, hazard, impact, model, raster_eda, reclass, stats
 from ..sources import readers, writers
-from ..sources.scratch import new_folder
+from ..sources.scratch import new_folder, stored
 from ..streaming import floods
 from .queries import OBS, _annual, _binary, _metrics, _obs_spells, _obs_stats, _placed, _syn_stats, query
 
@@ -146,28 +146,33 @@ def pool_arrays_export(spark, d):
 
 @query
 def results_written(spark, d):
-    """The result tables as stored: their names, formats and rows; an empty trend is left out."""
-    syn, obs = _syn_stats(spark, d), _obs_stats(spark, d)
+    """Every value of the result tables as stored: the table's name, the row's key, the column; an empty trend is left out."""
+    syn, obs = stored(_syn_stats(spark, d)), stored(_obs_stats(spark, d))
     tables = {
         "scenario_stats": syn.drop("monthly_loss"), "observed_stats": obs.drop("monthly_loss"), "ranking": impact.facility_ranking(syn), "exceedance": impact.exceedance_table(syn),
         "categories": impact.category_describe(syn), "seasons": impact.seasonal_risk(obs), "trend": impact.temporal_trend(obs).filter("year < 0"),
     }
     writers.write_results(tables, path := new_folder(spark))
-    parquet = ("scenario_stats", "observed_stats")
-    counts = [(spark.read.parquet(f"{path}/{n}") if n in parquet else spark.read.option("header", True).csv(f"{path}/{n}")).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in tables if n != "trend"]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    keys = {"scenario_stats": ["hf_id", "scenario_id"], "observed_stats": ["hf_id", "year"], "ranking": ["hf_id", "hf_category"], "exceedance": ["hf_id", "hf_category"], "categories": ["hf_category"], "seasons": ["hf_category", "month"]}
+    out = None
+    for name, key in keys.items():
+        read = spark.read if name in ("scenario_stats", "observed_stats") else spark.read.option("header", True)
+        rows = read.schema(tables[name].schema).format("parquet" if name in ("scenario_stats", "observed_stats") else "csv").load(f"{path}/{name}")
+        values = [F.col(c).cast("double").alias(c) for c in rows.columns if c not in (*key, "hf_category")]
+        long = rows.select(F.lit(name).alias("name"), F.concat_ws("|", *key).alias("key"), *values).unpivot(["name", "key"], [c for c in rows.columns if c not in (*key, "hf_category")], "metric", "value")
+        out = long if out is None else out.unionAll(long)
     return out
 
 
 @query
 def calibration_report(spark, d):
-    """The thresholds in the stored report."""
+    """The thresholds and the percentiles in the stored report."""
     pct = calibration.spell_percentiles(_obs_spells(spark, d))
     writers.write_json_document(calibration.report(pct, calibration.suggest_thresholds(pct)), path := new_folder(spark))
-    doc = spark.read.text(path).select(F.from_json("value", "thresholds array<struct<rule: string, threshold: double, loss: double>>").alias("d"))
-    return doc.select(F.inline("d.thresholds"))
+    kinds = ", ".join(f"{c} double" for c in pct.columns)
+    doc = spark.read.text(path).select(F.from_json("value", f"thresholds array<struct<rule: string, threshold: double, loss: double>>, {kinds}").alias("d"))
+    shares = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(f"d.{c}").alias("threshold"), F.lit(None).cast("double").alias("loss")) for c in pct.columns])
+    return doc.select(F.inline(F.concat("d.thresholds", shares)))
 
 
 # joins and small operators
@@ -192,7 +197,7 @@ def post_year_counts(spark, d):
 @query
 def scenario_grid(spark, d):
     """Days of a year for every facility and scenario, before anything is drawn."""
-    grid = model.scenario_grid(fx.observed_pool(spark, d).select("hf_id").distinct(), 3, "2026-01-01", 365)
+    grid = model.scenario_grid(fx.observed_pool(spark, d).select("hf_id").distinct(), 50, "2026-01-01", 365)
     return grid.groupBy("hf_id", "scenario_id").agg(F.count("*").alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum("day_of_year").alias("day_sum"))
 
 
