@@ -53,7 +53,8 @@ def classify(tests: DataFrame, freq: float = 0.10) -> DataFrame:
 
 
 def reclassify(tests: DataFrame, high: float = 0.40, mid: float = 0.10, min_years: int = 3) -> DataFrame:
-    """New category and reason by the rules of the old one; too few years after the break leave it."""
+    """New category and reason by the rules of the old one, beside the test's p-value where there is one; too few years after
+    the break leave it."""
     safe, change, post = F.col("hf_category") == "SAFE", F.col("change_type"), F.col("mean_post")
     reason = (
         F.when(F.col("n_post") < min_years, "uncertain_few_years")
@@ -66,7 +67,7 @@ def reclassify(tests: DataFrame, high: float = 0.40, mid: float = 0.10, min_year
     out = tests.withColumn("reason", reason)
     new = F.when(F.col("reason").isin("safe_emerged_high", "critical_now_persistent"), "UNSTABLE").when(F.col("reason").isin("safe_emerged_mid", "safe_emerged_low"), "CHRONIC").otherwise(F.col("hf_category"))
     out = out.withColumn("cat_new", new)
-    return out.select("hf_id", F.col("hf_category").alias("cat_original"), "cat_new", "mean_pre", "mean_post", "delta", "pval", "change_type", F.col("n_post").alias("n_years_post"), (F.col("cat_new") != F.col("hf_category")).alias("reclassified"), "reason")
+    return out.select("hf_id", F.col("hf_category").alias("cat_original"), "cat_new", "mean_pre", "mean_post", "delta", *[c for c in ("pval",) if c in tests.columns], "change_type", F.col("n_post").alias("n_years_post"), (F.col("cat_new") != F.col("hf_category")).alias("reclassified"), "reason")
 
 
 def movement_counts(reclassified: DataFrame) -> DataFrame:
