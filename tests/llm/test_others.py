@@ -257,7 +257,7 @@ def test_queries_with_sql(spark):
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name, sql in SQL.items():
         df = QUERIES[name](spark, d)
