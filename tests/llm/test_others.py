@@ -326,6 +326,18 @@ def test_shared_folder_of_a_cluster_must_be_named(spark, monkeypatch):
         store.shared_folder(Session())
 
 
+def test_shuffled_rdds_and_cached_tables_are_staged_and_files_are_not(spark):
+    from tidewatch.llm.store import settled, staged
+
+    rows = spark.createDataFrame([(i, "a") for i in range(9)], "doc_id long, text string")
+    shuffled = spark.createDataFrame(rows.rdd.repartition(3), rows.schema)
+    cached = rows.repartition(2).cache()
+    files = staged(rows)
+    assert settled(shuffled)._staged_at and settled(cached)._staged_at and settled(files) is files
+    assert settled(spark.range(3)).count() == 3 and settled(shuffled).count() == 9
+    cached.unpersist()
+
+
 def test_inputs_behind_a_shuffle_are_staged(spark):
     from tidewatch.llm.store import settled
 
@@ -436,3 +448,41 @@ def test_very_long_texts_are_scored_by_all_their_words(spark):
     weights = quality.train(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int"))
     got = {r["doc_id"]: r["score"] for r in quality.score(docs, weights).collect()}
     assert got[500] > 0.5 > got[501] and 0 <= got[502] <= 1
+
+
+def test_a_repeated_labelled_id_fills_no_more_than_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good words here {i}" if i % 2 else f"bad noise there {i}") for i in range(60)], "doc_id long, text string")
+    hot = docs.filter("doc_id = 7").crossJoin(spark.range(500)).select("doc_id", F.when(F.col("id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" "), F.col("id").cast("string"))).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+
+    def rows_seen(batches):
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([str(sum(b.num_rows for b in batches)).encode()], pa.binary())})
+
+    monkeypatch.setattr(quality, "_fit_rows", rows_seen)
+    assert int(quality.train(docs.unionByName(hot), labels, 100)) == 100
+    assert 40 < int(quality.train(docs, labels, 100)) < 60
+
+
+def test_sums_of_a_bucket_with_a_row_from_every_block(monkeypatch):
+    """However rows are split into batches, and sums into merges, blocks get the same counts."""
+    monkeypatch.setattr(lbl._Sums, "MERGED", 50)
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for bucket in range(3):
+        for block in range(0 if bucket == 1 else 90):
+            words_ = np.unique(rng.integers(0, 40, rng.integers(1, 12)).astype(np.uint64) * np.uint64(3) + np.uint64(bucket))
+            counts = rng.integers(0, 9, len(words_)).astype(np.uint32)
+            rows.append((bucket, block, lbl.pack(np.arange(len(words_))), words_.tobytes(), (words_ % np.uint64(lbl.SUFFIXES)).astype(np.uint8).tobytes(), lbl.pack(counts)))
+            for w, c in zip(words_.tolist(), counts.tolist(), strict=True):
+                want[w] = want.get(w, 0) + c
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("hash", pa.binary()), ("suffix", pa.binary()), ("count", pa.binary())])
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + size], strict=True), schema, strict=True)], schema=schema) for i in range(0, len(rows), size)]
+        out = pa.Table.from_batches(list(lbl._sum_words(iter(batches)))).to_pylist()
+        tops = {h: n for r in out if r["block"] is None for h, n in zip(r["top_hash"], r["top_count"], strict=True)}
+        assert tops == want and sum(sum(r["tokens"]) for r in out if r["block"] is None) == sum(want.values())
+        given = [r for r in out if r["block"] is not None]
+        assert len(given) == len(rows)
+        for r, (_, block, at, hashes, _, _) in zip(given, rows, strict=True):
+            assert (r["block"], r["at"]) == (block, at) and lbl.unpack(r["count"]).tolist() == [want[h] for h in np.frombuffer(hashes, np.uint64).tolist()]
+    assert list(lbl._sum_words(iter([]))) == []

@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -137,26 +138,83 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object,
         yield last, rows
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:
+    """Rows that follow each other with the same key, in slices of the batches they come in, which stay Arrow tables.
+
+    Each stretch has to be read to its end before the next one is asked for.
+    """
+    slices = ((b[key][i].as_py(), b.slice(i, j - i)) for b in batches if b.num_rows for i, j in _cuts(b[key].to_numpy()))
+    for value, same in groupby(slices, lambda x: x[0]):
+        yield value, (b for _, b in same)
+
+
+def _cuts(keys: np.ndarray) -> list[tuple[int, int]]:
+    at = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _bytes_of(b: pa.RecordBatch, column: str, dtype: type) -> np.ndarray:
+    """All rows' binary values of a column, end to end."""
+    return np.frombuffer(b"".join(b[column].to_pylist()), dtype)
+
+
+class _Sums:
+    """Counts by key, added as they come: new keys wait until there are MERGED of them, so little more than the distinct
+    keys is held, however many rows bring them."""
+
+    MERGED = 1 << 20
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.more = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.wait: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> None:
+        """more: a value that depends on the key alone."""
+        self.wait.append((keys, counts, more))
+        self.waiting += len(keys)
+        if self.waiting > self.MERGED:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, counts, more = (np.concatenate(x) for x in zip((self.keys, self.counts, self.more), *self.wait, strict=True))
+        self.keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        self.counts, self.more = np.zeros(len(self.keys), np.int64), more[first]
+        np.add.at(self.counts, at, counts.astype(np.int64))
+        self.wait, self.waiting = [], 0
+
+
 def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's words with their counts in all blocks; for each bucket its most frequent words and class totals."""
+    """Each block's words with their counts in all blocks; for each bucket its most frequent words and class totals.
+
+    A bucket with a frequent word has a row from every block. Its rows are kept as Arrow slices, some 40 bytes a row
+    beside the words, and read once more when the sums are known.
+    """
     schema = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("count", pa.binary()), ("top_hash", pa.list_(pa.int64())), ("top_count", pa.list_(pa.int64())), ("top_suffix", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("types", pa.list_(pa.int64()))])
-    for _, rows in runs(batches, "bucket"):
-        each = [np.frombuffer(r["hash"], np.uint64) for r in rows]
-        distinct, first, number = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
-        total = np.bincount(number, np.concatenate([unpack(r["count"]) for r in rows]), len(distinct)).astype(np.int64)
-        suffix = np.frombuffer(b"".join(r["suffix"] for r in rows), np.uint8)[first]
+    for _, slices in _stretches(batches, "bucket"):
+        sums, kept = _Sums(), []
+        for b in slices:
+            counts = np.concatenate([unpack(c) for c in b["count"].to_pylist()])
+            sums.add(_bytes_of(b, "hash", np.uint64), counts, _bytes_of(b, "suffix", np.uint8))
+            # a copy, so a slice does not keep the whole of its batch
+            kept.append(pa.Table.from_batches([b.select(["block", "at", "hash"])]).take(np.arange(b.num_rows)))
+        sums.merge()
+        distinct, total, suffix = sums.keys, sums.counts, sums.more
         top = np.lexsort((distinct, -total))[:MOST_TOPS]
         top = top[(np.arange(len(top)) < TOPS) | (total[top] >= OWN_COUNT)]
         tokens = np.bincount(suffix, total, SUFFIXES).astype(np.int64).tolist()
         types = np.bincount(suffix, total > 0, SUFFIXES).astype(np.int64).tolist()
-        made = [(None, None, None, distinct[top].view(np.int64).tolist(), total[top].tolist(), suffix[top].tolist(), tokens, types)]
-        at = 0
-        for r, h in zip(rows, each, strict=True):
-            own = total[number[at : at + len(h)]]
-            at += len(h)
-            made.append((r["block"], r["at"], pack(np.minimum(own, 2**32 - 1)), None, None, None, None, None))
-        for i in range(0, len(made), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made[i : i + 64], strict=True), schema, strict=True)], schema=schema)
+        row = [[None], [None], [None], [distinct[top].view(np.int64).tolist()], [total[top].tolist()], [suffix[top].tolist()], [tokens], [types]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+        for table in kept:
+            for i in range(0, table.num_rows, 64):
+                part = table.slice(i, 64)
+                each = [np.frombuffer(h, np.uint64) for h in part["hash"].to_pylist()]
+                own = np.minimum(total[np.searchsorted(distinct, np.concatenate(each))], 2**32 - 1)
+                ends = np.cumsum([len(h) for h in each])
+                counts = pa.array([pack(x) for x in np.split(own, ends[:-1])], pa.binary())
+                none = [pa.nulls(len(each), f.type) for f in list(schema)[3:]]
+                yield pa.RecordBatch.from_arrays([part["block"].combine_chunks(), part["at"].combine_chunks(), counts, *none], schema=schema)
 
 
 def _suffix(w: Words) -> np.ndarray:
@@ -224,10 +282,15 @@ def _triples(tops: np.ndarray, top_of: np.ndarray):
 
 
 def _sum_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, rows in runs(batches, "shard"):
-        keys, at = np.unique(np.concatenate([np.cumsum(unpack(r["keys"]), dtype=np.int64) for r in rows]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([unpack(r["counts"]) for r in rows]), len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
+    """Each shard's triples with their counts in all tasks, added as the rows come."""
+    for shard, slices in _stretches(batches, "shard"):
+        sums = _Sums()
+        for b in slices:
+            for keys, counts in zip(b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                keys = np.cumsum(unpack(keys), dtype=np.int64).view(np.uint64)
+                sums.add(keys, unpack(counts), np.zeros(len(keys), np.uint8))
+        sums.merge()
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "keys": [sums.keys.tobytes()], "counts": [sums.counts.tobytes()]})
 
 
 @dataclass

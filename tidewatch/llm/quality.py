@@ -9,7 +9,8 @@ memory whatever the input. Their features are made in parallel; one task then up
 of their hashed ids, so the weights do not depend on how rows are split. Scoring covers every row of the input.
 
 Defined cases: null and empty texts have no feature but the constant one, and get its score. Labels that are null
-are not learned from; ids with more than one label count with each. Other columns are never read. With no labelled
+are not learned from; ids with more than one label count with each, and rows that repeat an id count each up to
+`sample` rows in all, in the same order. Other columns are never read. With no labelled
 rows all scores are 0.5.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,17 +130,24 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     """float32 weights of the model, as bytes, fitted on at most `sample` labelled rows outside the held-out fold."""
     small_batches(docs.sparkSession)
+    key = ["rank", "row", "quality"]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("rank", F.xxhash64("doc_id", F.lit(7)))
     chosen = staged(known.orderBy("rank", "doc_id", "quality").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "rank", F.xxhash64("text").alias("row"))  # at most `sample` rows are broadcast
-    found = rows.mapInArrow(_featurise, "quality int, rank long, row long, slots array<int>, values array<float>")
+    # at most `sample` rows are broadcast, here and below
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "rank", F.xxhash64("text").alias("row"))
+    found = staged(rows.groupBy(*key).agg(F.min("text").alias("text"), F.count("*").alias("copies")))
+    least = found.select(*key, "copies").orderBy(*key).limit(sample)
+    before = F.coalesce(F.sum("copies").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = least.withColumn("copies", F.least("copies", F.lit(sample) - before)).filter("copies > 0")
+    rows = found.drop("copies").join(F.broadcast(least), key).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("text", "quality", "rank", "row")
+    made = rows.mapInArrow(_featurise, "quality int, rank long, row long, slots array<int>, values array<float>")
     # one task by the method: each step starts where the one before ended; its rows are bounded by `sample`
-    found = found.repartition(1).sortWithinPartitions("rank", "row", "quality")
-    model = found.mapInArrow(_fit_rows, "weights binary").first()
-    freed(chosen)
-    return model["weights"] if model else np.zeros(SLOTS, np.float32).tobytes()
+    made = made.repartition(1).sortWithinPartitions(*key)
+    model = made.mapInArrow(_fit_rows, "weights binary").collect()  # one row at most
+    freed(chosen, found)
+    return model[0]["weights"] if model else np.zeros(SLOTS, np.float32).tobytes()
 
 
 def score(docs: DataFrame, weights: bytes, name: str = "score") -> DataFrame:

@@ -70,8 +70,16 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as it is where it gives the same rows in the same order each time it is read; staged where a shuffle may change that."""
-    return staged(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+    """df as it is where it gives the same rows in the same order each time it is read: where its rows come from files,
+    ranges or an RDD without a shuffle. Anything else is staged, such as a cached table, whose lost parts may be made anew."""
+    plans = df._jdf.queryExecution()
+    leaves = plans.optimizedPlan().collectLeaves()
+
+    def steady(leaf) -> bool:
+        kind = leaf.getClass().getSimpleName()
+        return "Shuffle" not in leaf.rdd().toDebugString() if kind == "LogicalRDD" else kind in ("LogicalRelation", "Range", "LocalRelation", "OneRowRelation$")
+
+    return df if all(steady(leaves.apply(i)) for i in range(leaves.size())) and "Exchange" not in plans.executedPlan().toString() else staged(df)
 
 
 def freed(*tables: DataFrame) -> None:
