@@ -89,3 +89,12 @@ def test_paths_meet_the_limit_for_larger_samples():
         assert stats.kolmogorov_paths(d, 480, 500) == pytest.approx(stats.kolmogorov_sf(d, 480 * 500 / 980), rel=0.05, abs=1e-4)
     assert stats.two_sample_p(0.05, 3000, 4000) == stats.kolmogorov_sf(0.05, 3000 * 4000 / 7000)
     assert stats.kolmogorov_paths(1.0, 400, 500) < 1e-12 and stats.kolmogorov_paths(0.0, 4, 5) == 1.0
+
+
+def test_column_report_tells_absent_and_empty_columns(spark):
+    from tidewatch.functions.columns import column_report
+
+    df = spark.createDataFrame([(1, None, None), (2, "x", None)], "a int, `b.c` string, d double")
+    got = {r["column_name"]: (r["present"], r["n_rows"], r["n_filled"]) for r in column_report(df, ["a", "b.c", "d", "e"]).collect()}
+    assert got == {"a": (True, 2, 2), "b.c": (True, 2, 1), "d": (True, 2, 0), "e": (False, 2, 0)}
+    assert {r["n_rows"] for r in column_report(df.limit(0), ["a", "e"]).collect()} == {0}

@@ -12,6 +12,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 #: The full comparison is the driver's; these cover every family of operators.
 NAMES = ["aoi_crop", "hazard_annual_3", "hazard_seasonal_2", "raster_quality", "zone_class", "buffer_metrics", "facility_zone", "annual_metrics", "merge_spells", "combined_loss", "facility_ranking", "dunn_test", "suggest_thresholds", "flood_probability", "scenario_metrics", "posterior_summary", "variogram"]
+NAMES += ["required_columns"]
 #: Sinks, readers, streams and p-values.
 NAMES += ["facility_csv_scan", "pool_by_facility_scan", "new_maps_written", "hazard_written", "review_list", "pool_metadata_document", "results_written", "calibration_report", "facility_zone_join", "post_year_counts", "scenario_grid"]
 NAMES += ["fit_positive_distribution", "fit_by_band", "rhat_ess", "ks_two_sample_exact", "stratified_sample", "pool_pruned_scan", "hazard_years_scan", "spell_percentiles", "category_describe", "seasonal_risk", "raster_stats"]

@@ -112,3 +112,13 @@ def test_results_and_metadata(spark, tmp_path):
     empty = spark.createDataFrame([], "a int")
     writers.write_results({"trend": empty, "ranking": spark.createDataFrame([(1,)], "a int"), "scenario_stats": empty}, str(tmp_path))
     assert not (tmp_path / "trend").exists() and (tmp_path / "ranking").exists() and (tmp_path / "scenario_stats").exists()
+
+
+def test_days_of_a_dense_square_are_dealt_apart(spark):
+    """Dealing days to parts gives each pixel once, as the join without parts does."""
+    p = placed(spark, [at(50, 40), at(51, 41), at(0, 0)])
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    pixels = spark.createDataFrame([(day, row, col, (row + col) % 2) for day in days for row in range(45, 56, 2) for col in range(36, 46, 3)] + [(None, 50, 40, 1)], "map_date date, row int, col int, value int")
+    count = lambda df: sorted((r["hf_id"], str(r["map_date"]), r["row"], r["col"]) for r in df.collect())
+    whole = count(facilities.facility_pixels(p, pixels, ["map_date", "value"]))
+    assert count(facilities.facility_pixels(p, pixels, ["map_date", "value"], "map_date")) == whole and len(whole) == len(set(whole)) > 1000

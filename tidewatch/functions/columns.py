@@ -64,3 +64,10 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str = "table") ->
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"{what} lacks columns: {', '.join(missing)}")
     return df
+
+
+def column_report(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """column_name, present, n_rows, n_filled (not null) of each name, in one pass; an absent column is filled nowhere."""
+    names = list(names)
+    filled = [F.struct(F.lit(n).alias("column_name"), F.lit(n in df.columns).alias("present"), F.count("*").alias("n_rows"), (F.count(F.col(f"`{n}`")) if n in df.columns else F.lit(0).cast("long")).alias("n_filled")) for n in names]
+    return df.agg(F.array(*filled).alias("c")).select(F.inline("c"))

@@ -13,6 +13,8 @@ REQUIRED = ["county_code", "payam_code", "hf_id", "longitude", "latitude", "func
 PIXEL_M = 90.0
 #: Side of the squares that pixels and facilities are dealt to; at least as wide as the widest buffer.
 BUCKET = 60
+#: Parts of a square by day.
+SPREAD = 16
 
 
 @dataclass(frozen=True)
@@ -64,17 +66,24 @@ def place(df: DataFrame, grid: Grid, pixel_m: float = PIXEL_M) -> DataFrame:
     return df
 
 
-def facility_pixels(placed: DataFrame, pixels: DataFrame, value: list[str]) -> DataFrame:
+def facility_pixels(placed: DataFrame, pixels: DataFrame, value: list[str], spread: str | None = None) -> DataFrame:
     """Every facility inside the grid with the pixels of its buffer.
 
-    A join on the squares of BUCKET pixels that a buffer touches, nine at most, then the exact bounds.
+    A join on the squares of BUCKET pixels that a buffer touches, nine at most, then the exact bounds. `spread`, a column
+    of many values a pixel such as its day, deals each square's rows to SPREAD parts, and facilities go to all of them, so
+    that no task has all days of a dense square.
     """
     span = lambda axis: F.explode(F.sequence(F.floor(F.col(f"{axis}_from") / BUCKET), F.floor((F.col(f"{axis}_to") - 1) / BUCKET)))
     near = placed.filter("inside AND row_from < row_to AND col_from < col_to").withColumnsRenamed({"row": "hf_row", "col": "hf_col"})
     near = near.withColumn("__br", span("row")).withColumn("__bc", span("col"))
     rows = pixels.select("row", "col", *value, F.floor(F.col("row") / BUCKET).alias("__br"), F.floor(F.col("col") / BUCKET).alias("__bc"))
+    keys = ["__br", "__bc"]
+    if spread:
+        near = near.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        rows = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int"))
+        keys.append("__part")
     hit = (F.col("row") >= F.col("row_from")) & (F.col("row") < F.col("row_to")) & (F.col("col") >= F.col("col_from")) & (F.col("col") < F.col("col_to"))
-    return near.join(rows, ["__br", "__bc"]).filter(hit).drop("__br", "__bc")
+    return near.join(rows, keys).filter(hit).drop(*keys)
 
 
 def buffer_metrics(placed: DataFrame, pixels: DataFrame, pixel_m: float = PIXEL_M) -> DataFrame:
@@ -82,7 +91,7 @@ def buffer_metrics(placed: DataFrame, pixels: DataFrame, pixel_m: float = PIXEL_
 
     Pixels of the buffer beyond the grid count as no data. Days without a map give no row.
     """
-    rows = facility_pixels(placed, pixels, ["map_date", "value"])
+    rows = facility_pixels(placed, pixels, ["map_date", "value"], "map_date")
     wet = F.col("value") == 1
     dr, dc = F.col("row") - F.col("hf_row"), F.col("col") - F.col("hf_col")
     out = rows.groupBy("hf_id", F.col("map_date").alias("date")).agg(

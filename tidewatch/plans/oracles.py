@@ -207,6 +207,8 @@ _BODIES: dict[str, str] = {
     "coord_to_pixel": "SELECT hf_id, r AS row, c AS col, r >= 0 AND r < h AND c >= 0 AND c < 25 AS inside, greatest(r - half, 0)::INTEGER AS row_from, least(r + half, h)::INTEGER AS row_to, greatest(c - half, 0)::INTEGER AS col_from, least(c + half, 25)::INTEGER AS col_to FROM placed",
     "facility_pixel_point_lookup": "SELECT hf_id, year, flood_duration, max_consecutive FROM placed JOIN haz ON row_ = r AND col_ = c",
     "facility_pixel_band_join": "SELECT hf_id, count(*) AS pairs, count(*) FILTER (value = 1) AS wet FROM near GROUP BY 1",
+    "required_columns": " UNION ALL ".join(f"SELECT '{c}' AS column_name, true AS present, count(*) AS n_rows, count({c}) AS n_filled FROM obs" for c in ("hf_id", "date", "occurrence", "pct_flooded", "min_distance"))
+    + " UNION ALL SELECT 'spell_id', false, count(*), 0::BIGINT FROM obs",
     "buffer_metrics": f"SELECT hf_id, date, \"binary\", {_r('pct_pixels', 'distance_m', 'pct_valid_data')}, n_no_data, n_valid_pixels, total_pixels_buffer, inside_aoi, buffer_partial FROM bufm",
     "hf_year_series": "SELECT hf_id, hf_type, buffer_pixels, year(date)::INTEGER AS year, count(*)::INTEGER AS n_days, sum(\"binary\")::INTEGER AS total_flooded_days, '[' || string_agg(\"binary\", ',' ORDER BY date) || ']' AS series_binary, '[' || string_agg(n_no_data, ',' ORDER BY date) || ']' AS series_no_data_count FROM bufm JOIN placed USING (hf_id) GROUP BY ALL",
     "explode_series": f"SELECT hf_id, date, \"binary\" AS occurrence, {_r(pct_flooded='round(pct_pixels, 2) / 100', min_distance='CASE WHEN \"binary\" = 0 THEN CASE WHEN buffer_pixels = 40 THEN 2545.5::DOUBLE ELSE 3818.0::DOUBLE END ELSE round(distance_m, 2) END')}, dayofyear(date)::INTEGER AS day_of_year, year(date)::INTEGER AS year FROM bufm JOIN placed USING (hf_id)",

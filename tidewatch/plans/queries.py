@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..config import SENSITIVITY_SETS as SETS
 from ..config import SPELL_DAYS, LossConfig
-from ..functions.columns import buffer_pixels, facility_type, step_loss
+from ..functions.columns import buffer_pixels, column_report, facility_type, step_loss
 from ..operators import calibration, facilities, hazard, impact, model, raster_eda, reclass, sampling, spells, stats, uncertainty
 from ..sources import readers, writers
 from ..sources.scratch import stored
@@ -270,6 +270,12 @@ def valid_facilities(spark, d):
     return facilities.valid_facilities(fx.facilities(spark, d))
 
 
+@query
+def required_columns(spark, d):
+    """The columns that scoring needs, and one that only labelled days have, in the observed pool."""
+    return column_report(fx.observed_pool(spark, d), [*readers.POOL_NEEDS, "spell_id"])
+
+
 @query
 def facility_type_buffer(spark, d):
     rows = fx.facilities(spark, d).withColumn("hf_type", facility_type(F.col("hf_id")))
