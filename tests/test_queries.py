@@ -73,3 +73,11 @@ def test_fit_recovers_a_gamma(spark):
     assert min(fits.values(), key=lambda r: r["ks"])["distribution"] in ("gamma", "weibull_min")
     assert abs(fits["gamma"]["a"] - 2) < 0.3 and fits["gamma"]["ks"] < 0.05
     assert fit_positive_distribution(df.limit(50), "x") is None
+
+
+def test_movement_counts_hold_every_facility(spark):
+    from tidewatch.operators.reclass import movement_counts
+
+    rows = [("a", "SAFE", "SAFE", False), ("b", "SAFE", "CHRONIC", True), ("c", "SAFE", "SAFE", False), ("d", "CRITICAL", "CRITICAL", False)]
+    out = movement_counts(spark.createDataFrame(rows, "hf_id string, cat_original string, cat_new string, reclassified boolean"))
+    assert {(r["cat_original"], r["cat_new"]): (r["n"], round(r["share"], 6)) for r in out.collect()} == {("SAFE", "SAFE"): (2, 0.666667), ("SAFE", "CHRONIC"): (1, 0.333333), ("CRITICAL", "CRITICAL"): (1, 1.0)}
