@@ -75,6 +75,16 @@ def test_fit_recovers_a_gamma(spark):
     assert fit_positive_distribution(df.limit(50), "x") is None
 
 
+@pytest.mark.parametrize("n, m", [(6, 9), (248, 186), (500, 500), (501, 500), (1464, 1098)])
+def test_sql_of_the_two_sample_p_follows_the_rule(n, m):
+    from tidewatch.operators import stats
+    from tidewatch.plans import stats_sql
+
+    d = round(0.07 * n * m) / (n * m)
+    got = duckdb.sql(f"SELECT {stats_sql.two_sample_p('d_stat')} FROM (SELECT {d}::DOUBLE AS d_stat, {n}::BIGINT AS n_1, {m}::BIGINT AS n_2)").fetchall()[0][0]
+    assert got == pytest.approx(stats.two_sample_p(d, n, m), abs=1e-8)
+
+
 def test_movement_counts_hold_every_facility(spark):
     from tidewatch.operators.reclass import movement_counts
 
