@@ -36,3 +36,21 @@ def test_rows_with_null_keys_make_no_wet_days(spark, tmp_path):
     both.write.parquet(f"{tmp_path}/b/events.parquet")
     wet = [sorted(map(tuple, model.wet_rows(fx.synthetic_pool(spark, f"{tmp_path}/{x}")).select("hf_id", "scenario_id", "date", "pct_flooded").collect())) for x in "ab"]
     assert wet[0] == wet[1] and wet[0]
+
+
+def test_schema_of_a_pool_by_facility_comes_from_one_partition(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from tidewatch.sources import readers, writers
+
+    pool = fx.observed_pool(spark, DATA)
+    writers.write_by_facility(pool, path := f"{tmp_path}/pool")
+    whole, plain = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **more: whole.extend(p for p in paths if p == path) or plain(self, *paths, **more))
+    rows = readers.read_by_facility(spark, path)
+    assert whole == [path] and dict(rows.dtypes)["hf_key"] == "string" and rows.count() == pool.count()
+
+
+def test_facilities_of_the_pool_have_its_categories(spark):
+    want = fx.observed_pool(spark, DATA).select("hf_id", "hf_category").distinct().collect()
+    assert sorted(map(tuple, fx.pool_facilities(spark, DATA).collect())) == sorted(map(tuple, want))

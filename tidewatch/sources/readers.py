@@ -62,7 +62,7 @@ def read_by_facility(spark: SparkSession, path: str, facilities: list[str] | Dat
     A list of names is a filter on the partitions. A table (hf_id and any other columns but the pool's) is joined: with a
     filter on that table the scan prunes its partitions while the query runs. Keys are text, whatever they look like.
     """
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.option("basePath", path).parquet(_any_partition(spark, path, "hf_key")).schema  # the others are listed once, below
     schema["hf_key"].dataType = StringType()
     df = spark.read.schema(schema).parquet(path)
     if facilities is None:
@@ -74,6 +74,16 @@ def read_by_facility(spark: SparkSession, path: str, facilities: list[str] | Dat
     return df.join(F.broadcast(keys) if few else keys, "hf_key")
 
 
+def _any_partition(spark: SparkSession, path: str, key: str) -> str:
+    """A partition of the table, or the table itself where it has none."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(jpath)
+    while there.hasNext():
+        if (at := there.next().getPath()).getName().startswith(f"{key}="):
+            return at.toString()
+    return path
+
+
 def read_hazard(spark: SparkSession, path: str, years: list[int] | None = None, bands: list[str] | None = None) -> DataFrame:
     """Stored hazard of the given years with the wanted bands, and the observed days of each year where they are stored
     beside it (writers.write_hazard). Years reach the scan as partition filters, bands as its read schema."""
