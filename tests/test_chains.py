@@ -98,3 +98,16 @@ def test_column_report_tells_absent_and_empty_columns(spark):
     got = {r["column_name"]: (r["present"], r["n_rows"], r["n_filled"]) for r in column_report(df, ["a", "b.c", "d", "e"]).collect()}
     assert got == {"a": (True, 2, 2), "b.c": (True, 2, 1), "d": (True, 2, 0), "e": (False, 2, 0)}
     assert {r["n_rows"] for r in column_report(df.limit(0), ["a", "e"]).collect()} == {0}
+
+
+def test_products_of_a_block_are_no_loops_of_expressions(spark):
+    rng = random.Random(17)
+    x = [[rng.random() for _ in range(n)] for n in (uncertainty.BLOCK, uncertainty.BLOCK, 5)]  # blocks of one half; the last is short
+    blocks = spark.createDataFrame([("p", "0", 0, b, v) for b, v in enumerate(x)], "param string, idx string, part int, b int, xs array<double>")
+    sums = uncertainty._products(blocks, blocks.select("param", "idx").distinct(), range(0, 2))
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "zip_with" not in plan
+    flat = [v for block in x for v in block]
+    got = {r["t"]: r["ac"] for r in sums.collect()}
+    assert len(got) == 2 * uncertainty.BLOCK
+    assert all(got[t] == pytest.approx(sum(a * b for a, b in zip(flat, flat[t:]))) for t in got)

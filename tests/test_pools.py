@@ -54,3 +54,12 @@ def test_schema_of_a_pool_by_facility_comes_from_one_partition(spark, tmp_path,
 def test_facilities_of_the_pool_have_its_categories(spark):
     want = fx.observed_pool(spark, DATA).select("hf_id", "hf_category").distinct().collect()
     assert sorted(map(tuple, fx.pool_facilities(spark, DATA).collect())) == sorted(map(tuple, want))
+
+
+def test_vectors_are_dealt_to_even_parts_before_they_become_rows(spark, tmp_path):
+    vectors = spark.range(5_000).selectExpr("id AS vec_id", "transform(sequence(1, 64), i -> cast(id % i AS float)) AS embedding", "0 AS label")
+    vectors.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (fx.draws(spark, str(tmp_path)), fx.pixel_obs(spark, str(tmp_path))):
+        sizes = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(sizes) == max(cores, 3) and max(sizes) < 2 * min(sizes) and sum(sizes) == 5_000 * 64

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.columns import quantile, sigmoid
 from ..functions.special import normal_quantile
@@ -125,6 +128,20 @@ def _scores(draws: DataFrame) -> DataFrame:
     return scored.select("param", "idx", "part", "i", "n", "s", normal_quantile((F.col("r") - 0.375) / (F.col("s") + 0.25)).alias("z"))
 
 
+def _padded(arrays: pd.Series, size: int) -> np.ndarray:
+    out = np.zeros((len(arrays), size))
+    for row, a in zip(out, arrays, strict=True):
+        row[: len(a)] = a
+    return out
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _lagged(x: pd.Series, ys: pd.Series) -> pd.Series:
+    """Of each block the sums of the products of its draws and those 0 to BLOCK - 1 places on; there are none behind the last."""
+    windows = np.lib.stride_tricks.sliding_window_view(_padded(ys, 2 * BLOCK), BLOCK, axis=1)[:, :BLOCK]
+    return pd.Series(list(np.einsum("bj,boj->bo", _padded(x, BLOCK), windows)))
+
+
 def _products(blocks: DataFrame, params: DataFrame, steps: range) -> DataFrame:
     """param, idx, t, ac: sums over all halves of the products of draws t apart, for the lags of the given steps of BLOCK.
 
@@ -136,8 +153,7 @@ def _products(blocks: DataFrame, params: DataFrame, steps: range) -> DataFrame:
     after = some.select("param", "idx", "part", (F.col("b") - 1).alias("b"), F.col("xs").alias("y2"))
     keys = ["param", "idx", "part", "b"]
     both = a.join(near, keys).join(after, keys, "left").withColumn("ys", F.concat("y", F.coalesce("y2", F.array().cast("array<double>"))))
-    sums = F.expr(f"transform(sequence(0, {BLOCK - 1}), o -> aggregate(zip_with(x, slice(ys, o + 1, size(x)), (p, q) -> p * q), 0D, (s, v) -> s + coalesce(v, 0D)))")
-    rows = both.select("param", "idx", "r", F.posexplode(sums).alias("o", "ac"))
+    rows = both.select("param", "idx", "r", F.posexplode(_lagged("x", "ys")).alias("o", "ac"))
     return rows.groupBy("param", "idx", (F.col("r") * BLOCK + F.col("o")).alias("t")).agg(F.sum("ac").alias("ac"))
 
 
