@@ -92,3 +92,29 @@ def test_late_days_count_and_idle_pixels_go(spark, tmp_path):
     assert got[1][:3] == [(2, 2, 2, 2), (4, 4, 4, 4), (5, 5, 5, 5)]
     assert got[1][-1] == (1, 1, 1, 1) and got[2] == [(1, 1, 1, 1)]
     assert got[3][-1] == (6, 4, 0, 4)
+
+
+def test_pixels_of_a_square_share_a_state(spark, tmp_path):
+    import random
+
+    rng = random.Random(18)
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    pixels = [(r, c) for r in (-1, 0, 31, 32, None) for c in (-33, 5, 40, None)]
+    series = {p: [(n, rng.choice([None, 0, 1, 1, 1])) for n in range(24)] for p in pixels}
+    schema, path = "ts timestamp, row int, col int, value int", str(tmp_path / "days")
+    for at in range(0, 24, 6):  # within a batch and the next one days come in any order; not every pixel comes in each
+        rows = [(day(n), *p, v) for p, s in series.items() for n, v in s if at <= n < at + 6 and (n + len(str(p))) % 3]
+        rows += [(day(n), *p, v) for p, s in series.items() for n, v in s if at - 6 <= n < at and not (n + len(str(p))) % 3]
+        rows += [(day(n), *p, v) for p, s in series.items() for n, v in s if at == 18 and n >= 18 and not (n + len(str(p))) % 3]
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = floods.incremental_streak(stream, delay="13 days")
+    query = out.writeStream.format("memory").queryName("squares_out").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = {}
+    for r in spark.table("squares_out").collect():
+        last[r["row"], r["col"]] = max(last.get((r["row"], r["col"]), ()), (r["valid_obs"], r["flood_duration"], r["max_consecutive"], r["streak"]))
+    want = {p: held([v for _, v in s]) for p, s in series.items()}
+    assert {p: (x[0], x[1], x[2]) for p, x in last.items()} == {p: (x[0], x[1], x[3]) for p, x in want.items()}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 16  # squares, not the 20 pixels

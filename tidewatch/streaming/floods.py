@@ -22,23 +22,37 @@ def session_spells(wet_days: DataFrame, gap: int = 4, delay: str = "10 days") ->
     return out.select("hf_id", F.to_date(start).alias("start_date"), F.to_date("last").alias("end_date"), (F.datediff("last", start) + 1).alias("length"), "wet_days")
 
 
-def advance(state: tuple[int, int, int, int, int], values: np.ndarray, gap: int) -> tuple[int, int, int, int, int]:
+def advance(state: tuple, values: np.ndarray, gap: int, pixel: np.ndarray | None = None) -> tuple:
     """(valid, wet, streak, longest, missing days in a row) after further days: 1 flood, 0 clear, -1 no data.
 
-    A clear day ends a streak, and so does the day that makes more than `gap` without data in a row.
+    A clear day ends a streak, and so does the day that makes more than `gap` without data in a row. The state is five
+    numbers, or five arrays with an entry a pixel; then `pixel` has each day's entry, in rising order.
     """
-    valid, wet, now, most, missing = state
     if not len(values):
         return state
-    at = np.arange(len(values))
-    known = np.maximum.accumulate(np.where(values >= 0, at, -1 - missing))
-    ends = (values == 0) | (at - known > gap)
+    valid, wet, now, most, missing = (np.atleast_1d(x) for x in state)
+    pixel = np.zeros(len(values), np.int64) if pixel is None else pixel
+    days = np.bincount(pixel, minlength=len(valid))
+    first = np.cumsum(days) - days
+    at, start = np.arange(len(values)), first[pixel]
+    known = np.maximum.accumulate(np.where(values >= 0, at, -1))
+    unknown = at - np.where(known >= start, known, start - 1 - missing[pixel])
+    ends = (values == 0) | (unknown > gap)
     floods = np.cumsum(values == 1)
-    streak = floods - np.maximum.accumulate(np.where(ends, floods, -now))
-    return valid + int((values >= 0).sum()), wet + int(floods[-1]), int(streak[-1]), max(most, int(streak.max())), int(at[-1] - known[-1])
+    end, before = np.maximum.accumulate(np.where(ends, at, -1)), floods[start] - (values[start] == 1)
+    streak = floods - np.where(end >= start, floods[end], before - now[pixel])
+    some = days > 0
+    tail, now, most, missing = (first + days - 1)[some], now.copy(), most.copy(), missing.copy()
+    now[some], missing[some] = streak[tail], unknown[tail]
+    most[some] = np.maximum(most[some], np.maximum.reduceat(streak, first[some]))
+    return valid + np.bincount(pixel[values >= 0], minlength=len(days)), wet + np.bincount(pixel[values == 1], minlength=len(days)), now, most, missing
 
 
 DAY_MS = 86_400_000
+#: Rows and columns of a square of pixels that share a state.
+SIDE = 32
+#: Before any time.
+NEVER = -(2**62)
 
 
 def incremental_streak(days: DataFrame, gap: int = 2, delay: str = "30 days", idle_days: int = 3650) -> DataFrame:
@@ -48,35 +62,59 @@ def incremental_streak(days: DataFrame, gap: int = 2, delay: str = "30 days", id
     latest day of all pixels, has not passed them; those behind it are dropped. The state is five numbers for the days that
     the watermark has passed, and a list of those that it has not; what comes out counts both. Of a day that comes twice
     the first counts. A pixel without a day for `idle_days` goes when the watermark has passed that time, and starts anew
-    should it come again.
+    should it come again. Pixels of a square of SIDE rows and columns share a state and are moved on together; a pixel
+    comes out in the batches that bring days of its own.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs() or NEVER  # 0: none yet
+        old, until, last, *sums, held_at, held, values = (np.array(x, np.int64) for x in (state.get if state.exists else [[]] * 11))
+        rows = pd.DataFrame({"ts": [], "at": [], "value": []}) if state.hasTimedOut else pd.concat(list(batches))
+        came_at, came = rows["at"].to_numpy().astype(np.int64), rows["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+        stays = (until >= mark) | np.isin(old, came_at)
+        pixels = np.union1d(old[stays], came_at)
+        if not len(pixels):
             state.remove()
             return
-        last, *sums, held, values = state.get if state.exists else (-(2**62), 0, 0, 0, 0, 0, [], [])
-        mark = state.getCurrentWatermarkMs() or -(2**62)  # 0: none yet
-        rows = pd.concat(list(batches))
-        new = rows["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64)
-        ts = np.concatenate([np.array(held, np.int64), new[new > mark]])
-        value = np.concatenate([np.array(values, np.int64), rows["value"].fillna(-1).to_numpy().astype(np.int64)[new > mark]])
-        ts, first = np.unique(ts, return_index=True)
-        value = value[first][ts > last]
-        ts = ts[ts > last]
-        passed = int(np.searchsorted(ts, mark, "right"))
-        settled = advance(tuple(sums), value[:passed], gap)
-        last = int(ts[passed - 1]) if passed else last
-        state.update((last, *settled, ts[passed:].tolist(), value[passed:].tolist()))
-        latest = int(ts[-1]) if len(ts) else max(last, mark)
-        state.setTimeoutTimestamp(max(latest + idle_days * DAY_MS, mark + 1, 1))
-        valid, wet, now, most, _ = advance(settled, value[passed:], gap)
-        yield pd.DataFrame({"row": [key[0]], "col": [key[1]], "valid_obs": [valid], "flood_duration": [wet], "streak": [now], "max_consecutive": [most]})
-
-    return days.withWatermark("ts", delay).groupBy("row", "col").applyInPandasWithState(
+        place = np.searchsorted(pixels, old[stays])
+
+        def kept(x: np.ndarray, new: int) -> np.ndarray:
+            out = np.full(len(pixels), new, np.int64)
+            out[place] = x[stays]
+            return out
+
+        until, last, sums, touched = kept(until, 0), kept(last, NEVER), tuple(kept(x, 0) for x in sums), np.isin(pixels, came_at)
+        still, new = np.isin(held_at, pixels), came > mark
+        pixel = np.searchsorted(pixels, np.concatenate([held_at[still], came_at[new]]))
+        ts = np.concatenate([held[still], came[new]])
+        value = np.concatenate([values[still], rows["value"].fillna(-1).to_numpy().astype(np.int64)[new]])
+        order = np.lexsort((ts, pixel))  # of equal days the first comes first
+        pixel, ts, value = pixel[order], ts[order], value[order]
+        counts = ts > last[pixel]
+        counts[1:] &= (pixel[1:] != pixel[:-1]) | (ts[1:] != ts[:-1])
+        pixel, ts, value = pixel[counts], ts[counts], value[counts]
+        latest = np.full(len(pixels), NEVER)
+        np.maximum.at(latest, pixel, ts)
+        passed = (ts <= mark) & touched[pixel]
+        settled = advance(sums, value[passed], gap, pixel[passed])
+        np.maximum.at(last, pixel[passed], ts[passed])
+        latest = np.where(latest > NEVER, latest, np.maximum(last, mark))
+        until = np.where(touched, np.maximum(latest + idle_days * DAY_MS, max(mark + 1, 1)), until)
+        pixel, ts, value = pixel[~passed], ts[~passed], value[~passed]
+        state.update(tuple(x.tolist() for x in (pixels, until, last, *settled, pixels[pixel], ts, value)))
+        state.setTimeoutTimestamp(max(int(until.min()), mark + 1, 1))
+        valid, wet, now, most, _ = (x[touched] for x in advance(settled, value, gap, pixel))
+        if touched.any():
+            row, col = (None if k is None else k * SIDE + x for k, x in zip(key, np.divmod(pixels[touched], SIDE), strict=True))
+            yield pd.DataFrame({"row": row, "col": col, "valid_obs": valid, "flood_duration": wet, "streak": now, "max_consecutive": most})
+
+    side = F.lit(SIDE)
+    block = lambda c: F.floor(F.col(c) / side).cast("int").alias(f"block_{c}")
+    at = F.coalesce(F.pmod("row", side), F.lit(0)) * side + F.coalesce(F.pmod("col", side), F.lit(0))
+    return days.withWatermark("ts", delay).select("ts", block("row"), block("col"), at.alias("at"), "value").groupBy("block_row", "block_col").applyInPandasWithState(
         step,
         "row int, col int, valid_obs long, flood_duration long, streak long, max_consecutive long",
-        "last long, valid long, wet long, now long, most long, missing long, held array<long>, values array<long>",
+        ", ".join(f"{c} array<long>" for c in ("at", "until", "last", "valid", "wet", "now", "most", "missing", "held_at", "held", "held_values")),
         "update",
         GroupStateTimeout.EventTimeTimeout,
     )
