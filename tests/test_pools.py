@@ -63,3 +63,11 @@ def test_vectors_are_dealt_to_even_parts_before_they_become_rows(spark, tmp_path
     for rows in (fx.draws(spark, str(tmp_path)), fx.pixel_obs(spark, str(tmp_path))):
         sizes = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()]
         assert len(sizes) == max(cores, 3) and max(sizes) < 2 * min(sizes) and sum(sizes) == 5_000 * 64
+
+
+def test_days_of_a_part_do_not_grow_with_the_suppliers(spark, tmp_path):
+    suppliers = spark.range(3_000).selectExpr("id AS s_suppkey", "cast(pmod(hash(id), 25) AS int) AS s_nationkey")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{DATA}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sizes = [r[0] for r in fx.observed_pool(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * 190_000
