@@ -1,9 +1,11 @@
 """The derived pools: even parts whatever the input, no join of days, rows with null keys."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewatch import fixtures as fx
-from tidewatch.operators import model, spells
+from tidewatch.operators import impact, model, spells
 
 DATA = "/root/testdata/sf0.001"
 
@@ -71,3 +73,9 @@ def test_days_of_a_part_do_not_grow_with_the_suppliers(spark, tmp_path):
     spark.read.parquet(f"{DATA}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
     sizes = [r[0] for r in fx.observed_pool(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(sizes) == 10 and max(sizes) < 2 * 190_000
+
+
+def test_losses_sort_days_three_times_and_look_at_no_day_for_every_other(spark):
+    pool = fx.observed_pool(spark, DATA)
+    plan = _plan(impact.combined_loss(pool, ["hf_id", "year"])).split("explode(")[0]
+    assert plan.count("Sort [") == 3 and not re.search(r"currentrow\$\(\), unboundedfollowing", plan)
